@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -14,8 +16,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
     Billing months and days are UTC. Session windows pre-merge rows before the
     shuffle, so one hot span does not travel to a single task row by row. The
-    stateful stream operators need the RocksDB state store.
+    stateful stream operators need the RocksDB state store. Python code that
+    runs in tasks travels with the query, so executors need not have this
+    package installed.
     """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sessionWindow.mergeSessions.inLocalPartition", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

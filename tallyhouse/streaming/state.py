@@ -32,8 +32,8 @@ class MonthVolume(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            before = frame.groupby("month")["_tokens"].cumsum() - frame["_tokens"]
-            for month, tokens in frame.groupby("month")["_tokens"].sum().items():
+            before = frame.groupby("month")["event_tokens"].cumsum() - frame["event_tokens"]
+            for month, tokens in frame.groupby("month")["event_tokens"].sum().items():
                 known = self._months.getValue((month,))[0] if self._months.containsKey((month,)) else 0
                 before[frame["month"] == month] += known
                 self._months.updateValue((month,), (int(known + tokens),))
@@ -49,8 +49,8 @@ class MonthVolume(StatefulProcessor):
 
 def stamp_volume_stream(df: DataFrame, keep_months: int = 3) -> DataFrame:
     """Add ``volume_before`` in arrival order; the stream keeps its event time."""
-    keyed = df.withColumns({"month": billing_month(F.col("ts_ms")), "_tokens": total_tokens()})
-    kept = [f for f in keyed.schema.fields if f.name != "_tokens"]
+    keyed = df.withColumns({"month": billing_month(F.col("ts_ms")), "event_tokens": total_tokens()})
+    kept = [f for f in keyed.schema.fields if f.name != "event_tokens"]
     schema = T.StructType([*kept, T.StructField("volume_before", T.LongType())])
     if "ts" in df.columns:
         return keyed.groupBy(*CUSTOMER_MODEL).transformWithStateInPandas(

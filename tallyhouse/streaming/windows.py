@@ -19,12 +19,15 @@ def with_event_time(df: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def dedup_window_stream(df: DataFrame, width: str = "10 seconds") -> DataFrame:
-    """Keep one event per id, customer, model and window; state ends with the window."""
-    windowed = df.withColumn("_window", F.window("ts", width))
+    """Keep one event per id, customer, model and window; state ends with the window.
+
+    The event-time column becomes the ``window`` column.
+    """
+    windowed = df.withColumn("window", F.window("ts", width)).drop("ts")
     kept = windowed.filter(F.col("event_id").isNotNull()).dropDuplicates(
-        [*CUSTOMER_MODEL, "_window", "event_id"]
+        [*CUSTOMER_MODEL, "window", "event_id"]
     )
-    return kept.unionByName(windowed.filter(F.col("event_id").isNull())).drop("_window")
+    return kept.unionByName(windowed.filter(F.col("event_id").isNull()))
 
 
 def dedup_within_stream(df: DataFrame) -> DataFrame:
@@ -36,7 +39,8 @@ def dedup_within_stream(df: DataFrame) -> DataFrame:
 def usage_windows_stream(df: DataFrame, width: str = "10 seconds") -> DataFrame:
     """Closed tumbling windows of a priced stream; events behind them are not let in."""
     measures = event_measures()
-    closed = df.groupBy(F.window("ts", width).alias("_window"), *CUSTOMER_MODEL).agg(
+    window = F.col("window") if "window" in df.columns else F.window("ts", width)
+    closed = df.groupBy(window.alias("_window"), *CUSTOMER_MODEL).agg(
         *[column.alias(name) for name, column in measures.items()]
     )
     return with_average_latency(
