@@ -66,34 +66,46 @@ class Running:
         return F.coalesce(local, carried)
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Groups with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups too large for one task; ``frame`` holds their keys, None when there are none."""
+
+    keys: list[str]
+    total_rows: int
+    hot_rows: int
+    frame: DataFrame | None
+
+
+Hot = HotGroups | int
+
+
+def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGroups:
+    """Measure group sizes: one pass over the keys, summed before the shuffle.
+
+    At most ``rows / hot_rows`` groups are hot, so their keys may be broadcast.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    total = hot.agg(F.sum("_rows")).first()[0]
+    frame = None if total is None else durable(hot.select(*keys))
+    return HotGroups(keys, total or 0, hot_rows, frame)
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    outs: dict[str, Running],
-    hot_rows: int = HOT_ROWS,
-    sizes_from: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: list[str], outs: dict[str, Running], hot: Hot = HOT_ROWS
 ) -> DataFrame:
     """Add the running columns ``outs`` to ``df``; ``order`` must be total.
 
-    ``sizes_from`` may name a cheaper frame with the same keys and at least as
-    many rows per group (the events before deduplication, say) to measure
-    group sizes on.
+    ``hot`` is the number of rows above which a group is hot, measured on
+    ``df``, or a measurement made before on coarser keys or on a frame with at
+    least as many rows per group, to measure once for several passes.
     """
-    hot = hot_groups(sizes_from if sizes_from is not None else df, keys, hot_rows)
-    # One row per hot group: bounded by rows / hot_rows, so small enough to hold.
-    total = hot.agg(F.sum("_rows")).first()[0]
-    if total is None:
+    if not isinstance(hot, HotGroups):
+        hot = find_hot(df, keys, hot)
+    if hot.frame is None:
         return _in_groups(df, keys, order, outs)
-    hot = durable(hot.select(*keys))
-    cold_part = null_safe_join(df, F.broadcast(hot), keys, "left_anti")
-    hot_part = null_safe_join(df, F.broadcast(hot), keys, "left_semi")
-    slices = max(2, -(-2 * total // hot_rows))
+    cold_part = null_safe_join(df, F.broadcast(hot.frame), hot.keys, "left_anti")
+    hot_part = null_safe_join(df, F.broadcast(hot.frame), hot.keys, "left_semi")
+    slices = max(2, -(-2 * hot.total_rows // hot.hot_rows))
     return _in_groups(cold_part, keys, order, outs).unionByName(
         _in_slices(hot_part, keys, order, outs, slices)
     )
@@ -124,11 +136,13 @@ def _in_slices(df, keys, order, outs, slices):
     earlier = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
+    # At most one group of a slice goes on from the slice before it.
     carried = summaries.select(
-        *keys, "_slice", *[r.carried(f"_{name}", earlier).alias(f"_{name}") for name, r in outs.items()]
-    )
+        *keys, "_slice", F.count("*").over(earlier).alias("_earlier"),
+        *[r.carried(f"_{name}", earlier).alias(f"_{name}") for name, r in outs.items()],
+    ).filter("_earlier > 0").drop("_earlier")
     local = _in_groups(sliced, [*keys, "_slice"], order, outs)
-    # One row per hot group and slice: hot groups + slices rows in all.
+    # Broadcast: no more rows than slices.
     joined = null_safe_join(local, F.broadcast(carried), [*keys, "_slice"], "left")
     return joined.withColumns(
         {name: r.combine(F.col(f"_{name}"), F.col(name)) for name, r in outs.items()}

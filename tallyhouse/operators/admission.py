@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.periods import billing_day, billing_month
-from ..functions.running import HOT_ROWS, Running, running
+from ..functions.running import HOT_ROWS, Hot, Running, find_hot, running
 from ..schema import CUSTOMER
 
 
@@ -19,7 +19,7 @@ def asof_state(
     keys: list[str],
     values: list[str],
     request_order: list[str],
-    hot_rows: int = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Give each request the latest state at or before its time.
 
@@ -42,7 +42,7 @@ def asof_state(
     return (
         running(
             of_states.withColumn("_seq", F.col("_seq").cast("string")).unionByName(of_requests),
-            keys, ["ts_ms", "_side", "_seq"], {"_asof": Running("last", "_state")}, hot_rows,
+            keys, ["ts_ms", "_side", "_seq"], {"_asof": Running("last", "_state")}, hot,
         )
         .filter("_side = 1")
         .select("_request.*", "_asof.*")
@@ -54,8 +54,7 @@ def spent_before(
     charges: DataFrame,
     keys: list[str],
     out: str,
-    hot_rows: int = HOT_ROWS,
-    sizes_from: DataFrame | None = None,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: charges of the same key strictly before each request's time.
 
@@ -68,29 +67,23 @@ def spent_before(
     per_time = charges.dropna(subset=keys).groupBy(*keys, "ts_ms").agg(F.sum("cost_micro").alias("_charge"))
     schema = requests.select(F.struct(*requests.columns)).schema[0].dataType
 
-    def of_requests(frame):
-        return frame.select(
-            *keys, alone.alias("_alone"), "ts_ms", F.lit(0).alias("_side"),
-            F.lit(0).cast("bigint").alias("_charge"), F.col("request_id").alias("_id"),
-            F.struct(*frame.columns).alias("_request"),
-        )
-
+    of_requests = requests.select(
+        *keys, alone.alias("_alone"), "ts_ms", F.lit(0).alias("_side"),
+        F.lit(0).cast("bigint").alias("_charge"), F.col("request_id").alias("_id"),
+        F.struct(*requests.columns).alias("_request"),
+    )
     of_charges = per_time.select(
         *keys, F.lit("").alias("_alone"), "ts_ms", F.lit(1).alias("_side"), "_charge",
         F.lit("").alias("_id"), F.lit(None).cast(schema).alias("_request"),
     )
-    grouped = [*keys, "_alone"]
-    sizes = None
-    if sizes_from is not None:
-        sizes = of_requests(sizes_from).select(*grouped).unionByName(of_charges.select(*grouped))
     summed = running(
-        of_charges.unionByName(of_requests(requests)), grouped, ["ts_ms", "_side", "_id"],
-        {out: Running("sum", "_charge")}, hot_rows, sizes,
+        of_charges.unionByName(of_requests), [*keys, "_alone"], ["ts_ms", "_side", "_id"],
+        {out: Running("sum", "_charge")}, hot,
     )
     return summed.filter("_side = 0").select("_request.*", out)
 
 
-def _capped(requests, charges, caps, keys, cap_columns, spent, hot_rows, sizes_from, period=None):
+def _capped(requests, charges, caps, keys, cap_columns, spent, hot, period=None):
     """Join caps to requests and add what was spent on capped keys only."""
     capped_charges = null_safe_join(
         charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
@@ -98,11 +91,11 @@ def _capped(requests, charges, caps, keys, cap_columns, spent, hot_rows, sizes_f
     with_caps = null_safe_join(requests, caps.select(*keys, *cap_columns), keys, "left")
     spend_keys = keys
     if period is not None:
-        with_caps, sizes_from, capped_charges = [
-            frame.withColumn("_period", period) for frame in (with_caps, sizes_from, capped_charges)
+        with_caps, capped_charges = [
+            frame.withColumn("_period", period) for frame in (with_caps, capped_charges)
         ]
         spend_keys = [*keys, "_period"]
-    return spent_before(with_caps, capped_charges, spend_keys, spent, hot_rows, sizes_from).drop("_period")
+    return spent_before(with_caps, capped_charges, spend_keys, spent, hot).drop("_period")
 
 
 def check_decisions(
@@ -124,10 +117,17 @@ def check_decisions(
     session and key. Output adds ``allowed, reason`` and what each gate saw.
     """
     columns = requests.columns
+
+    def measured(keys):
+        """Rows per key over requests and charges; a ledger row stands for charges."""
+        both = requests.select(*keys).unionByName(charges.select(*keys)).dropna(subset=keys[-1:])
+        return find_hot(both, keys, hot_rows)
+
+    of_customers = measured(CUSTOMER)
     state = ledger.select(
         *CUSTOMER, "ts_ms", F.concat_ws("|", F.col("seq").cast("string"), "ref").alias("state_seq"), "balance_micro"
     )
-    seen = asof_state(requests, state, CUSTOMER, ["balance_micro"], ["request_id"], hot_rows)
+    seen = asof_state(requests, state, CUSTOMER, ["balance_micro"], ["request_id"], of_customers)
     held = F.coalesce("held_micro", F.lit(0)) if "held_micro" in columns else F.lit(0)
     seen = seen.withColumn("effective_micro", F.col("balance_micro") - held)
     estimate = F.greatest(F.col("estimate_micro"), F.lit(0))
@@ -135,15 +135,16 @@ def check_decisions(
     no_cap = F.lit(False)
     span_over, session_over, day_over, month_over = no_cap, no_cap, no_cap, no_cap
     if span_caps is not None:
-        seen = _capped(seen, charges, span_caps, ["parent_span_id"], ["span_cap_micro"], "span_spent_micro", hot_rows, requests)
+        seen = _capped(seen, charges, span_caps, ["parent_span_id"], ["span_cap_micro"], "span_spent_micro", measured(["parent_span_id"]))
         span_over = F.coalesce(F.col("span_spent_micro") + estimate > F.col("span_cap_micro"), no_cap)
     if session_caps is not None:
-        seen = _capped(seen, charges, session_caps, ["session_id"], ["session_cap_micro"], "session_spent_micro", hot_rows, requests)
+        seen = _capped(seen, charges, session_caps, ["session_id"], ["session_cap_micro"], "session_spent_micro", measured(["session_id"]))
         session_over = F.coalesce(F.col("session_spent_micro") + estimate > F.col("session_cap_micro"), no_cap)
     if key_caps is not None:
         ts = F.col("ts_ms")
-        seen = _capped(seen, charges, key_caps, ["key_id"], ["daily_cap_micro"], "key_day_micro", hot_rows, requests, billing_day(ts))
-        seen = _capped(seen, charges, key_caps, ["key_id"], ["monthly_cap_micro"], "key_month_micro", hot_rows, requests, billing_month(ts))
+        of_keys = measured(["key_id"])
+        seen = _capped(seen, charges, key_caps, ["key_id"], ["daily_cap_micro"], "key_day_micro", of_keys, billing_day(ts))
+        seen = _capped(seen, charges, key_caps, ["key_id"], ["monthly_cap_micro"], "key_month_micro", of_keys, billing_month(ts))
         day_over = F.coalesce(F.col("key_day_micro") + estimate > F.col("daily_cap_micro"), no_cap)
         month_over = F.coalesce(F.col("key_month_micro") + estimate > F.col("monthly_cap_micro"), no_cap)
 
@@ -159,7 +160,7 @@ def check_decisions(
     decided = seen.withColumn("reason", reason)
     passing = F.col("reason").isin("ok", "no_budget_configured")
     if rate_limits is not None:
-        decided = rate_limited(decided, rate_limits, passing, hot_rows, requests)
+        decided = rate_limited(decided, rate_limits, passing, of_customers)
     return decided.withColumn("allowed", F.col("reason").isin("ok", "no_budget_configured"))
 
 
@@ -167,8 +168,7 @@ def rate_limited(
     requests: DataFrame,
     limits: DataFrame,
     passing: Column,
-    hot_rows: int = HOT_ROWS,
-    sizes_from: DataFrame | None = None,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Apply ``max_rpm`` per calendar minute; only passing requests use a slot.
 
@@ -180,8 +180,7 @@ def rate_limited(
     )
     counted = running(
         limited, [*CUSTOMER, "_minute"], ["ts_ms", "request_id"],
-        {"_used": Running("sum", "_slot", inclusive=False)}, hot_rows,
-        None if sizes_from is None else sizes_from.withColumn("_minute", F.floor(F.col("ts_ms") / 60_000)),
+        {"_used": Running("sum", "_slot", inclusive=False)}, hot,
     )
     over = (F.coalesce("max_rpm", F.lit(0)) > 0) & (F.coalesce("_used", F.lit(0)) >= F.col("max_rpm"))
     return counted.withColumn("reason", F.when(over, "rate_limited").otherwise(F.col("reason"))).drop(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, Running, running
+from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER
 from .dedup import keep_every
 
@@ -61,7 +61,7 @@ def signed_amount() -> Column:
 LEDGER_ORDER = ["ts_ms", "seq", "ref"]
 
 
-def budget_ledger(moves: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def budget_ledger(moves: DataFrame, hot: Hot = HOT_ROWS) -> DataFrame:
     """Balance, debt and threshold after each movement.
 
     The balance never falls below zero; what a charge takes beyond it becomes
@@ -70,11 +70,12 @@ def budget_ledger(moves: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     below zero, and the balance is S plus debt. Movements before the first
     ``set`` have no budget to draw on and are left out.
     """
+    hot = hot if isinstance(hot, HotGroups) else find_hot(moves, CUSTOMER, hot)
     is_set = F.col("kind") == "set"
     epochs = running(
         moves, CUSTOMER, LEDGER_ORDER,
         {"epoch": Running("sum", F.when(is_set, 1).otherwise(0))},
-        hot_rows,
+        hot,
     ).filter("epoch > 0")
     keys = [*CUSTOMER, "epoch"]
     initial = F.when(is_set, F.col("amount_micro"))
@@ -95,12 +96,12 @@ def budget_ledger(moves: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             "topup_micro": Running("sum", F.when(F.col("kind") == "topup", F.col("amount_micro")).otherwise(0)),
             "deducted_micro": Running("sum", F.when(F.col("kind") == "cost", F.col("amount_micro")).otherwise(0)),
         },
-        hot_rows, sizes_from=moves.withColumn("epoch", F.lit(1)),
+        hot,
     )
     deep = running(
         summed, keys, LEDGER_ORDER,
         {"_low": Running("min", "_s"), "_low_before": Running("min", "_s", inclusive=False)},
-        hot_rows, sizes_from=moves.withColumn("epoch", F.lit(1)),
+        hot,
     )
 
     def debt(low):
@@ -145,7 +146,7 @@ def warn_ladder(
     ledger: DataFrame,
     percents: tuple[int, ...] = WARN_PERCENTS,
     ttl_ms: int = ALERT_TTL_MS,
-    hot_rows: int = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Spent-share warnings, one per rung, repeated at most every ``ttl_ms``.
 
@@ -175,11 +176,13 @@ def warn_ladder(
     tested = charges.select(*facts, exhausted.alias("_out"), F.explode(rungs).alias("_r")).select(
         *facts, F.col("_r.rung").alias("rung"), (F.col("_r.hit") & ~F.col("_out")).alias("_hit"),
     )
+    # A customer's rungs split its rows, so customers are what is measured.
+    hot = hot if isinstance(hot, HotGroups) else find_hot(ledger, CUSTOMER, hot)
     keys = [*CUSTOMER, "rung"]
     # A run of hits without a clear in between shares one debounce clock.
     runs = running(
         tested, keys, LEDGER_ORDER,
-        {"_run": Running("sum", F.when(F.col("_hit"), 0).otherwise(1))}, hot_rows,
+        {"_run": Running("sum", F.when(F.col("_hit"), 0).otherwise(1))}, hot,
     ).filter("_hit")
     # Several charges at one time: the first of them carries the alert.
     first = (
@@ -187,7 +190,7 @@ def warn_ladder(
         .agg(F.min_by(F.struct("ref", "balance_micro", "spent_pct", "initial_micro"), F.struct("seq", "ref")).alias("_f"))
     )
     warned = keep_every(
-        first.withColumnRenamed("_run", "_clear"), [*keys, "_clear"], "ts_ms", ttl_ms, hot_rows
+        first.withColumnRenamed("_run", "_clear"), [*keys, "_clear"], "ts_ms", ttl_ms, hot
     ).select(
         *CUSTOMER, "ts_ms", "_f.ref", "rung",
         F.when(F.col("rung") == 100, "BUDGET_LOW").otherwise("BUDGET_WARN").alias("alert"),

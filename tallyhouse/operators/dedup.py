@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, Running, running
-from ..schema import TOKEN_COLUMNS
+from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, running
+from ..schema import CUSTOMER_MODEL, TOKEN_COLUMNS
 
 # Of several copies the first in this order is kept; copies that agree in all
 # of these columns differ in nothing a total depends on.
@@ -34,7 +34,8 @@ def dedup_in_window(df: DataFrame, width_ms: int = 10_000) -> DataFrame:
     the shuffle, so an id repeated a billion times sends one row per task.
     """
     windowed = df.withColumn("window_start_ms", window_start(width_ms))
-    keys = [*WINDOW_KEYS, "event_id"]
+    # Number and id first: the sort before the merge then mostly compares those.
+    keys = ["window_start_ms", "event_id", *CUSTOMER_MODEL]
     payload = [c for c in windowed.columns if c not in keys]
     order = [c for c in SURVIVOR_ORDER if c in windowed.columns]
     kept = (
@@ -62,14 +63,16 @@ def dedup_within(
         .groupBy("event_id", clock)
         .agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"))
     )
-    kept = keep_every(distinct, ["event_id"], clock, ttl_ms, hot_rows).select(
+    # Merged rows are no more than the events, so ids are counted on those.
+    hot = find_hot(df.filter(F.col("event_id").isNotNull()), ["event_id"], hot_rows)
+    kept = keep_every(distinct, ["event_id"], clock, ttl_ms, hot).select(
         "event_id", clock, "_first.*"
     ).select(*df.columns)
     return kept.unionByName(df.filter(F.col("event_id").isNull()))
 
 
 def keep_every(
-    df: DataFrame, keys: list[str], clock: str, ttl_ms: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], clock: str, ttl_ms: int, hot: Hot = HOT_ROWS
 ) -> DataFrame:
     """From each group keep the first row, then each first row ``ttl_ms`` after the last kept.
 
@@ -78,13 +81,14 @@ def keep_every(
     runs. Only runs that last ``ttl_ms`` or longer need a walk in time order,
     which holds one time per run, not the run.
     """
+    hot = hot if isinstance(hot, HotGroups) else find_hot(df, keys, hot)
     runs = running(
-        df, keys, [clock], {"_before": Running("last", clock, inclusive=False)}, hot_rows
+        df, keys, [clock], {"_before": Running("last", clock, inclusive=False)}, hot
     ).withColumn(
         "_opens",
         F.when(F.col("_before").isNull() | (F.col(clock) - F.col("_before") >= ttl_ms), F.col(clock)),
     )
-    runs = running(runs, keys, [clock], {"_run": Running("last", "_opens")}, hot_rows)
+    runs = running(runs, keys, [clock], {"_run": Running("last", "_opens")}, hot)
     late = F.col(clock) - F.col("_run") >= ttl_ms
     # Rows that open a run are kept; rows inside the first ttl of a run are
     # not. The rest is walked together with nothing else of its run: the run's

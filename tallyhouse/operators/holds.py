@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, Running, running
+from ..functions.running import HOT_ROWS, Running, find_hot, running
 from ..schema import CUSTOMER
 from .cleaning import total_tokens
 
@@ -35,20 +35,18 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
     drawn = events.withColumn("total_tokens", total_tokens()).join(
         packages.select("customer_id", F.col("tokens").alias("_package")), "customer_id"
     )
+    hot = find_hot(events, ["customer_id"], hot_rows)
     too_big = F.col("total_tokens") > F.col("_package")
     # An event larger than the whole package never passes and draws nothing.
     summed = running(
         drawn.withColumn("_draw", F.when(too_big, 0).otherwise(F.col("total_tokens"))),
-        ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_draw")}, hot_rows, sizes_from=drawn,
+        ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_draw")}, hot,
     )
-    summed = running(
-        summed.withColumn("_over", F.when(F.col("_sum") > F.col("_package"), 1).otherwise(0)),
-        ["customer_id"], PACKAGE_ORDER, {"_refused": Running("max", "_over")}, hot_rows, sizes_from=drawn,
-    )
-    smooth = summed.filter("_refused = 0").withColumns(
+    refused = F.col("_sum") > F.col("_package")
+    smooth = summed.filter(~refused).withColumns(
         {"accepted": ~too_big, "remaining_tokens": F.col("_package") - F.col("_sum")}
     )
-    later = summed.filter("_refused = 1")
+    later = summed.filter(refused)
     # What the package still held at the first refusal.
     left = later.groupBy("customer_id").agg(
         F.min_by(F.col("_package") - (F.col("_sum") - F.col("_draw")), F.struct(*PACKAGE_ORDER)).alias("_left")
@@ -69,7 +67,7 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
     decided = rest.join(walked, ["customer_id", *PACKAGE_ORDER], "left")
     # A refused large event leaves what the last walked event left.
     filled = running(
-        decided, ["customer_id"], PACKAGE_ORDER, {"_known": Running("last", "_remaining")}, hot_rows, sizes_from=drawn,
+        decided, ["customer_id"], PACKAGE_ORDER, {"_known": Running("last", "_remaining")}, hot,
     ).withColumns(
         {
             "accepted": F.coalesce("accepted", F.lit(False)),
@@ -132,11 +130,11 @@ def hold_ledger(
     # As if every other reserve passed: held is the running sum, lifted by how
     # far releases would have taken it below zero.
     step = F.when(F.col("_hopeless"), 0).when(reserve, F.col("amount_micro")).otherwise(-F.col("amount_micro"))
-    sized = actions
-    summed = running(rows.withColumn("_step", step), CUSTOMER, HOLD_ORDER, {"_sum": Running("sum", "_step")}, hot_rows, sized)
+    hot = find_hot(actions, CUSTOMER, hot_rows)
+    summed = running(rows.withColumn("_step", step), CUSTOMER, HOLD_ORDER, {"_sum": Running("sum", "_step")}, hot)
     floored = running(
         summed, CUSTOMER, HOLD_ORDER,
-        {"_low": Running("min", "_sum"), "_low_before": Running("min", "_sum", inclusive=False)}, hot_rows, sized,
+        {"_low": Running("min", "_sum"), "_low_before": Running("min", "_sum", inclusive=False)}, hot,
     )
 
     def depth(low):
@@ -157,7 +155,7 @@ def hold_ledger(
     )
     marked = running(
         opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), CUSTOMER, HOLD_ORDER,
-        {"_walk": Running("max", "_doubt")}, hot_rows, sized,
+        {"_walk": Running("max", "_doubt")}, hot,
     )
     columns = [*actions.columns, "accepted", "held_micro", "reason"]
     smooth = marked.filter("_walk = 0").withColumns(

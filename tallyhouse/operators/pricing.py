@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import half_up
-from ..functions.running import HOT_ROWS, Running, running
+from ..functions.running import HOT_ROWS, Running, find_hot, running
 from ..schema import TOKEN_COLUMNS
 from ..sources import price_lists as lists
 from ..sources.catalog import OPEN_END, Catalog, ModelPrice
@@ -151,6 +151,7 @@ def stream_kill_points(chunks: DataFrame, catalog: Catalog, hot_rows: int = HOT_
         F.coalesce(F.length("content"), F.lit(0)) > 0,
         F.greatest(F.lit(1), F.floor(F.length("content") / 4)),
     ).otherwise(0).cast("bigint")
+    hot = find_hot(chunks, ["stream_id"], hot_rows)
     counted = running(
         chunks.withColumn("_estimate", estimate),
         ["stream_id"],
@@ -159,13 +160,12 @@ def stream_kill_points(chunks: DataFrame, catalog: Catalog, hot_rows: int = HOT_
             "_all": Running("sum", "_estimate"),
             "_input": Running("last", "usage_input"),
         },
-        hot_rows,
-        sizes_from=chunks,
+        hot,
     )
     # Output so far: the last reported count plus what was estimated since.
     marked = counted.withColumn("_mark", F.when(F.col("usage_output").isNotNull(), F.struct("usage_output", "_all")))
     marked = running(
-        marked, ["stream_id"], ["chunk_no"], {"_seen": Running("last", "_mark")}, hot_rows, sizes_from=chunks
+        marked, ["stream_id"], ["chunk_no"], {"_seen": Running("last", "_mark")}, hot
     )
     tokens = marked.select(
         "stream_id", "chunk_no", "model_id", "reserved_micro",

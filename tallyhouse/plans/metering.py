@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import billing_day, billing_month
-from ..functions.running import HOT_ROWS
+from ..functions.running import HOT_ROWS, find_hot
 from ..operators import usage
 from ..operators.budget import budget_alerts, budget_ledger, cost_movements, latest_state
 from ..operators.cleaning import filter_billable, normalize_models, scope_tenant
@@ -53,6 +53,18 @@ def cost_tables(priced: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def customer_sizes(events: DataFrame, movements: DataFrame, hot_rows: int = HOT_ROWS):
+    """Rows per customer in a ledger of these events, at most: a charge is one event or more."""
+    rows = scope_tenant(events).select(*CUSTOMER).unionByName(movements.select(*CUSTOMER))
+    return find_hot(rows, CUSTOMER, hot_rows)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table that several steps read, and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rebuild(
     events: DataFrame, movements: DataFrame, catalog: Catalog, tenant: str | None = None,
     hot_rows: int = HOT_ROWS,
@@ -67,7 +79,8 @@ def rebuild(
         movements = movements.filter(F.col("tenant_id") == tenant)
     priced = priced_usage(events, catalog, hot_rows)
     windows = usage.usage_windows(priced)
-    ledger = budget_ledger(movements.unionByName(cost_movements(windows)), hot_rows)
+    hot = customer_sizes(events, movements, hot_rows)
+    ledger = budget_ledger(movements.unionByName(cost_movements(windows)), hot)
     return {
         "usage_windows": windows,
         "usage_global": usage.usage_global(windows),

@@ -17,7 +17,7 @@ from ..sources import price_lists
 from ..sources import sample_tables as sample
 from ..sources.catalog import Catalog, catalog_from, load_catalog, validate_catalogs, write_catalog
 from ..streaming import late, sinks, state, windows
-from .metering import billable_usage, clean_usage, cost_tables, priced_usage, rebuild
+from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +62,7 @@ def _priced(spark, folder, scale=1, catalog: Catalog = STANDARD):
 
 
 def _clicks(spark, folder):
-    return sample.click_usage(sample.table(spark, folder, "events"))
+    return sample.click_usage(sample.spread(sample.table(spark, folder, "events"), "event_id"))
 
 
 def _folder(spark, name) -> str:
@@ -621,9 +621,17 @@ def _seed_movements(spark, folder):
     )
 
 
-def _ledger(spark, folder):
-    charges = budget.cost_movements(_windows(spark, folder, BUDGET_SCALE))
-    return budget.budget_ledger(_seed_movements(spark, folder).unionByName(charges))
+def _ledger(spark, folder, priced=None):
+    priced = _priced(spark, folder, BUDGET_SCALE) if priced is None else priced
+    charges = budget.cost_movements(usage.usage_windows(priced))
+    seeds = _seed_movements(spark, folder)
+    hot = customer_sizes(_usage(spark, folder), seeds)
+    return budget.budget_ledger(seeds.unionByName(charges), hot)
+
+
+def _stored_priced(spark, folder, scale):
+    """The priced table, written once for queries that read it several times."""
+    return stored(_priced(spark, folder, scale), f"{_folder(spark, 'priced')}/table")
 
 
 @query
@@ -646,7 +654,8 @@ def first_budget_alerts(spark, folder):
 
 @query
 def warn_ladder(spark, folder):
-    return budget.warn_ladder(_ledger(spark, folder))
+    ledger = stored(_ledger(spark, folder), f"{_folder(spark, 'ledger')}/table")
+    return budget.warn_ladder(ledger)
 
 
 @query
@@ -698,7 +707,7 @@ def asof_balances(spark, folder):
 
 @query
 def check_decisions(spark, folder):
-    priced = _priced(spark, folder, BUDGET_SCALE)
+    priced = _stored_priced(spark, folder, BUDGET_SCALE)
     limits = sample.budgets(spark, folder).select(*CUSTOMER, F.lit(1).alias("max_rpm"))
     span_caps = priced.filter("parent_span_id IS NOT NULL").groupBy("parent_span_id").agg(
         F.floor(F.sum("cost_micro") / 2).alias("span_cap_micro")
@@ -708,7 +717,7 @@ def check_decisions(spark, folder):
         (F.max("cost_micro") * 2).alias("daily_cap_micro"), (F.max("cost_micro") * 3).alias("monthly_cap_micro")
     )
     decided = admission.check_decisions(
-        _requests(priced), _ledger(spark, folder), priced, limits, span_caps, session_caps, key_caps
+        _requests(priced), _ledger(spark, folder, priced), priced, limits, span_caps, session_caps, key_caps
     )
     return decided.select(*CUSTOMER, "request_id", "balance_micro", "reason", "allowed")
 
@@ -716,14 +725,10 @@ def check_decisions(spark, folder):
 @query
 def hold_ledger(spark, folder):
     """Every event reserves its price when sent and reconciles when it ends."""
-    priced = _priced(spark, folder, BUDGET_SCALE)
-    request = _requests(priced)
-    timed = request.join(
-        priced.select(F.concat_ws("|", "event_id", "ts_ms", "model_id").alias("request_id"), *CUSTOMER, "latency_ms"),
-        ["request_id", *CUSTOMER],
-    )
-    actions = timed.select(
-        *CUSTOMER, "parent_span_id", F.col("estimate_micro").alias("amount_micro"),
+    priced = _stored_priced(spark, folder, BUDGET_SCALE)
+    request_id = F.concat_ws("|", "event_id", "ts_ms", "model_id")
+    actions = priced.withColumn("request_id", request_id).select(
+        *CUSTOMER, "parent_span_id", F.col("cost_micro").alias("amount_micro"),
         F.explode(
             F.array(
                 F.struct(F.lit("reserve").alias("action"), F.col("ts_ms").alias("ts_ms"),
@@ -733,12 +738,13 @@ def hold_ledger(spark, folder):
             )
         ).alias("_a"),
     ).select(*CUSTOMER, "parent_span_id", "amount_micro", "_a.*")
-    states = _ledger(spark, folder).select(
+    states = _ledger(spark, folder, priced).select(
         *CUSTOMER, "ts_ms", F.concat_ws("|", F.col("seq").cast("string"), "ref").alias("state_seq"), "balance_micro"
     )
     with_balance = admission.asof_state(actions, states, CUSTOMER, ["balance_micro"], ["action_id"]).filter(
         "balance_micro IS NOT NULL"
     )
+    with_balance = stored(with_balance, f"{_folder(spark, 'actions')}/table")
     return holds.hold_ledger(with_balance).select(*CUSTOMER, "action_id", "accepted", "held_micro", "reason")
 
 
@@ -788,7 +794,8 @@ def rerated_balances(spark, folder):
     moves = _rerated(spark, folder)[3]
     charges = budget.cost_movements(_windows(spark, folder, BUDGET_SCALE))
     seeds = _seed_movements(spark, folder)
-    ledger = budget.budget_ledger(seeds.unionByName(charges).unionByName(moves))
+    hot = customer_sizes(_usage(spark, folder), seeds)
+    ledger = budget.budget_ledger(seeds.unionByName(charges).unionByName(moves), hot)
     return budget.latest_state(ledger).select(*CUSTOMER, "balance_micro", "debt_micro")
 
 
@@ -1038,9 +1045,11 @@ def debounced_alerts(spark, folder):
 
 @query
 def report_headline(spark, folder):
-    customers, models, dims, daily = _tables(spark, folder)
+    base = _folder(spark, "report")
+    priced = _stored_priced(spark, folder, BUDGET_SCALE)
+    tables = {name: stored(df, f"{base}/{name}") for name, df in cost_tables(priced).items()}
     return intelligence.report(
-        customers, models, dims, daily, sample.revenue(spark, folder), STANDARD, PERIOD, TODAY
+        tables["customer_costs"], tables["model_costs"], tables["dim_costs"], tables["daily"], sample.revenue(spark, folder), STANDARD, PERIOD, TODAY
     )["headline"]
 
 

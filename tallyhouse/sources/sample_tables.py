@@ -28,9 +28,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of fewer files than cores over all cores.
+
+    Tables of many files are split by the scan and left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def usage_events(spark: SparkSession, folder: str, scale: int = 1) -> DataFrame:
     """Multi-year usage events: one per line item, ``scale`` multiplies the tokens."""
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(
