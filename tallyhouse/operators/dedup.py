@@ -31,7 +31,8 @@ def dedup_in_window(df: DataFrame, width_ms: int = 10_000) -> DataFrame:
 
     Adds ``window_start_ms`` and ``copies``, the number of events the kept row
     stands for. Events without an id always count. Copies are merged before
-    the shuffle, so an id repeated a billion times sends one row per task.
+    the shuffle, so an id repeated a billion times sends one row per task. All
+    columns of ``df`` travel with the event: drop what is not needed first.
     """
     windowed = df.withColumn("window_start_ms", window_start(width_ms))
     # Number and id first: the sort before the merge then mostly compares those.
@@ -44,6 +45,8 @@ def dedup_in_window(df: DataFrame, width_ms: int = 10_000) -> DataFrame:
         .agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"), F.count("*").alias("copies"))
         .select(*keys, "_first.*", "copies")
     )
+    if not windowed.schema["event_id"].nullable:
+        return kept
     without_id = windowed.filter(F.col("event_id").isNull()).withColumn("copies", F.lit(1).cast("bigint"))
     return kept.unionByName(without_id)
 
@@ -68,6 +71,8 @@ def dedup_within(
     kept = keep_every(distinct, ["event_id"], clock, ttl_ms, hot).select(
         "event_id", clock, "_first.*"
     ).select(*df.columns)
+    if not df.schema["event_id"].nullable:
+        return kept
     return kept.unionByName(df.filter(F.col("event_id").isNull()))
 
 

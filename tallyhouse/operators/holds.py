@@ -1,24 +1,25 @@
 """Streaming holds and prepaid token packages.
 
 Whether a hold or a package draw is accepted depends on what was accepted
-before it, so exact replay is sequential per customer. Most of a history
-needs no walk: a request that could not pass even with nothing held is denied
-on its own, and up to a customer's first refusal every request passes, which
-running sums decide. Only what follows a first refusal is walked in time
-order, one state per customer, with rows streamed through the task.
+before it. Most of a history needs no replay in order: running sums decide it
+as long as nothing is refused. What follows a refusal is cut into independent
+parts where the state is known, and only those parts are walked row by row,
+streamed through a task with one small state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, Running, find_hot, running
+from ..functions.running import HOT_ROWS, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER
+from ..session import durable
 from .cleaning import total_tokens
 
 PACKAGE_ORDER = ["ts_ms", "event_id"]
@@ -29,33 +30,40 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
 
     An event larger than what remains is rejected, and a smaller later one may
     still pass. ``packages``: ``customer_id, tokens``; customers without one
-    are not limited and are left out. Output adds ``accepted`` and
-    ``remaining_tokens`` after the event.
+    are not limited and are left out. ``ts_ms, event_id`` is unique per
+    customer. Output adds ``accepted`` and ``remaining_tokens`` after the event.
     """
     drawn = events.withColumn("total_tokens", total_tokens()).join(
-        packages.select("customer_id", F.col("tokens").alias("_package")), "customer_id"
+        packages.select("customer_id", F.col("tokens").alias("_left")), "customer_id"
     )
     hot = find_hot(events, ["customer_id"], hot_rows)
-    too_big = F.col("total_tokens") > F.col("_package")
-    # An event larger than the whole package never passes and draws nothing.
+    columns = [*events.columns, "total_tokens", "accepted", "remaining_tokens"]
+    # An event larger than what is left never passes and draws nothing.
+    fits = F.col("total_tokens") <= F.col("_left")
     summed = running(
-        drawn.withColumn("_draw", F.when(too_big, 0).otherwise(F.col("total_tokens"))),
+        drawn.withColumn("_draw", F.when(fits, F.col("total_tokens")).otherwise(0)),
         ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_draw")}, hot,
     )
-    refused = F.col("_sum") > F.col("_package")
+    refused = F.col("_sum") > F.col("_left")
     smooth = summed.filter(~refused).withColumns(
-        {"accepted": ~too_big, "remaining_tokens": F.col("_package") - F.col("_sum")}
+        {"accepted": fits, "remaining_tokens": F.col("_left") - F.col("_sum")}
     )
     later = summed.filter(refused)
     # What the package still held at the first refusal.
     left = later.groupBy("customer_id").agg(
-        F.min_by(F.col("_package") - (F.col("_sum") - F.col("_draw")), F.struct(*PACKAGE_ORDER)).alias("_left")
-    )
-    rest = later.join(left, "customer_id")
-    # Events above that never pass, so the walk is over the small ones only.
-    walk = rest.filter(F.col("total_tokens") <= F.col("_left")).select(
-        "customer_id", *PACKAGE_ORDER, "total_tokens", "_left"
+        F.min_by(F.col("_left") - (F.col("_sum") - F.col("_draw")), F.struct(*PACKAGE_ORDER)).alias("_left")
     )
+    rest = later.drop("_draw", "_sum", "_left").join(left, "customer_id")
+    decided = [smooth.select(*columns)]
+    while hot.frame is not None:
+        # Too many rows of one customer to walk: halve what is left with
+        # running sums until few rows remain undecided.
+        halved, rest = _halve(rest, hot)
+        decided.append(halved.select(*columns))
+        rest = durable(rest)
+        hot = find_hot(rest.filter("_left > 0"), ["customer_id"], hot_rows)
+    # Events too big for what is left are refused on their own.
+    walk = rest.filter(fits).select("customer_id", *PACKAGE_ORDER, "total_tokens", "_left")
     walked = (
         walk.repartition("customer_id")
         .sortWithinPartitions("customer_id", *PACKAGE_ORDER)
@@ -64,18 +72,48 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
             "customer_id string, ts_ms bigint, event_id string, accepted boolean, _remaining bigint",
         )
     )
-    decided = rest.join(walked, ["customer_id", *PACKAGE_ORDER], "left")
-    # A refused large event leaves what the last walked event left.
+    # They leave what the last walked event left.
     filled = running(
-        decided, ["customer_id"], PACKAGE_ORDER, {"_known": Running("last", "_remaining")}, hot,
+        rest.join(walked, ["customer_id", *PACKAGE_ORDER], "left"),
+        ["customer_id"], PACKAGE_ORDER, {"_known": Running("last", "_remaining")}, hot_rows,
     ).withColumns(
+        {"accepted": F.coalesce("accepted", F.lit(False)), "remaining_tokens": F.coalesce("_known", "_left")}
+    )
+    decided.append(filled.select(*columns))
+    return reduce(DataFrame.unionByName, decided)
+
+
+def _halve(rest: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
+    """Decide events up to the one that takes ``_left`` to half or less: (decided, rest).
+
+    Until then events of at most half always pass, and a larger one passes if
+    it fits beside the small ones before it; the first that does, or the small
+    one that brings the sum over half, ends the part. A customer whose rows
+    never get there is decided whole.
+    """
+    half = F.col("total_tokens") * 2 <= F.col("_left")
+    summed = running(
+        rest.withColumn("_small", F.when(half, F.col("total_tokens")).otherwise(0)),
+        ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_small")}, hot,
+    )
+    ends = F.when(half, F.col("_sum") * 2 > F.col("_left")).otherwise(
+        F.col("total_tokens") <= F.col("_left") - F.col("_sum")
+    )
+    at = F.struct(*PACKAGE_ORDER)
+    after = F.col("_left") - F.col("_sum") - F.when(half, 0).otherwise(F.col("total_tokens"))
+    end = summed.filter(ends).groupBy("customer_id").agg(
+        F.min(at).alias("_end"), F.min_by(after, at).alias("_after")
+    )
+    placed = summed.join(end, "customer_id", "left")
+    before = F.col("_end").isNull() | (at <= F.col("_end"))
+    is_end = F.coalesce(at == F.col("_end"), F.lit(False))
+    decided = placed.filter(before).withColumns(
         {
-            "accepted": F.coalesce("accepted", F.lit(False)),
-            "remaining_tokens": F.coalesce("_known", "_left"),
+            "accepted": half | is_end,
+            "remaining_tokens": F.when(is_end, F.col("_after")).otherwise(F.col("_left") - F.col("_sum")),
         }
     )
-    columns = [*events.columns, "total_tokens", "accepted", "remaining_tokens"]
-    return smooth.select(*columns).unionByName(filled.select(*columns))
+    return decided, placed.filter(~before).withColumn("_left", F.col("_after")).select(*rest.columns)
 
 
 def _draw_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,45 +184,55 @@ def hold_ledger(
             "_held_before": F.col("_sum") - F.col("_step") + depth("_low_before"),
         }
     )
-    # A capped span's holds may be refused for its own sake, and a release
-    # reaches the span only as far as the customer's hold went, so its
-    # customer is walked from its first use on.
-    doubtful = reserve & ~F.col("_hopeless") & (
-        (F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"))
-        | F.col("span_cap_micro").isNotNull()
+    # Held is never more than that, so where it reaches zero nothing is held
+    # whatever was refused before, and a new part begins.
+    opted = running(
+        opted.withColumn("_zero", F.when(F.col("_held") == 0, 1).otherwise(0)), CUSTOMER, HOLD_ORDER,
+        {"_part": Running("sum", "_zero", inclusive=False)}, hot,
+    ).withColumn("_part", F.coalesce("_part", F.lit(0)))
+    # Holds of a capped span outlive a part; from its first one on a customer
+    # is one part.
+    capped = reserve & F.col("span_cap_micro").isNotNull() & ~F.col("_hopeless")
+    opted = running(
+        opted, CUSTOMER, HOLD_ORDER, {"_capped_part": Running("min", F.when(capped, F.col("_part")))}, hot
+    ).withColumn("_part", F.coalesce("_capped_part", "_part"))
+    doubtful = capped | (
+        reserve & ~F.col("_hopeless") & (F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"))
     )
     marked = running(
-        opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), CUSTOMER, HOLD_ORDER,
+        opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), [*CUSTOMER, "_part"], HOLD_ORDER,
         {"_walk": Running("max", "_doubt")}, hot,
     )
     columns = [*actions.columns, "accepted", "held_micro", "reason"]
-    smooth = marked.filter("_walk = 0").withColumns(
-        {
-            "accepted": ~F.col("_hopeless"),
-            "held_micro": F.col("_held"),
-            "reason": F.when(~reserve, "released").when(~F.col("_hopeless"), "reserved")
-            .when(F.col("balance_micro") < F.col("amount_micro"), "insufficient_balance")
-            .otherwise("hierarchy_reserve"),
-        }
-    )
-    # The walk sees all that follows, so that its held amounts are complete.
+    # Read twice below, after several shuffles.
+    marked = durable(marked)
+    # From the first doubt of a part to its end.
     walk = marked.filter("_walk = 1").select(
-        *CUSTOMER, *HOLD_ORDER, "action", "amount_micro", "parent_span_id", "balance_micro",
+        *CUSTOMER, "_part", *HOLD_ORDER, "action", "amount_micro", "parent_span_id", "balance_micro",
         "span_cap_micro", "span_spent_micro", "_held_before",
     )
     walked = (
-        walk.repartition(*CUSTOMER)
-        .sortWithinPartitions(*CUSTOMER, *HOLD_ORDER)
+        walk.repartition(*CUSTOMER, "_part")
+        .sortWithinPartitions(*CUSTOMER, "_part", *HOLD_ORDER)
         .mapInPandas(
             _hold_walk,
             "tenant_id string, customer_id string, ts_ms bigint, action_id string, "
             "accepted boolean, held_micro bigint, reason string",
         )
     )
-    rest = null_safe_join(
-        marked.filter("_walk = 1").select(*actions.columns), walked, [*CUSTOMER, *HOLD_ORDER], "left"
+    seen = null_safe_join(marked, walked, [*CUSTOMER, *HOLD_ORDER], "left")
+    reason = (
+        F.when(~reserve, "released").when(~F.col("_hopeless"), "reserved")
+        .when(F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"), "insufficient_balance")
+        .otherwise("hierarchy_reserve")
     )
-    return smooth.select(*columns).unionByName(rest.select(*columns))
+    return seen.withColumns(
+        {
+            "accepted": F.coalesce("accepted", ~F.col("_hopeless")),
+            "held_micro": F.coalesce("held_micro", "_held"),
+            "reason": F.coalesce("reason", reason),
+        }
+    ).select(*columns)
 
 
 def _hold_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,9 +240,9 @@ def _hold_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         accepted, after, reasons = [], [], []
         for row in batch.itertuples(index=False):
-            me = (row.tenant_id, row.customer_id)
+            me = (row.tenant_id, row.customer_id, row[2])
             if me != who:
-                who, held, spans = me, int(row[10]), {}
+                who, held, spans = me, int(row[-1]), {}
             span = row.parent_span_id
             capped = span is not None and not pd.isna(row.span_cap_micro)
             if row.action == "reserve":

@@ -13,7 +13,7 @@ from ..operators.cleaning import filter_billable, normalize_models, scope_tenant
 from ..operators.dedup import dedup_in_window
 from ..operators.pricing import price_events
 from ..operators.volume import stamp_volume
-from ..schema import CUSTOMER, CUSTOMER_MODEL
+from ..schema import CUSTOMER, CUSTOMER_MODEL, TOKEN_COLUMNS
 from ..sources.catalog import Catalog
 
 
@@ -22,17 +22,26 @@ def billable_usage(events: DataFrame, catalog: Catalog) -> DataFrame:
     return normalize_models(scope_tenant(filter_billable(events)), catalog)
 
 
-def clean_usage(events: DataFrame, catalog: Catalog) -> DataFrame:
-    return dedup_in_window(billable_usage(events, catalog))
+# What every counter needs; other columns travel through the shuffle on request.
+CORE_COLUMNS = [
+    "event_id", *CUSTOMER_MODEL, *TOKEN_COLUMNS, "ts_ms", "latency_ms", "parent_span_id", "session_id", "key_id",
+]
 
 
-def priced_usage(events: DataFrame, catalog: Catalog, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Clean, stamp and price events.
+def clean_usage(events: DataFrame, catalog: Catalog, carry: tuple[str, ...] = ()) -> DataFrame:
+    billable = billable_usage(events, catalog)
+    return dedup_in_window(billable.select(*[c for c in (*CORE_COLUMNS, *carry) if c in billable.columns]))
+
+
+def priced_usage(
+    events: DataFrame, catalog: Catalog, carry: tuple[str, ...] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Clean, stamp and price events; ``carry`` names columns to keep beyond the core ones.
 
     The volume stamp is only made for catalogs with tiers; a flat catalog
     prices each event on its own, without ordering anything.
     """
-    clean = clean_usage(events, catalog)
+    clean = clean_usage(events, catalog, carry)
     if not catalog.needs_volume:
         return price_events(clean, catalog)
     stamped = stamp_volume(clean, hot_rows, sizes_from=billable_usage(events, catalog))
@@ -77,7 +86,7 @@ def rebuild(
     if tenant is not None:
         events = events.filter(F.col("tenant_id") == tenant)
         movements = movements.filter(F.col("tenant_id") == tenant)
-    priced = priced_usage(events, catalog, hot_rows)
+    priced = priced_usage(events, catalog, ("metadata",), hot_rows)
     windows = usage.usage_windows(priced)
     hot = customer_sizes(events, movements, hot_rows)
     ledger = budget_ledger(movements.unionByName(cost_movements(windows)), hot)

@@ -57,8 +57,8 @@ def _usage(spark, folder, scale=1):
     return sample.usage_events(spark, folder, scale)
 
 
-def _priced(spark, folder, scale=1, catalog: Catalog = STANDARD):
-    return priced_usage(_usage(spark, folder, scale), catalog)
+def _priced(spark, folder, scale=1, catalog: Catalog = STANDARD, carry=()):
+    return priced_usage(_usage(spark, folder, scale), catalog, carry)
 
 
 def _clicks(spark, folder):
@@ -502,7 +502,7 @@ def span_sessions(spark, folder):
 
 @query
 def usage_by_dim(spark, folder):
-    return usage.usage_by_dim(_priced(spark, folder))
+    return usage.usage_by_dim(_priced(spark, folder, carry=("metadata",)))
 
 
 @query
@@ -516,7 +516,7 @@ def minute_totals(spark, folder):
 
 
 def _cost_tables(spark, folder, scale=1):
-    return cost_tables(_priced(spark, folder, scale))
+    return cost_tables(_priced(spark, folder, scale, carry=("metadata",)))
 
 
 @query
@@ -547,7 +547,7 @@ def customer_daily_costs(spark, folder):
 @query
 def feature_cost_series(spark, folder):
     return usage.dim_margin_series(
-        usage.usage_by_dim(_priced(spark, folder)), "feature", [BASELINE, PERIOD]
+        usage.usage_by_dim(_priced(spark, folder, carry=("metadata",))), "feature", [BASELINE, PERIOD]
     )
 
 
@@ -629,9 +629,9 @@ def _ledger(spark, folder, priced=None):
     return budget.budget_ledger(seeds.unionByName(charges), hot)
 
 
-def _stored_priced(spark, folder, scale):
+def _stored_priced(spark, folder, scale, carry=()):
     """The priced table, written once for queries that read it several times."""
-    return stored(_priced(spark, folder, scale), f"{_folder(spark, 'priced')}/table")
+    return stored(_priced(spark, folder, scale, carry=carry), f"{_folder(spark, 'priced')}/table")
 
 
 @query
@@ -892,7 +892,7 @@ def usage_cloudevents(spark, folder):
 @query
 def external_gaps(spark, folder):
     """Our totals against a meter that missed cached traffic of production."""
-    priced = _priced(spark, folder)
+    priced = _priced(spark, folder, carry=("environment",))
     ours = priced.groupBy(*CUSTOMER).agg(F.sum(cleaning.total_tokens()).alias("total_tokens"))
     theirs = priced.filter("environment = 'staging' OR cache_read_tokens = 0").groupBy(*CUSTOMER).agg(
         F.sum(cleaning.total_tokens()).alias("total_tokens")
@@ -1046,7 +1046,7 @@ def debounced_alerts(spark, folder):
 @query
 def report_headline(spark, folder):
     base = _folder(spark, "report")
-    priced = _stored_priced(spark, folder, BUDGET_SCALE)
+    priced = _stored_priced(spark, folder, BUDGET_SCALE, ("metadata",))
     tables = {name: stored(df, f"{base}/{name}") for name, df in cost_tables(priced).items()}
     return intelligence.report(
         tables["customer_costs"], tables["model_costs"], tables["dim_costs"], tables["daily"], sample.revenue(spark, folder), STANDARD, PERIOD, TODAY

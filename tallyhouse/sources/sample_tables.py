@@ -47,7 +47,7 @@ def usage_events(spark: SparkSession, folder: str, scale: int = 1) -> DataFrame:
     )
     q = f"CAST(l_quantity AS BIGINT) * {scale}"
     return joined.selectExpr(
-        "concat('li-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS event_id",
+        "concat_ws('-', 'li', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING)) AS event_id",
         "concat('t', CAST(c_nationkey % 5 AS STRING)) AS tenant_id",
         "concat('cust_', CAST(o_custkey % 200 AS STRING)) AS customer_id",
         "CAST(NULL AS STRING) AS request_id",
@@ -76,7 +76,7 @@ def usage_events(spark: SparkSession, folder: str, scale: int = 1) -> DataFrame:
 def click_usage(events: DataFrame) -> DataFrame:
     """Short-range usage events from the ``events`` table, batch or stream."""
     return events.selectExpr(
-        "concat('ev-', CAST(event_id AS STRING)) AS event_id",
+        "concat_ws('-', 'ev', CAST(event_id AS STRING)) AS event_id",
         "CAST(NULL AS STRING) AS tenant_id",
         "concat('cust_', CAST(user_id AS STRING)) AS customer_id",
         "concat('span_', CAST(event_id DIV 20 AS STRING)) AS parent_span_id",
