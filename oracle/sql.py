@@ -6,9 +6,8 @@ Common parts are named sub-queries; each query lists the ones it needs.
 from __future__ import annotations
 
 from tallyhouse.plans.registry import (
-    BASELINE, BUDGET_SCALE, BUDGETS_RESET_MS, BUDGETS_SET_MS, NOW_MS, PERIOD, RERATED, TIER_SCALE,
+    BASELINE, BUDGET_SCALE, BUDGETS_RESET_MS, BUDGETS_SET_MS, NOW_MS, PERIOD, RERATE_END_MS, RERATED, TIER_SCALE,
 )
-from tallyhouse.schema import ENVIRONMENTS
 from tallyhouse.sources.price_lists import (
     BASELINE_CACHE_READ, BASELINE_CACHE_READ_DEFAULT, BASELINE_DEFAULT, BASELINE_PRICES,
     BASELINE_REASONING, BASELINE_REASONING_DEFAULT, STANDARD, TIERED,
@@ -625,6 +624,8 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT {CUST}, request_id, balance_micro, reason, reason IN ('ok', 'no_budget_configured') AS allowed FROM final")
 
     # Billing
+    add("rerate_between", [*priced(), ADJUSTED.replace("FROM priced", f"FROM priced WHERE window_start_ms >= {BUDGETS_RESET_MS} AND window_start_ms + 10000 <= {RERATE_END_MS}")],
+        f"SELECT {KEYS}, input_tokens, output_tokens, adjustment_micro FROM adjusted")
     add("rerate_preview", [*priced(), ADJUSTED], f"SELECT {KEYS}, input_tokens, output_tokens, adjustment_micro FROM adjusted ORDER BY adjustment_micro, {CUST} LIMIT 50")
     add("rerate_preview_totals", [*priced(), ADJUSTED], f"SELECT count(*) AS customers_affected, coalesce({total('adjustment_micro', 'x')[:-5]}, 0) AS total_adjustment_micro FROM adjusted")
     for n, keys in (("rerated_customers", CUST), ("rerated_tenants", "tenant_id")):
@@ -726,9 +727,12 @@ def oracle_queries() -> dict[str, str]:
     add("late_events", [CLICKS, LATE], "SELECT event_id, customer_id, ts_ms, arrival_ms FROM late")
     q["stream_late_events"] = q["late_events"]
     add("replayed_late_events", [CLICKS], f"SELECT customer_id, count(*) AS events, {total('input_tokens', 'input_tokens')} FROM clicks GROUP BY customer_id")
-    add("stream_budget", [*clicks(), f"""moves AS (
+    add("stream_budget", [*clicks(), f"""charged AS (
+        SELECT customer_id, start + 10000 AS ts_ms, model_id || '|' || start AS ref, CAST(sum(cost_micro) AS BIGINT) AS cost_micro
+        FROM (SELECT *, ts_ms - ts_ms % 10000 AS start FROM priced_clicks) WHERE start + 10000 <= {closed} GROUP BY customer_id, model_id, start),
+      moves AS (
         SELECT 'cust_' || c_custkey AS customer_id, 0::BIGINT AS ts_ms, 0 AS seq, 'first' AS ref, 'set' AS kind, CAST(floor(abs(c_acctbal) * 10 + 0.5) AS BIGINT) AS amount_micro FROM customer
-        UNION ALL SELECT customer_id, ts_ms, 3, event_id, 'cost', cost_micro FROM priced_clicks WHERE customer_id IN (SELECT 'cust_' || c_custkey FROM customer)),
+        UNION ALL SELECT customer_id, ts_ms, 3, ref, 'cost', cost_micro FROM charged WHERE customer_id IN (SELECT 'cust_' || c_custkey FROM customer)),
       summed AS (SELECT *, CAST(sum(CASE WHEN kind = 'set' THEN amount_micro ELSE -amount_micro END) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s,
         max(CASE WHEN kind = 'set' THEN amount_micro END) OVER (PARTITION BY customer_id) * 0.1::DOUBLE AS threshold FROM moves),
       floored AS (SELECT *, greatest(0, -(min(s) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref ROWS UNBOUNDED PRECEDING))) AS debt_micro FROM summed),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.money import half_up, usd
-from ..functions.periods import billing_month
 from ..functions.running import HOT_ROWS
 from ..schema import CUSTOMER, CUSTOMER_MODEL
 from ..sources.catalog import Catalog
@@ -22,6 +21,18 @@ PREVIEW_ROWS = 50
 PLATFORMS = ("stripe", "metronome", "orb")
 
 
+def usage_between(windows: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Customer × model totals of the windows inside a time range, to re-rate part of the past."""
+    chosen = windows
+    if start_ms is not None:
+        chosen = chosen.filter(F.col("window_start_ms") >= start_ms)
+    if end_ms is not None:
+        chosen = chosen.filter(F.col("window_end_ms") <= end_ms)
+    return chosen.groupBy(*CUSTOMER_MODEL).agg(
+        *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost_micro")]
+    )
+
+
 def rerate_adjustments(usage: DataFrame, change: dict, catalog: Catalog) -> DataFrame:
     """Adjustment of each customer for one flat model's price change.
 

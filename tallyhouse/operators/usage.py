@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.joins import null_safe_join
-from ..functions.money import usd
 from ..functions.periods import billing_day, billing_month
 from ..schema import CUSTOMER, CUSTOMER_MODEL, DIMENSIONS, TOKEN_COLUMNS
 from .cleaning import total_tokens
-from .dedup import WINDOW_KEYS, dedup_in_window, window_start
+from .dedup import WINDOW_KEYS, window_start
 
 ROLLUP_MEASURES = [
     "input_tokens", "output_tokens", "total_tokens", "event_count", "cost_micro",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import billing_day, billing_month
+from ..functions.periods import billing_day
 from ..functions.running import HOT_ROWS, find_hot
 from ..operators import usage
 from ..operators.budget import budget_alerts, budget_ledger, cost_movements, latest_state

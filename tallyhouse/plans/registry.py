@@ -37,6 +37,7 @@ RERATED = {
 BUDGETS_SET_MS = 788_918_400_000
 BUDGETS_RESET_MS = 883_612_800_000
 NOW_MS = 1_009_843_200_000
+RERATE_END_MS = 946_684_800_000
 
 _QUERIES: dict[str, Query] = {}
 
@@ -762,6 +763,13 @@ def package_drawdown(spark, folder):
 # Billing -------------------------------------------------------------------
 
 
+@query
+def rerate_between(spark, folder):
+    """The price change applied to two years only."""
+    chosen = billing.usage_between(_windows(spark, folder), BUDGETS_RESET_MS, RERATE_END_MS)
+    return billing.rerate_adjustments(chosen, RERATED, STANDARD)
+
+
 @query
 def rerate_preview(spark, folder):
     return billing.rerate_preview(usage.usage_by_customer_model(_priced(spark, folder)), RERATED, STANDARD)[0]
@@ -1131,14 +1139,12 @@ def stream_dedup(spark, folder):
 
 @query
 def stream_budget(spark, folder):
-    """Events charge a budget of 500 dollars per customer, set at their first event."""
+    """Closed windows, from their table as a stream, charge each customer's budget."""
     out = _folder(spark, "budget")
-    shaped = pricing.price_events(cleaning.normalize_models(_click_stream(spark, folder), STANDARD), STANDARD)
-    charges = shaped.select(
-        *CUSTOMER, "ts_ms", F.lit(3).cast("bigint").alias("seq"), F.col("event_id").alias("ref"),
-        F.lit("cost").alias("kind"), F.col("cost_micro").alias("amount_micro"),
-        F.lit(None).cast("bigint").alias("alert_threshold_micro"), "model_id",
-    )
+    closed = windows.usage_windows_stream(windows.dedup_window_stream(_priced_stream(spark, folder)))
+    _finish(sinks.write_windows(closed, f"{out}/windows", f"{out}/windows_checkpoint"))
+    log = spark.readStream.schema(closed.schema).parquet(f"{out}/windows/batch_id=*")
+    charges = budget.cost_movements(log)
     seeds = (
         spark.readStream.schema(sample.table(spark, folder, "customer").schema)
         .option("pathGlobFilter", "customer.parquet").parquet(folder)

@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.periods import billing_day, billing_month
 from tallyhouse.operators.admission import asof_state, check_decisions, rate_limited, spent_before
 from tallyhouse.operators.budget import budget_ledger
 
