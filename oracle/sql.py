@@ -719,6 +719,7 @@ def oracle_queries() -> dict[str, str]:
     q["stream_span_sessions"] = q["span_sessions"] + f" HAVING max(ts_ms) + 60000 <= {closed}"
     order = "PARTITION BY customer_id, model_id, month ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     add("stream_volume_stamps", clicks(), f"SELECT event_id, customer_id, model_id, month, coalesce(CAST(sum(total_tokens) OVER ({order}) AS BIGINT), 0) AS volume_before FROM priced_clicks")
+    q["stream_volume_batches"] = q["stream_volume_stamps"]
     click_rollup = f"{', '.join(total(c, c) for c in ('input_tokens', 'output_tokens', 'total_tokens'))}, count(*) AS event_count, {total('cost_micro', 'cost_micro')}, 0::BIGINT AS cache_read_tokens, 0::BIGINT AS reasoning_tokens"
     add("stream_rollup", clicks(), " UNION ALL ".join(
         f"SELECT {CUST}, '{g}' AS grain, strftime(make_timestamp(ts_ms * 1000), '{f}') AS bucket, {click_rollup} FROM priced_clicks GROUP BY {CUST}, bucket" for g, f in grains.items()))

@@ -1112,6 +1112,15 @@ def stream_volume_stamps(spark, folder):
     return spark.read.parquet(f"{out}/table").select("event_id", "customer_id", "model_id", "month", "volume_before")
 
 
+@query
+def stream_volume_batches(spark, folder):
+    """The same stamps for streams with hot keys, per micro-batch."""
+    out = _folder(spark, "volume_batches")
+    named = cleaning.normalize_models(_click_stream(spark, folder), STANDARD)
+    _finish(state.stamp_volume_batches(named, ["arrival_seq"], f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table/events").select("event_id", "customer_id", "model_id", "month", "volume_before")
+
+
 @query
 def stream_rollup(spark, folder):
     out = _folder(spark, "rollup")

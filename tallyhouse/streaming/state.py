@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.joins import null_safe_join
 from ..functions.periods import billing_month
+from ..functions.running import HOT_ROWS, Running, running
 from ..operators.budget import DEFAULT_THRESHOLD_SHARE
 from ..operators.cleaning import total_tokens
 from ..schema import CUSTOMER, CUSTOMER_MODEL
@@ -129,3 +131,40 @@ def budget_stream(movements: DataFrame) -> DataFrame:
     return movements.groupBy(*CUSTOMER).transformWithStateInPandas(
         BudgetDrawdown(), BUDGET_SCHEMA, "append", "none"
     )
+
+
+def stamp_volume_batches(
+    stream: DataFrame, order: list[str], path: str, checkpoint: str, trigger: dict | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> StreamingQuery:
+    """Stamp volumes per micro-batch, for streams with keys too hot for one task.
+
+    ``order`` gives the arrival order inside a micro-batch. Stamped events go
+    to ``path/events``, the month totals so far to ``path/totals``, each in a
+    folder of its batch that a repeated batch overwrites. Inside a batch hot
+    keys are split like in a batch job; the totals join by key.
+    """
+    spark = stream.sparkSession
+    keys = [*CUSTOMER_MODEL, "month"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.withColumns({"month": billing_month(F.col("ts_ms")), "event_tokens": total_tokens()})
+        stamped = running(
+            keyed, keys, order, {"volume_before": Running("sum", "event_tokens", inclusive=False)}, hot_rows
+        ).withColumn("volume_before", F.coalesce("volume_before", F.lit(0)))
+        totals = keyed.groupBy(*keys).agg(F.sum("event_tokens").alias("tokens"))
+        if batch_id > 0:
+            known = spark.read.parquet(f"{path}/totals/batch_id={batch_id - 1}")
+            stamped = null_safe_join(stamped, known, keys, "left").withColumn(
+                "volume_before", F.col("volume_before") + F.coalesce("tokens", F.lit(0))
+            ).drop("tokens")
+            totals = totals.unionByName(known).groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
+        stamped.drop("event_tokens").write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+        totals.write.mode("overwrite").parquet(f"{path}/totals/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

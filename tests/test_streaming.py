@@ -118,6 +118,17 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_volume_batches_split_hot_keys(spark, tmp_path):
+    frame_of = normalize_models(events(spark, traffic(90)), TIERED)
+    start = 1_704_067_200_000
+    feed([frame_of.filter(F.col("ts_ms").between(start + a, start + a + 19_999)) for a in range(0, 80_000, 20_000)], tmp_path / "in")
+    run(state.stamp_volume_batches(
+        stream_of(spark, frame_of.schema, tmp_path / "in"), ["ts_ms", "event_id"], str(tmp_path / "out"), str(tmp_path / "cp"), hot_rows=4,
+    ))
+    got = spark.read.parquet(str(tmp_path / "out" / "events")).select("event_id", "volume_before")
+    assert sorted(got.collect()) == sorted(stamp_volume(frame_of).select("event_id", "volume_before").collect())
+
+
 def test_volume_then_windows_in_one_stream(spark, tmp_path):
     frame_of = events(spark, traffic(60))
     feed([frame_of.filter(F.col("ts_ms") % 2 >= 0).orderBy("ts_ms")], tmp_path / "in")
