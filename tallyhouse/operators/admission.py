@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.periods import billing_day, billing_month
-from ..functions.running import HOT_ROWS, Hot, Running, find_hot, running
+from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER
 
 
@@ -53,49 +53,51 @@ def spent_before(
     requests: DataFrame,
     charges: DataFrame,
     keys: list[str],
-    out: str,
+    outs: dict[str, list[str]],
     hot: Hot = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``out``: charges of the same key strictly before each request's time.
+    """Add charges of the same key strictly before each request's time.
 
-    ``charges`` has the keys, ``ts_ms`` and ``cost_micro``; ``request_id`` is
-    unique. A request whose key is null gets 0, and is placed on its own so
-    that such requests do not meet in one task.
+    ``outs`` maps an output to the further columns it is kept apart by, such
+    as a billing period; both frames have those. ``charges`` has the keys,
+    ``ts_ms`` and ``cost_micro``; ``request_id`` is unique. A request whose key
+    is null gets 0, and is placed on its own so that such requests do not meet
+    in one task.
     """
     none = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     alone = F.when(none, F.col("request_id")).otherwise("")
-    per_time = charges.dropna(subset=keys).groupBy(*keys, "ts_ms").agg(F.sum("cost_micro").alias("_charge"))
-    schema = requests.select(F.struct(*requests.columns)).schema[0].dataType
-
+    apart = list(dict.fromkeys(c for columns in outs.values() for c in columns))
+    per_time = charges.dropna(subset=keys).groupBy(*keys, *apart, "ts_ms").agg(
+        F.sum("cost_micro").alias("_charge")
+    )
+    payload = [c for c in requests.columns if c not in apart]
+    schema = requests.select(F.struct(*payload)).schema[0].dataType
     of_requests = requests.select(
-        *keys, alone.alias("_alone"), "ts_ms", F.lit(0).alias("_side"),
+        *keys, *apart, alone.alias("_alone"), "ts_ms", F.lit(0).alias("_side"),
         F.lit(0).cast("bigint").alias("_charge"), F.col("request_id").alias("_id"),
-        F.struct(*requests.columns).alias("_request"),
+        F.struct(*payload).alias("_request"),
     )
-    of_charges = per_time.select(
-        *keys, F.lit("").alias("_alone"), "ts_ms", F.lit(1).alias("_side"), "_charge",
+    summed = per_time.select(
+        *keys, *apart, F.lit("").alias("_alone"), "ts_ms", F.lit(1).alias("_side"), "_charge",
         F.lit("").alias("_id"), F.lit(None).cast(schema).alias("_request"),
-    )
-    summed = running(
-        of_charges.unionByName(of_requests), [*keys, "_alone"], ["ts_ms", "_side", "_id"],
-        {out: Running("sum", "_charge")}, hot,
-    )
-    return summed.filter("_side = 0").select("_request.*", out)
+    ).unionByName(of_requests)
+    hot = hot if isinstance(hot, HotGroups) else find_hot(summed, keys, hot)
+    for out, columns in outs.items():
+        summed = running(
+            summed, [*keys, "_alone", *columns], ["ts_ms", "_side", "_id"], {out: Running("sum", "_charge")}, hot
+        )
+    return summed.filter("_side = 0").select("_request.*", *outs)
 
 
-def _capped(requests, charges, caps, keys, cap_columns, spent, hot, period=None):
+def _capped(requests, charges, caps, keys, cap_columns, outs, hot, periods=None):
     """Join caps to requests and add what was spent on capped keys only."""
     capped_charges = null_safe_join(
         charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
     )
     with_caps = null_safe_join(requests, caps.select(*keys, *cap_columns), keys, "left")
-    spend_keys = keys
-    if period is not None:
-        with_caps, capped_charges = [
-            frame.withColumn("_period", period) for frame in (with_caps, capped_charges)
-        ]
-        spend_keys = [*keys, "_period"]
-    return spent_before(with_caps, capped_charges, spend_keys, spent, hot).drop("_period")
+    if periods:
+        with_caps, capped_charges = with_caps.withColumns(periods), capped_charges.withColumns(periods)
+    return spent_before(with_caps, capped_charges, keys, outs, hot)
 
 
 def check_decisions(
@@ -135,16 +137,25 @@ def check_decisions(
     no_cap = F.lit(False)
     span_over, session_over, day_over, month_over = no_cap, no_cap, no_cap, no_cap
     if span_caps is not None:
-        seen = _capped(seen, charges, span_caps, ["parent_span_id"], ["span_cap_micro"], "span_spent_micro", measured(["parent_span_id"]))
+        seen = _capped(
+            seen, charges, span_caps, ["parent_span_id"], ["span_cap_micro"], {"span_spent_micro": []},
+            measured(["parent_span_id"]),
+        )
         span_over = F.coalesce(F.col("span_spent_micro") + estimate > F.col("span_cap_micro"), no_cap)
     if session_caps is not None:
-        seen = _capped(seen, charges, session_caps, ["session_id"], ["session_cap_micro"], "session_spent_micro", measured(["session_id"]))
+        seen = _capped(
+            seen, charges, session_caps, ["session_id"], ["session_cap_micro"], {"session_spent_micro": []},
+            measured(["session_id"]),
+        )
         session_over = F.coalesce(F.col("session_spent_micro") + estimate > F.col("session_cap_micro"), no_cap)
     if key_caps is not None:
         ts = F.col("ts_ms")
-        of_keys = measured(["key_id"])
-        seen = _capped(seen, charges, key_caps, ["key_id"], ["daily_cap_micro"], "key_day_micro", of_keys, billing_day(ts))
-        seen = _capped(seen, charges, key_caps, ["key_id"], ["monthly_cap_micro"], "key_month_micro", of_keys, billing_month(ts))
+        # Days lie inside months, so one shuffle by key and month serves both.
+        seen = _capped(
+            seen, charges, key_caps, ["key_id"], ["daily_cap_micro", "monthly_cap_micro"],
+            {"key_month_micro": ["_month"], "key_day_micro": ["_month", "_day"]}, measured(["key_id"]),
+            {"_month": billing_month(ts), "_day": billing_day(ts)},
+        )
         day_over = F.coalesce(F.col("key_day_micro") + estimate > F.col("daily_cap_micro"), no_cap)
         month_over = F.coalesce(F.col("key_month_micro") + estimate > F.col("monthly_cap_micro"), no_cap)
 

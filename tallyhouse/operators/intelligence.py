@@ -9,17 +9,16 @@ output_tokens)``, ``dim_costs(dim_key, dim_value, period, cost_micro)``,
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..functions.money import half_up, usd
+from ..functions.money import usd
 from ..functions.periods import days_in_month, previous_period, trailing_periods
 from ..schema import DIMENSIONS
-from ..sources.catalog import OPEN_END, Catalog, ModelPrice
+from ..sources.catalog import Catalog, ModelPrice
 from .cleaning import normalized_model
 
 # Shown contributors and recommendations, margin goals, spike
@@ -255,17 +254,15 @@ def cheaper_model(usage: DataFrame, catalog: Catalog) -> DataFrame:
     priced on every model inside the row, as an array of the catalog's length;
     nothing is joined or multiplied out.
     """
-    offers = F.array(
-        *[
-            F.struct(_request_cost(m).alias("cost"), F.lit(i).alias("i"), F.lit(name).alias("model"))
-            for i, (name, m) in enumerate(catalog.models.items())
-        ]
-    )
+    offers = F.expr("array(" + ", ".join(
+        f"struct({_request_cost(m)} AS cost, {i} AS i, '{name}' AS model)"
+        for i, (name, m) in enumerate(catalog.models.items())
+    ) + ")")
     named = usage.withColumns({"_name": normalized_model(F.col("model_id"), catalog), "_offers": offers})
     own = F.get(F.filter("_offers", lambda o: o["model"] == F.col("_name")), F.lit(0))["cost"]
     priced = named.withColumns(
         {
-            "from_cost_micro": F.coalesce(own, _request_cost(catalog.defaults)),
+            "from_cost_micro": F.coalesce(own, F.expr(_request_cost(catalog.defaults))),
             "_best": F.array_min("_offers"),
         }
     )
@@ -278,20 +275,22 @@ def cheaper_model(usage: DataFrame, catalog: Catalog) -> DataFrame:
     ).drop("_name", "_offers", "_best")
 
 
-def _request_cost(model: ModelPrice) -> Column:
-    """Price of input then output tokens from volume 0.
+def _request_cost(model: ModelPrice) -> str:
+    """SQL price of input then output tokens from volume 0.
 
     Only graduated models reach beyond their first tier.
     """
-    tiers = model.tiers if model.mode == "graduated" else (replace(model.tiers[0], hi=OPEN_END),)
-    total, start = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    for tokens, price in (("input_tokens", "input"), ("output_tokens", "output")):
-        end = start + F.col(tokens)
-        for t in tiers:
-            overlap = F.greatest(F.lit(0), F.least(end, F.lit(t.hi)) - F.greatest(start, F.lit(t.lo)))
-            total = total + half_up(overlap * F.lit(getattr(t, price)))
-        start = end
-    return total
+    if model.mode != "graduated":
+        first = model.tiers[0]
+        return " + ".join(
+            f"CAST(floor({tokens} * {price!r}D + 0.5D) AS BIGINT)"
+            for tokens, price in (("input_tokens", first.input), ("output_tokens", first.output))
+        )
+    parts = [("0L", "input_tokens", "input"), ("input_tokens", "input_tokens + output_tokens", "output")]
+    return " + ".join(
+        f"CAST(floor(greatest(0L, least({end}, {t.hi}L) - greatest({start}, {t.lo}L)) * {getattr(t, price)!r}D + 0.5D) AS BIGINT)"
+        for start, end, price in parts for t in model.tiers
+    )
 
 
 def pricing_recommendations(

@@ -17,7 +17,7 @@ from ..sources import price_lists
 from ..sources import sample_tables as sample
 from ..sources.catalog import Catalog, catalog_from, load_catalog, validate_catalogs, write_catalog
 from ..streaming import late, sinks, state, windows
-from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored
+from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored, stored_cost_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1055,7 +1055,7 @@ def debounced_alerts(spark, folder):
 def report_headline(spark, folder):
     base = _folder(spark, "report")
     priced = _stored_priced(spark, folder, BUDGET_SCALE, ("metadata",))
-    tables = {name: stored(df, f"{base}/{name}") for name, df in cost_tables(priced).items()}
+    tables = stored_cost_tables(priced, base)
     return intelligence.report(
         tables["customer_costs"], tables["model_costs"], tables["dim_costs"], tables["daily"], sample.revenue(spark, folder), STANDARD, PERIOD, TODAY
     )["headline"]

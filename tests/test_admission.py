@@ -29,7 +29,7 @@ def test_asof_takes_the_state_at_or_before(spark):
 def test_spend_counts_only_earlier_charges_and_null_keys_none(spark):
     requests = spark.createDataFrame([("s", 10, "r1"), ("s", 11, "r2"), (None, 20, "r3")], "k string, ts_ms bigint, request_id string")
     charges = spark.createDataFrame([("s", 5, 7), ("s", 10, 9), (None, 1, 100)], "k string, ts_ms bigint, cost_micro bigint")
-    got = {r.request_id: r.spent for r in spent_before(requests, charges, ["k"], "spent").collect()}
+    got = {r.request_id: r.spent for r in spent_before(requests, charges, ["k"], {"spent": []}).collect()}
     assert got == {"r1": 7, "r2": 16, "r3": 0}
 
 
