@@ -587,7 +587,7 @@ def oracle_queries() -> dict[str, str]:
         FROM (SELECT ts_ms - ts_ms % 60000 AS bucket_ms, count(*) AS event_count, {total('cost_micro', 'cost_micro')} FROM priced GROUP BY 1)""")
 
     # Budgets
-    add("budget_ledger", ledger(), f"SELECT {CUST}, ts_ms, ref, kind, epoch, amount_micro, balance_micro, debt_micro, balance_before_micro, topup_micro, deducted_micro FROM ledger")
+    add("budget_ledger", ledger(), f"SELECT {CUST}, ts_ms, ref, kind, epoch, amount_micro, balance_micro, debt_micro, coalesce(balance_before_micro, 0) AS balance_before_micro, topup_micro, deducted_micro FROM ledger")
     alert = "CASE WHEN balance_micro <= 0 {first} THEN 'BUDGET_EXHAUSTED' WHEN balance_micro > 0 AND balance_micro <= threshold_micro AND balance_before_micro > threshold_micro THEN 'BUDGET_LOW' END"
     for n, first in (("budget_alerts", ""), ("first_budget_alerts", "AND balance_before_micro > 0")):
         add(n, ledger(), f"SELECT {CUST}, ts_ms, ref, model_id, {alert.format(first=first)} AS alert, amount_micro AS window_cost_micro, balance_micro FROM ledger WHERE kind = 'cost' AND {alert.format(first=first)} IS NOT NULL")

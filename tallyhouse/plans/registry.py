@@ -639,7 +639,7 @@ def _stored_priced(spark, folder, scale, carry=()):
 def budget_ledger(spark, folder):
     return _ledger(spark, folder).select(
         *CUSTOMER, "ts_ms", "ref", "kind", "epoch", "amount_micro", "balance_micro", "debt_micro",
-        "balance_before_micro", "topup_micro", "deducted_micro",
+        F.coalesce("balance_before_micro", F.lit(0)).alias("balance_before_micro"), "topup_micro", "deducted_micro",
     )
 
 
