@@ -56,11 +56,11 @@ shingles AS (
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
   FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
   SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
-  WHERE 100 * both >= 75 * (a.n + b.n - both)),
+  WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
 reach(x, y) AS (
   SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
 least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
