@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from .frames import table
 from .nearcopies import near_copies
+from .packing import pack
 from .repeats import cut_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of each piece of each document in a sequence of 2048 tokens."""
+    return pack(table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left in each document once passages of 35 words that occur twice are cut."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -69,7 +75,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_substring_dedup, op8_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op5_substring_dedup, op8_near_duplicates)}
 
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
