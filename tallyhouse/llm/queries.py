@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
 from .frames import table
+from .htmltext import extract_text
+from .leaks import leaks
 from .nearcopies import near_copies
+from .nearest import nearest
 from .packing import pack
 from .repeats import cut_repeats
 
@@ -20,6 +24,22 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.fit(docs)).select("doc_id", "lang", "language", "confidence", "accepted")
+
+
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector, among all."""
+    return nearest(table(spark, folder, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left in each document once passages of 35 words that occur twice are cut."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -31,6 +51,33 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents")).drop("text_key")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, folder, "documents")
+    rated = quality.rate(docs, quality.fit(docs, table(spark, folder, "labels")))
+    return rated.select("doc_id", "source", "lang", "text_quality", "site_quality", "quality", "good")
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+NEAREST = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND vec_id IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(
+           list_prepend(0.0::DOUBLE, list_transform(range(1, len(c.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))),
+           lambda s, x: s + x)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 SUBSTRING_DEDUP = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -75,9 +122,13 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op5_substring_dedup, op8_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+        op1_packing, op2_language, op3_nearest, op4_main_text, op5_substring_dedup, op8_near_duplicates,
+        op9_quality, op10_decontamination,
+    )}
 
 ORACLES: dict[str, str] = {
+    "op3_nearest": NEAREST,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op8_near_duplicates": NEAR_DUPLICATES,
 }
