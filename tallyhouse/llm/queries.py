@@ -11,10 +11,12 @@ from . import language, quality
 from .frames import table
 from .htmltext import extract_text
 from .leaks import leaks
+from .lmscore import cross_entropy_difference
 from .nearcopies import near_copies
 from .nearest import nearest
 from .packing import pack
 from .repeats import cut_repeats
+from .urls import Rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,26 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is documents labelled good and not toxic."""
+    labels = table(spark, folder, "labels").filter("quality = 1 and toxic = 0")
+    return cross_entropy_difference(table(spark, folder, "documents"), labels)
+
+
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of near copies of each document."""
     return near_copies(table(spark, folder, "documents")).drop("text_key")
@@ -123,7 +145,8 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-        op1_packing, op2_language, op3_nearest, op4_main_text, op5_substring_dedup, op8_near_duplicates,
+        op1_packing, op2_language, op3_nearest, op4_main_text, op5_substring_dedup,
+        op6_lm_score, op7_url_filter, op8_near_duplicates,
         op9_quality, op10_decontamination,
     )}
 
