@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, folder of tables) and works on all rows it is given; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. Nulls, empty texts, repeated rows, empty
+tables and further columns are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -11,11 +12,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.language import fit, identify
+from tallyhouse.llm.leaks import without_leaks
 from tallyhouse.llm.nearcopies import one_of_each
+from tallyhouse.llm.packing import pack
 from tallyhouse.llm.repeats import cut_repeats
 from tallyhouse.session import shared_folder
 
 
+def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents in a language that the model knows; ``lang`` stays as declared."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text", "lang", "source")
+    judged = identify(rows, fit(docs)).filter("accepted")
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies."""
     return one_of_each(docs)
@@ -26,18 +37,32 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
     A document of which no word is left goes; one that had none stays.
     """
-    cut = cut_repeats(docs)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text")
+    cut = cut_repeats(rows).filter("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
-    left = cut.filter("n_removed = 0 or n_removed < n_words")
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("n_chars"))}
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars"))}
+    return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Place of each piece of each document in a sequence of 2048 tokens."""
+    return pack(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
+# Language models, edit distances and the packing are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
