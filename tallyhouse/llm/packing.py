@@ -28,8 +28,8 @@ from .frames import durable
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 500_000
-ROUNDS, STEP, NEAR = 30, 0.15, 0.01
+CACHE_WORDS = 800_000
+ROUNDS, STEP, NEAR, FEW = 30, 0.15, 0.01, 100  # with few lengths, more and smaller steps
 BATCH_CHARS = 1 << 20
 
 # The tokenizer's own split into words, for letters and digits below U+0180.
@@ -169,7 +169,7 @@ def _trace(last: np.ndarray, c: int, *first: int) -> Counter:
     return items
 
 
-def linear_program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[dict, float]:
+def linear_program(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict, float]:
     """Fractional uses of configurations that cover all counts, and a lower bound for the number of sequences."""
     lengths = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(x)] for x in lengths], float)
@@ -177,18 +177,20 @@ def linear_program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
     covered = np.zeros(len(lengths))
     uses: dict[tuple, float] = defaultdict(float)
     bound = 0.0
-    for _ in range(rounds):
+    few = len(lengths) <= FEW
+    step_share = STEP / 5 if few else STEP
+    for _ in range(ROUNDS * 20 if few else ROUNDS):
         price = lengths * np.exp(-(covered - covered.min()))
         best, last = _knapsack(lengths, price, capacity)
         bound = max(bound, float(n @ price) / best[capacity])
         gain = price + best[capacity - lengths]
         for i in np.flatnonzero(gain >= (1 - NEAR) * best[capacity]):
             items = _trace(last, capacity - int(lengths[i]), int(lengths[i]))
-            step = STEP * min(n[at[x]] / a for x, a in items.items())
+            step = step_share * min(n[at[x]] / a for x, a in items.items())
             uses[tuple(sorted(items.items()))] += step
             for x, a in items.items():
                 covered[at[x]] += a * step / n[at[x]]
-    scale = float(n @ lengths) / max(1.0, float((covered * n) @ lengths))
+    scale = 1 / max(1e-9, float(np.median(covered)))
     return {c: u * scale for c, u in uses.items()}, bound
 
 
@@ -213,10 +215,9 @@ def _best_fit(left: Counter, capacity: int) -> list[tuple[Counter, int]]:
     return [b for bins in open_.values() for b in bins]
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Counter, int]]:
-    """Whole uses of configurations that hold every counted piece exactly once."""
-    left = Counter({int(x): int(c) for x, c in counts.items() if c and x < capacity})
-    done = [(Counter({capacity: 1}), int(counts[capacity]))] if counts.get(capacity) else []
+def _rounded(counts: Counter, fractional: dict, capacity: int, full: bool, fill: bool) -> list[tuple[Counter, int]]:
+    """Whole uses: the whole parts (with ``full`` of gapless configurations only), then (with ``fill``) more of the knapsack's, then best fit."""
+    left, done = Counter(counts), []
 
     def use(items, times):
         times = min([times, *(left[x] // a for x, a in items.items())])
@@ -228,13 +229,11 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
                     del left[x]
         return times > 0
 
-    if left:
-        fractional, _ = linear_program(left, capacity, rounds)
-        for items, amount in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-            if sum(x * a for x, a in items) == capacity:
-                use(dict(items), int(amount))
+    for items, amount in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
+        if not full or sum(x * a for x, a in items) == capacity:
+            use(dict(items), int(amount))
     gap, draw = 0, np.random.default_rng(0)
-    while left and gap <= capacity // 8:
+    while fill and left and gap <= capacity // 8:
         lengths = np.array(sorted(left), np.int64)
         _, last = _knapsack(lengths, lengths * (1 + 1e-6 * draw.random(len(lengths))), capacity)
         used = False
@@ -248,6 +247,24 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
     return done + _best_fit(left, capacity)
 
 
+def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
+    """Whole uses of configurations that hold every counted piece exactly once: the best of a few roundings."""
+    left = Counter({int(x): int(c) for x, c in counts.items() if c and x < capacity})
+    whole = [(Counter({capacity: 1}), int(counts[capacity]))] if counts.get(capacity) else []
+    if not left:
+        return whole
+    fractional, bound = linear_program(left, capacity)
+    best = None
+    for uses, full, fill in ((fractional, True, True), (fractional, False, True), (fractional, False, False), ({}, True, False)):
+        plan = _rounded(left, uses, capacity, full, fill)
+        size = sum(t for _, t in plan)
+        if best is None or size < best[0]:
+            best = (size, plan)
+        if size <= np.ceil(bound - 1e-6) + 1:
+            break
+    return whole + best[1]
+
+
 class Places:
     """Sequence and offset by length and rank within the length."""
 
