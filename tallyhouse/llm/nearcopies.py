@@ -10,10 +10,12 @@ chance of about 1e-10.
 A band's bucket is never expanded into all its pairs. Its least class leads it, and every
 member is paired with the leader. A pair is estimated from the registers, corrected for
 chance collisions, and dropped if it is six standard errors below the threshold; the rest
-is confirmed on full sets. Classes linked so far form components. Only in buckets that
-still hold several components, the members outside the bucket's largest component are
-paired with the members of other components: a link within a component changes nothing,
-so no component is missed.
+is confirmed on full sets. Classes linked so far form components, and a link within one
+changes nothing. Buckets that still hold several components hand their members to an
+exact step: in the order of rising frequency, two sets above the threshold share a shingle
+among the first 1/7 of the smaller and the first 1/4 of the larger, with enough of both
+after it. Members that only resemble a third document start with shingles of their own,
+and so make no pairs there.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import boxed, durable, field, unboxed
-from .words import Words, mix, shingle_set
+from .frames import boxed, durable, field, stored, unboxed
+from .words import Words, in_slices, mix, shingle_set
 
 BAND = 3
 BANDS = 42
@@ -84,7 +86,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def _sketches(batches):
-    for batch in batches:
+    for batch in in_slices(batches, ["text"]):
         w = Words(batch.column("text"), fold=True)
         sets = [shingle_set(w.hashes[a:b], SHINGLE) for a, b in zip(w.first[:-1], w.first[1:])]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -124,7 +126,7 @@ def _likely(batches):
 
 def _linked(batches):
     known: tuple = (None, None)
-    for batch in batches:
+    for batch in in_slices(batches, ["text_a", "text_b"]):
         other = Words(batch.column("text_b"), fold=True)
         good = np.zeros(batch.num_rows, bool)
         for i, a in enumerate(batch.column("a").to_pylist()):
@@ -154,15 +156,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _texts_of(vertices: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(v, text): the text of one document of each class, out of (id, text_key, text)."""
+    keyed = classes.join(vertices.select("v"), "v").select("v", "id", "text_key")
+    same = keyed["id"].eqNullSafe(texts["id"]) & (keyed["text_key"] == texts["text_key"])
+    return keyed.join(texts, same).select("v", "text").dropDuplicates(["v"])
+
+
+def _shingles(batches):
+    for batch in in_slices(batches, ["text"], 1 << 20):
+        w = Words(batch.column("text"), fold=True)
+        sets = [shingle_set(w.hashes[a:b], SHINGLE) for a, b in zip(w.first[:-1], w.first[1:])]
+        v = np.repeat(np.asarray(batch.column("v")), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(sets).view(np.int64))], ["v", "shingle"])
+
+
+def _across(apart: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of vertices (v, c) of different components c, none above the threshold missing."""
+    known = apart.join(classes.select("v", "n"), "v")
+    sets = stored(texts.join(apart.select("v"), "v").select("v", "text").mapInArrow(_shingles, "v long, shingle long"))
+    often = sets.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = sets.join(often, "shingle")
+    order = Window.partitionBy("v").orderBy("times", "shingle")
+    placed = shared.withColumn("nth", F.row_number().over(order) - 1).withColumn("k", F.count("*").over(Window.partitionBy("v")))
+    at = placed.join(known, "v").withColumn("at", F.col("nth") + F.col("n") - F.col("k"))
+    early = stored(at.filter(f"{OF} * at <= {OF - OVER} * n").select("shingle", "v", "c", "n", "at"))
+    kinds = early.groupBy("shingle", "c").agg(F.count("*").alias("members"))
+    top = kinds.groupBy("shingle").agg(F.max(F.struct("members", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = early.join(top.select("shingle", F.col("top.c").alias("top")), "shingle")
+    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("v", "c", "n", "at")]
+    outside = mixed.filter("c != top").select("shingle", "top", *side("x"))
+    both = outside.join(mixed.select("shingle", *side("y")), "shingle").filter(
+        f"c_x != c_y and (c_y = top or v_x < v_y) and {OF} * least(n_x, n_y) >= {OVER} * greatest(n_x, n_y)"
+        f" and {OVER + OF} * least(n_x - at_x, n_y - at_y) >= {OVER} * (n_x + n_y)"
+    )
+    return both.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked: estimated first, then compared in full."""
     side = lambda s: classes.select(F.col("v").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     likely = durable(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely, "a long, b long"))
-    used = likely.select(F.col("a").alias("v")).unionAll(likely.select(F.col("b").alias("v"))).distinct()
-    keyed = classes.join(used, "v").select("v", "id", "text_key")
-    full = keyed.join(texts, keyed["id"].eqNullSafe(texts["id"]) & (keyed["text_key"] == texts["text_key"])).select("v", "text").dropDuplicates(["v"])
-    full = durable(full)
-    text = lambda s: full.select(F.col("v").alias(s), F.col("text").alias(f"text_{s}"))
+    text = lambda s: texts.select(F.col("v").alias(s), F.col("text").alias(f"text_{s}"))
     joined = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return durable(joined.mapInArrow(_linked, "a long, b long"))
 
@@ -179,28 +214,24 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
-    sketched = durable(rows.mapInArrow(_sketches, "id long, text_key long, n long, digest binary, sketch binary"))
+    sketched = stored(rows.mapInArrow(_sketches, "id long, text_key long, n long, digest binary, sketch binary"))
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("least")
     classes = sketched.filter("n > 0").groupBy("digest").agg(least, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    classes = durable(classes.select(F.monotonically_increasing_id().alias("v"), "digest", "least.id", "least.text_key", "n", "sketch"))
-    members = durable(classes.select("v", "sketch").mapInArrow(_bands, "bucket long, v long"))
+    classes = durable(classes.orderBy("least").select(F.monotonically_increasing_id().alias("v"), "digest", "least.id", "least.text_key", "n", "sketch"))
+    members = classes.select("v", "sketch").mapInArrow(_bands, "bucket long, v long")
     led = members.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).filter("last > a").select("bucket", "a")
     led = durable(led)
-    shared = durable(members.join(led, "bucket").select("bucket", "v", "a"))
+    shared = stored(members.join(led, "bucket").select("bucket", "v", "a"))
     pairs = shared.filter("v > a").select("a", F.col("v").alias("b")).distinct()
-    texts = rows.select("id", "text_key", "text")
+    candidates = shared.select("v").unionAll(shared.select(F.col("a").alias("v"))).distinct()
+    texts = stored(_texts_of(candidates, classes, rows))
     links = _confirmed(pairs, classes, texts)
     found = components(links)
     placed = shared.join(found, "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = durable(placed.join(mixed.select("bucket", F.col("top.c").alias("top")), "bucket"))
-    outside = mixed.filter("c != top").select("bucket", F.col("v").alias("x"), F.col("c").alias("cx"), "top")
-    rest = outside.join(mixed.select("bucket", F.col("v").alias("y"), F.col("c").alias("cy")), "bucket")
-    rest = rest.filter("cx != cy and (cy = top or x < y)")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = durable(rest)
-    if rest.head(1):
+    several = placed.groupBy("bucket").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c < last").select("bucket")
+    apart = durable(placed.join(several, "bucket").select("v", "c").distinct())
+    if apart.head(1):
+        rest = durable(_across(apart, classes, texts).join(pairs, ["a", "b"], "left_anti"))
         found = components(durable(links.unionAll(_confirmed(rest, classes, texts))))
     named = classes.join(found, "v", "left").select("digest", "id", F.coalesce("component", "v").alias("c"))
     ids = named.groupBy("c").agg(F.min("id").alias("component_id"))

@@ -7,8 +7,11 @@ every task, and different ones differ but for a chance of about 2**-58.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -104,3 +107,17 @@ def shingle_set(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, np.uint64)
     return np.unique(windows(hashes, min(size, len(hashes))))
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], columns: list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes in the columns named, or of one row."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0))
+        lo = 0
+        total = np.concatenate(([0], np.cumsum(size)))
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
