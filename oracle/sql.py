@@ -550,9 +550,9 @@ def oracle_queries() -> dict[str, str]:
     add("usage_rollup_window_end", priced(), " UNION ALL ".join(
         f"SELECT {CUST}, '{g}' AS grain, strftime(make_timestamp((window_start_ms + 10000) * 1000), '{grains[g]}') AS bucket, {ROLLUP} FROM priced GROUP BY {CUST}, bucket" for g in ("day", "month")))
     add("usage_by_customer_model_month", [*priced(), MODEL_MONTHS], "SELECT * FROM model_months")
-    add("usage_by_session", priced(), f"""SELECT session_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id, {ROLLUP}, max(ts_ms) AS last_ts_ms
-        FROM priced GROUP BY session_id""")
-    add("retained_sessions", priced(), f"SELECT session_id, max(ts_ms) AS last_ts_ms FROM priced GROUP BY session_id HAVING max(ts_ms) >= {BUDGETS_RESET_MS} - 90 * 86400000::BIGINT")
+    add("usage_by_session", priced(), f"""SELECT tenant_id, session_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id, {ROLLUP}, max(ts_ms) AS last_ts_ms
+        FROM priced GROUP BY tenant_id, session_id""")
+    add("retained_sessions", priced(), f"SELECT session_id, max(ts_ms) AS last_ts_ms FROM priced GROUP BY tenant_id, session_id HAVING max(ts_ms) >= {BUDGETS_RESET_MS} - 90 * 86400000::BIGINT")
     add("usage_by_span", [*priced(), SPANS], "SELECT * FROM spans")
     add("span_sessions", clicks(), f"""SELECT parent_span_id, CAST(NULL AS VARCHAR) AS tenant_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id,
         {', '.join(total(c, c) for c in ('total_tokens', 'input_tokens', 'output_tokens'))}, 0::BIGINT AS reasoning_tokens, {total('cost_micro', 'cost_micro')},
@@ -642,21 +642,28 @@ def oracle_queries() -> dict[str, str]:
     add("billable_customers", [*priced(), CUSTOMER_USAGE, LINKS], "SELECT customer_id, cost_micro, stripe_id, metronome_id, orb_id FROM customer_usage JOIN links USING (customer_id)")
     add("linked_customers", [LINKS], "SELECT customer_id FROM links")
     add("export_deltas", export_delta_tables(), "SELECT * FROM deltas")
-    add("export_marks", export_delta_tables(), f"""SELECT customer_id, {', '.join(f'CASE WHEN l.customer_id IS NULL THEN last_{m} ELSE {m} END AS last_{m}' for m in MEASURES)}
-        FROM (SELECT * FROM customer_usage LEFT JOIN marks USING (customer_id)) u LEFT JOIN links l USING (customer_id) WHERE l.customer_id IS NOT NULL OR last_event_count IS NOT NULL""")
+    sent = half_up("new_cost_micro / 10000::DOUBLE")
+    add("export_marks", export_delta_tables(), f"""SELECT customer_id, {', '.join(f'coalesce(last_{m}, 0) AS last_{m}' for m in MEASURES[:3])},
+        coalesce(last_cost_micro, 0) + coalesce(reported, 0) AS last_cost_micro
+        FROM marks FULL JOIN (SELECT customer_id, {sent} * 10000 AS reported FROM deltas WHERE {sent} > 0) USING (customer_id)""")
+    total_cents = half_up("cost_micro / 10000::DOUBLE")
+    add("export_cycles", [*priced(), LINKS], f"""SELECT customer_id, platform, {total_cents} AS cents, TRUE AS keys_differ
+        FROM (SELECT customer_id, CAST(sum(cost_micro) AS BIGINT) AS cost_micro FROM priced WHERE ts_ms < {NOW_MS} GROUP BY customer_id)
+        JOIN (SELECT customer_id, unnest([CASE WHEN stripe_id IS NOT NULL THEN 'stripe' END, CASE WHEN orb_id IS NOT NULL THEN 'orb' END]) AS platform FROM links) USING (customer_id)
+        WHERE platform IS NOT NULL AND {total_cents} > 0""")
     key = lambda period, mode, suffix: f"'meter-' || customer_id || '-{period}-{mode}{suffix}'"
     row = lambda p, n, k, v, u, w: f"SELECT customer_id, '{p}' AS platform, {p}_id AS external_id, '{n}' AS name, {k} AS idempotency_key, {v} AS value, '{u}' AS unit FROM deltas WHERE {p}_id IS NOT NULL AND {w}"
     e = lambda suffix="": key("1998010100", "events", suffix)
     add("export_rows_events", export_delta_tables(), " UNION ALL ".join([
         row("stripe", "token_events_processed", e(), "new_event_count", "events", "new_event_count > 0"),
-        *[row("metronome", "token_usage", e(), f"new_{c}", c, "(new_event_count > 0 OR new_input_tokens > 0)") for c in ("input_tokens", "output_tokens", "event_count")],
+        *[row("metronome", "token_usage", e("-" + c), f"new_{c}", c, "(new_event_count > 0 OR new_input_tokens > 0)") for c in ("input_tokens", "output_tokens", "event_count")],
         row("orb", "token_usage", e("-input"), "new_input_tokens", "input", "new_input_tokens > 0"),
         row("orb", "token_usage", e("-output"), "new_output_tokens", "output", "new_output_tokens > 0")]))
     cents = half_up("new_cost_micro / 10000::DOUBLE")
     c = lambda suffix="": key("1998-01", "cost", suffix)
     add("export_rows_cost", export_delta_tables(), " UNION ALL ".join([
         row("stripe", "token_cost_usd_cents", c(), cents, "cents", f"{cents} > 0"),
-        row("metronome", "token_usage", c(), "new_cost_micro", "micro_usd", "new_cost_micro > 0"),
+        row("metronome", "token_usage", c(), f"{cents} * 10000", "micro_usd", f"{cents} > 0"),
         row("orb", "token_usage", c("-cost"), cents, "cents", f"{cents} > 0")]))
     add("due_exports", [], "SELECT * FROM (SELECT 'cust_' || (o_custkey % 200) AS target, strftime(max(o_orderdate), '%Y-%m') AS last_period FROM orders GROUP BY 1) WHERE last_period <> '2001-07'")
     add("usage_quantities", [*priced(), MODEL_MONTHS], f"SELECT customer_id, period, CAST(sum(total_tokens) AS BIGINT) / CAST(1e6 AS DOUBLE) AS quantity_m_tokens FROM model_months WHERE period = '{PERIOD}' GROUP BY 1, 2")
@@ -719,6 +726,18 @@ def oracle_queries() -> dict[str, str]:
     q["stream_span_sessions"] = q["span_sessions"] + f" HAVING max(ts_ms) + 60000 <= {closed}"
     order = "PARTITION BY customer_id, model_id, month ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     add("stream_volume_stamps", clicks(), f"SELECT event_id, customer_id, model_id, month, coalesce(CAST(sum(total_tokens) OVER ({order}) AS BIGINT), 0) AS volume_before FROM priced_clicks")
+    arrival = "((length(event_id) + ascii(split_part(event_id, '-', 2))) % 4) * 100000000000000 - ts_ms"
+    by_arrival = f"PARTITION BY {KEYS}, {MONTH} ORDER BY {arrival}, event_id, input_tokens, output_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    add("stream_month_volumes", [raw(TIER_SCALE), clean(TIERED)],
+        f"SELECT event_id, {KEYS}, {MONTH} AS month, coalesce(CAST(sum({TOTAL}) OVER ({by_arrival}) AS BIGINT), 0) AS volume_before FROM clean")
+    click_stamped = f"""stamped AS (
+      SELECT *, n AS rid, {TOTAL} AS total_tokens, coalesce(CAST(sum({TOTAL}) OVER ({order}) AS BIGINT), 0) AS volume_before FROM (
+        SELECT tenant_id, customer_id, {normalized('raw_model', TIERED)} AS model_id, n, ts_ms, {MONTH} AS month,
+          input_tokens * 20000 AS input_tokens, output_tokens * 20000 AS output_tokens,
+          {', '.join(f'0::BIGINT AS {c}' for c in TOKENS[2:])} FROM clicks))"""
+    add("stream_tiered_windows", [CLICKS, TIER_ROWS, click_stamped, tier_cost("volume_before")],
+        f"""SELECT {KEYS}, ts_ms - ts_ms % 10000 AS window_start_ms, count(*) AS event_count, {total('total_tokens', 'total_tokens')}, {total('cost_micro', 'cost_micro')}
+        FROM stamped JOIN tier_priced USING (rid) WHERE ts_ms - ts_ms % 10000 + 10000 <= {closed} GROUP BY ALL""")
     q["stream_volume_batches"] = q["stream_volume_stamps"]
     click_rollup = f"{', '.join(total(c, c) for c in ('input_tokens', 'output_tokens', 'total_tokens'))}, count(*) AS event_count, {total('cost_micro', 'cost_micro')}, 0::BIGINT AS cache_read_tokens, 0::BIGINT AS reasoning_tokens"
     add("stream_rollup", clicks(), " UNION ALL ".join(

@@ -131,26 +131,52 @@ def billable_customers(usage: DataFrame, links: DataFrame) -> DataFrame:
     return usage.join(wide, "customer_id")
 
 
-def export_deltas(usage: DataFrame, marks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usage since the last report: (changed customers, new marks).
+MEASURES = ["event_count", "input_tokens", "output_tokens", "cost_micro"]
+
+
+def export_deltas(usage: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked customers whose usage has grown since what was reported.
 
     ``usage`` is per ``customer_id``: ``event_count, input_tokens,
     output_tokens, cost_micro``. ``marks`` has the same measures as
     ``last_*``. Deltas never go below zero.
     """
-    measures = ["event_count", "input_tokens", "output_tokens", "cost_micro"]
     joined = billable_customers(usage, links).join(marks, "customer_id", "left")
     deltas = joined.select(
-        "customer_id", *[f"{p}_id" for p in PLATFORMS], *measures,
+        "customer_id", *[f"{p}_id" for p in PLATFORMS], *MEASURES,
         *[
             F.greatest(F.lit(0), F.col(m) - F.coalesce(f"last_{m}", F.lit(0))).alias(f"new_{m}")
-            for m in measures
+            for m in MEASURES
+        ],
+    )
+    return deltas.filter(" OR ".join(f"new_{m} > 0" for m in MEASURES))
+
+
+def advance_marks(marks: DataFrame, deltas: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+    """Marks after ``rows`` of the mode were reported.
+
+    Only customers with a row move. In cost mode the mark grows by what was
+    reported, in whole cents, so what rounding left is part of the next delta; a
+    total that falls moves nothing and is not billed again when it recovers.
+    """
+    micro = F.when(F.col("unit") == "cents", F.col("value") * 10_000).otherwise(F.col("value"))
+    sent = rows.groupBy("customer_id").agg(F.max(micro).alias("_reported"))
+    if mode == "cost":
+        moved = sent.select("customer_id", F.col("_reported").alias("_cost_micro"))
+        moves = ["cost_micro"]
+    else:
+        moves = [m for m in MEASURES if m != "cost_micro"]
+        moved = deltas.join(sent, "customer_id", "left_semi").select(
+            "customer_id", *[F.col(f"new_{m}").alias(f"_{m}") for m in moves]
+        )
+    both = marks.join(moved, "customer_id", "full_outer")
+    return both.select(
+        "customer_id",
+        *[
+            (F.coalesce(f"last_{m}", F.lit(0)) + (F.coalesce(f"_{m}", F.lit(0)) if m in moves else 0)).alias(f"last_{m}")
+            for m in MEASURES
         ],
     )
-    changed = deltas.filter(" OR ".join(f"new_{m} > 0" for m in measures))
-    new_marks = deltas.select("customer_id", *[F.col(m).alias(f"last_{m}") for m in measures])
-    kept = marks.join(new_marks.select("customer_id"), "customer_id", "left_anti")
-    return changed, new_marks.unionByName(kept.select(*new_marks.columns))
 
 
 def export_rows(
@@ -160,7 +186,8 @@ def export_rows(
 
     ``mode`` is ``events`` or ``cost``; ``period`` is the hour (yyyyMMddHH) or
     month (yyyy-MM) of the export cycle. Cost is in whole cents, and in
-    micro-dollars for the platform that takes dollars.
+    micro-dollars for the platform that takes dollars (the same whole cents if
+    the customer has another platform too). Each row has a key of its own.
     """
     if mode not in ("events", "cost"):
         raise ValueError(f"unknown export mode {mode}")
@@ -179,7 +206,9 @@ def export_rows(
 
     events, given, made = (F.col(f"new_{m}") for m in ("event_count", "input_tokens", "output_tokens"))
     if mode == "cost":
-        cost = F.col("new_cost_micro")
+        other = [F.col(f"{p}_id").isNotNull() for p in ("stripe", "orb") if p in targets]
+        whole = other[0] | other[-1] if other else F.lit(False)
+        cost = F.when(whole, cents * 10_000).otherwise(F.col("new_cost_micro"))
         rows = {
             "stripe": [row("stripe", "token_cost_usd_cents", cents, "cents", cents > 0)],
             "metronome": [row("metronome", "token_usage", cost, "micro_usd", cost > 0)],
@@ -190,9 +219,9 @@ def export_rows(
         rows = {
             "stripe": [row("stripe", "token_events_processed", events, "events", events > 0)],
             "metronome": [
-                row("metronome", "token_usage", given, "input_tokens", counted),
-                row("metronome", "token_usage", made, "output_tokens", counted),
-                row("metronome", "token_usage", events, "event_count", counted),
+                row("metronome", "token_usage", given, "input_tokens", counted, "-input_tokens"),
+                row("metronome", "token_usage", made, "output_tokens", counted, "-output_tokens"),
+                row("metronome", "token_usage", events, "event_count", counted, "-event_count"),
             ],
             "orb": [
                 row("orb", "token_usage", given, "input", given > 0, "-input"),

@@ -97,13 +97,13 @@ def price_events(
     """Add the event price ``out``; ``model_id`` must be a normalised name.
 
     ``volume`` is the month volume before the event (a column, or 0 for spans
-    and what-ifs). The catalog is at most ``MAX_MODELS`` rows and is
-    broadcast; models it does not list pay the default price.
+    and what-ifs). Spark broadcasts the catalog if it is
+    small; models it does not list pay the default price.
     """
     volume = F.col(volume) if isinstance(volume, str) else volume if isinstance(volume, Column) else F.lit(volume)
     rows, defaults, names, schema = _price_columns(catalog)
     prices = df.sparkSession.createDataFrame(rows, schema)
-    joined = df.join(F.broadcast(prices), F.col("model_id") == F.col("_model"), "left")
+    joined = df.join(prices, F.col("model_id") == F.col("_model"), "left")
     priced = joined.withColumns(
         {n: F.coalesce(F.col(n), F.lit(d)) for n, d in zip(names[1:], defaults[1:])}
     )
@@ -178,7 +178,7 @@ def stream_kill_points(chunks: DataFrame, catalog: Catalog, hot_rows: int = HOT_
     prices = _first_tier_prices(df=chunks, catalog=catalog)
     priced = (
         tokens.withColumn("_name", normalized_model(F.col("model_id"), catalog))
-        .join(F.broadcast(prices), F.col("_name") == F.col("_model"), "left")
+        .join(prices, F.col("_name") == F.col("_model"), "left")
         .withColumn(
             "estimate_micro",
             F.col("input_tokens") * F.coalesce("_in", F.lit(catalog.defaults.tiers[0].input))

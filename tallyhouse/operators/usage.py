@@ -125,10 +125,10 @@ def usage_rollup(
 
 
 def usage_by_session(df: DataFrame) -> DataFrame:
-    """Totals per session; the session belongs to its latest customer."""
+    """Totals per tenant and session; the session belongs to its latest customer."""
     return (
         df.filter("session_id IS NOT NULL")
-        .groupBy("session_id")
+        .groupBy("tenant_id", "session_id")
         .agg(
             F.max_by("customer_id", F.struct("ts_ms", "customer_id")).alias("customer_id"),
             *_measures(ROLLUP_MEASURES),
@@ -155,16 +155,15 @@ def usage_by_span(df: DataFrame, cost: str = "cost_micro") -> DataFrame:
 
 
 def span_sessions(df: DataFrame, gap: str = "60 seconds", cost: str = "cost_micro") -> DataFrame:
-    """Runs of one span with no pause of ``gap``; batch or stream.
+    """Runs of one tenant's span with no pause of ``gap``; batch or stream.
 
-    Tenant and customer are those of the last event.
+    The customer is that of the last event.
     """
     last = F.struct("ts_ms", "customer_id")
     return (
         df.filter("parent_span_id IS NOT NULL")
-        .groupBy("parent_span_id", F.session_window("ts", gap).alias("_session"))
+        .groupBy("parent_span_id", "tenant_id", F.session_window("ts", gap).alias("_session"))
         .agg(
-            F.max_by("tenant_id", F.when(F.col("tenant_id").isNotNull(), last)).alias("tenant_id"),
             F.max_by("customer_id", last).alias("customer_id"),
             F.sum(total_tokens()).alias("total_tokens"),
             *_sums("input_tokens", "output_tokens", "reasoning_tokens"),

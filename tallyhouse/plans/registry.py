@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import billing_day, billing_month
 from ..operators import admission, billing, budget, cleaning, dedup, holds, intelligence, pricing, usage, volume
 from ..schema import CUSTOMER, CUSTOMER_MODEL, TOKEN_COLUMNS
-from ..session import configure, shared_folder
+from ..session import configure, durable, shared_folder
 from ..sources import events as source
 from ..sources import price_lists
 from ..sources import sample_tables as sample
@@ -63,7 +63,7 @@ def _priced(spark, folder, scale=1, catalog: Catalog = STANDARD, carry=()):
 
 
 def _clicks(spark, folder):
-    return sample.click_usage(sample.spread(sample.table(spark, folder, "events"), "event_id"))
+    return sample.click_usage(sample.table(spark, folder, "events"))
 
 
 def _folder(spark, name) -> str:
@@ -818,9 +818,11 @@ def rerate_replay(spark, folder):
     ).filter("delta_micro <> 0")
 
 
-def _customer_usage(spark, folder):
+def _customer_usage(spark, folder, until_ms=None):
     """Usage per customer id, tenants together, as the export reads it."""
-    return _priced(spark, folder).groupBy("customer_id").agg(
+    priced = _priced(spark, folder)
+    priced = priced if until_ms is None else priced.filter(F.col("ts_ms") < until_ms)
+    return priced.groupBy("customer_id").agg(
         *[column.alias(name) for name, column in usage.event_measures().items()
           if name in ("event_count", "input_tokens", "output_tokens", "total_tokens", "cost_micro")]
     )
@@ -855,22 +857,43 @@ def linked_customers(spark, folder):
 
 @query
 def export_deltas(spark, folder):
-    return _deltas(spark, folder)[0]
+    return _deltas(spark, folder)
 
 
 @query
 def export_marks(spark, folder):
-    return _deltas(spark, folder)[1]
+    """Marks after the cost export."""
+    deltas = _deltas(spark, folder)
+    return billing.advance_marks(_marks(spark, folder), deltas, billing.export_rows(deltas, "cost", "1998-01"), "cost")
+
+
+EXPORT_CYCLES_MS = [BUDGETS_SET_MS + 30 * 86_400_000, BUDGETS_SET_MS + 60 * 86_400_000, BUDGETS_RESET_MS, NOW_MS]
+
+
+@query
+def export_cycles(spark, folder):
+    """Cents reported in four cost cycles, each from the marks of the one before."""
+    marks, sent = _marks(spark, folder).limit(0), []
+    links = sample.billing_links(spark, folder)
+    for until in EXPORT_CYCLES_MS:
+        deltas = billing.export_deltas(_customer_usage(spark, folder, until).drop("total_tokens"), marks, links)
+        rows = billing.export_rows(deltas, "cost", str(until))
+        marks = durable(billing.advance_marks(marks, deltas, rows, "cost"))
+        sent.append(rows)
+    rows = sent[0].unionByName(sent[1]).unionByName(sent[2]).unionByName(sent[3])
+    return rows.filter("unit = 'cents'").groupBy("customer_id", "platform").agg(
+        F.sum("value").alias("cents"), (F.count("*") == F.count_distinct("idempotency_key")).alias("keys_differ")
+    )
 
 
 @query
 def export_rows_events(spark, folder):
-    return billing.export_rows(_deltas(spark, folder)[0], "events", "1998010100")
+    return billing.export_rows(_deltas(spark, folder), "events", "1998010100")
 
 
 @query
 def export_rows_cost(spark, folder):
-    return billing.export_rows(_deltas(spark, folder)[0], "cost", "1998-01")
+    return billing.export_rows(_deltas(spark, folder), "cost", "1998-01")
 
 
 @query
@@ -1112,6 +1135,48 @@ def stream_volume_stamps(spark, folder):
     return spark.read.parquet(f"{out}/table").select("event_id", "customer_id", "model_id", "month", "volume_before")
 
 
+def _arrivals(spark, folder, name, scale=TIER_SCALE):
+    """Clean usage of several years as a stream of four micro-batches whose months are out of order.
+
+    ``arrival_seq`` is the order of arrival: the batch, then event time backwards.
+    """
+    out = _folder(spark, name)
+    cleaned = clean_usage(_usage(spark, folder, scale), TIERED).drop("metadata")
+    batch = F.pmod(F.length("event_id") + F.ascii(F.element_at(F.split("event_id", "-"), 2)), F.lit(4))
+    ordered = cleaned.withColumn("arrival_batch", batch.cast("long")).withColumn(
+        "arrival_seq", F.col("arrival_batch") * 10**14 - F.col("ts_ms")
+    )
+    for n in range(4):
+        ordered.filter(F.col("arrival_batch") == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    return stream, out
+
+
+ARRIVAL = ["arrival_seq", "event_id", "input_tokens", "output_tokens"]
+
+
+@query
+def stream_month_volumes(spark, folder):
+    """Month volumes of several years that arrive out of order."""
+    stream, out = _arrivals(spark, folder, "months")
+    _finish(sinks.write_windows(state.stamp_volume_stream(stream, ARRIVAL), f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table").select("event_id", *CUSTOMER_MODEL, "month", "volume_before")
+
+
+@query
+def stream_tiered_windows(spark, folder):
+    """One stream: dedup, month volume, tiered price, windows that the watermark has closed."""
+    out = _folder(spark, "tiered")
+    clicks = _click_stream(spark, folder)
+    twice = clicks.withColumn("event_id", F.explode(F.array("event_id", "event_id")))
+    named = cleaning.normalize_models(windows.with_event_time(twice), TIERED)
+    kept = windows.dedup_within_stream(named)
+    scaled = kept.withColumns({c: F.col(c) * 20_000 for c in TOKEN_COLUMNS})
+    priced = pricing.price_events(state.stamp_volume_stream(scaled), TIERED, "volume_before")
+    _finish(sinks.write_windows(windows.usage_windows_stream(priced), f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table").select(*CUSTOMER_MODEL, "window_start_ms", "event_count", "total_tokens", "cost_micro")
+
+
 @query
 def stream_volume_batches(spark, folder):
     """The same stamps for streams with hot keys, per micro-batch."""

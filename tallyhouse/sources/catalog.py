@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 OPEN_END = 2**63 - 1
 MODES = ("flat", "volume", "graduated")
-MAX_MODELS = 20_000
 
 # Prices per million tokens when a model leaves one out.
 FALLBACK = {"input_per_m": 1.0, "output_per_m": 3.0, "embedding_per_m": 0.10}
@@ -61,7 +60,7 @@ class Catalog:
         return replace(self, models={**self.models, model.model_id: model})
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """One row per model: at most ``MAX_MODELS`` rows, safe to broadcast."""
+        """One row per model; Spark broadcasts it if it is small."""
         rows = [
             (m.model_id, m.mode, m.input_per_m, m.output_per_m, m.embedding_per_m,
              [(t.lo, t.hi, t.input, t.output, t.embed) for t in m.tiers])
@@ -124,8 +123,6 @@ def catalog_from(document: dict) -> Catalog:
     if document.get("billing_period", "calendar_month") != "calendar_month":
         raise ValueError(f"unsupported billing_period {document['billing_period']}")
     models = {k: model_price(k, v) for k, v in document.get("models", {}).items()}
-    if len(models) > MAX_MODELS:
-        raise ValueError(f"{len(models)} models; a broadcast catalog holds {MAX_MODELS}")
     return Catalog(
         models=models,
         defaults=model_price("defaults", document.get("defaults") or {}),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,20 +76,25 @@ def split_late_stream(
 def replayable(dlq: DataFrame, applied: DataFrame, max_rows: int = 0) -> DataFrame:
     """Set-aside events that are not applied yet, oldest first up to ``max_rows``.
 
-    Events without an id cannot be recognised and are always replayed.
+    Of the copies of one id the first to arrive is replayed. Events without an id
+    cannot be recognised and are always replayed.
     """
-    waiting = dlq.join(applied.select("event_id").distinct(), "event_id", "left_anti").select(*dlq.columns)
+    nth = F.row_number().over(Window.partitionBy("event_id").orderBy("arrival_seq"))
+    named = dlq.filter("event_id IS NOT NULL").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    waiting = named.join(applied.select("event_id").distinct(), "event_id", "left_anti").select(*dlq.columns)
+    waiting = waiting.unionByName(dlq.filter("event_id IS NULL"))
     return waiting.orderBy("arrival_seq").limit(max_rows) if max_rows else waiting
 
 
 def replay_dlq(
     spark: SparkSession, dlq_path: str, target_path: str, max_rows: int = 0, dry_run: bool = False
 ) -> int:
-    """Append set-aside events to the target table; returns how many."""
+    """Add set-aside events to the target table, each replay in a folder of its own; returns how many."""
     dlq = spark.read.parquet(dlq_path).drop("batch_id")
     target = spark.read.parquet(target_path)
     chosen = replayable(dlq, target, max_rows)
-    count = chosen.count()
-    if not dry_run and count:
-        chosen.write.mode("append").parquet(f"{target_path}/batch_id=-1")
-    return count
+    if dry_run:
+        return chosen.count()
+    folder = f"{target_path}/batch_id=-{time.time_ns()}"
+    chosen.write.parquet(folder)
+    return spark.read.schema(chosen.schema).parquet(folder).count()

@@ -18,14 +18,24 @@ from ..operators.cleaning import total_tokens
 from ..schema import CUSTOMER, CUSTOMER_MODEL
 
 
+def _month_end_ms(month: str) -> int:
+    return int((pd.Period(month, "M") + 1).start_time.tz_localize("UTC").timestamp() * 1000)
+
+
 class MonthVolume(StatefulProcessor):
-    """Tokens per month of one customer and model, in arrival order."""
+    """Tokens per month of one customer and model, in arrival order.
+
+    Every month that was seen is kept, in whatever order months come. With
+    ``retain_ms`` a timer drops a month once the watermark is that far past its end.
+    """
 
-    def __init__(self, columns: list[str], keep_months: int):
+    def __init__(self, columns: list[str], order: list[str], retain_ms: int | None):
         self._columns = columns
-        self._keep = keep_months
+        self._order = order
+        self._retain = retain_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._months = handle.getMapState(
             "months",
             T.StructType([T.StructField("month", T.StringType())]),
@@ -33,34 +43,49 @@ class MonthVolume(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            before = frame.groupby("month")["event_tokens"].cumsum() - frame["event_tokens"]
-            for month, tokens in frame.groupby("month")["event_tokens"].sum().items():
-                known = self._months.getValue((month,))[0] if self._months.containsKey((month,)) else 0
-                before[frame["month"] == month] += known
-                self._months.updateValue((month,), (int(known + tokens),))
-            yield frame.assign(volume_before=before.astype("int64"))[self._columns]
-        # Months that only events far behind the watermark could still reach.
-        months = sorted(k[0] for k in self._months.keys())
-        for month in months[: -self._keep]:
-            self._months.removeKey((month,))
+        frame = pd.concat(list(rows)).sort_values(self._order, kind="stable")
+        before = frame.groupby("month")["event_tokens"].cumsum() - frame["event_tokens"]
+        for month, tokens in frame.groupby("month")["event_tokens"].sum().items():
+            seen = self._months.containsKey((month,))
+            known = self._months.getValue((month,))[0] if seen else 0
+            before[frame["month"] == month] += known
+            self._months.updateValue((month,), (int(known + tokens),))
+            if self._retain is not None and not seen:
+                self._handle.registerTimer(_month_end_ms(month) + self._retain)
+        yield frame.assign(volume_before=before.astype("int64"))[self._columns]
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        for (month,) in list(self._months.keys()):
+            if _month_end_ms(month) + self._retain <= expired.getExpiryTimeInMs():
+                self._months.removeKey((month,))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stamp_volume_stream(df: DataFrame, keep_months: int = 3) -> DataFrame:
-    """Add ``volume_before`` in arrival order; the stream keeps its event time."""
+def stamp_volume_stream(
+    df: DataFrame, order: list[str] | None = None, retain_ms: int | None = None
+) -> DataFrame:
+    """Add ``volume_before`` in arrival order; the stream keeps its event time.
+
+    ``order`` sorts the rows of one key and micro-batch: ``arrival_seq`` if there
+    is one, else event time and id. Months stay in state for good unless
+    ``retain_ms`` is given; then they go once the watermark is that long past
+    their end, so it must cover how late events may come, and the stream needs ``ts``.
+    """
+    if retain_ms is not None and "ts" not in df.columns:
+        raise ValueError("retain_ms needs a stream with event time")
+    order = order or (["arrival_seq"] if "arrival_seq" in df.columns else ["ts_ms", "event_id"])
     keyed = df.withColumns({"month": billing_month(F.col("ts_ms")), "event_tokens": total_tokens()})
     kept = [f for f in keyed.schema.fields if f.name != "event_tokens"]
     schema = T.StructType([*kept, T.StructField("volume_before", T.LongType())])
+    processor = MonthVolume(schema.names, order, retain_ms)
     if "ts" in df.columns:
         return keyed.groupBy(*CUSTOMER_MODEL).transformWithStateInPandas(
-            MonthVolume(schema.names, keep_months), schema, "append", "eventTime", eventTimeColumnName="ts"
+            processor, schema, "append", "eventTime", eventTimeColumnName="ts"
         )
-    return keyed.groupBy(*CUSTOMER_MODEL).transformWithStateInPandas(
-        MonthVolume(schema.names, keep_months), schema, "append", "none"
-    )
+    return keyed.groupBy(*CUSTOMER_MODEL).transformWithStateInPandas(processor, schema, "append", "none")
 
 
 BUDGET_SCHEMA = T.StructType(
@@ -78,8 +103,15 @@ BUDGET_SCHEMA = T.StructType(
 )
 
 
+_MOVES = ["ts_ms", "seq", "ref", "kind", "amount_micro", "alert_threshold_micro"]
+
+
 class BudgetDrawdown(StatefulProcessor):
-    """Balance and debt of one customer, movement by movement."""
+    """Balance and debt of one customer, movement by movement.
+
+    Movements that come before the first ``set`` wait in state; when it comes,
+    those after it in time are booked, as the batch ledger does.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState(
@@ -92,10 +124,33 @@ class BudgetDrawdown(StatefulProcessor):
                 ]
             ),
         )
+        self._waiting = handle.getListState(
+            "waiting",
+            T.StructType(
+                [
+                    T.StructField("ts_ms", T.LongType()),
+                    T.StructField("seq", T.LongType()),
+                    T.StructField("ref", T.StringType()),
+                    T.StructField("kind", T.StringType()),
+                    T.StructField("amount_micro", T.LongType()),
+                    T.StructField("alert_threshold_micro", T.LongType()),
+                ]
+            ),
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        moves = pd.concat(list(rows)).sort_values(["ts_ms", "seq", "ref"])
+        moves = pd.concat(list(rows))[_MOVES]
         state = self._state.get() if self._state.exists() else None
+        if state is None:
+            if not (moves["kind"] == "set").any():
+                self._waiting.appendList([
+                    (int(m.ts_ms), int(m.seq), m.ref, m.kind, int(m.amount_micro), None) for m in moves.itertuples(index=False)
+                ])
+                return
+            if self._waiting.exists():
+                moves = pd.concat([pd.DataFrame(list(self._waiting.get()), columns=_MOVES), moves])
+                self._waiting.clear()
+        moves = moves.sort_values(["ts_ms", "seq", "ref"])
         out = []
         for m in moves.itertuples(index=False):
             alert = None
@@ -113,8 +168,7 @@ class BudgetDrawdown(StatefulProcessor):
                 elif m.kind == "cost" and state[0] <= threshold < before:
                     alert = "BUDGET_LOW"
             out.append((*key, m.ts_ms, m.ref, m.kind, m.amount_micro, int(state[0]), int(state[1]), alert))
-        if state is not None:
-            self._state.update((int(state[0]), int(state[1]), float(state[2])))
+        self._state.update((int(state[0]), int(state[1]), float(state[2])))
         if out:
             yield pd.DataFrame(out, columns=BUDGET_SCHEMA.names)
 
@@ -126,7 +180,8 @@ def budget_stream(movements: DataFrame) -> DataFrame:
     """Ledger and alerts of a stream of budget movements.
 
     Movements of one micro-batch are applied in time order. A micro-batch
-    brings few per customer, because charges are closed windows.
+    brings few per customer, because charges are closed windows. A budget that
+    comes after its charges books those that are later than it in time.
     """
     return movements.groupBy(*CUSTOMER).transformWithStateInPandas(
         BudgetDrawdown(), BUDGET_SCHEMA, "append", "none"

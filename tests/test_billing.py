@@ -1,7 +1,7 @@
 import pytest
 
 from tallyhouse.operators.billing import (
-    compare_external, due_exports, export_deltas, export_rows, rerate_apply, rerate_preview, rerate_replay,
+    compare_external, due_exports, advance_marks, export_deltas, export_rows, rerate_apply, rerate_preview, rerate_replay,
     usage_cloudevents,
 )
 from tallyhouse.operators.budget import budget_ledger, latest_state
@@ -55,18 +55,46 @@ def exports(spark, marks):
                                   "customer_id string, event_count bigint, input_tokens bigint, output_tokens bigint, cost_micro bigint")
     mark_frame = spark.createDataFrame(marks, "customer_id string, last_event_count bigint, last_input_tokens bigint, last_output_tokens bigint, last_cost_micro bigint")
     links = spark.createDataFrame([("a", "stripe", "cus_a"), ("a", "orb", "orb_a"), ("b", "metronome", "mtr_b")], "customer_id string, platform string, external_id string")
-    return export_deltas(usage, mark_frame, links)
+    return export_deltas(usage, mark_frame, links), mark_frame
 
 
 def test_deltas_advance_their_marks(spark):
     deltas, marks = exports(spark, [("a", 4, 500, 400, 23_456), ("gone", 1, 1, 1, 1)])
     a = {r.customer_id: r for r in deltas.collect()}["a"]
     assert (a.new_event_count, a.new_input_tokens, a.new_output_tokens, a.new_cost_micro) == (6, 0, 0, 100_000)
-    assert {r.customer_id for r in marks.collect()} == {"a", "b", "gone"}
-    again, _ = exports(spark, [tuple(r) for r in marks.collect()])
+    after = advance_marks(marks, deltas, export_rows(deltas, "events", "2026070112"), "events")
+    assert {r.customer_id: tuple(r)[1:] for r in after.collect()} == {"a": (10, 500, 400, 23_456), "b": (1, 1, 1, 0), "gone": (1, 1, 1, 1)}
+    paid = advance_marks(after, deltas, export_rows(deltas, "cost", "2026-07"), "cost")
+    assert {r.customer_id: r.last_cost_micro for r in paid.collect()} == {"a": 123_456, "b": 4_000, "gone": 1}
+    again, _ = exports(spark, [tuple(r) for r in paid.collect()])
     assert again.count() == 0
 
 
+def cycles(spark, costs, platforms):
+    """Reported micro-dollars per cycle, cost after cost."""
+    links = spark.createDataFrame([("a", p, f"{p}_a") for p in platforms], "customer_id string, platform string, external_id string")
+    marks = spark.createDataFrame([], "customer_id string, last_event_count bigint, last_input_tokens bigint, last_output_tokens bigint, last_cost_micro bigint")
+    out = []
+    for n, cost in enumerate(costs):
+        usage = spark.createDataFrame([("a", 1, 1, 1, cost)], "customer_id string, event_count bigint, input_tokens bigint, output_tokens bigint, cost_micro bigint")
+        deltas = export_deltas(usage, marks, links)
+        rows = export_rows(deltas, "cost", str(n))
+        marks = spark.createDataFrame([tuple(r) for r in advance_marks(marks, deltas, rows, "cost").collect()], marks.schema)
+        out.append(sorted((r.platform, r.value) for r in rows.collect()))
+    return out
+
+
+def test_small_costs_add_up_to_the_cent(spark):
+    got = cycles(spark, [4_000, 8_000, 12_000, 16_000, 20_000], ["stripe", "metronome"])
+    assert sum(v for rows in got for p, v in rows if p == "stripe") == 2
+    assert sum(v for rows in got for p, v in rows if p == "metronome") == 20_000
+    assert cycles(spark, [4_000, 8_000], ["metronome"]) == [[("metronome", 4_000)], [("metronome", 4_000)]]
+
+
+def test_a_total_that_falls_is_not_billed_again(spark):
+    assert cycles(spark, [100_000, 90_000, 100_000, 110_000], ["stripe"]) == [[("stripe", 10)], [], [], [("stripe", 1)]]
+
+
 def test_export_rows_per_platform(spark):
     deltas, _ = exports(spark, [])
     rows = {(r.platform, r.unit): (r.value, r.idempotency_key) for r in export_rows(deltas, "events", "2026070112").collect()}
@@ -74,10 +102,11 @@ def test_export_rows_per_platform(spark):
         ("stripe", "events"): (10, "meter-a-2026070112-events"),
         ("orb", "input"): (500, "meter-a-2026070112-events-input"),
         ("orb", "output"): (300, "meter-a-2026070112-events-output"),
-        ("metronome", "input_tokens"): (1, "meter-b-2026070112-events"),
-        ("metronome", "output_tokens"): (1, "meter-b-2026070112-events"),
-        ("metronome", "event_count"): (1, "meter-b-2026070112-events"),
+        ("metronome", "input_tokens"): (1, "meter-b-2026070112-events-input_tokens"),
+        ("metronome", "output_tokens"): (1, "meter-b-2026070112-events-output_tokens"),
+        ("metronome", "event_count"): (1, "meter-b-2026070112-events-event_count"),
     }
+    assert len({(k[0], v[1]) for k, v in rows.items()}) == len(rows)
     cost = {(r.platform, r.unit): r.value for r in export_rows(deltas, "cost", "2026-07").collect()}
     assert cost == {("stripe", "cents"): 12, ("orb", "cents"): 12, ("metronome", "micro_usd"): 4_000}
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import usage
@@ -129,6 +131,57 @@ def test_volume_batches_split_hot_keys(spark, tmp_path):
     assert sorted(got.collect()) == sorted(stamp_volume(frame_of).select("event_id", "volume_before").collect())
 
 
+def test_months_out_of_order_keep_their_totals(spark, tmp_path):
+    """January, February, March, April, a far future, January again: one event per micro-batch."""
+    times = ["2024-01-05", "2024-02-05", "2024-03-05", "2024-04-05", "2099-01-01", "2024-01-06", "2024-04-06"]
+    ms = lambda day: int(pd.Timestamp(day, tz="UTC").timestamp() * 1000)
+    rows = [{"event_id": str(i), "customer_id": "c", "model_id": "m", "ts_ms": ms(t), "input_tokens": 100 + i} for i, t in enumerate(times)]
+    feed([events(spark, [r]) for r in rows], tmp_path / "in")
+    stream = stream_of(spark, USAGE_EVENTS, tmp_path / "in")
+    run(sinks.write_windows(state.stamp_volume_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = {r.event_id: r.volume_before for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"0": 0, "1": 0, "2": 0, "3": 0, "4": 0, "5": 100, "6": 103}
+
+
+def test_rows_of_a_batch_are_stamped_in_arrival_order_and_old_months_expire(spark, tmp_path):
+    ms = lambda day: int(pd.Timestamp(day, tz="UTC").timestamp() * 1000)
+    day = 86_400_000
+    first = [{"event_id": str(i), "customer_id": "c", "model_id": "m", "ts_ms": ms("2024-01-10") + (i * 7 % 5), "input_tokens": 2**i} for i in range(5)]
+    later = [{"event_id": "n", "customer_id": "c", "model_id": "m", "ts_ms": ms("2024-03-20"), "input_tokens": 1}]
+    batches = [events(spark, x).withColumn("arrival_seq", F.col("event_id").cast("long") if x is first else F.lit(9).cast("long")) for x in (first, later, [{**later[0], "event_id": "o"}])]
+    batches[0] = batches[0].orderBy(F.desc("arrival_seq"))
+    feed(batches, tmp_path / "in")
+    stream = windows.with_event_time(stream_of(spark, batches[0].schema, tmp_path / "in"), "60 days")
+    run(sinks.write_windows(state.stamp_volume_stream(stream, retain_ms=10 * day), str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = {r.event_id: r.volume_before for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"0": 0, "1": 1, "2": 3, "3": 7, "4": 15, "n": 0, "o": 1}
+    with pytest.raises(ValueError):
+        state.stamp_volume_stream(stream.drop("ts"), retain_ms=1)
+
+
+def test_charges_wait_for_their_budget(spark, tmp_path):
+    move = lambda ts, seq, ref, kind, amount: (None, "c", ts, seq, ref, kind, amount, None, None)
+    batches = [[move(50, 3, "early", "cost", 5), move(200, 3, "x", "cost", 30)], [move(300, 3, "y", "cost", 20)], [move(100, 0, "first", "set", 100)], [move(400, 3, "z", "cost", 60)]]
+    feed([spark.createDataFrame(b, SCHEMA) for b in batches], tmp_path / "in")
+    stream = stream_of(spark, spark.createDataFrame(batches[0], SCHEMA).schema, tmp_path / "in")
+    run(sinks.write_windows(state.budget_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = sorted((r.ts_ms, r.ref, r.balance_micro, r.debt_micro) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(100, "first", 100, 0), (200, "x", 70, 0), (300, "y", 50, 0), (400, "z", 0, 10)]
+
+
+def test_replay_takes_one_row_per_id(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, 20), ("a", 1, 10), ("b", 3, 30), ("k", 4, 40), (None, 5, 50)], "event_id string, arrival_seq bigint, input_tokens bigint")
+    rows.filter("event_id = 'k'").write.parquet(str(tmp_path / "table" / "batch_id=0"))
+    rows.write.parquet(str(tmp_path / "late" / "batch_id=0"))
+    args = (spark, str(tmp_path / "late"), str(tmp_path / "table"))
+    assert late.replay_dlq(*args, dry_run=True) == 3
+    assert late.replay_dlq(*args, max_rows=1) == 1
+    assert late.replay_dlq(*args) == 2
+    assert late.replay_dlq(spark, str(tmp_path / "late"), str(tmp_path / "table")) == 1  # only the one without an id
+    ids = sorted((r.event_id or "", r.input_tokens) for r in spark.read.parquet(str(tmp_path / "table")).collect())
+    assert ids == [("", 50), ("", 50), ("a", 10), ("b", 30), ("k", 40)]
+
+
 def test_volume_then_windows_in_one_stream(spark, tmp_path):
     frame_of = events(spark, traffic(60))
     feed([frame_of.filter(F.col("ts_ms") % 2 >= 0).orderBy("ts_ms")], tmp_path / "in")
@@ -159,7 +212,8 @@ def test_span_sessions_split_on_a_pause(spark):
             for i, (t, c) in enumerate([(0, "a"), (59_999, "b"), (119_000, "c"), (200_000, "d")])]
     timed = events(spark, rows).withColumns({"ts": F.timestamp_millis("ts_ms"), "cost_micro": F.lit(1).cast("bigint")})
     found = sorted((r.first_ts_ms, r.duration_ms, r.call_count, r.customer_id, r.tenant_id) for r in usage.span_sessions(timed).collect())
-    assert found == [(0, 119_000, 3, "c", "t"), (200_000, 0, 1, "d", None)]
+    # the first event is another tenant's, so it is a run of its own
+    assert found == [(0, 0, 1, "a", "t"), (59_999, 59_001, 2, "c", None), (200_000, 0, 1, "d", None)]
 
 
 def test_rollup_stream_adds_up(spark, tmp_path):
