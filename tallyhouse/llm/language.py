@@ -160,8 +160,9 @@ def identify(
     text: str = "text",
     declared: str | None = "lang",
     address: str | None = "source",
+    names: tuple[str, str, str] = ("language", "confidence", "accepted"),
 ) -> DataFrame:
-    """Documents with ``language``, ``confidence`` (its posterior) and ``accepted``.
+    """Documents with ``language``, ``confidence`` (its posterior) and ``accepted``, or so named.
 
     Rejected are documents whose best hypothesis is ``und`` or less likely than one half, and
     those without a letter (null and empty texts too): they are ``und`` with confidence 0.
@@ -172,11 +173,12 @@ def identify(
     rows = boxed(docs)
     host = host_of(field(address)) if address else F.lit("")
     said = code(field(declared)) if declared else F.lit("")
-    work = rows.withColumns({"text": field(text).cast("string"), "host": host, "declared": said}).withColumn("suffix", suffix_of(F.col("host")))
+    work = rows.withColumns({"host": host, "declared": said}).withColumn("suffix", suffix_of(F.col("host")))
+    whole = field(text).cast("string")
     n = len(model.languages) + 1
     parts = "host string, suffix string, declared string, language long, n double"
     place = f"{shared_folder(docs.sparkSession).rstrip('/')}/language-{uuid.uuid4().hex}"
-    seen = work.select("text", "host", "suffix", "declared").mapInArrow(_shares(model), parts)
+    seen = work.select(whole.alias("text"), "host", "suffix", "declared").mapInArrow(_shares(model), parts)
     seen.groupBy("host", "suffix", "declared", "language").agg(F.sum("n").alias("n")).write.parquet(f"{place}/shares")
     shares = docs.sparkSession.read.parquet(f"{place}/shares")
     logs = _declared_logs(shares, model)
@@ -199,6 +201,6 @@ def identify(
         names = [*model.languages, NONE]
         return pd.DataFrame({"language": [NONE if x else names[b] for b, x in zip(best, blank)], "confidence": np.where(blank, 0.0, posterior[np.arange(len(best)), best])})
 
-    judged = work.join(known, "host").withColumn("_judged", judge("text", "declared", "counts", "prior"))
+    judged = work.join(known, "host").withColumn("_judged", judge(whole, "declared", "counts", "prior"))
     accepted = (F.col("_judged.language") != NONE) & (F.col("_judged.confidence") >= SURE)
-    return unboxed(judged.select(ROW, "_judged"), docs.columns, {"language": F.col("_judged.language"), "confidence": F.col("_judged.confidence"), "accepted": accepted})
+    return unboxed(judged.select(ROW, "_judged"), docs.columns, dict(zip(names, (F.col("_judged.language"), F.col("_judged.confidence"), accepted))))

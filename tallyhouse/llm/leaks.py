@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .frames import ROW, blocks_for, boxed, field, text_bytes, unboxed
 from .words import in_slices
 
-ERROR_RATE = 0.06
+ERROR_RATE = 0.07
 ITEM_BYTES = 4 << 20
 
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))

@@ -144,7 +144,8 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     chosen = targets.select(F.col(f"`{key}`").cast("long").alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    marked = rows.join(chosen, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Target keys grow with the corpus: always a shuffle, so that no size changes the plan.
+    marked = rows.join(chosen.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = marked.mapInArrow(_counts, "gram long, target long, background long")
     counted = counted.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     table = durable(losses(durable(counted)))

@@ -5,10 +5,12 @@ symbol, or adjacent pairs whose first symbol is a left and second a right one. A
 a hash of what it stands for, and sides are bits of names, so tasks name alike without
 talking, and equal substrings get equal interior symbols. Each symbol carries the span of
 words that its name and limits depend on. A window of words chooses, among the symbols
-whose span it holds, that of the least name: equal windows choose equal symbols. Spark
-counts chosen names over the whole corpus; a window whose symbol occurs once cannot
-repeat. Windows with a shared symbol (or none at all, as within a long run) are verified
-by the hash of all their words, counted over the whole corpus in the same way.
+whose span it holds, that of the least name: equal windows choose equal symbols. Windows
+in a row with the same choice form a stretch. Spark counts chosen names, and hashes of
+all words of a stretch, over the whole corpus. A window whose symbol occurs once cannot
+repeat; a stretch that occurs twice repeats in all its windows. Only the windows of names
+with a stretch that shares its symbol but not all its words (or windows that hold no
+symbol at all, as within a long run) are verified one by one, by the hash of their words.
 
 Texts are dealt to blocks of bounded bytes; a name or hash travels once per block, so a
 passage that a third of all documents share costs each block one row.
@@ -23,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import ROW, blocks_for, boxed, durable, field, text_bytes, unboxed
-from .words import CHUNK, POWERS, Words, mix, powers
+from .frames import ROW, blocks_for, boxed, field, stored, text_bytes, unboxed
+from .words import CHUNK, POWERS, Words, in_slices, mix, powers
 
 WINDOW = 35
 ROUNDS = ("run", "pair", "pair", "pair", "pair")
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 FAR = 1 << 40
 SCALE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +93,29 @@ class Parsed:
             more = begin + shift <= low
             at, begin, low = at[more], begin[more], low[more]
 
+    def stretches(self, size: int) -> tuple[np.ndarray, ...]:
+        """First and last window, name and hash of all words of each stretch, and whether its name may occur twice."""
+        at = np.flatnonzero(self.whole & (self.chosen != NONE))
+        name = self.chosen[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (self.text[at][1:] != self.text[at][:-1])
+        begin = np.flatnonzero(new)
+        first, last, name = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(at) else at, name[begin]
+        power, inverse, total = _sums(self.words.hashes)
+        length = (last + size - first).astype(np.uint64)
+        whole = mix((total[last + size] - total[first]) * inverse[first] + length * np.uint64(0xA0761D6478BD642F))
+        all_names, n = np.unique(self.names, return_counts=True)
+        twice = n[np.searchsorted(all_names, name)] > 1
+        return first, last, name, whole, twice
+
+
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers, their inverses, and running sums of hash times power."""
+    power, inverse = POWERS if len(h) < CHUNK else powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    return power, inverse, total
+
 
 def windowed(column, size: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words, the number of each word's text, and whether a window begins at it."""
@@ -106,31 +131,25 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(h), np.uint64)
     m = len(h) - size + 1
     if m > 0:
-        power, inverse = POWERS if len(h) <= CHUNK else powers(len(h))
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * power[: len(h)], out=total[1:])
+        _, inverse, total = _sums(h)
         out[:m] = mix((total[size:] - total[:m]) * inverse[:m])
     return out
 
 
 def _named(size, rounds):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, ["text"], BLOCK_BYTES):
             p = Parsed(batch.column("text"), size, rounds)
-            block = np.asarray(batch.column("block"))
-            at = np.flatnonzero(p.whole & (p.chosen != NONE))
-            if not len(at):
-                continue
-            new = np.concatenate(([True], (p.chosen[at][1:] != p.chosen[at][:-1]) | (p.text[at][1:] != p.text[at][:-1])))
-            at = at[new]
-            name, of = p.chosen[at], block[p.text[at]]
-            all_names, n = np.unique(p.names, return_counts=True)
-            order = np.lexsort((name, of))
-            name, of = name[order], of[order]
-            new = np.concatenate(([True], (name[1:] != name[:-1]) | (of[1:] != of[:-1])))
-            name, of = name[new], of[new]
-            times = np.minimum(n[np.searchsorted(all_names, name)], 2)
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(name.view(np.int64)), pa.array(times.astype(np.int64))], ["block", "name", "n"])
+            first, _, name, whole, twice = p.stretches(size)
+            of = np.asarray(batch.column("block"))[p.text[first]]
+            order = np.lexsort((whole, name, of))
+            of, name, whole, twice = of[order], name[order], whole[order], twice[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])
+            begin = np.flatnonzero(new)
+            times = np.diff(np.append(begin, len(of)))
+            columns = [of[begin], name[begin].view(np.int64), whole[begin].view(np.int64), np.where(twice[begin], 2, times), times]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["block", "name", "whole", "n", "times"])
 
     return run
 
@@ -162,16 +181,19 @@ def _candidates(size, rounds):
 OUT_HASHES = pa.schema([("block", pa.int64()), ("name", pa.int64()), ("n", pa.int64())])
 
 
-def _cut(size, schema):
+def _cut(text, size, rounds, schema):
     def run(texts, repeated):
         if not texts.num_rows:
             return schema.empty_table()
-        w, of, whole = windowed(texts.column("text"), size)
-        n = len(of)
+        rows = texts.column(ROW).combine_chunks()
+        p, flags = Parsed(rows.field(text), size, rounds), _flags(repeated)
+        w, n = p.words, len(p.text)
         edge = np.zeros(n + size + 1, np.int64)
-        begin = np.flatnonzero(whole & _member(window_hashes(w.hashes, size), _flags(repeated)))
-        np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + size, -1)
+        begin = np.flatnonzero(p.whole & _member(window_hashes(w.hashes, size), flags))
+        first, last, _, whole, _ = p.stretches(size)
+        same = _member(whole, flags)
+        np.add.at(edge, np.concatenate((begin, first[same])), 1)
+        np.add.at(edge, np.concatenate((begin, last[same])) + size, -1)
         keep = np.cumsum(edge)[:n] == 0
         data = w.data.tobytes()
         removed = np.diff(np.concatenate(([0], np.cumsum(~keep)))[w.first])
@@ -180,17 +202,11 @@ def _cut(size, schema):
             a, b = w.first[i], w.first[i + 1]
             on = np.flatnonzero(keep[a:b]) + a
             kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[on].tolist(), w.ends[on].tolist())]).decode())
-        return pa.table([texts.column(ROW).combine_chunks(), pa.array(np.diff(w.first)), pa.array(removed), pa.array(kept, pa.string())], names=[ROW, "n_words", "n_removed", "kept"])
+        return pa.table([rows, pa.array(np.diff(w.first)), pa.array(removed), pa.array(kept, pa.string())], names=[ROW, "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _repeated(counted: DataFrame) -> DataFrame:
-    """(block, name) of the names that occur twice or more; a name has at most one row per block."""
-    total = F.sum("n").over(Window.partitionBy("name"))
-    return counted.withColumn("total", total).filter("total > 1").select("block", "name")
-
-
 def cut_repeats(
     docs: DataFrame,
     text: str = "text",
@@ -198,8 +214,9 @@ def cut_repeats(
     window: int = WINDOW,
     rounds: tuple[str, ...] = ROUNDS,
     block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str] = ("n_words", "n_removed", "kept"),
 ) -> DataFrame:
-    """Documents with ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space).
+    """Documents with ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space), or so named.
 
     A word is removed if a window of ``window`` words that covers it also starts
     anywhere else, the same document included; windows are judged on the input. A null or
@@ -213,12 +230,19 @@ def cut_repeats(
     block = F.pmod(F.xxhash64(field(key), field(text)), F.lit(n_blocks)).alias("block")
     texts = rows.select(block, field(text).cast("string").alias("text"))
     parts = "block long, name long, n long"
-    named = texts.mapInArrow(_named(window, rounds), parts).groupBy("block", "name").agg(F.sum("n").alias("n"))
-    shared = durable(_repeated(named))
+    # A name, stretch or window has at most one row per block below, so no group exceeds the blocks.
+    found = texts.mapInArrow(_named(window, rounds), "block long, name long, whole long, n long, times long")
+    found = found.groupBy("block", "name", "whole").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    by = Window.partitionBy("name")
+    counted = found.withColumn("total", F.sum("n").over(by)).filter("total > 1")
+    counted = counted.withColumn("wholes", F.sum("times").over(Window.partitionBy("name", "whole")))
+    counted = stored(counted.withColumn("least", F.min("wholes").over(by)).select("block", "name", "whole", "wholes", "least"))
     by_block = lambda df: df.groupBy("block")
-    hashes = by_block(texts).cogroup(by_block(shared)).applyInArrow(_candidates(window, rounds), parts)
-    repeated = durable(_repeated(hashes))
-    whole = rows.select(block, field(text).cast("string").alias("text"), ROW)
+    unlike = counted.filter("least = 1").select("block", "name").distinct()
+    hashes = by_block(texts).cogroup(by_block(unlike)).applyInArrow(_candidates(window, rounds), parts)
+    again = stored(hashes.withColumn("total", F.sum("n").over(by)).filter("total > 1").select("block", "name"))
+    repeated = again.unionAll(counted.filter("wholes > 1").select("block", F.col("whole").alias("name")).distinct())
+    whole = rows.select(block, ROW)
     made = T.StructType([rows.schema[0], *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
-    out = by_block(whole).cogroup(by_block(repeated)).applyInArrow(_cut(window, to_arrow_schema(made)), made)
-    return unboxed(out, docs.columns, {c: F.col(c) for c in ("n_words", "n_removed", "kept")})
+    out = by_block(whole).cogroup(by_block(repeated)).applyInArrow(_cut(text, window, rounds, to_arrow_schema(made)), made)
+    return unboxed(out, docs.columns, {name: F.col(c) for name, c in zip(names, ("n_words", "n_removed", "kept"))})
