@@ -20,11 +20,17 @@ from tallyhouse.llm.repeats import cut_repeats
 from tallyhouse.session import shared_folder
 
 
+def _unused(docs: DataFrame, n: int) -> tuple[str, ...]:
+    """Names that no column of the documents has."""
+    free = (name for name in (f"_{i}" for i in range(len(docs.columns) + n)) if name not in docs.columns)
+    return tuple(next(free) for _ in range(n))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a language that the model knows; ``lang`` stays as declared."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text", "lang", "source")
-    judged = identify(rows, fit(docs)).filter("accepted")
-    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    names = _unused(docs, 3)
+    judged = identify(docs, fit(docs), names=names)
+    return judged.filter(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -37,11 +43,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
     A document of which no word is left goes; one that had none stays.
     """
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text")
-    cut = cut_repeats(rows).filter("n_removed = 0 or n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars"))}
-    return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    n_words, n_removed, kept = names = _unused(docs, 3)
+    cut = cut_repeats(docs, names=names).filter((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_words)))
+    changed = F.col(n_removed) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept)).otherwise(F.col("n_chars"))}
+    return cut.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
