@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..session import durable
 from .joins import null_safe_join
 
+BROADCAST_ROWS = 100_000
 HOT_ROWS = 5_000_000
 
 
@@ -82,7 +83,7 @@ Hot = HotGroups | int
 def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGroups:
     """Measure group sizes: one pass over the keys, summed before the shuffle.
 
-    At most ``rows / hot_rows`` groups are hot, so their keys may be broadcast.
+    At most ``total_rows / hot_rows`` groups are hot, so the bound of a broadcast is known.
     """
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     total = hot.agg(F.sum("_rows")).first()[0]
@@ -90,6 +91,11 @@ def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotGro
     return HotGroups(keys, total or 0, hot_rows, frame)
 
 
+def _small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast a frame of at most ``most_rows`` rows if that is few; else Spark chooses."""
+    return F.broadcast(df) if most_rows <= BROADCAST_ROWS else df
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], outs: dict[str, Running], hot: Hot = HOT_ROWS
 ) -> DataFrame:
@@ -103,8 +109,9 @@ def running(
         hot = find_hot(df, keys, hot)
     if hot.frame is None:
         return _in_groups(df, keys, order, outs)
-    cold_part = null_safe_join(df, F.broadcast(hot.frame), hot.keys, "left_anti")
-    hot_part = null_safe_join(df, F.broadcast(hot.frame), hot.keys, "left_semi")
+    hot_keys = _small(hot.frame, hot.total_rows // hot.hot_rows)
+    cold_part = null_safe_join(df, hot_keys, hot.keys, "left_anti")
+    hot_part = null_safe_join(df, hot_keys, hot.keys, "left_semi")
     slices = max(2, -(-2 * hot.total_rows // hot.hot_rows))
     return _in_groups(cold_part, keys, order, outs).unionByName(
         _in_slices(hot_part, keys, order, outs, slices)
@@ -142,8 +149,7 @@ def _in_slices(df, keys, order, outs, slices):
         *[r.carried(f"_{name}", earlier).alias(f"_{name}") for name, r in outs.items()],
     ).filter("_earlier > 0").drop("_earlier")
     local = _in_groups(sliced, [*keys, "_slice"], order, outs)
-    # Broadcast: no more rows than slices.
-    joined = null_safe_join(local, F.broadcast(carried), [*keys, "_slice"], "left")
+    joined = null_safe_join(local, _small(carried, slices), [*keys, "_slice"], "left")
     return joined.withColumns(
         {name: r.combine(F.col(f"_{name}"), F.col(name)) for name, r in outs.items()}
     ).drop("_slice", *[f"_{name}" for name in outs])

@@ -94,10 +94,19 @@ def _capped(requests, charges, caps, keys, cap_columns, outs, hot, periods=None)
     capped_charges = null_safe_join(
         charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
     )
-    with_caps = null_safe_join(requests, caps.select(*keys, *cap_columns), keys, "left")
+    # Requests without a key (most have no span) have no cap and go around the join.
+    named = requests.dropna(subset=keys).join(caps.select(*keys, *cap_columns), keys, "left")
+    named = named.select(*requests.columns, *cap_columns)
+    unnamed = requests.filter(" OR ".join(f"{k} IS NULL" for k in keys))
     if periods:
-        with_caps, capped_charges = with_caps.withColumns(periods), capped_charges.withColumns(periods)
-    return spent_before(with_caps, capped_charges, keys, outs, hot)
+        named, capped_charges = named.withColumns(periods), capped_charges.withColumns(periods)
+        unnamed = unnamed.withColumns(periods)
+    return spent_before(named, capped_charges, keys, outs, hot).unionByName(unnamed, allowMissingColumns=True)
+
+
+def ledger_order() -> Column:
+    """Text that sorts like the ledger does inside one instant: by number, then reference."""
+    return F.format_string("%020d|%s", F.col("seq").cast("bigint"), F.coalesce("ref", F.lit("")))
 
 
 def check_decisions(
@@ -127,7 +136,7 @@ def check_decisions(
 
     of_customers = measured(CUSTOMER)
     state = ledger.select(
-        *CUSTOMER, "ts_ms", F.concat_ws("|", F.col("seq").cast("string"), "ref").alias("state_seq"), "balance_micro"
+        *CUSTOMER, "ts_ms", ledger_order().alias("state_seq"), "balance_micro"
     )
     seen = asof_state(requests, state, CUSTOMER, ["balance_micro"], ["request_id"], of_customers)
     held = F.coalesce("held_micro", F.lit(0)) if "held_micro" in columns else F.lit(0)

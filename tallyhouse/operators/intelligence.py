@@ -254,10 +254,10 @@ def cheaper_model(usage: DataFrame, catalog: Catalog) -> DataFrame:
     priced on every model inside the row, as an array of the catalog's length;
     nothing is joined or multiplied out.
     """
-    offers = F.expr("array(" + ", ".join(
-        f"struct({_request_cost(m)} AS cost, {i} AS i, '{name}' AS model)"
+    offers = F.array(*[
+        F.struct(F.expr(_request_cost(m)).alias("cost"), F.lit(i).alias("i"), F.lit(name).alias("model"))
         for i, (name, m) in enumerate(catalog.models.items())
-    ) + ")")
+    ])
     named = usage.withColumns({"_name": normalized_model(F.col("model_id"), catalog), "_offers": offers})
     own = F.get(F.filter("_offers", lambda o: o["model"] == F.col("_name")), F.lit(0))["cost"]
     priced = named.withColumns(

@@ -700,7 +700,7 @@ def _requests(priced):
 def asof_balances(spark, folder):
     ledger = _ledger(spark, folder)
     states = ledger.select(
-        *CUSTOMER, "ts_ms", F.concat_ws("|", F.col("seq").cast("string"), "ref").alias("state_seq"), "balance_micro"
+        *CUSTOMER, "ts_ms", admission.ledger_order().alias("state_seq"), "balance_micro"
     )
     requests = _requests(_priced(spark, folder, BUDGET_SCALE)).select(*CUSTOMER, "ts_ms", "request_id")
     return admission.asof_state(requests, states, CUSTOMER, ["balance_micro"], ["request_id"])
@@ -740,7 +740,7 @@ def hold_ledger(spark, folder):
         ).alias("_a"),
     ).select(*CUSTOMER, "parent_span_id", "amount_micro", "_a.*")
     states = _ledger(spark, folder, priced).select(
-        *CUSTOMER, "ts_ms", F.concat_ws("|", F.col("seq").cast("string"), "ref").alias("state_seq"), "balance_micro"
+        *CUSTOMER, "ts_ms", admission.ledger_order().alias("state_seq"), "balance_micro"
     )
     with_balance = admission.asof_state(actions, states, CUSTOMER, ["balance_micro"], ["action_id"]).filter(
         "balance_micro IS NOT NULL"
