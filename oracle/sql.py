@@ -5,6 +5,8 @@ Common parts are named sub-queries; each query lists the ones it needs.
 
 from __future__ import annotations
 
+from tallyhouse.operators.budget import ALERT_TTL_MS, WARN_PERCENTS
+from tallyhouse.operators.dedup import RETENTION_MS
 from tallyhouse.plans.registry import (
     BASELINE, BUDGET_SCALE, BUDGETS_RESET_MS, BUDGETS_SET_MS, NOW_MS, PERIOD, RERATE_END_MS, RERATED, TIER_SCALE,
 )
@@ -532,6 +534,37 @@ def oracle_queries() -> dict[str, str]:
         UNION ALL SELECT event_id, ts_ms FROM (SELECT f.event_id, min(f.ts_ms) AS ts_ms FROM kept k JOIN firsts f
           ON f.event_id = k.event_id AND f.ts_ms >= k.ts_ms + 3600000 GROUP BY f.event_id, k.ts_ms))"""],
         f"SELECT event_id, ts_ms, {KEYS} FROM firsts JOIN kept USING (event_id, ts_ms)")
+    deduped = [raw(), f"""firsts AS (
+        SELECT * REPLACE ({normalized('model_id', STANDARD)} AS model_id) FROM raw WHERE NOT heartbeat
+        QUALIFY row_number() OVER (PARTITION BY event_id, ts_ms ORDER BY {SURVIVOR}) = 1)""", f"""kept AS (
+        SELECT event_id, min(ts_ms) AS ts_ms FROM firsts GROUP BY event_id
+        UNION ALL SELECT event_id, ts_ms FROM (SELECT f.event_id, min(f.ts_ms) AS ts_ms FROM kept k JOIN firsts f
+          ON f.event_id = k.event_id AND f.ts_ms >= k.ts_ms + {RETENTION_MS['dedup']} GROUP BY f.event_id, k.ts_ms))"""]
+    # Sequential rules, one event of every customer per step of the recursion.
+    add("package_drawdown", [*deduped, f"""draws AS (
+        SELECT customer_id, event_id, ts_ms, {TOTAL} AS total_tokens, row_number() OVER (PARTITION BY customer_id ORDER BY ts_ms, event_id) AS k
+        FROM firsts JOIN kept USING (event_id, ts_ms) WHERE CAST(substr(customer_id, 6) AS INT) % 5 = 0)""", """steps AS (
+        SELECT *, total_tokens <= 50000 AS accepted, 50000 - CASE WHEN total_tokens <= 50000 THEN total_tokens ELSE 0 END AS remaining_tokens FROM draws WHERE k = 1
+        UNION ALL SELECT d.*, d.total_tokens <= s.remaining_tokens, s.remaining_tokens - CASE WHEN d.total_tokens <= s.remaining_tokens THEN d.total_tokens ELSE 0 END
+        FROM steps s JOIN draws d ON d.customer_id = s.customer_id AND d.k = s.k + 1)"""],
+        "SELECT customer_id, event_id, ts_ms, total_tokens, accepted, remaining_tokens FROM steps")
+    add("warn_ladder", [*ledger(), f"""charged AS (
+        SELECT *, balance_micro <= 0 AS spent_out, CASE WHEN initial_micro + topup_micro > 0 THEN
+            least(100.0::DOUBLE, greatest(0, initial_micro + topup_micro - balance_micro) / CAST(initial_micro + topup_micro AS DOUBLE) * 100.0::DOUBLE) END AS spent_pct
+        FROM (SELECT *, first_value(alert_threshold_micro) OVER (PARTITION BY {CUST}, epoch ORDER BY ts_ms, seq, ref ROWS UNBOUNDED PRECEDING) AS explicit FROM ledger)
+        WHERE kind = 'cost'),
+      tested AS (
+        SELECT {CUST}, ts_ms, ref, balance_micro, spent_pct, rung,
+          NOT spent_out AND coalesce(CASE WHEN rung = 100 THEN balance_micro <= explicit ELSE spent_pct >= rung END, FALSE) AS hit,
+          row_number() OVER (PARTITION BY {CUST}, rung ORDER BY ts_ms, seq, ref) AS k
+        FROM charged, (VALUES {', '.join(f'({p})' for p in (*WARN_PERCENTS, 100))}) r(rung)),
+      ladder AS (
+        SELECT *, hit AS warned, CASE WHEN hit THEN ts_ms END AS clock FROM tested WHERE k = 1
+        UNION ALL SELECT t.*, t.hit AND (l.clock IS NULL OR t.ts_ms - l.clock >= {ALERT_TTL_MS}),
+          CASE WHEN t.hit THEN CASE WHEN l.clock IS NULL OR t.ts_ms - l.clock >= {ALERT_TTL_MS} THEN t.ts_ms ELSE l.clock END END
+        FROM ladder l JOIN tested t ON t.tenant_id = l.tenant_id AND t.customer_id = l.customer_id AND t.rung = l.rung AND t.k = l.k + 1)"""],
+        f"""SELECT {CUST}, ts_ms, ref, rung, CASE WHEN rung = 100 THEN 'BUDGET_LOW' ELSE 'BUDGET_WARN' END AS alert, balance_micro, spent_pct FROM ladder WHERE warned
+        UNION ALL SELECT {CUST}, ts_ms, ref, 0, 'BUDGET_EXHAUSTED', balance_micro, spent_pct FROM charged WHERE spent_out""")
     add("windows_applied_once", [*priced(), WINDOWS], f"SELECT {KEYS}, window_start_ms, cost_micro FROM windows WHERE window_start_ms >= {BUDGETS_RESET_MS}")
     add("upserted_spans", [*priced(), SPANS], """SELECT tenant_id, parent_span_id, CASE WHEN call_count > 3 THEN total_tokens ELSE 0 END AS total_tokens,
         cost_micro, CASE WHEN call_count > 3 THEN 2 ELSE 1 END AS version FROM spans""")
