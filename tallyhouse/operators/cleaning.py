@@ -83,10 +83,32 @@ def normalized_model(model: Column, catalog: Catalog) -> Column:
     return name.otherwise(model)
 
 
+# Above so many models and prefixes, names are looked up by joins.
+COMPILED_NAMES = 1_000
+
+
 def normalize_models(df: DataFrame, catalog: Catalog) -> DataFrame:
-    return df.withColumn("raw_model_id", F.col("model_id")).withColumn(
-        "model_id", normalized_model(F.col("model_id"), catalog)
+    """Keep the given name as ``raw_model_id`` and put the catalog's into ``model_id``.
+
+    A small catalog is compiled into the projection (as it always is for streams). For a
+    large one the distinct model ids are looked up, each by its own beginnings, and joined back.
+    """
+    named = df.withColumn("raw_model_id", F.col("model_id"))
+    if df.isStreaming or len(catalog.models) + len(catalog.prefixes) <= COMPILED_NAMES:
+        return named.withColumn("model_id", normalized_model(F.col("model_id"), catalog))
+    spark = df.sparkSession
+    ids = df.select("model_id").filter("model_id IS NOT NULL AND model_id <> ''").distinct()
+    listed = spark.createDataFrame([(m,) for m in catalog.models], "model_id string").withColumn("_listed", F.lit(True))
+    prefixes = spark.createDataFrame([(p, i) for i, p in enumerate(catalog.prefixes)], "_head string, _at int")
+    lengths = F.sequence(F.lit(0), F.length("model_id"))
+    heads = ids.withColumn("_head", F.explode(F.transform(lengths, lambda n: F.substring("model_id", F.lit(1), n))))
+    first = heads.join(prefixes, "_head").groupBy("model_id").agg(F.min_by("_head", "_at").alias("_prefix"))
+    names = ids.join(listed, "model_id", "left").join(first, "model_id", "left").select(
+        F.col("model_id").alias("_id"),
+        F.when(F.col("_listed"), F.col("model_id")).otherwise(F.coalesce("_prefix", "model_id")).alias("_name"),
     )
+    joined = named.join(names, F.col("model_id") == F.col("_id"), "left")
+    return joined.withColumn("model_id", F.coalesce("_name", F.lit("unknown"))).drop("_id", "_name")
 
 
 def scope_tenant(df: DataFrame) -> DataFrame:

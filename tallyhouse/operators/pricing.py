@@ -30,18 +30,20 @@ CATEGORY_PRICE = {
 
 def _price_columns(catalog: Catalog):
     """(rows, default row, names, schema) of the catalog, one column per tier bound and price."""
+    tier_count = catalog.tier_count
+
     def row(m: ModelPrice):
         cells = [m.model_id, m.mode]
-        padded = list(m.tiers) + [None] * (catalog.tier_count - len(m.tiers))
+        padded = list(m.tiers) + [None] * (tier_count - len(m.tiers))
         for t in padded:
             cells += [t.lo, t.hi, t.input, t.output, t.embed] if t else [OPEN_END, OPEN_END, 0.0, 0.0, 0.0]
         return tuple(cells)
 
     names = ["_model", "_mode"] + [
-        f"_{part}{i}" for i in range(catalog.tier_count)
+        f"_{part}{i}" for i in range(tier_count)
         for part in ("lo", "hi", "input", "output", "embed")
     ]
-    types = ["string", "string"] + ["bigint", "bigint", "double", "double", "double"] * catalog.tier_count
+    types = ["string", "string"] + ["bigint", "bigint", "double", "double", "double"] * tier_count
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types))
     return [row(m) for m in catalog.models.values()], row(catalog.defaults), names, schema
 

@@ -173,3 +173,19 @@ def test_model_switch_text(spark):
     row = simulate_model_switch(scenario, STANDARD).first()
     assert row.annual_savings_usd == pytest.approx((7.5 - 0.45) * 24)
     assert row.notes == "Switch gpt-4o → gpt-4o-mini: $7.50/mo → $0.45/mo ($+7.05/mo)"
+
+
+def test_a_catalog_of_100_000_models_and_prefixes(spark):
+    from tallyhouse.operators.cleaning import normalize_models
+
+    document = {
+        "models": {f"m-{i}": {"input_per_m": float(i)} for i in range(100_000)},
+        "prefix_models": ["m-1x", *[f"p-{i}" for i in range(100_000)], "p"],
+    }
+    large = catalog_from(document)
+    ids = ["m-7", "m-99999", "m-100000", "m-1xyz", "p-12345", "p-12", "p!", "q", "", None, "it's"]
+    rows = [{"event_id": str(n), "customer_id": "c", "model_id": m, "ts_ms": 1, "input_tokens": 1_000_000} for n, m in enumerate(ids)]
+    got = price_events(normalize_models(events(spark, rows), large), large)
+    names = {int(r.event_id): (r.raw_model_id, r.model_id) for r in got.collect()}
+    assert names == dict(enumerate(zip(ids, ["m-7", "m-99999", "m-100000", "m-1x", "p-1", "p-1", "p", "q", "unknown", "unknown", "it's"])))
+    assert {r.event_id: r.cost_micro for r in got.collect() if r.event_id in "01"} == {"0": 7_000_000, "1": 99_999_000_000}
