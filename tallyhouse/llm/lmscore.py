@@ -64,7 +64,7 @@ def _counts(batches):
                 g, n = np.unique(np.concatenate(some), return_counts=True)
                 total[target].append((g, n))
                 held += len(g)
-        if held > 4_000_000:
+        if held > 1_000_000:
             yield from out()
             held = 0
     yield from out()

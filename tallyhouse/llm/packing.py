@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .frames import durable
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 800_000
+CACHE_WORDS, KEPT_WORDS = 500_000, 100_000
 ROUNDS, STEP, NEAR, FEW = 30, 0.15, 0.01, 100  # with few lengths, more and smaller steps
 BATCH_CHARS = 1 << 20
 
@@ -43,7 +44,8 @@ class Encoder:
     """Ids of texts by a word BPE file that lower-cases, splits into words and marks word ends.
 
     Merges stay within words, so each distinct word is encoded once, by the file's own
-    model, and remembered; the memory is emptied when it holds CACHE_WORDS words.
+    model, and remembered. Past CACHE_WORDS, and at the end of a task, the memory goes back
+    to the KEPT_WORDS first met, among which are the frequent ones.
     """
 
     def __init__(self, path: str):
@@ -83,13 +85,15 @@ class Encoder:
                 self.words.update((w, self._read(w)) for w in part)
         self.chunks.update((c, b"".join(map(self.words.__getitem__, words))) for c, words in zip(chunks, split))
 
+    def trim(self) -> None:
+        self.words, self.chunks = (dict(islice(d.items(), KEPT_WORDS)) for d in (self.words, self.chunks))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [None if _OTHER.search(t) else t.lower().split() for t in texts]
         asked = set().union(*[s for s in split if s])
         if len(self.chunks) > CACHE_WORDS:
-            self.words.clear()
-            self.chunks.clear()
+            self.trim()
         new = list(asked.difference(self.chunks))
         if new:
             self._learn(new)
@@ -142,6 +146,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                     yield out()
         if columns[0]:
             yield out()
+        if path in _encoders:
+            _encoders[path].trim()
 
     return run
 
