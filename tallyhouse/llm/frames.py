@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that no plan needs any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """The whole row as one struct column, so that no working column can clash with its own."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(ROW))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import boxed, durable, field, stored, unboxed
+from .frames import boxed, durable, field, release, stored, unboxed
 from .words import Words, in_slices, mix, shingle_set
 
 BAND = 3
@@ -152,6 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "v").join(hop, "component").withColumn("least", F.least("component", "near", "hop"))
         moved = durable(step.select("v", F.col("least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
         labels = moved.drop("moved")
+        release(edges.sparkSession)
         if not moved.filter("moved").head(1):
             return labels
 
@@ -225,6 +226,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     pairs = shared.filter("v > a").select("a", F.col("v").alias("b")).distinct()
     candidates = shared.select("v").unionAll(shared.select(F.col("a").alias("v"))).distinct()
     texts = stored(_texts_of(candidates, classes, rows))
+    release(docs.sparkSession)
     links = _confirmed(pairs, classes, texts)
     found = components(links)
     placed = shared.join(found, "v", "left").select("bucket", "v", F.coalesce("component", "v").alias("c"))
@@ -232,6 +234,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     apart = durable(placed.join(several, "bucket").select("v", "c").distinct())
     if apart.head(1):
         rest = durable(_across(apart, classes, texts).join(pairs, ["a", "b"], "left_anti"))
+        release(docs.sparkSession)
         found = components(durable(links.unionAll(_confirmed(rest, classes, texts))))
     named = classes.join(found, "v", "left").select("digest", "id", F.coalesce("component", "v").alias("c"))
     ids = named.groupBy("c").agg(F.min("id").alias("component_id"))

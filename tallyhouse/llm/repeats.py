@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import ROW, blocks_for, boxed, field, stored, text_bytes, unboxed
+from .frames import ROW, blocks_for, boxed, field, release, stored, text_bytes, unboxed
 from .words import CHUNK, POWERS, Words, in_slices, mix, powers
 
 WINDOW = 35
@@ -237,10 +237,12 @@ def cut_repeats(
     counted = found.withColumn("total", F.sum("n").over(by)).filter("total > 1")
     counted = counted.withColumn("wholes", F.sum("times").over(Window.partitionBy("name", "whole")))
     counted = stored(counted.withColumn("least", F.min("wholes").over(by)).select("block", "name", "whole", "wholes", "least"))
+    release(docs.sparkSession)
     by_block = lambda df: df.groupBy("block")
     unlike = counted.filter("least = 1").select("block", "name").distinct()
     hashes = by_block(texts).cogroup(by_block(unlike)).applyInArrow(_candidates(window, rounds), parts)
     again = stored(hashes.withColumn("total", F.sum("n").over(by)).filter("total > 1").select("block", "name"))
+    release(docs.sparkSession)
     repeated = again.unionAll(counted.filter("wholes > 1").select("block", F.col("whole").alias("name")).distinct())
     whole = rows.select(block, ROW)
     made = T.StructType([rows.schema[0], *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
