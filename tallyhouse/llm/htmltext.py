@@ -3,7 +3,8 @@
 The standard library's parser streams a page once. Block elements cut it into lines; a
 line knows its text, its tags, whether it stands in boilerplate (by element, role,
 class or id), and its region: the article or main element it is in, else the element
-around it. The text-to-tag ratio of all lines is smoothed with a Gaussian kernel; lines above
+around it. Boilerplate is decided for each piece of text: what stands in a script, a button or
+a marked span inside a paragraph is left out of its line, and the rest of the line stays. The text-to-tag ratio of all lines is smoothed with a Gaussian kernel; lines above
 the standard deviation of the smoothed ratios are content, and a region that holds one is taken
 whole, so that short paragraphs stay. Where a page has articles, only they are regions.
 """
@@ -47,7 +48,10 @@ DROPPED_WORDS = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup"}
 CLOSED_BY_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCES = frozenset("ul ol menu dl table tbody thead tfoot select article main section div body nav aside footer header form blockquote".split())
+# Dropped elements that may hold blocks without ending the paragraph around them, and that only their own end tag closes.
+ENCLOSED = frozenset("button template noscript select textarea iframe object svg math canvas audio video".split())
+UNSEEN = frozenset("script style noscript template datalist".split())  # nothing is drawn between the words around them
+FENCES = ENCLOSED | frozenset("ul ol menu dl table tbody thead tfoot select article main section div body nav aside footer header form blockquote".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -73,7 +77,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[int, bool, bool, str, int]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, region, in an article
-        self.text: list[str] = []
+        self.text: list[str] = []  # the pieces of the line that are kept
+        self.place: tuple[int, bool] | None = None  # region and article of the line's first kept word
+        self.hidden = False  # the line has words that are dropped
         self.tags = 0
         self.count = 0
 
@@ -81,18 +87,25 @@ class Lines(HTMLParser):
         return self.open[-1] if self.open else ("", False, 0, False)
 
     def cut(self):
-        text = " ".join("".join(self.text).split())
-        if text:
-            _, dropped, region, article = self._state()
-            self.lines.append((region, article, dropped, text, self.tags))
+        if self.place:
+            self.lines.append((*self.place, False, " ".join("".join(self.text).split()), self.tags))
+        elif self.hidden:
+            _, _, region, article = self._state()
+            self.lines.append((region, article, True, "", self.tags))
         self.text.clear()
-        self.tags = 0
+        self.place, self.hidden, self.tags = None, False, 0
+
+    def _edge(self, dropped):
+        """A block's edge ends the line, unless the block is dropped and stands inside the line."""
+        if not (dropped and self.place):
+            self.cut()
 
     def _pop(self, names, fences=frozenset()):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in names:
-                if not BLOCK.isdisjoint(x[0] for x in self.open[i:]):
-                    self.cut()
+                blocks = [x[1] for x in self.open[i:] if x[0] in BLOCK]
+                if blocks:
+                    self._edge(all(blocks))
                 del self.open[i:]
                 return
             if self.open[i][0] in fences:
@@ -102,20 +115,22 @@ class Lines(HTMLParser):
         self.count += 1
         if tag == "br":
             self.text.append(" ")
-            self.tags += 1
+            self.tags += not self._state()[1]
             return
         if tag in BLOCK:
             if tag in CLOSES_P:
                 self._pop({"p"}, FENCES)
             if tag in CLOSED_BY_ITSELF:
                 self._pop(CLOSED_BY_ITSELF[tag], FENCES)
-            self.cut()
-        self.tags += 1
+            self._edge(self._state()[1])
+        _, dropped, region, article = self._state()
+        self.tags += not dropped
         if tag in VOID:
             return
-        _, dropped, region, article = self._state()
         main = tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in attrs)
         drops = tag in DROPPED or (tag not in ("html", "body") and not main and _marked(attrs)) or (tag == "header" and not article)
+        if drops and tag in DROPPED - UNSEEN:
+            self.text.append(" ")
         if main and not article:
             region, article = self.count, True
         elif tag in BLOCK and not article and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "ul", "ol", "td", "th", "tr", "dt", "dd", "dl"):
@@ -130,11 +145,18 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID:
             return
-        self.tags += 1
-        self._pop({tag}, frozenset() if tag in BLOCK else BLOCK)
+        self.tags += not self._state()[1]
+        self._pop({tag}, frozenset() if tag in BLOCK or tag in ENCLOSED else BLOCK)
 
     def handle_data(self, data):
-        self.text.append(data)
+        _, dropped, region, article = self._state()
+        if not dropped:
+            self.text.append(data)
+        if data.strip():
+            if dropped:
+                self.hidden = True
+            elif not self.place:
+                self.place = (region, article)
 
 
 def smoothed(ratios: list[float]) -> list[float]:

@@ -23,6 +23,28 @@ CASES = [
     ("<p>one</p></div></article><p>two", "one\ntwo"),
 ]
 
+# Dropped elements inside and between the paragraphs of an article.
+INSIDE = [
+    ("<p>A</p><script>var x=1;</script><p>B</p>", "A\nB"),
+    ("<p>A</p><style>p {}</style><noscript><p>n</p></noscript><template><p>t</p></template><button>Go</button><p>B</p>", "A\nB"),
+    ("<p>A</p>\n<span class=ad>buy</span> <a class='share' href=x>tell</a><p>B</p>", "A\nB"),
+    ("<p>one<script>var x=1;</script> two <span class='ad'>buy <b>now</b></span>three</p>", "one two three"),
+    ("<p>one<button><div>Go</div></button>two <svg><title>t</title><text>u</text></svg> three</p>", "one two three"),
+    ("<p>one <select><option>a<option>b</select> two</p><p>three</p>", "one two\nthree"),
+    ("<p>one <noscript><p>no</p></noscript>two <template><p>no<li>no</template>three</p>", "one two three"),
+    ("<p>one <textarea>no</textarea><label>no</label><iframe>no</iframe>two</p>", "one two"),
+    ("<p>one <span class=ad>buy</p><p>two</p>", "one\ntwo"),
+    ("<p>one <a class=share href=x>tell<p>two</p>", "one\ntwo"),
+    ("<p>one</p><select><option>a<option>b</select><p>two</p>", "one\ntwo"),
+    ("<p>one <button><div>Go</p><p>two</p>", "one\ntwo"),
+]
+
+
+@pytest.mark.parametrize("body, text", INSIDE)
+def test_dropped_elements_inside_an_article(body, text):
+    assert main_text(f"<article>{body}</article>") == text
+    assert main_text(f"<main><h1>T</h1>{body}<p>end</p></main>") == f"T\n{text}\nend"
+
 
 @pytest.mark.parametrize("html, text", CASES)
 def test_cases(html, text):
