@@ -24,8 +24,8 @@ from .frames import ROW, boxed, field, unboxed
 from .grams import FEATURES, features, log_shares
 from .words import in_slices
 
-FIT_DOCUMENTS = 20_000
-FIT_LANGUAGES = 64
+FIT_DOCUMENTS = 20_000  # per declared language
+LEAST_SHARE = 1e-16  # a text's posterior below it is lost in the rounding of any sum
 NONE, NONE_PRIOR = "und", 0.01
 OVERLAP = 3.0  # a byte is in three trigrams: their evidence is divided by that
 STRENGTH = 5.0  # documents that a prior one level up counts for
@@ -59,28 +59,37 @@ def code(column: Column) -> Column:
 
 def _counts(batches):
     for batch in in_slices(batches, ["text"]):
-        sums: dict[str, np.ndarray] = {}
+        parts: dict[int, list[np.ndarray]] = {}
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
             f = features(text, letters_only=True)
             if len(f):
-                sums[label] = sums.get(label, 0) + np.bincount(f, minlength=FEATURES)
-        for label, n in sums.items():
-            on = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(on), pa.string()), pa.array(on, pa.int32()), pa.array(n[on], pa.int64())], ["label", "feature", "n"])
+                parts.setdefault(label, []).append(f)
+        for label, part in parts.items():
+            on, n = np.unique(np.concatenate(part), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), label, np.int32)), pa.array(on, pa.int32()), pa.array(n, pa.int64())], ["label", "feature", "n"])
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", bound: int = FIT_DOCUMENTS) -> Model:
-    """Trigram shares from about ``bound`` labelled documents (chosen by a hash of the text), of the FIT_LANGUAGES most frequent labels."""
+    """Trigram shares of every declared language, however rare.
+
+    The labels of all documents are counted. Of a label with more than ``bound`` different texts
+    about ``bound`` are read, chosen by a hash of the text and always with the least hash;
+    of every other label all. Labels without a letter in any of their texts have no model.
+    """
     rows = docs.select(code(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").cast("string").alias("text")).filter("label != '' and text is not null")
-    every = max(1, -(-rows.count() // bound))
-    part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    names = [r["label"] for r in part.groupBy("label").count().orderBy(F.desc("count"), "label").limit(FIT_LANGUAGES).collect()]
-    counted = part.filter(F.col("label").isin(names)).mapInArrow(_counts, "label string, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most FIT_LANGUAGES * FEATURES rows
-    languages = tuple(sorted(got["label"].unique()))
-    table = np.zeros((len(languages), FEATURES))
-    table[[languages.index(x) for x in got["label"]], got["feature"].to_numpy(int)] = got["n"]
-    return Model(languages, log_shares(table) if len(languages) else np.zeros((0, FEATURES), np.float32))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts"), F.min("hash").alias("least")).orderBy("label").collect()
+    steps = 1 << 30
+    # approx_count_distinct errs by several percent, so a label with at most ``bound`` rows is told by their number.
+    shares = [(i, r["label"], r["least"], steps if r["n"] <= bound else -(-steps * bound // max(bound, r["texts"]))) for i, r in enumerate(labels)]
+    rates = docs.sparkSession.createDataFrame(shares, "number int, label string, least long, share long")
+    part = rows.join(F.broadcast(rates), "label").filter((F.pmod("hash", F.lit(steps)) < F.col("share")) | (F.col("hash") == F.col("least")))
+    counted = part.select(F.col("number").alias("label"), "text").mapInArrow(_counts, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()  # at most FEATURES rows per language, 16 bytes each
+    numbers, at = np.unique(got.column("label").to_numpy(), return_inverse=True)
+    table = np.zeros((len(numbers), FEATURES))
+    table[at, got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    return Model(tuple(labels[i]["label"] for i in numbers), log_shares(table) if len(numbers) else np.zeros((0, FEATURES), np.float32))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -103,8 +112,7 @@ def _shares(model: Model):
             sums: dict[tuple, np.ndarray] = {}
             for k, p in zip(keys, posterior):
                 sums[k] = sums[k] + p if k in sums else p.copy()
-            n = posterior.shape[1]
-            rows = [(*k, i, p[i]) for k, p in sums.items() for i in range(n)]
+            rows = [(*k, i, p[i]) for k, p in sums.items() for i in np.flatnonzero(p > LEAST_SHARE).tolist()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["host", "suffix", "declared", "language", "n"])
 

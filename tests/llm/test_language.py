@@ -27,6 +27,24 @@ def test_held_out_accuracy_of_the_text_alone(docs, model):
     assert all(r.accepted for r in got)
 
 
+def test_every_declared_language_has_a_model_at_every_size(spark, docs):
+    """One language in a script of its own and 80 more of one document each, beside many times the bound."""
+    greek = "το ποτάμι κυλούσε δίπλα στον παλιό μύλο και κανείς δεν ζούσε εκεί για πολλά ήσυχα χρόνια "
+    names = [f"{a}{b}q" for a in "abcdefgh" for b in "abcdefghij"]
+    rare = [(-1 - i, " ".join(f"{n}{x}o" for x in "klmnp") + " " + n, n) for i, n in enumerate(names)]
+    rare += [(10**6 + i, greek * (i + 1), "el") for i in range(3)]
+    table = docs.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    model = fit(table, bound=20)
+    assert set(model.languages) == {"en", "de", "fr", "es", "el", *names}
+    got = identify(table.filter("lang = 'el'"), model, declared=None, address=None).collect()
+    assert {(r.language, r.accepted) for r in got} == {("el", True)}
+
+
+def test_a_label_of_copies_keeps_its_model(spark, docs):
+    copies = spark.range(60).select(F.lit("αβγ δεζ ηθι").alias("text"), F.lit("el").alias("lang"))
+    assert "el" in fit(docs.select("text", "lang").unionAll(copies), bound=1).languages
+
+
 def test_declaration_and_host_decide_where_the_text_says_little(spark, model):
     host = lambda lang, n, h: [(i, t, lang, h, 1) for i, t in enumerate([long_text(lang)] * n)]
     rows = host("de", 30, "https://x.de/a") + host("fr", 30, "https://y.fr/b") + [(100, "an", None, "https://x.de/c", 1), (101, "an", None, "https://y.fr/d", 1), (102, "an", "en-GB", "https://z.org", 1), (103, "an", None, "https://new.fr/d", 1)]
