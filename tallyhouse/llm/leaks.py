@@ -1,10 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased, punctuation becomes blanks, and blanks are merged. An item
-of m bytes may occur with up to e = m * ERROR_RATE edits. Cut into e + 1 pieces, at least
-one piece of any such occurrence is unchanged: an Aho-Corasick automaton over all pieces
-finds every exact hit in one pass over the text, and the windows around the hits are
-verified with Myers' bit-parallel edit distance.
+of m characters may occur with up to e edits: m * ERROR_RATE, but at least LEAST_EDITS (two
+replaced words) unless that is more than one in LEAST_OF characters. Cut into e + s pieces, at
+least s pieces of any such occurrence are unchanged, and the starts they give the item differ by e
+at most: an Aho-Corasick automaton over all pieces finds every exact hit in one pass over the
+text, and the windows around s hits with such starts are verified with Myers' bit-parallel
+edit distance.
 """
 
 from __future__ import annotations
@@ -22,14 +24,21 @@ from .frames import ROW, blocks_for, boxed, field, text_bytes, unboxed
 from .words import in_slices
 
 ERROR_RATE = 0.07
+LEAST_EDITS, LEAST_OF = 16, 5
+SEEDS = 4  # pieces that have to agree, where an item is long enough to be cut so often
 ITEM_BYTES = 4 << 20
 
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
 def plain(text: str) -> str:
-    """The text as it is compared: one character per UTF-8 byte."""
-    return b" ".join(text.lower().encode().translate(_PLAIN).split()).decode("latin-1")
+    """The text as it is compared."""
+    return b" ".join(text.lower().encode().translate(_PLAIN).split()).decode()
+
+
+def edits_allowed(length: int, error_rate: float = ERROR_RATE, least_edits: int = LEAST_EDITS) -> int:
+    """The edits that an item of so many characters may have."""
+    return max(int(length * error_rate), min(least_edits, length // LEAST_OF))
 
 
 def least_distance(item: str, text: str) -> int:
@@ -59,38 +68,63 @@ def least_distance(item: str, text: str) -> int:
 class Matcher:
     """Items within their error budget in a text."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, least_edits: int = 0):
         import ahocorasick
 
         self.items = [(key, p) for key, p in ((key, plain(t)) for key, t in items) if p]
-        self.budgets = [int(len(p) * error_rate) for _, p in self.items]
+        self.budgets = np.array([edits_allowed(len(p), error_rate, least_edits) for _, p in self.items], np.int64)
+        self.seeds = np.ones(len(self.items), np.int64)
         pieces: dict[str, list] = defaultdict(list)
-        for n, ((_, p), budget) in enumerate(zip(self.items, self.budgets)):
-            cuts = [len(p) * i // (budget + 1) for i in range(budget + 2)]
+        for n, ((_, p), budget) in enumerate(zip(self.items, self.budgets.tolist())):
+            if budget:
+                self.seeds[n] = min(SEEDS, len(p) - budget)
+            k = budget + int(self.seeds[n])
+            cuts = [len(p) * i // k for i in range(k + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces[p[a:b]].append((n, b))
         self.automaton = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.automaton.add_word(piece, places)
+        for number, piece in enumerate(pieces):
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
+        # Places of piece i: rows first[i] to first[i + 1] of item and end.
+        self.first = np.cumsum([0, *map(len, pieces.values())])
+        self.item, self.end = np.array([x for places in pieces.values() for x in places], np.int64).reshape(-1, 2).T
+
+    def _candidates(self, text: str):
+        """(item, starts in order) where enough pieces agree on a start of the item."""
+        hits = np.fromiter(self.automaton.iter(text), np.dtype((np.int64, 2)))
+        times = np.diff(self.first)[hits[:, 1]]
+        place = np.repeat(self.first[hits[:, 1]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        item = self.item[place]
+        start = np.repeat(hits[:, 0] + 1, times) - self.end[place]
+        span = 2 * len(text) + 1  # starts lie between minus an item's length and the text's
+        low = int(start.min(initial=0))
+        order = np.argsort(item * (span - low) + (start - low), kind="stable")
+        item, start = item[order], start[order]
+        good = np.zeros(len(item), bool)
+        for seeds in range(1, SEEDS + 1):
+            n = len(item) - seeds + 1
+            if n > 0:
+                ahead = slice(seeds - 1, None)
+                at = np.flatnonzero((self.seeds[item[:n]] == seeds) & (item[:n] == item[ahead]) & (start[ahead] - start[:n] <= self.budgets[item[:n]]))
+                for i in range(seeds):
+                    good[at + i] = True
+        item, start = item[good], start[good]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        return [(int(i[0]), s.tolist()) for i, s in zip(np.split(item, cuts), np.split(start, cuts)) if len(i)]
 
     def __call__(self, text: str | None) -> list[tuple[int, int]]:
         """(item key, distance) of each item found."""
         if not text or not len(self.automaton):
             return []
         text = plain(text)
-        starts = defaultdict(list)
-        for end, places in self.automaton.iter(text):
-            for n, b in places:
-                starts[n].append(end + 1 - b)
         found = []
-        for n, at in starts.items():
-            (key, item), budget = self.items[n], self.budgets[n]
+        for n, at in self._candidates(text):
+            (key, item), budget = self.items[n], int(self.budgets[n])
             best = budget + 1
             if item in text:
                 best = 0
             else:
-                at.sort()
                 lo = hi = None
                 for a in [*at, None]:
                     if lo is not None and (a is None or a - budget > hi):
@@ -113,9 +147,9 @@ def _item_blocks(items: DataFrame, text: str, key: str):
         yield [(r["id"], r["text"]) for r in part.collect()]
 
 
-def _search(items, error_rate):
+def _search(items, error_rate, least_edits):
     def run(batches):
-        match = Matcher(items, error_rate)
+        match = Matcher(items, error_rate, least_edits)
         for batch in in_slices(batches, ["text"]):
             rows = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in match(t)]
             if rows:
@@ -133,6 +167,7 @@ def leaks(
     item_text: str = "text",
     item_key: str = "item_id",
     error_rate: float = ERROR_RATE,
+    least_edits: int = LEAST_EDITS,
 ) -> DataFrame:
     """One row per document and test item found in it: key, ``item_id``, ``distance`` (edits).
 
@@ -143,14 +178,14 @@ def leaks(
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     out = None
     for block in _item_blocks(items, item_text, item_key):
-        found = rows.mapInArrow(_search(block, error_rate), "id long, item_id long, distance int")
+        found = rows.mapInArrow(_search(block, error_rate, least_edits), "id long, item_id long, distance int")
         out = found if out is None else out.unionAll(found)
     return out.withColumnRenamed("id", key)
 
 
-def _clean(items, error_rate, schema):
+def _clean(items, error_rate, least_edits, schema):
     def run(batches):
-        match = Matcher(items, error_rate)
+        match = Matcher(items, error_rate, least_edits)
         for batch in in_slices(batches, ["text"]):
             good = np.array([not match(t) for t in batch.column("text").to_pylist()], bool)
             yield pa.RecordBatch.from_arrays([batch.column(ROW).filter(pa.array(good))], schema=schema)
@@ -158,10 +193,10 @@ def _clean(items, error_rate, schema):
     return run
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", error_rate: float = ERROR_RATE) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", error_rate: float = ERROR_RATE, least_edits: int = LEAST_EDITS) -> DataFrame:
     """The documents that hold no test item; all columns as they are."""
     rows = boxed(docs)
     schema = T.StructType([rows.schema[0]])
     for block in _item_blocks(items, item_text, item_key):
-        rows = rows.select(ROW, field(text).cast("string").alias("text")).mapInArrow(_clean(block, error_rate, to_arrow_schema(schema)), schema)
+        rows = rows.select(ROW, field(text).cast("string").alias("text")).mapInArrow(_clean(block, error_rate, least_edits, to_arrow_schema(schema)), schema)
     return unboxed(rows, docs.columns, {})

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.leaks import ERROR_RATE, Matcher, leaks, least_distance, plain, without_leaks
+from tallyhouse.llm.leaks import ERROR_RATE, LEAST_EDITS, Matcher, edits_allowed, leaks, least_distance, plain, without_leaks
 
 from .helpers import SENTENCE, clashing, empty, odd
 
@@ -51,6 +51,39 @@ def test_edited_passages_are_found_and_others_are_not(spark):
     assert 2 <= int(len(plain(item)) * ERROR_RATE)
 
 
+SHORT = "the old mill by the river had been empty for many years when she came to live there"
+
+
+def test_replaced_words_are_found_in_short_items(spark):
+    changed = [SHORT.replace("empty", "deserted"), SHORT.replace("river", "harbour").replace("years", "winters"), SHORT.replace("she", "suddenly she"), SHORT]
+    other = "she had been to the old mill many times by the river and came there for years to live"
+    docs = spark.createDataFrame([(i, f"something before {t}. and after") for i, t in enumerate([*changed, other])], "doc_id long, text string")
+    got = {r.doc_id: r.distance for r in leaks(docs, items(spark, [(5, SHORT)])).collect()}
+    assert got.keys() == {0, 1, 2, 3} and got[2] == 9 and got[3] == 0
+    assert [r.doc_id for r in without_leaks(docs, items(spark, [(5, SHORT)])).collect()] == [4]
+
+
+def test_edits_are_counted_in_characters():
+    item = "über den flüssen hängen müde nebel und drüben träumt ein kühles dörfchen für sich"
+    text = item.replace("ü", "и").replace("ä", "д")  # eight letters of two bytes become others
+    assert Matcher([(1, item)], 0.12)(f"vor {text} nach") == [(1, 8)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_agreeing_pieces_lose_nothing(seed):
+    r = random.Random(seed)
+    for _ in range(30):
+        item = plain("".join(r.choice("abcdef é ") for _ in range(r.randint(3, 90)))) or "a"
+        budget = edits_allowed(len(item), 0.0)
+        chars = list(item)
+        for _ in range(r.randint(0, budget + 2)):
+            at = r.randrange(len(chars)) if chars else 0
+            chars[at : at + 1] = r.choice(["", "x", "yz", chars[at] + "w"]) if chars else "x"
+        text = plain("".join(r.choice("abcdef ") for _ in range(r.randint(0, 60))) + "".join(chars) + item[: len(item) // 2])
+        distance = table_distance(item, text)
+        assert Matcher([(1, item), (2, item)], 0.0, LEAST_EDITS)(text) == ([(1, distance), (2, distance)] if distance <= budget and text else []), (item, text)
+
+
 def test_many_item_blocks_give_the_same(spark, small, monkeypatch):
     from tallyhouse.llm import leaks as module
 
