@@ -39,13 +39,20 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion"
-    " nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc"
-    " header masthead topbar banner footer foot colophon copyright"
-    " sidebar sidebars aside widget widgets related recommended recommendations trending popular"
-    " cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe signup login paywall disclaimer"
-    " comment comments commentlist disqus respond replies reply discussion"
-    " share sharing social form search hidden".split()
+    " nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager"
+    " masthead topbar banner footer foot colophon copyright"
+    " sidebar sidebars aside widget widgets"
+    " cookie cookies consent gdpr notification notifications alert alerts popup modal overlay newsletter subscribe signup login paywall disclaimer"
+    " comment comments commentlist disqus respond"
+    " share sharing social".split()
 )
+# Class and id words that boilerplate and articles share: elements of them go only if their text is mostly links or,
+# outside an article, if it is thin. A header inside an article belongs to it, and headings are never doubted.
+DOUBTED_WORDS = frozenset(
+    "header toc related recommended recommendations trending popular notice notices replies reply discussion form search hidden".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+THIN = 25  # characters per tag
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup"}
 CLOSED_BY_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Dropped elements that may hold blocks without ending the paragraph around them, and that only their own end tag closes.
@@ -70,6 +77,11 @@ def _marked(attrs) -> bool:
     return False
 
 
+def _doubted(attrs, article: bool) -> bool:
+    words = {p.lower() for name, value in attrs if name in ("class", "id") and value for p in _PART.findall(value)}
+    return not DOUBTED_WORDS.isdisjoint(words - {"header"} if article else words)
+
+
 class Lines(HTMLParser):
     """Collects lines (region, whether the region is an article, boilerplate, text, tags)."""
 
@@ -77,6 +89,10 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[int, bool, bool, str, int]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, region, in an article
+        self.doubts: list[list] = []  # of each doubted element: the one around it, in an article, characters, of links, tags
+        self.inside: list[tuple[int, bool]] = []  # of each open element: the doubted element it is in or -1, in a link
+        self.doubt = -1  # of the line's first kept word
+        self.of_line: list[int] = []  # of each line
         self.text: list[str] = []  # the pieces of the line that are kept
         self.place: tuple[int, bool] | None = None  # region and article of the line's first kept word
         self.hidden = False  # the line has words that are dropped
@@ -89,9 +105,13 @@ class Lines(HTMLParser):
     def cut(self):
         if self.place:
             self.lines.append((*self.place, False, " ".join("".join(self.text).split()), self.tags))
+            self.of_line.append(self.doubt)
+            if self.doubt >= 0:
+                self.doubts[self.doubt][4] += self.tags
         elif self.hidden:
             _, _, region, article = self._state()
             self.lines.append((region, article, True, "", self.tags))
+            self.of_line.append(-1)
         self.text.clear()
         self.place, self.hidden, self.tags = None, False, 0
 
@@ -106,7 +126,7 @@ class Lines(HTMLParser):
                 blocks = [x[1] for x in self.open[i:] if x[0] in BLOCK]
                 if blocks:
                     self._edge(all(blocks))
-                del self.open[i:]
+                del self.open[i:], self.inside[i:]
                 return
             if self.open[i][0] in fences:
                 return
@@ -135,7 +155,12 @@ class Lines(HTMLParser):
             region, article = self.count, True
         elif tag in BLOCK and not article and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "ul", "ol", "td", "th", "tr", "dt", "dd", "dl"):
             region = self.count
+        doubt, link = self.inside[-1] if self.inside else (-1, False)
+        if tag in BLOCK and not (dropped or drops or main or tag in HEADINGS or tag in ("html", "body")) and _doubted(attrs, article):
+            self.doubts.append([doubt, article, 0, 0, 0])
+            doubt = len(self.doubts) - 1
         self.open.append((tag, dropped or drops, region, article))
+        self.inside.append((doubt, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -155,8 +180,25 @@ class Lines(HTMLParser):
         if data.strip():
             if dropped:
                 self.hidden = True
-            elif not self.place:
-                self.place = (region, article)
+            else:
+                doubt, link = self.inside[-1] if self.inside else (-1, False)
+                if not self.place:
+                    self.place, self.doubt = (region, article), doubt
+                if doubt >= 0:
+                    n = len(data.strip())
+                    self.doubts[doubt][2] += n
+                    self.doubts[doubt][3] += n * link
+
+    def judged(self):
+        """The lines, with those of doubted elements that are mostly links or thin as boilerplate."""
+        for around, _, *sums in reversed(self.doubts):  # an element comes after the one around it
+            if around >= 0:
+                for i, n in enumerate(sums, 2):
+                    self.doubts[around][i] += n
+        bad: list[bool] = []
+        for around, article, n, linked, tags in self.doubts:
+            bad.append((around >= 0 and bad[around]) or 2 * linked > n or (not article and n < THIN * tags))
+        return [(r, a, d or (k >= 0 and bad[k]), t, g) for (r, a, d, t, g), k in zip(self.lines, self.of_line)]
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -175,7 +217,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.cut()
-    lines = parser.lines
+    lines = parser.judged()
     ratios = smoothed([0.0 if dropped else len(text) / max(1, tags) for _, _, dropped, text, tags in lines])
     good = [i for i, x in enumerate(lines) if not x[2]]
     if any(lines[i][1] for i in good):

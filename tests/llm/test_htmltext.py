@@ -51,6 +51,27 @@ def test_cases(html, text):
     assert main_text(html) == text
 
 
+# Class and id words that real articles use too.
+DOUBTED = [
+    (f"<div class='entry-header'><h1><a href=x>T</a></h1></div><p>{LONG}</p>", f"T\n{LONG}"),
+    (f"<h2 class=section-header>H</h2><p>{LONG}</p><h3 id=related-work><a href='#r'>R</a></h3>", f"H\n{LONG}\nR"),
+    (f"<section id=discussion><h2>D</h2><p>{LONG}</p></section>", f"D\n{LONG}"),
+    (f"<div class='long-form'><p>{LONG}</p></div><p class=popular>Short.</p>", f"{LONG}\nShort."),
+    (f"<div class='overflow-hidden'><p>{LONG}</p><div class=related><p>See <a href=x>another page</a></p></div></div>", LONG),
+    (f"<p>{LONG}</p><ul class=toc><li><a href=x>one</a><li><a href=y>two</a></ul>", LONG),
+]
+
+
+@pytest.mark.parametrize("body, text", DOUBTED)
+def test_words_that_articles_use_too(body, text):
+    assert main_text(f"<article>{body}</article>") == text
+
+
+def test_doubted_words_outside_an_article():
+    assert main_text(f"<div class=site-header><h1>Site</h1></div><div class=text><p>{LONG}</p></div><div class=search-form>Find it</div>") == LONG
+    assert main_text(f"<div class=long-form><p>{LONG}</p></div>") == LONG
+
+
 def test_whole_long_pages():
     body = "".join(f"<p>word{i} {LONG}</p>" for i in range(5000))
     assert main_text(f"<article>{body}</article>").count("\n") == 4999
