@@ -9,8 +9,8 @@ chance of about 1e-10.
 
 A band's bucket is never expanded into all its pairs. Its least class leads it, and every
 member is paired with the leader. A pair is estimated from the registers, corrected for
-chance collisions, and dropped if it is six standard errors below the threshold; the rest
-is confirmed on full sets. Classes linked so far form components, and a link within one
+chance collisions, and dropped if it is six standard errors below the threshold, unless the
+smaller set has fewer shingles than there are registers; the rest is confirmed on full sets. Classes linked so far form components, and a link within one
 changes nothing. Buckets that still hold several components hand their members to an
 exact step: in the order of rising frequency, two sets above the threshold share a shingle
 among the first 1/7 of the smaller and the first 1/4 of the larger, with enough of both
@@ -120,7 +120,8 @@ def _likely(batches):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
         n, m = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
         sizes = OF * np.minimum(n, m) >= OVER * np.maximum(n, m)
-        good = sizes & (estimate(a, b, n, m) >= least)
+        # Small sets leave buckets empty, and borrowed registers are not independent: these are compared in full.
+        good = sizes & ((np.minimum(n, m) < REGISTERS) | (estimate(a, b, n, m) >= least))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
 

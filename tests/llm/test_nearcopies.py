@@ -62,3 +62,15 @@ def test_estimates_are_close_and_corrected_for_chance():
         errors.append(float(estimate(r[:1], r[1:], np.array([len(x)]), np.array([len(y)]))[0]) - 0.75)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
     assert 0 < nearcopies.chance(np.array([10**6]), np.array([10**6]))[0] < 0.002
+
+
+def test_small_sets_are_compared_in_full_whatever_their_estimate():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyhouse.llm.nearcopies import REGISTERS, _likely
+
+    a, b = np.zeros(REGISTERS, np.uint16).tobytes(), np.ones(REGISTERS, np.uint16).tobytes()
+    rows = {"a": [1, 2, 3], "b": [11, 12, 13], "n_a": [4, 4, 400], "n_b": [3, 2, 300], "sketch_a": [a] * 3, "sketch_b": [b] * 3}
+    (out,) = _likely([pa.RecordBatch.from_pydict(rows)])
+    assert out.column("a").to_pylist() == [1]
