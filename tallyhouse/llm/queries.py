@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
-from .frames import table
+from . import crosstok, language, quality, toxicity
+from .frames import stored, table
 from .htmltext import extract_text
 from .leaks import leaks
 from .lmscore import cross_entropy_difference
 from .nearcopies import near_copies
 from .nearest import nearest
 from .packing import pack
+from .periodic import mark_runs
 from .repeats import cut_repeats
 from .urls import Rule, judge
 
@@ -85,6 +86,52 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How two tokenizers' tokens of every document align, and how common its linked pairs of ids are."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = crosstok.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    kept = stored(aligned.select("doc_id", "block", "n_a", "n_b", "n_groups", "n_links", "pairs", digest.alias("groups_sha256")))
+    return crosstok.weigh(kept).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """Texts of ``doc_id`` and ``text``, of which those with a checksum that ends in 0 repeat a stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, words))
+    made = made.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    made = made.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    looped = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.element_at("words", (place(i) + 1).cast("int")))
+    return made.select("doc_id", F.when(F.col("n") > 0, F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    found = mark_runs(_looped(table(spark, folder, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    longest = F.array_min(order)
+    found = found.withColumn("longest", longest)
+    length = -F.col("longest.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        F.col("longest.period").alias("period"), F.floor(1000 * length / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of a third of the ids are held out."""
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels").filter(third != 1))
+    return toxicity.score(docs, model).select("doc_id", (third == 1).alias("held_out"), "score", "predicted")
+
+
 NEAREST = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -148,6 +195,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
         op1_packing, op2_language, op3_nearest, op4_main_text, op5_substring_dedup,
         op6_lm_score, op7_url_filter, op8_near_duplicates,
         op9_quality, op10_decontamination,
+        op11_alignment, op12_periodic_runs, op13_toxicity,
     )}
 
 ORACLES: dict[str, str] = {
