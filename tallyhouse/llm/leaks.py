@@ -5,13 +5,16 @@ of m characters may occur with up to e edits: m * ERROR_RATE, but at least LEAST
 replaced words) unless that is more than one in LEAST_OF characters. Cut into e + s pieces, at
 least s pieces of any such occurrence are unchanged, and the starts they give the item differ by e
 at most: an Aho-Corasick automaton over all pieces finds every exact hit in one pass over the
-text, and the windows around s hits with such starts are verified with Myers' bit-parallel
-edit distance.
+text, and the windows around s hits of different pieces with such starts are candidates. e edits leave
+all but GRAM * e of an item's runs of GRAM characters as they are, so a window that holds fewer of them is none;
+the others are verified with Myers' bit-parallel edit distance. Texts are searched many at a time, joined by
+characters that no item holds and more of them than an item may reach over.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ from .words import in_slices
 ERROR_RATE = 0.07
 LEAST_EDITS, LEAST_OF = 16, 5
 SEEDS = 4  # pieces that have to agree, where an item is long enough to be cut so often
-ITEM_BYTES = 4 << 20
+ITEM_BYTES, TEXT_BYTES = 4 << 20, 1 << 20
+GRAM = 3
 
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -80,8 +84,10 @@ class Matcher:
                 self.seeds[n] = min(SEEDS, len(p) - budget)
             k = budget + int(self.seeds[n])
             cuts = [len(p) * i // k for i in range(k + 1)]
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in pairwise(cuts):
                 pieces[p[a:b]].append((n, b))
+        self.grams = [[p[i : i + GRAM] for i in range(len(p) - GRAM + 1)] for _, p in self.items]
+        self.gap = "\n" * (2 * max((len(p) for _, p in self.items), default=0) + 4 * int(self.budgets.max(initial=0)) + 1)
         self.automaton = ahocorasick.Automaton()
         for number, piece in enumerate(pieces):
             self.automaton.add_word(piece, number)
@@ -90,51 +96,81 @@ class Matcher:
         self.first = np.cumsum([0, *map(len, pieces.values())])
         self.item, self.end = np.array([x for places in pieces.values() for x in places], np.int64).reshape(-1, 2).T
 
-    def _candidates(self, text: str):
-        """(item, starts in order) where enough pieces agree on a start of the item."""
+    def _candidates(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start of the item), in order, of hits that enough other pieces agree with."""
         hits = np.fromiter(self.automaton.iter(text), np.dtype((np.int64, 2)))
         times = np.diff(self.first)[hits[:, 1]]
         place = np.repeat(self.first[hits[:, 1]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item = self.item[place]
-        start = np.repeat(hits[:, 0] + 1, times) - self.end[place]
-        span = 2 * len(text) + 1  # starts lie between minus an item's length and the text's
+        item, end = self.item[place], self.end[place]
+        start = np.repeat(hits[:, 0] + 1, times) - end
         low = int(start.min(initial=0))
-        order = np.argsort(item * (span - low) + (start - low), kind="stable")
-        item, start = item[order], start[order]
+        order = np.argsort(item * (len(text) + 1 - low) + (start - low), kind="stable")
+        item, start, end = item[order], start[order], end[order]
         good = np.zeros(len(item), bool)
-        for seeds in range(1, SEEDS + 1):
-            n = len(item) - seeds + 1
-            if n > 0:
-                ahead = slice(seeds - 1, None)
-                at = np.flatnonzero((self.seeds[item[:n]] == seeds) & (item[:n] == item[ahead]) & (start[ahead] - start[:n] <= self.budgets[item[:n]]))
-                for i in range(seeds):
+        seeds = self.seeds[item]
+        for n in range(1, SEEDS + 1):
+            size = len(item) - n + 1
+            if size > 0:
+                ahead = slice(n - 1, None)
+                at = np.flatnonzero((seeds[:size] == n) & (item[:size] == item[ahead]) & (start[ahead] - start[:size] <= self.budgets[item[:size]]))
+                for i in range(n):
                     good[at + i] = True
-        item, start = item[good], start[good]
-        cuts = np.flatnonzero(np.diff(item)) + 1
-        return [(int(i[0]), s.tolist()) for i, s in zip(np.split(item, cuts), np.split(start, cuts)) if len(i)]
+        # Several hits of one piece say no more than one.
+        item, start, end = item[good], start[good], end[good]
+        if not len(item):
+            return item, start
+        edge = np.flatnonzero((item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.budgets[item[1:]])) + 1
+        group = np.zeros(len(item), np.int64)
+        group[edge] = 1
+        group = np.cumsum(group)
+        pieces = np.unique(group * (int(end.max()) + 1) + end) // (int(end.max()) + 1)
+        enough = np.bincount(pieces, minlength=group[-1] + 1) >= self.seeds[item[np.concatenate(([0], edge))]]
+        return item[enough[group]], start[enough[group]]
+
+    def _distance(self, n: int, window: str) -> int:
+        """Least distance of an item to a substring of the window; one more than its budget if it is beyond that."""
+        item, budget = self.items[n][1], int(self.budgets[n])
+        if item in window:
+            return 0
+        grams = self.grams[n]
+        need = len(grams) - GRAM * budget
+        if need > 0:
+            held = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
+            if sum(map(held.__contains__, grams)) < need:
+                return budget + 1
+        return min(least_distance(item, window), budget + 1)
+
+    def many(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+        """(number of the text, item key, distance) of each item found, by text."""
+        if not len(self.automaton):
+            return []
+        found: dict[tuple[int, int], int] = {}
+        lo, clean = 0, [plain(t) if t else "" for t in texts]
+        while lo < len(clean):
+            hi, size = lo, 0
+            while hi < len(clean) and (hi == lo or size < TEXT_BYTES):
+                size += len(clean[hi])
+                hi += 1
+            begin = np.cumsum([0, *(len(t) + len(self.gap) for t in clean[lo:hi])]) - len(self.gap) // 2
+            text = self.gap.join(clean[lo:hi])
+            items, starts = self._candidates(text)
+            budgets = self.budgets[items]
+            new = np.ones(len(items), bool)  # windows that overlap are one
+            length = np.array([len(p) for _, p in self.items], np.int64)[items]
+            new[1:] = (items[1:] != items[:-1]) | (starts[1:] - budgets[1:] > starts[:-1] + length[:-1] + budgets[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(items)) - 1 if len(at) else at
+            for n, a, b, middle in zip(items[at].tolist(), (starts - budgets)[at].tolist(), (starts + length + budgets)[last].tolist(), (starts + length // 2)[at].tolist()):
+                distance = self._distance(n, text[max(a, 0) : b])
+                if distance <= self.budgets[n]:
+                    doc = lo + int(np.searchsorted(begin, middle, "right")) - 1
+                    found[doc, n] = min(distance, found.get((doc, n), distance))
+            lo = hi
+        return [(doc, self.items[n][0], d) for (doc, n), d in sorted(found.items())]
 
     def __call__(self, text: str | None) -> list[tuple[int, int]]:
         """(item key, distance) of each item found."""
-        if not text or not len(self.automaton):
-            return []
-        text = plain(text)
-        found = []
-        for n, at in self._candidates(text):
-            (key, item), budget = self.items[n], int(self.budgets[n])
-            best = budget + 1
-            if item in text:
-                best = 0
-            else:
-                lo = hi = None
-                for a in [*at, None]:
-                    if lo is not None and (a is None or a - budget > hi):
-                        best = min(best, least_distance(item, text[max(lo, 0) : hi]))
-                        lo = None
-                    if a is not None:
-                        lo, hi = (a - budget if lo is None else lo), a + len(item) + budget
-            if best <= budget:
-                found.append((key, best))
-        return found
+        return [(key, d) for _, key, d in self.many([text])]
 
 
 def _item_blocks(items: DataFrame, text: str, key: str):
@@ -151,7 +187,7 @@ def _search(items, error_rate, least_edits):
     def run(batches):
         match = Matcher(items, error_rate, least_edits)
         for batch in in_slices(batches, ["text"]):
-            rows = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in match(t)]
+            rows = match.many(batch.column("text").to_pylist())
             if rows:
                 at, key, distance = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(key, pa.int64()), pa.array(distance, pa.int32())], ["id", "item_id", "distance"])
@@ -187,7 +223,8 @@ def _clean(items, error_rate, least_edits, schema):
     def run(batches):
         match = Matcher(items, error_rate, least_edits)
         for batch in in_slices(batches, ["text"]):
-            good = np.array([not match(t) for t in batch.column("text").to_pylist()], bool)
+            good = np.ones(batch.num_rows, bool)
+            good[[i for i, _, _ in match.many(batch.column("text").to_pylist())]] = False
             yield pa.RecordBatch.from_arrays([batch.column(ROW).filter(pa.array(good))], schema=schema)
 
     return run
