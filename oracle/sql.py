@@ -599,6 +599,7 @@ def oracle_queries() -> dict[str, str]:
     add("global_period_costs", [*priced(), MODEL_MONTHS], f"SELECT period, {total('cost_micro', 'cost_micro')} FROM model_months GROUP BY period")
     add("customer_period_costs", [*priced(), MODEL_MONTHS], f"SELECT period, customer_id, {total('cost_micro', 'cost_micro')} FROM model_months GROUP BY period, customer_id")
     add("model_period_costs", [*priced(), MODEL_MONTHS], f"SELECT period, model_id, {total('cost_micro', 'cost_micro')} FROM model_months WHERE period IN ('{PERIOD}', '{BASELINE}') GROUP BY period, model_id")
+    add("late_event_costs", [*priced(), MODEL_MONTHS], f"SELECT period, model_id, {total('cost_micro', 'cost_micro')} FROM model_months WHERE period IN ('{PERIOD}', '{BASELINE}') GROUP BY period, model_id")
     add("global_daily_costs", priced(), f"SELECT {DAY} AS day, {total('cost_micro', 'cost_micro')} FROM priced GROUP BY 1")
     add("customer_daily_costs", priced(), f"SELECT {DAY} AS day, {CUST}, {total('cost_micro', 'cost_micro')} FROM priced WHERE period = '{PERIOD}' GROUP BY ALL")
     add("feature_cost_series", [*priced(), DIMS], f"SELECT period, dim_value, cost_micro FROM dims WHERE dim_key = 'feature' AND period IN ('{BASELINE}', '{PERIOD}')")

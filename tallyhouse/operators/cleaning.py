@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import known_table
 from ..schema import DIMENSIONS, ENVIRONMENTS, MAX_METADATA_KEYS, TOKEN_COLUMNS
 from ..sources.catalog import Catalog
 
@@ -90,25 +91,32 @@ COMPILED_NAMES = 1_000
 def normalize_models(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Keep the given name as ``raw_model_id`` and put the catalog's into ``model_id``.
 
-    A small catalog is compiled into the projection (as it always is for streams). For a
-    large one the distinct model ids are looked up, each by its own beginnings, and joined back.
+    A small catalog is compiled into the projection. For a large one a name is looked up in a
+    table of models, and its beginnings in a table of prefixes: one join for each
+    prefix length that occurs in the catalog, of which the prefix that is listed first wins. Rows
+    are neither multiplied nor grouped, so streams are joined in the same way.
     """
     named = df.withColumn("raw_model_id", F.col("model_id"))
-    if df.isStreaming or len(catalog.models) + len(catalog.prefixes) <= COMPILED_NAMES:
+    if len(catalog.models) + len(catalog.prefixes) <= COMPILED_NAMES:
         return named.withColumn("model_id", normalized_model(F.col("model_id"), catalog))
     spark = df.sparkSession
-    ids = df.select("model_id").filter("model_id IS NOT NULL AND model_id <> ''").distinct()
-    listed = spark.createDataFrame([(m,) for m in catalog.models], "model_id string").withColumn("_listed", F.lit(True))
-    prefixes = spark.createDataFrame([(p, i) for i, p in enumerate(catalog.prefixes)], "_head string, _at int")
-    lengths = F.sequence(F.lit(0), F.length("model_id"))
-    heads = ids.withColumn("_head", F.explode(F.transform(lengths, lambda n: F.substring("model_id", F.lit(1), n))))
-    first = heads.join(prefixes, "_head").groupBy("model_id").agg(F.min_by("_head", "_at").alias("_prefix"))
-    names = ids.join(listed, "model_id", "left").join(first, "model_id", "left").select(
-        F.col("model_id").alias("_id"),
-        F.when(F.col("_listed"), F.col("model_id")).otherwise(F.coalesce("_prefix", "model_id")).alias("_name"),
-    )
-    joined = named.join(names, F.col("model_id") == F.col("_id"), "left")
-    return joined.withColumn("model_id", F.coalesce("_name", F.lit("unknown"))).drop("_id", "_name")
+    listed = known_table(spark, [(m, True) for m in catalog.models], "_model string, _listed boolean")
+    first: dict[str, int] = {}
+    for i, p in enumerate(catalog.prefixes):
+        first.setdefault(p, i)
+    joined = named.join(listed, F.col("model_id") == F.col("_model"), "left").drop("_model")
+    matches = []
+    for n in sorted({len(p) for p in first}):
+        if not n:
+            matches.append(F.struct(F.lit(first[""]).alias("at"), F.lit("").alias("prefix")))
+            continue
+        head, at = f"_head{n}", f"_at{n}"
+        heads = known_table(spark, [(p, i) for p, i in first.items() if len(p) == n], f"{head} string, {at} int")
+        joined = joined.join(heads, F.substring("model_id", 1, n) == F.col(head), "left")
+        matches.append(F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("at"), F.col(head).alias("prefix"))))
+    best = F.array_min(F.array_compact(F.array(*matches)))["prefix"] if matches else F.lit(None).cast("string")
+    name = F.when(F.col("model_id").isNull() | (F.col("model_id") == ""), F.lit("unknown")).when(F.col("_listed"), F.col("model_id"))
+    return joined.withColumn("model_id", name.otherwise(F.coalesce(best, "model_id"))).drop("_listed", *[c for c in joined.columns if c.startswith(("_head", "_at"))])
 
 
 def scope_tenant(df: DataFrame) -> DataFrame:

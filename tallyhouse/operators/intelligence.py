@@ -379,12 +379,14 @@ def forecast(
 ) -> DataFrame:
     """Month-end cost at the average daily rate so far, against the budget.
 
-    ``daily``: ``day, cost_micro`` and the scope ``keys`` (none for global).
+    ``daily``: ``day, cost_micro`` and the scope ``keys`` (none for global), and ``period`` if it is
+    stored by month, so that only this month is read.
     ``budgets`` has the keys and ``budget_usd``; a global forecast takes a
     one-row table. Elapsed days are the active days or the day of the month,
     whichever is more; a past month has elapsed whole.
     """
     keys = keys or []
+    daily = daily.filter(F.col("period") == period) if "period" in daily.columns else daily
     now = date.fromisoformat(today)
     month = F.lit(period)
     total_days = days_in_month(month)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import half_up
 from ..functions.running import HOT_ROWS, Running, find_hot, running
+from ..functions.tables import known_table
 from ..schema import TOKEN_COLUMNS
 from ..sources import price_lists as lists
 from ..sources.catalog import OPEN_END, Catalog, ModelPrice
@@ -104,7 +105,7 @@ def price_events(
     """
     volume = F.col(volume) if isinstance(volume, str) else volume if isinstance(volume, Column) else F.lit(volume)
     rows, defaults, names, schema = _price_columns(catalog)
-    prices = df.sparkSession.createDataFrame(rows, schema)
+    prices = known_table(df.sparkSession, rows, schema)
     joined = df.join(prices, F.col("model_id") == F.col("_model"), "left")
     priced = joined.withColumns(
         {n: F.coalesce(F.col(n), F.lit(d)) for n, d in zip(names[1:], defaults[1:])}

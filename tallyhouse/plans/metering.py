@@ -48,28 +48,20 @@ def priced_usage(
     return price_events(stamped, catalog, "volume_before").drop("month")
 
 
-def cost_tables(priced: DataFrame, keep=lambda name, df: df) -> dict[str, DataFrame]:
-    """The monthly and daily cost tables that all cost intelligence reads.
-
-    ``keep`` may write a table out and read it back.
-    """
-    by_model = keep("model_costs", usage.usage_by_customer_model_month(priced))
+def cost_tables(priced: DataFrame) -> dict[str, DataFrame]:
+    """The monthly and daily cost tables that all cost intelligence reads (``CostStore`` keeps them)."""
+    by_model = usage.usage_by_customer_model_month(priced)
     daily = priced.groupBy(*CUSTOMER, billing_day(F.col("ts_ms")).alias("day")).agg(
         F.sum("cost_micro").alias("cost_micro")
     )
     return {
         "model_costs": by_model,
         "customer_costs": by_model.groupBy(*CUSTOMER, "period").agg(F.sum("cost_micro").alias("cost_micro")),
-        "dim_costs": keep("dim_costs", usage.usage_by_dim(priced).filter("period IS NOT NULL")),
-        "daily": keep("daily", daily),
+        "dim_costs": usage.usage_by_dim(priced).filter("period IS NOT NULL"),
+        "daily": daily,
     }
 
 
-def stored_cost_tables(priced: DataFrame, path: str) -> dict[str, DataFrame]:
-    """The cost tables, written under ``path`` for reports that read them many times."""
-    return cost_tables(priced, lambda name, df: stored(df, f"{path}/{name}"))
-
-
 def customer_sizes(events: DataFrame, movements: DataFrame, hot_rows: int = HOT_ROWS):
     """Rows per customer in a ledger of these events, at most: a charge is one event or more."""
     rows = scope_tenant(events).select(*CUSTOMER).unionByName(movements.select(*CUSTOMER))

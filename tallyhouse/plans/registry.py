@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import billing_day, billing_month
+from ..functions.periods import billing_day, billing_month, trailing_periods
 from ..operators import admission, billing, budget, cleaning, dedup, holds, intelligence, pricing, usage, volume
 from ..schema import CUSTOMER, CUSTOMER_MODEL, TOKEN_COLUMNS
 from ..session import configure, durable, shared_folder
@@ -17,7 +17,8 @@ from ..sources import price_lists
 from ..sources import sample_tables as sample
 from ..sources.catalog import Catalog, catalog_from, load_catalog, validate_catalogs, write_catalog
 from ..streaming import late, sinks, state, windows
-from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored, stored_cost_tables
+from .cost_store import CostStore
+from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -934,11 +935,46 @@ def external_gaps(spark, folder):
 # Intelligence --------------------------------------------------------------
 
 
-def _tables(spark, folder):
-    found = _cost_tables(spark, folder, BUDGET_SCALE)
+class _Stores:
+    """Cost stores of this session by folder; a month is made when a report first reads it."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str, int], tuple[CostStore, list, set]] = {}
+
+    def tables(self, spark, folder, periods, scale=BUDGET_SCALE):
+        key = (spark.sparkContext.applicationId, folder, scale)
+        if key not in self.known:
+            store = CostStore(spark, _folder(spark, "costs"))
+            self.known[key] = store, store.land(_usage(spark, folder, scale), "all"), set()
+        store, landed, made = self.known[key]
+        new = [p for p in landed if (periods is None or p in periods) and p not in made]
+        store.refresh(STANDARD, new)
+        made.update(new)
+        return store.tables()
+
+
+_STORES = _Stores()
+
+
+def _tables(spark, folder, periods=(BASELINE, PERIOD)):
+    """Stored cost tables with at least these months (None: all)."""
+    found = _STORES.tables(spark, folder, periods)
     return found["customer_costs"], found["model_costs"], found["dim_costs"], found["daily"]
 
 
+@query
+def late_event_costs(spark, folder):
+    """Costs of two months in a store to which events of the second came late, in a batch of their own that was landed twice."""
+    store = CostStore(spark, _folder(spark, "costs"))
+    months = billing_month(F.col("ts_ms")).isin(BASELINE, PERIOD)
+    events = _usage(spark, folder).filter(months)
+    late = (billing_month(F.col("ts_ms")) == PERIOD) & (F.col("latency_ms") % 5 == 0)
+    store.add(events.filter(~late), "first", STANDARD)
+    store.land(events.filter(late), "late")
+    store.add(events.filter(late), "late", STANDARD)
+    return usage.period_costs(store.tables()["model_costs"], ["model_id"], [PERIOD, BASELINE])
+
+
 @query
 def root_cause(spark, folder):
     customers, models, dims, _ = _tables(spark, folder)
@@ -992,7 +1028,7 @@ def profitability_products(spark, folder):
 @query
 def profitability_trend(spark, folder):
     return intelligence.profitability_trend(
-        _tables(spark, folder)[0], sample.revenue(spark, folder), PERIOD, 6
+        _tables(spark, folder, trailing_periods(PERIOD, 6))[0], sample.revenue(spark, folder), PERIOD, 6
     )
 
 
@@ -1065,7 +1101,7 @@ def forecast_risk_alerts(spark, folder):
 @query
 def debounced_alerts(spark, folder):
     """Forecast alerts of every month against those sent in the last day."""
-    months = _tables(spark, folder)[0].select("period").distinct()
+    months = _tables(spark, folder, None)[0].select("period").distinct()
     alerts = months.select(F.lit("INTEL_FORECAST_RISK").alias("type"), "period")
     sent = months.filter("period < '1998-01'").select(
         F.lit("INTEL_FORECAST_RISK").alias("type"), "period",
@@ -1076,12 +1112,8 @@ def debounced_alerts(spark, folder):
 
 @query
 def report_headline(spark, folder):
-    base = _folder(spark, "report")
-    priced = _stored_priced(spark, folder, BUDGET_SCALE, ("metadata",))
-    tables = stored_cost_tables(priced, base)
-    return intelligence.report(
-        tables["customer_costs"], tables["model_costs"], tables["dim_costs"], tables["daily"], sample.revenue(spark, folder), STANDARD, PERIOD, TODAY
-    )["headline"]
+    customers, models, dims, daily = _tables(spark, folder, trailing_periods(PERIOD, 6))
+    return intelligence.report(customers, models, dims, daily, sample.revenue(spark, folder), STANDARD, PERIOD, TODAY)["headline"]
 
 
 # Streams -------------------------------------------------------------------
