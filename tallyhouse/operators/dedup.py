@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import null_safe_join
 from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER_MODEL, TOKEN_COLUMNS
+from ..session import durable
 
 # Of several copies the first in this order is kept; copies that agree in all
 # of these columns differ in nothing a total depends on.
@@ -83,8 +84,9 @@ def keep_every(
 
     ``clock`` is unique in a group. A row ``ttl_ms`` or more after its
     predecessor is always kept, so such rows cut a group into independent
-    runs. Only runs that last ``ttl_ms`` or longer need a walk in time order,
-    which holds one time per run, not the run.
+    runs. Only runs that last ``ttl_ms`` or longer have more to decide: in small groups
+    by a walk in time order, which holds one time per run, in hot ones by
+    pointer doubling.
     """
     hot = hot if isinstance(hot, HotGroups) else find_hot(df, keys, hot)
     runs = running(
@@ -96,18 +98,57 @@ def keep_every(
     runs = running(runs, keys, [clock], {"_run": Running("last", "_opens")}, hot)
     late = F.col(clock) - F.col("_run") >= ttl_ms
     # Rows that open a run are kept; rows inside the first ttl of a run are
-    # not. The rest is walked together with nothing else of its run: the run's
+    # not. What is left is decided with nothing else of its run: the run's
     # start is known.
-    opening = runs.filter(F.col("_opens").isNotNull())
-    walk = runs.filter(F.col("_opens").isNull() & late)
-    times = walk.select(*keys, "_run", clock)
-    picked = (
-        times.repartition(*keys, "_run")
-        .sortWithinPartitions(*keys, "_run", clock)
-        .mapInPandas(_walk(keys, clock, ttl_ms), times.schema)
+    opens = F.col("_opens").isNotNull()
+    times = runs.filter(~opens & late).select(*keys, "_run", clock)
+    if hot.frame is None:
+        picked = _walked(times, keys, clock, ttl_ms)
+    else:
+        of_hot = null_safe_join(times, hot.frame, hot.keys, "left_semi")
+        others = null_safe_join(times, hot.frame, hot.keys, "left_anti")
+        picked = _walked(others, keys, clock, ttl_ms).unionByName(_leapt(of_hot, keys, clock, ttl_ms, hot))
+    picked = picked.select(*keys, clock, F.lit(True).alias("_picked"))
+    kept = null_safe_join(runs.filter(opens | late), picked, [*keys, clock], "left")
+    return kept.filter(opens | F.col("_picked")).drop("_before", "_opens", "_run", "_picked")
+
+
+def _walked(times: DataFrame, keys: list[str], clock: str, ttl_ms: int) -> DataFrame:
+    """Kept rows of runs that are each walked by one task, in time order."""
+    dealt = times.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", clock)
+    return dealt.mapInPandas(_walk(keys, clock, ttl_ms), times.schema)
+
+
+def _leapt(times: DataFrame, keys: list[str], clock: str, ttl_ms: int, hot: HotGroups) -> DataFrame:
+    """Kept rows of runs of any length, by pointer doubling: no task holds a run.
+
+    Every row points to the first row ``ttl_ms`` or more after it, found in one running pass over
+    rows and looked-up times together. The kept rows are those on the way from the run's
+    start. Each round adds to the rows reached what they point to, and makes all pointers
+    twice as long by joining them with themselves, so n rows on the way take log2(n) rounds.
+    """
+    group = [*keys, "_run"]
+    times = durable(times)
+    starts = times.select(*group).distinct().withColumn("_at", F.col("_run"))
+    asked = times.select(*group, F.col(clock).alias("_at")).unionByName(starts)
+    both = times.select(*group, F.col(clock).alias("_row"), F.lit(None).cast("long").alias("_at"), (-F.col(clock)).alias("_order"), F.lit(0).alias("_asks"))
+    both = both.unionByName(
+        asked.select(*group, F.lit(None).cast("long").alias("_row"), "_at", (-F.col("_at") - ttl_ms).alias("_order"), F.lit(1).alias("_asks"))
     )
-    walked = null_safe_join(walk, picked.drop("_run"), [*keys, clock], "left_semi")
-    return opening.unionByName(walked).drop("_before", "_opens", "_run")
+    # Rows come in falling order of time, before what is asked for at the same time: the last row seen is the next one.
+    seen = running(both, group, ["_order", "_asks"], {"_to": Running("last", "_row")}, HotGroups(hot.keys, 2 * hot.total_rows, hot.hot_rows, hot.frame))
+    pointers = durable(seen.filter("_asks = 1 AND _to IS NOT NULL").select(*group, "_at", "_to"))
+    reached = durable(starts)
+    while True:
+        step = null_safe_join(reached, pointers, [*group, "_at"], "inner").select(*group, F.col("_to").alias("_at"))
+        step = durable(step)
+        if step.isEmpty():
+            break
+        reached = durable(reached.unionByName(step))
+        onward = pointers.select(*group, F.col("_at").alias("_via"), F.col("_to").alias("_end"))
+        longer = null_safe_join(pointers.withColumnRenamed("_to", "_via"), onward, [*group, "_via"], "inner")
+        pointers = durable(longer.select(*group, "_at", F.col("_end").alias("_to")))
+    return reached.filter(F.col("_at") != F.col("_run")).withColumnRenamed("_at", clock).select(*times.columns)
 
 
 def _walk(keys: list[str], clock: str, ttl_ms: int):

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyhouse.operators import dedup
 from tallyhouse.operators.dedup import apply_once, dedup_in_window, dedup_within, keep_every, retain, upsert_spans
 
 from .helpers import events
@@ -40,6 +41,24 @@ def test_ttl_runs_from_the_first_kept_hit(spark):
         assert sorted((r.event_id or "", r.ts_ms) for r in got.collect()) == want
 
 
+def test_a_hot_id_is_not_walked(spark, monkeypatch):
+    rng = random.Random(2)
+    times = {"hot": [rng.randrange(9_000) for _ in range(2_000)] + [20_000, 20_001], "cold": [5, 6]}
+    rows = [(k, t) for k, ts in times.items() for t in sorted(set(ts))]
+    frame = spark.createDataFrame(rows, "k string, at bigint")
+
+    def walked(*_):
+        def fail(batches):
+            assert sum(map(len, batches)) == 0, "a run of a hot group came to one task"
+            yield from ()
+
+        return fail
+
+    monkeypatch.setattr(dedup, "_walk", walked)
+    got = sorted((r.k, r.at) for r in keep_every(frame, ["k"], "at", 40, 100).collect())
+    assert got == sorted((k, t) for k, ts in times.items() for t in greedy(ts, 40))
+
+
 def test_keep_every_walks_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
