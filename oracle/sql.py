@@ -548,6 +548,30 @@ def oracle_queries() -> dict[str, str]:
         UNION ALL SELECT d.*, d.total_tokens <= s.remaining_tokens, s.remaining_tokens - CASE WHEN d.total_tokens <= s.remaining_tokens THEN d.total_tokens ELSE 0 END
         FROM steps s JOIN draws d ON d.customer_id = s.customer_id AND d.k = s.k + 1)"""],
         "SELECT customer_id, event_id, ts_ms, total_tokens, accepted, remaining_tokens FROM steps")
+    add("hold_ledger", [*ledger(), REQUESTS, f"""actions AS (
+        SELECT {CUST}, parent_span_id, cost_micro AS amount, ts_ms, 'a|' || request_id AS action_id, CAST(NULL AS VARCHAR) AS reserve_id FROM requests
+        UNION ALL SELECT {CUST}, parent_span_id, cost_micro, ts_ms + latency_ms * 3000000, 'b|' || request_id, 'a|' || request_id FROM requests),
+      caps AS (SELECT parent_span_id, CAST(sum(cost_micro) AS BIGINT) * 3 // 4 AS cap FROM requests WHERE parent_span_id IS NOT NULL GROUP BY 1),
+      acts AS MATERIALIZED (
+        SELECT a.*, cap, coalesce(l.balance_micro, 0) AS balance, row_number() OVER (PARTITION BY a.tenant_id, a.customer_id ORDER BY a.ts_ms, action_id) AS k
+        FROM actions a ASOF LEFT JOIN (
+          SELECT {CUST}, ts_ms, balance_micro FROM ledger QUALIFY row_number() OVER (PARTITION BY {CUST}, ts_ms ORDER BY seq DESC, ref DESC) = 1) l
+          ON a.tenant_id = l.tenant_id AND a.customer_id = l.customer_id AND a.ts_ms >= l.ts_ms
+        LEFT JOIN caps ON caps.parent_span_id = a.parent_span_id)""", f"""held_steps AS (
+        SELECT DISTINCT {CUST}, 0::BIGINT AS k, CAST(NULL AS VARCHAR) AS action_id, CAST(NULL AS VARCHAR) AS reason, 0::BIGINT AS held,
+          CAST([] AS STRUCT(id VARCHAR, span VARCHAR, amount BIGINT)[]) AS opened FROM acts
+        UNION ALL
+        SELECT {CUST}, k, action_id, reason, held + CASE reason WHEN 'reserved' THEN amount WHEN 'released' THEN -amount ELSE 0 END,
+          CASE reason WHEN 'reserved' THEN list_append(opened, {{'id': action_id, 'span': CASE WHEN cap IS NOT NULL THEN parent_span_id END, 'amount': amount}})
+            WHEN 'released' THEN list_filter(opened, lambda o: o.id <> reserve_id) ELSE opened END
+        FROM (
+          SELECT a.*, s.held, s.opened, CASE
+            WHEN a.reserve_id IS NOT NULL THEN CASE WHEN len(list_filter(s.opened, lambda o: o.id = a.reserve_id)) > 0 THEN 'released' ELSE 'not_reserved' END
+            WHEN a.balance - s.held < a.amount THEN 'insufficient_balance'
+            WHEN coalesce(coalesce(list_sum(list_transform(list_filter(s.opened, lambda o: o.span = a.parent_span_id), lambda o: o.amount)), 0) + a.amount > a.cap, FALSE)
+              THEN 'hierarchy_reserve' ELSE 'reserved' END AS reason
+          FROM held_steps s JOIN acts a ON a.tenant_id = s.tenant_id AND a.customer_id = s.customer_id AND a.k = s.k + 1))"""],
+        f"SELECT {CUST}, action_id, reason IN ('reserved', 'released') AS accepted, held AS held_micro, reason FROM held_steps WHERE k > 0")
     add("warn_ladder", [*ledger(), f"""charged AS (
         SELECT *, balance_micro <= 0 AS spent_out, CASE WHEN initial_micro + topup_micro > 0 THEN
             least(100.0::DOUBLE, greatest(0, initial_micro + topup_micro - balance_micro) / CAST(initial_micro + topup_micro AS DOUBLE) * 100.0::DOUBLE) END AS spent_pct

@@ -3,17 +3,18 @@
 Whether a hold or a package draw is accepted depends on what was accepted
 before it. Most of a history needs no replay in order: running sums decide it
 as long as nothing is refused. What follows a refusal is cut into independent
-parts where the state is known, and only those parts are walked row by row,
-streamed through a task with one small state.
+parts where the state is known. Only those parts are replayed row by row: small ones
+by one task, large ones in slices that start from guesses.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
@@ -137,21 +138,27 @@ def _draw_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 HOLD_ORDER = ["ts_ms", "action_id"]
+SLICE_ROWS = 200_000
 
 
 def hold_ledger(
-    actions: DataFrame, span_caps: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    actions: DataFrame, span_caps: DataFrame | None = None, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Replay reserve and reconcile actions.
 
     ``actions``: tenant, customer, ``ts_ms, action_id`` (unique), ``action``
     (reserve or reconcile), ``amount_micro, parent_span_id, balance_micro``
-    (as of the action) and, with span caps, ``span_spent_micro``. A reserve
+    (as of the action; null is 0), with span caps ``span_spent_micro``, and, if
+    reconciles belong to reserves, ``reserve_id``: the reserve's action id. A reserve
     passes when the balance less what is held covers it, and when its span's
-    cap covers spent, held and new. Reconcile releases at most what is held.
+    cap covers spent, held and new. A reconcile with a ``reserve_id`` releases that hold, and nothing
+    if it was refused; one without releases its amount, at most what is held.
     Output adds ``accepted, held_micro`` after the action and ``reason``.
+
+    Customers with more than ``hot_rows`` actions are replayed in slices of about ``slice_rows``.
     """
-    rows = actions
+    columns = [*actions.columns, "accepted", "held_micro", "reason"]
+    rows = actions.withColumn("balance_micro", F.coalesce("balance_micro", F.lit(0)))
     if span_caps is not None:
         rows = null_safe_join(rows, span_caps.select("parent_span_id", "span_cap_micro"), ["parent_span_id"], "left")
     else:
@@ -165,9 +172,14 @@ def hold_ledger(
         | F.coalesce(F.col("span_spent_micro") + F.col("amount_micro") > F.col("span_cap_micro"), F.lit(False))
     )
     rows = rows.withColumn("_hopeless", hopeless)
+    if "reserve_id" in rows.columns:
+        refused = rows.filter("_hopeless").select(*CUSTOMER, F.col("action_id").alias("reserve_id"), F.lit(True).alias("_void"))
+        rows = null_safe_join(rows, refused, [*CUSTOMER, "reserve_id"], "left").withColumn("_void", F.coalesce(F.col("_void") & ~reserve, F.lit(False)))
+    else:
+        rows = rows.withColumns({"reserve_id": F.lit(None).cast("string"), "_void": F.lit(False)})
     # As if every other reserve passed: held is the running sum, lifted by how
     # far releases would have taken it below zero.
-    step = F.when(F.col("_hopeless"), 0).when(reserve, F.col("amount_micro")).otherwise(-F.col("amount_micro"))
+    step = F.when(F.col("_hopeless") | F.col("_void"), 0).when(reserve, F.col("amount_micro")).otherwise(-F.col("amount_micro"))
     hot = find_hot(actions, CUSTOMER, hot_rows)
     summed = running(rows.withColumn("_step", step), CUSTOMER, HOLD_ORDER, {"_sum": Running("sum", "_step")}, hot)
     floored = running(
@@ -203,76 +215,164 @@ def hold_ledger(
         opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), [*CUSTOMER, "_part"], HOLD_ORDER,
         {"_walk": Running("max", "_doubt")}, hot,
     )
-    columns = [*actions.columns, "accepted", "held_micro", "reason"]
     # Read twice below, after several shuffles.
     marked = durable(marked)
-    # From the first doubt of a part to its end.
-    walk = marked.filter("_walk = 1").select(
-        *CUSTOMER, "_part", *HOLD_ORDER, "action", "amount_micro", "parent_span_id", "balance_micro",
-        "span_cap_micro", "span_spent_micro", "_held_before",
-    )
-    walked = (
-        walk.repartition(*CUSTOMER, "_part")
-        .sortWithinPartitions(*CUSTOMER, "_part", *HOLD_ORDER)
-        .mapInPandas(
-            _hold_walk,
-            "tenant_id string, customer_id string, ts_ms bigint, action_id string, "
-            "accepted boolean, held_micro bigint, reason string",
-        )
-    )
+    # A part with a doubt is replayed from its beginning, so that the replay knows the open holds.
+    doubted = marked.filter("_walk = 1").select(*CUSTOMER, "_part").distinct()
+    walk = null_safe_join(marked, doubted, [*CUSTOMER, "_part"], "left_semi").select(*WALKED, "_held_before")
+    if hot.frame is None:
+        walked = _walked(walk)
+    else:
+        cold = null_safe_join(walk, hot.frame, hot.keys, "left_anti")
+        walked = _walked(cold).unionByName(_replayed(null_safe_join(walk, hot.frame, hot.keys, "left_semi"), slice_rows))
     seen = null_safe_join(marked, walked, [*CUSTOMER, *HOLD_ORDER], "left")
     reason = (
-        F.when(~reserve, "released").when(~F.col("_hopeless"), "reserved")
+        F.when(F.col("_void"), "not_reserved").when(~reserve, "released").when(~F.col("_hopeless"), "reserved")
         .when(F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"), "insufficient_balance")
         .otherwise("hierarchy_reserve")
     )
     return seen.withColumns(
         {
-            "accepted": F.coalesce("accepted", ~F.col("_hopeless")),
+            "accepted": F.coalesce("accepted", ~F.col("_hopeless") & ~F.col("_void")),
             "held_micro": F.coalesce("held_micro", "_held"),
             "reason": F.coalesce("reason", reason),
         }
     ).select(*columns)
 
 
+WALKED = [
+    *CUSTOMER, "_part", *HOLD_ORDER, "action", "amount_micro", "parent_span_id", "balance_micro",
+    "span_cap_micro", "span_spent_micro", "reserve_id",
+]
+DECIDED = (
+    "tenant_id string, customer_id string, ts_ms bigint, action_id string, "
+    "accepted boolean, held_micro bigint, reason string"
+)
+
+
+class Holds:
+    """What is held: in all, by capped span, and by reserve that may still be reconciled.
+
+    A guessed state knows only what may be held in all; of reserves made before it, it takes it that they passed.
+    """
+
+    def __init__(self, held: int = 0, spans: dict | None = None, opened: dict | None = None, guess: bool = False):
+        self.held, self.spans, self.opened, self.guess = held, spans or {}, opened or {}, guess
+
+    @classmethod
+    def read(cls, text: str) -> Holds:
+        return cls(*json.loads(text))
+
+    def __str__(self) -> str:
+        return json.dumps([self.held, self.spans, self.opened, self.guess], sort_keys=True)
+
+    def _release(self, amount: int, span: str | None) -> None:
+        self.held -= amount
+        if span in self.spans:
+            self.spans[span] -= min(amount, self.spans[span])
+            if self.spans[span] == 0:
+                del self.spans[span]
+
+    def apply(self, row) -> tuple[bool, str]:
+        """Whether an action is accepted, and why."""
+        span = row.parent_span_id
+        if row.action != "reserve":
+            if pd.isna(row.reserve_id) or (self.guess and row.reserve_id not in self.opened):
+                self._release(min(int(row.amount_micro), self.held), span)
+                return True, "released"
+            if row.reserve_id not in self.opened:
+                return False, "not_reserved"
+            self._release(self.opened.pop(row.reserve_id), span)
+            return True, "released"
+        amount, capped = int(row.amount_micro), not (pd.isna(span) or pd.isna(row.span_cap_micro))
+        if row.balance_micro - self.held < amount:
+            return False, "insufficient_balance"
+        if capped and row.span_spent_micro + self.spans.get(span, 0) + amount > row.span_cap_micro:
+            return False, "hierarchy_reserve"
+        self.held += amount
+        self.opened[row.action_id] = amount
+        if capped:
+            self.spans[span] = self.spans.get(span, 0) + amount
+        return True, "reserved"
+
+    def all(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """Decisions on actions in order."""
+        found = []
+        for row in frame.itertuples(index=False):
+            accepted, why = self.apply(row)
+            found.append((accepted, self.held, why))
+        decided = pd.DataFrame(found, columns=["accepted", "held_micro", "reason"], index=frame.index)
+        return pd.concat([frame[[*CUSTOMER, *HOLD_ORDER]], decided], axis=1)
+
+
+def _walked(walk: DataFrame) -> DataFrame:
+    """Parts of bounded size, each replayed by one task."""
+    dealt = walk.repartition(*CUSTOMER, "_part").sortWithinPartitions(*CUSTOMER, "_part", *HOLD_ORDER)
+    return dealt.mapInPandas(_hold_walk, DECIDED)
+
+
 def _hold_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    who, held, spans = None, 0, {}
+    who, holds = None, Holds()
     for batch in batches:
-        accepted, after, reasons = [], [], []
-        for row in batch.itertuples(index=False):
-            me = (row.tenant_id, row.customer_id, row[2])
+        found = []
+        for row in batch.rename(columns={"_part": "part"}).itertuples(index=False):
+            me = (row.tenant_id, row.customer_id, row.part)
             if me != who:
-                who, held, spans = me, int(row[-1]), {}
-            span = row.parent_span_id
-            capped = span is not None and not pd.isna(row.span_cap_micro)
-            if row.action == "reserve":
-                if row.balance_micro - held < row.amount_micro:
-                    ok, why = False, "insufficient_balance"
-                elif capped and row.span_spent_micro + spans.get(span, 0) + row.amount_micro > row.span_cap_micro:
-                    ok, why = False, "hierarchy_reserve"
-                else:
-                    ok, why = True, "reserved"
-                    held += row.amount_micro
-                    if capped:
-                        spans[span] = spans.get(span, 0) + row.amount_micro
-            else:
-                ok, why = True, "released"
-                released = min(row.amount_micro, held)
-                held -= released
-                if span in spans:
-                    spans[span] -= min(released, spans[span])
-                    if spans[span] == 0:
-                        del spans[span]
-            accepted.append(ok)
-            after.append(held)
-            reasons.append(why)
-        yield pd.DataFrame(
-            {
-                "tenant_id": batch["tenant_id"], "customer_id": batch["customer_id"],
-                "ts_ms": batch["ts_ms"], "action_id": batch["action_id"],
-                "accepted": accepted, "held_micro": after, "reason": reasons,
-            }
-        )
+                who, holds = me, Holds()
+            accepted, why = holds.apply(row)
+            found.append((accepted, holds.held, why))
+        decided = pd.DataFrame(found, columns=["accepted", "held_micro", "reason"], index=batch.index)
+        yield pd.concat([batch[[*CUSTOMER, *HOLD_ORDER]], decided], axis=1)
+
+
+def _replayed(walk: DataFrame, slice_rows: int) -> DataFrame:
+    """Parts of any size, by speculation: slices are replayed at once, each from a guessed start.
+
+    A slice's first guess is that all reserves before it passed. After each round a slice starts where the one before
+    it has ended, and only slices whose start has changed are replayed again. The first slice of a part is
+    right from the beginning and every round makes one more so at least; as soon as two starts lead to
+    the same end, a change goes no further.
+    """
+    sliced = walk.repartitionByRange(max(2, -(-walk.count() // slice_rows)), *CUSTOMER, "_part", *HOLD_ORDER)
+    sliced = durable(sliced.withColumn("_slice", F.spark_partition_id()))
+    group = [*CUSTOMER, "_part", "_slice"]
+    before = Window.partitionBy(*CUSTOMER, "_part").orderBy("_slice")  # one row per slice
+    firsts = sliced.groupBy(*group).agg(F.min_by("_held_before", F.struct(*HOLD_ORDER)).alias("_held"))
+    guessed = F.format_string("[%d, {}, {}, true]", "_held")
+    starts = durable(firsts.withColumn("_nth", F.row_number().over(before)).select(
+        *group, F.when(F.col("_nth") == 1, F.lit(str(Holds()))).otherwise(guessed).alias("_state")
+    ))
+    ends, changed = None, starts
+    while True:
+        again = _by_slice(sliced, changed, group, _end_of, [*(f"{f.name} {f.dataType.simpleString()}" for f in starts.select(*group).schema), "_end string"])
+        ends = durable(again if ends is None else null_safe_join(ends, changed, group, "left_anti").unionByName(again))
+        follow = ends.withColumn("_next", F.lag("_end").over(before))
+        both = null_safe_join(starts, follow, group, "left").withColumn("_new", F.coalesce("_next", "_state"))
+        both = durable(both.select(*group, "_state", "_new"))
+        changed = both.filter("_state <> _new").select(*group, F.col("_new").alias("_state"))
+        if changed.isEmpty():
+            break
+        starts = both.select(*group, F.col("_new").alias("_state"))
+    return _by_slice(sliced, starts, group, _decisions_of, [DECIDED])
+
+
+def _by_slice(sliced: DataFrame, starts: DataFrame, group: list[str], replay, schema: list[str]) -> DataFrame:
+    starts = starts.toDF(*starts.columns)  # columns of its own, that are not those of the slices it comes from
+    rows = null_safe_join(sliced.drop("_held_before"), starts.select(*group), group, "left_semi")
+    return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(replay, ", ".join(schema))
+
+
+def _end_of(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    holds = Holds.read(start["_state"].iloc[0])
+    holds.all(rows.sort_values(HOLD_ORDER))
+    holds.guess = False
+    out = start[[*CUSTOMER, "_part", "_slice"]].copy()
+    out["_end"] = str(holds)
+    return out
+
+
+def _decisions_of(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    return Holds.read(start["_state"].iloc[0]).all(rows.sort_values(HOLD_ORDER))
 
 
 def open_holds(ledger: DataFrame) -> DataFrame:

@@ -726,28 +726,25 @@ def check_decisions(spark, folder):
 
 @query
 def hold_ledger(spark, folder):
-    """Every event reserves its price when sent and reconciles when it ends."""
+    """Every event reserves its price when sent and reconciles when it ends; spans are capped at three quarters of what they cost."""
     priced = _stored_priced(spark, folder, BUDGET_SCALE)
     request_id = F.concat_ws("|", "event_id", "ts_ms", "model_id")
-    actions = priced.withColumn("request_id", request_id).select(
-        *CUSTOMER, "parent_span_id", F.col("cost_micro").alias("amount_micro"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("reserve").alias("action"), F.col("ts_ms").alias("ts_ms"),
-                         F.concat(F.lit("a|"), "request_id").alias("action_id")),
-                F.struct(F.lit("reconcile").alias("action"), (F.col("ts_ms") + F.col("latency_ms") * 3_000_000).alias("ts_ms"),
-                         F.concat(F.lit("b|"), "request_id").alias("action_id")),
-            )
-        ).alias("_a"),
-    ).select(*CUSTOMER, "parent_span_id", "amount_micro", "_a.*")
+    reserve_id = F.concat(F.lit("a|"), request_id)
+    end = F.col("ts_ms") + F.col("latency_ms") * 3_000_000
+    both = F.array(
+        F.struct(F.lit("reserve").alias("action"), F.col("ts_ms").alias("ts_ms"), reserve_id.alias("action_id"), F.lit(None).cast("string").alias("reserve_id")),
+        F.struct(F.lit("reconcile").alias("action"), end.alias("ts_ms"), F.concat(F.lit("b|"), request_id).alias("action_id"), reserve_id.alias("reserve_id")),
+    )
+    actions = priced.select(*CUSTOMER, "parent_span_id", F.col("cost_micro").alias("amount_micro"), F.explode(both).alias("_a"))
+    actions = actions.select(*CUSTOMER, "parent_span_id", "amount_micro", "_a.*")
     states = _ledger(spark, folder, priced).select(
         *CUSTOMER, "ts_ms", admission.ledger_order().alias("state_seq"), "balance_micro"
     )
-    with_balance = admission.asof_state(actions, states, CUSTOMER, ["balance_micro"], ["action_id"]).filter(
-        "balance_micro IS NOT NULL"
-    )
+    with_balance = admission.asof_state(actions, states, CUSTOMER, ["balance_micro"], ["action_id"])
     with_balance = stored(with_balance, f"{_folder(spark, 'actions')}/table")
-    return holds.hold_ledger(with_balance).select(*CUSTOMER, "action_id", "accepted", "held_micro", "reason")
+    spans = priced.filter("parent_span_id IS NOT NULL").groupBy("parent_span_id")
+    caps = spans.agg(F.floor(F.sum("cost_micro") * 3 / 4).alias("span_cap_micro"))
+    return holds.hold_ledger(with_balance, caps).select(*CUSTOMER, "action_id", "accepted", "held_micro", "reason")
 
 
 @query

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tallyhouse.operators import holds
 from tallyhouse.operators.holds import hold_ledger, open_holds, package_drawdown
 
 from .helpers import events
@@ -29,10 +30,11 @@ def test_package_equals_the_walk(spark, hot_rows):
 
 
 def walk(actions, caps):
-    held, spans, out = {}, {}, {}
+    """(accepted, held, reason) by action, as one customer after the other would see it."""
+    held, spans, opened, out = {}, {}, {}, {}
     for a in sorted(actions, key=lambda a: (a[1], a[2], a[3])):
-        _, who, ts, aid, action, amount, span, balance, spent = a
-        h = held.get(who, 0)
+        _, who, ts, aid, action, amount, span, balance, spent, of = a
+        h, balance = held.get(who, 0), balance or 0
         if action == "reserve":
             cap = caps.get(span)
             if balance - h < amount:
@@ -41,11 +43,14 @@ def walk(actions, caps):
                 out[aid] = (False, h, "hierarchy_reserve")
             else:
                 held[who] = h + amount
+                opened[aid] = amount
                 if cap is not None:
                     spans[span] = spans.get(span, 0) + amount
                 out[aid] = (True, held[who], "reserved")
+        elif of is not None and of not in opened:
+            out[aid] = (False, h, "not_reserved")
         else:
-            released = min(amount, h)
+            released = min(amount, h) if of is None else opened.pop(of)
             held[who] = h - released
             if span in spans:
                 spans[span] -= min(released, spans[span])
@@ -53,26 +58,62 @@ def walk(actions, caps):
     return out, held
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 60])
-@pytest.mark.parametrize("capped", [False, True])
-def test_holds_equal_the_walk(spark, capped, hot_rows):
-    rng = random.Random(8)
-    actions = []
-    for i in range(500):
+SCHEMA = (
+    "tenant_id string, customer_id string, ts_ms bigint, action_id string, action string, amount_micro bigint, "
+    "parent_span_id string, balance_micro bigint, span_spent_micro bigint, reserve_id string"
+)
+
+
+def loose(rng, n):
+    """Reconciles that belong to no reserve."""
+    for i in range(n):
         who = f"c{rng.randrange(4)}"
         span = rng.choice([None, f"{who}-s{rng.randrange(3)}"])
-        actions.append((
-            None, who, i, f"a{i:04}", rng.choices(["reserve", "reconcile"], [5, 6])[0], rng.randrange(1, 60),
-            span, rng.choice([80, 150, 400]), rng.randrange(0, 50),
-        ))
+        yield (None, who, i, f"a{i:04}", rng.choices(["reserve", "reconcile"], [5, 6])[0], rng.randrange(1, 60),
+               span, rng.choice([80, 150, 400, None]), rng.randrange(0, 50), None)
+
+
+def paired(rng, n):
+    """Each reserve with its reconcile some time later; one customer has most of them."""
+    for i in range(n):
+        who = rng.choice(["c0"] * 9 + ["c1"])
+        span, amount, ts = rng.choice([None, f"{who}-s{rng.randrange(3)}"]), rng.randrange(1, 60), 3 * i
+        yield (None, who, ts, f"a{i:04}", "reserve", amount, span, rng.choice([80, 150, 400, None]), rng.randrange(0, 50), None)
+        yield (None, who, ts + rng.randrange(0, 40), f"b{i:04}", "reconcile", amount, span, None, 0, f"a{i:04}")
+
+
+@pytest.mark.parametrize("hot_rows, make", [(10**6, loose), (60, loose), (10**6, paired), (60, paired)])
+@pytest.mark.parametrize("capped", [False, True])
+def test_holds_equal_the_walk(spark, capped, hot_rows, make):
+    actions = list(make(random.Random(8), 400))
     caps = {f"c{c}-s{s}": 120 for c in range(2) for s in range(2)} if capped else {}
-    frame = spark.createDataFrame(
-        actions,
-        "tenant_id string, customer_id string, ts_ms bigint, action_id string, action string, amount_micro bigint, "
-        "parent_span_id string, balance_micro bigint, span_spent_micro bigint",
-    )
+    frame = spark.createDataFrame(actions, SCHEMA)
     cap_frame = spark.createDataFrame(list(caps.items()), "parent_span_id string, span_cap_micro bigint") if capped else None
-    ledger = hold_ledger(frame, cap_frame, hot_rows)
+    ledger = hold_ledger(frame, cap_frame, hot_rows, slice_rows=90)
     want, held = walk(actions, caps)
     assert {r.action_id: (r.accepted, r.held_micro, r.reason) for r in ledger.collect()} == want
     assert {r.customer_id: r.held_micro for r in open_holds(ledger).collect()} == held
+
+
+def test_a_second_reserve_over_the_span_cap(spark):
+    make = lambda n, action, of=None: (None, "c", n, f"a{n}", action, 60, "parent", 1000, 0, of)
+    caps = spark.createDataFrame([("parent", 100)], "parent_span_id string, span_cap_micro bigint")
+    for second, third in ((make(2, "reserve"), "hierarchy_reserve"), (make(2, "reconcile", "a1"), "reserved")):
+        got = {r.action_id: r.reason for r in hold_ledger(spark.createDataFrame([make(1, "reserve"), second, make(3, "reserve")], SCHEMA), caps).collect()}
+        assert got["a3"] == third
+
+
+def test_a_hot_customer_is_replayed_by_several_tasks(spark, monkeypatch):
+    sizes = []
+    by_slice = holds._by_slice
+
+    def seen(sliced, starts, *rest):
+        sizes.append([r["count"] for r in sliced.groupBy("customer_id", "_slice").count().collect()])
+        return by_slice(sliced, starts, *rest)
+
+    monkeypatch.setattr(holds, "_by_slice", seen)
+    actions = list(paired(random.Random(3), 600))
+    got = hold_ledger(spark.createDataFrame(actions, SCHEMA), None, 300, slice_rows=100)
+    assert {r.action_id: (r.accepted, r.held_micro, r.reason) for r in got.collect()} == walk(actions, {})[0]
+    assert len(sizes[0]) > 4 and max(sizes[0]) < 300
+    assert len(sizes) <= len(sizes[0]) + 1
