@@ -34,6 +34,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+# Rows and bytes of an Arrow batch between Spark and Python: batches of whole texts by Spark's own 10,000 rows take
+# hundreds of megabytes outside the heap, and an executor keeps them from one stage to the next.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, where they are as Spark sets them."""
+    for name, default, most in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """The whole row as one struct column, so that no working column can clash with its own."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(ROW))
