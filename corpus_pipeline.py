@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.frames import small_batches
 from tallyhouse.llm.language import fit, identify
 from tallyhouse.llm.leaks import without_leaks
 from tallyhouse.llm.nearcopies import one_of_each
@@ -28,6 +29,7 @@ def _unused(docs: DataFrame, n: int) -> tuple[str, ...]:
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a language that the model knows; ``lang`` stays as declared."""
+    small_batches(spark)
     names = _unused(docs, 3)
     judged = identify(docs, fit(docs), names=names)
     return judged.filter(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -35,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -43,6 +46,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
     A document of which no word is left goes; one that had none stays.
     """
+    small_batches(spark)
     n_words, n_removed, kept = names = _unused(docs, 3)
     cut = cut_repeats(docs, names=names).filter((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_words)))
     changed = F.col(n_removed) > 0
@@ -52,11 +56,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Place of each piece of each document in a sequence of 2048 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 
