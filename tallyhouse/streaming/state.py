@@ -16,6 +16,7 @@ from ..functions.running import HOT_ROWS, Running, running
 from ..operators.budget import DEFAULT_THRESHOLD_SHARE
 from ..operators.cleaning import total_tokens
 from ..schema import CUSTOMER, CUSTOMER_MODEL
+from .merged import MergedSums
 
 
 def _month_end_ms(month: str) -> int:
@@ -195,27 +196,25 @@ def stamp_volume_batches(
     """Stamp volumes per micro-batch, for streams with keys too hot for one task.
 
     ``order`` gives the arrival order inside a micro-batch. Stamped events go
-    to ``path/events``, the month totals so far to ``path/totals``, each in a
-    folder of its batch that a repeated batch overwrites. Inside a batch hot
-    keys are split like in a batch job; the totals join by key.
+    to ``path/events``, what the batch adds to the month totals to ``path/totals``, each in a
+    folder of its batch that a repeated batch overwrites; the totals are merged now and then. Inside a
+    batch hot keys are split like in a batch job; the totals before the batch join by key.
     """
-    spark = stream.sparkSession
     keys = [*CUSTOMER_MODEL, "month"]
+    totals = MergedSums(stream.sparkSession, f"{path}/totals", keys, ["tokens"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumns({"month": billing_month(F.col("ts_ms")), "event_tokens": total_tokens()})
         stamped = running(
             keyed, keys, order, {"volume_before": Running("sum", "event_tokens", inclusive=False)}, hot_rows
         ).withColumn("volume_before", F.coalesce("volume_before", F.lit(0)))
-        totals = keyed.groupBy(*keys).agg(F.sum("event_tokens").alias("tokens"))
-        if batch_id > 0:
-            known = spark.read.parquet(f"{path}/totals/batch_id={batch_id - 1}")
+        known = totals.read(before=batch_id) if batch_id else None
+        if known is not None:
             stamped = null_safe_join(stamped, known, keys, "left").withColumn(
                 "volume_before", F.col("volume_before") + F.coalesce("tokens", F.lit(0))
             ).drop("tokens")
-            totals = totals.unionByName(known).groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
         stamped.drop("event_tokens").write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
-        totals.write.mode("overwrite").parquet(f"{path}/totals/batch_id={batch_id}")
+        totals.add(keyed.groupBy(*keys).agg(F.sum("event_tokens").alias("tokens")), batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
