@@ -805,16 +805,23 @@ def oracle_queries() -> dict[str, str]:
     add("late_events", [CLICKS, LATE], "SELECT event_id, customer_id, ts_ms, arrival_ms FROM late")
     q["stream_late_events"] = q["late_events"]
     add("replayed_late_events", [CLICKS], f"SELECT customer_id, count(*) AS events, {total('input_tokens', 'input_tokens')} FROM clicks GROUP BY customer_id")
-    add("stream_budget", [*clicks(), f"""charged AS (
+
+    def charged_budgets(charges, scale):
+        """Balance, debt and alert after each charge of (customer_id, model_id, start, cost_micro)."""
+        return [f"""charged AS (
         SELECT customer_id, start + 10000 AS ts_ms, model_id || '|' || start AS ref, CAST(sum(cost_micro) AS BIGINT) AS cost_micro
-        FROM (SELECT *, ts_ms - ts_ms % 10000 AS start FROM priced_clicks) WHERE start + 10000 <= {closed} GROUP BY customer_id, model_id, start),
+        FROM ({charges}) GROUP BY customer_id, model_id, start),
       moves AS (
-        SELECT 'cust_' || c_custkey AS customer_id, 0::BIGINT AS ts_ms, 0 AS seq, 'first' AS ref, 'set' AS kind, CAST(floor(abs(c_acctbal) * 10 + 0.5) AS BIGINT) AS amount_micro FROM customer
+        SELECT 'cust_' || c_custkey AS customer_id, 0::BIGINT AS ts_ms, 0 AS seq, 'first' AS ref, 'set' AS kind, CAST(floor(abs(c_acctbal) * {scale} + 0.5) AS BIGINT) AS amount_micro FROM customer
         UNION ALL SELECT customer_id, ts_ms, 3, ref, 'cost', cost_micro FROM charged WHERE customer_id IN (SELECT 'cust_' || c_custkey FROM customer)),
       summed AS (SELECT *, CAST(sum(CASE WHEN kind = 'set' THEN amount_micro ELSE -amount_micro END) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s,
         max(CASE WHEN kind = 'set' THEN amount_micro END) OVER (PARTITION BY customer_id) * 0.1::DOUBLE AS threshold FROM moves),
       floored AS (SELECT *, greatest(0, -(min(s) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref ROWS UNBOUNDED PRECEDING))) AS debt_micro FROM summed),
-      states AS (SELECT *, s + debt_micro AS balance_micro, lag(s + debt_micro) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref) AS before FROM floored)"""],
-        """SELECT CAST(NULL AS VARCHAR) AS tenant_id, customer_id, ts_ms, ref, kind, amount_micro, balance_micro, debt_micro,
-        CASE WHEN kind = 'cost' AND balance_micro <= 0 THEN 'BUDGET_EXHAUSTED' WHEN kind = 'cost' AND balance_micro <= threshold AND before > threshold THEN 'BUDGET_LOW' END AS alert FROM states""")
+      states AS (SELECT *, s + debt_micro AS balance_micro, lag(s + debt_micro) OVER (PARTITION BY customer_id ORDER BY ts_ms, seq, ref) AS before FROM floored)"""]
+
+    budget_states = """SELECT CAST(NULL AS VARCHAR) AS tenant_id, customer_id, ts_ms, ref, kind, amount_micro, balance_micro, debt_micro,
+        CASE WHEN kind = 'cost' AND balance_micro <= 0 THEN 'BUDGET_EXHAUSTED' WHEN kind = 'cost' AND balance_micro <= threshold AND before > threshold THEN 'BUDGET_LOW' END AS alert FROM states"""
+    add("stream_budget", [*clicks(), *charged_budgets(f"SELECT *, ts_ms - ts_ms % 10000 AS start FROM priced_clicks WHERE ts_ms - ts_ms % 10000 + 10000 <= {closed}", 10)], budget_states)
+    add("stream_metered_budgets", [CLICKS, TIER_ROWS, click_stamped, tier_cost("volume_before"), *charged_budgets(
+        "SELECT customer_id, model_id, cost_micro, ts_ms - ts_ms % 10000 AS start FROM stamped JOIN tier_priced USING (rid)", 200_000)], budget_states)
     return q

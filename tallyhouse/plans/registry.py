@@ -16,7 +16,7 @@ from ..sources import events as source
 from ..sources import price_lists
 from ..sources import sample_tables as sample
 from ..sources.catalog import Catalog, catalog_from, load_catalog, validate_catalogs, write_catalog
-from ..streaming import late, sinks, state, windows
+from ..streaming import chain, late, sinks, state, windows
 from .cost_store import CostStore
 from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored
 
@@ -1164,32 +1164,57 @@ def stream_volume_stamps(spark, folder):
     return spark.read.parquet(f"{out}/table").select("event_id", "customer_id", "model_id", "month", "volume_before")
 
 
-def _arrivals(spark, folder, name, scale=TIER_SCALE):
-    """Clean usage of several years as a stream of four micro-batches whose months are out of order.
+ARRIVAL = ["arrival_seq", "event_id", "input_tokens", "output_tokens"]
+
 
-    ``arrival_seq`` is the order of arrival: the batch, then event time backwards.
+@query
+def stream_month_volumes(spark, folder):
+    """Month volumes of several years that arrive in four lots, months out of order; the stream is stopped and restarted between them.
+
+    ``arrival_seq`` is the order of arrival: the lot, then event time backwards.
     """
-    out = _folder(spark, name)
-    cleaned = clean_usage(_usage(spark, folder, scale), TIERED).drop("metadata")
-    batch = F.pmod(F.length("event_id") + F.ascii(F.element_at(F.split("event_id", "-"), 2)), F.lit(4))
-    ordered = cleaned.withColumn("arrival_batch", batch.cast("long")).withColumn(
-        "arrival_seq", F.col("arrival_batch") * 10**14 - F.col("ts_ms")
-    )
+    out = _folder(spark, "months")
+    cleaned = clean_usage(_usage(spark, folder, TIER_SCALE), TIERED).drop("metadata")
+    lot = F.pmod(F.length("event_id") + F.ascii(F.element_at(F.split("event_id", "-"), 2)), F.lit(4))
+    lots = stored(cleaned.withColumn("lot", lot).withColumn("arrival_seq", F.col("lot").cast("long") * 10**14 - F.col("ts_ms")), f"{out}/lots")
     for n in range(4):
-        ordered.filter(F.col("arrival_batch") == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    return stream, out
+        lots.filter(F.col("lot") == n).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(lots.schema).parquet(f"{out}/in")
+        _finish(state.stamp_volume_batches(stream, ARRIVAL, f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table/events").select("event_id", *CUSTOMER_MODEL, "month", "volume_before")
 
 
-ARRIVAL = ["arrival_seq", "event_id", "input_tokens", "output_tokens"]
+def _budget_seeds(spark, folder, scale):
+    """A budget for each customer of the table, as a stream of movements."""
+    raw = spark.readStream.schema(sample.table(spark, folder, "customer").schema).option("pathGlobFilter", "customer.parquet").parquet(folder)
+    return raw.selectExpr(
+        "CAST(NULL AS STRING) AS tenant_id", "concat('cust_', CAST(c_custkey AS STRING)) AS customer_id",
+        "0L AS ts_ms", "0L AS seq", "'first' AS ref", "'set' AS kind",
+        f"CAST(floor(abs(c_acctbal) * {scale} + 0.5D) AS BIGINT) AS amount_micro",
+        "CAST(NULL AS BIGINT) AS alert_threshold_micro", "CAST(NULL AS STRING) AS model_id",
+    )
 
 
 @query
-def stream_month_volumes(spark, folder):
-    """Month volumes of several years that arrive out of order."""
-    stream, out = _arrivals(spark, folder, "months")
-    _finish(sinks.write_windows(state.stamp_volume_stream(stream, ARRIVAL), f"{out}/table", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/table").select("event_id", *CUSTOMER_MODEL, "month", "volume_before")
+def stream_metered_budgets(spark, folder):
+    """The whole job on events that come twice and in four lots, with a restart between lots: dedup, volume, tiered price, windows, budgets, alerts.
+
+    A last event of nobody's, weeks later, closes the windows of all others.
+    """
+    out = _folder(spark, "metered")
+    clicks = _clicks(spark, folder).withColumns({c: F.col(c) * 20_000 for c in TOKEN_COLUMNS})
+    clicks = clicks.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    twice = clicks.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    last = clicks.orderBy(F.desc("ts_ms")).limit(1).withColumns(
+        {"ts_ms": F.col("ts_ms") + 86_400_000 * 40, "customer_id": F.lit("nobody"), "event_id": F.lit("last")}
+    )
+    lot = F.least(F.lit(3), F.floor((F.dayofmonth(F.timestamp_millis("ts_ms")) - 1) / 8))
+    lots = stored(twice.withColumn("lot", lot).unionByName(last.withColumn("lot", F.lit(4).cast("long"))), f"{out}/lots")
+    for n in range(5):
+        lots.filter(F.col("lot") == n).drop("lot").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(lots.drop("lot").schema).parquet(f"{out}/in")
+        chain.run_metering(stream, _budget_seeds(spark, folder, 200_000), TIERED, f"{out}/job", ["arrival_seq"])
+    return spark.read.parquet(f"{out}/job/ledger").drop("batch_id")
 
 
 @query
@@ -1248,16 +1273,7 @@ def stream_budget(spark, folder):
     _finish(sinks.write_windows(closed, f"{out}/windows", f"{out}/windows_checkpoint"))
     log = spark.readStream.schema(closed.schema).parquet(f"{out}/windows/batch_id=*")
     charges = budget.cost_movements(log)
-    seeds = (
-        spark.readStream.schema(sample.table(spark, folder, "customer").schema)
-        .option("pathGlobFilter", "customer.parquet").parquet(folder)
-        .selectExpr(
-            "CAST(NULL AS STRING) AS tenant_id", "concat('cust_', CAST(c_custkey AS STRING)) AS customer_id",
-            "0L AS ts_ms", "0L AS seq", "'first' AS ref", "'set' AS kind",
-            "CAST(floor(abs(c_acctbal) * 10 + 0.5D) AS BIGINT) AS amount_micro",
-            "CAST(NULL AS BIGINT) AS alert_threshold_micro", "CAST(NULL AS STRING) AS model_id",
-        )
-    )
+    seeds = _budget_seeds(spark, folder, 10)
     stream = state.budget_stream(charges.unionByName(seeds))
     _finish(sinks.write_windows(stream, f"{out}/table", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/table").drop("batch_id")
