@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -62,7 +63,26 @@ FENCES = ENCLOSED | frozenset("ul ol menu dl table tbody thead tfoot select arti
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attrs) -> bool:
+def _named(name: str, value: str, tag: str, article: bool) -> bool:
+    """Whether a class or id names boilerplate.
+
+    Inside an article ids are often made from titles and classes from subjects: there an id counts only as a whole,
+    a paragraph's class only where one of its names is such a word, and a heading's not at all.
+    """
+    if article and tag in HEADINGS:
+        return False
+    if article and (name == "id" or tag == "p"):
+        found = value.lower().split() if name == "class" else [value.strip().lower()]
+        return not (tag == "p" and name == "id") and not DROPPED_WORDS.isdisjoint(found)
+    return not DROPPED_WORDS.isdisjoint(p.lower() for p in _PART.findall(value))
+
+
+def _of_readers(attrs) -> bool:
+    """Whether an article element is a reader's comment."""
+    return any(n in ("class", "id") and v and any(x in ("comment", "comments") or x.startswith("comment-") for x in v.lower().split()) for n, v in attrs)
+
+
+def _marked(attrs, tag: str, article: bool) -> bool:
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -70,7 +90,7 @@ def _marked(attrs) -> bool:
             continue
         if name == "role" and value.strip().lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(p.lower() for p in _PART.findall(value)):
+        if name in ("class", "id") and _named(name, value, tag, article):
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -90,6 +110,8 @@ class Lines(HTMLParser):
         self.lines: list[tuple[int, bool, bool, str, int]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, region, in an article
         self.doubts: list[list] = []  # of each doubted element: the one around it, in an article, characters, of links, tags
+        self.forms: set[int] = set()  # doubted elements that are forms outside articles
+        self.held: Counter[str] = Counter()  # open elements by tag
         self.inside: list[tuple[int, bool]] = []  # of each open element: the doubted element it is in or -1, in a link
         self.doubt = -1  # of the line's first kept word
         self.of_line: list[int] = []  # of each line
@@ -121,11 +143,14 @@ class Lines(HTMLParser):
             self.cut()
 
     def _pop(self, names, fences=frozenset()):
+        if not any(self.held[n] for n in names):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in names:
                 blocks = [x[1] for x in self.open[i:] if x[0] in BLOCK]
                 if blocks:
                     self._edge(all(blocks))
+                self.held.subtract(x[0] for x in self.open[i:])
                 del self.open[i:], self.inside[i:]
                 return
             if self.open[i][0] in fences:
@@ -148,18 +173,24 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         main = tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in attrs)
-        drops = tag in DROPPED or (tag not in ("html", "body") and not main and _marked(attrs)) or (tag == "header" and not article)
+        # Some pages stand in one form: one outside an article is judged by how much of the page it holds.
+        form = tag == "form" and not article and not dropped and not self.held["form"]
+        drops = tag in DROPPED and not form or (tag == "header" and not article) or (tag == "article" and _of_readers(attrs))
+        drops = drops or (tag not in ("html", "body") and not main and _marked(attrs, tag, article))
         if drops and tag in DROPPED - UNSEEN:
             self.text.append(" ")
-        if main and not article:
+        if main and not article and not drops:
             region, article = self.count, True
         elif tag in BLOCK and not article and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "ul", "ol", "td", "th", "tr", "dt", "dd", "dl"):
             region = self.count
         doubt, link = self.inside[-1] if self.inside else (-1, False)
-        if tag in BLOCK and not (dropped or drops or main or tag in HEADINGS or tag in ("html", "body")) and _doubted(attrs, article):
+        if tag in BLOCK and not (dropped or drops or main or tag in HEADINGS or tag in ("html", "body")) and (form or _doubted(attrs, article)):
             self.doubts.append([doubt, article, 0, 0, 0])
             doubt = len(self.doubts) - 1
+            if form:
+                self.forms.add(doubt)
         self.open.append((tag, dropped or drops, region, article))
+        self.held[tag] += 1
         self.inside.append((doubt, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
@@ -190,14 +221,16 @@ class Lines(HTMLParser):
                     self.doubts[doubt][3] += n * link
 
     def judged(self):
-        """The lines, with those of doubted elements that are mostly links or thin as boilerplate."""
+        """The lines, with those of doubted elements that are mostly links or thin, and of forms with half of the text or less, as boilerplate."""
         for around, _, *sums in reversed(self.doubts):  # an element comes after the one around it
             if around >= 0:
                 for i, n in enumerate(sums, 2):
                     self.doubts[around][i] += n
         bad: list[bool] = []
-        for around, article, n, linked, tags in self.doubts:
-            bad.append((around >= 0 and bad[around]) or 2 * linked > n or (not article and n < THIN * tags))
+        total = sum(len(text) for _, _, dropped, text, _ in self.lines if not dropped)
+        for k, (around, article, n, linked, tags) in enumerate(self.doubts):
+            small = 2 * n <= total if k in self.forms else not article and n < THIN * tags
+            bad.append((around >= 0 and bad[around]) or 2 * linked > n or small)
         return [(r, a, d or (k >= 0 and bad[k]), t, g) for (r, a, d, t, g), k in zip(self.lines, self.of_line)]
 
 

@@ -1,5 +1,7 @@
 """Main text of pages."""
 
+import time
+
 import pytest
 
 from tallyhouse.llm.htmltext import extract_text, main_text, smoothed
@@ -102,3 +104,42 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "html", "tags", "_row", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "piece, kept",
+    [
+        ('<h2 id="share-prices">Prices</h2>', "Prices"),
+        ('<h2 id="the-menu-problem" class="social">Menus</h2>', "Menus"),
+        ('<p id="copyright-law">On the law.</p>', "On the law."),
+        ('<p class="social-science">On science.</p>', "On science."),
+        ('<p class="wide share">Share this</p>', ""),
+        ('<div id="comments"><p>First!</p></div>', ""),
+        ('<div class="share-bar">Tell others</div>', ""),
+        ('<p hidden>Not shown</p>', ""),
+    ],
+)
+def test_names_inside_an_article(piece, kept):
+    got = main_text(f"<html><body><article><p>{'Long text. ' * 9}</p>{piece}<p>{'More text. ' * 9}</p></article></body></html>").split("\n")
+    assert got[1:-1] == ([kept] if kept else [])
+
+
+def test_a_page_in_one_form_and_small_forms():
+    text = "<p>" + "A sentence of the text. " * 12 + "</p>"
+    small = '<form action="/s"><p>Search our pages</p><input name="q"><button>Go</button></form>'
+    for page in (f'<body><form id="aspnetForm"><div>{text}{text}</div></form></body>', f"<body>{small}<div>{text}{text}</div></body>", f'<body><form id="f"><article>{text}{text}</article></form></body>'):
+        got = main_text(f"<html>{page}</html>")
+        assert got.count("\n") == 1 and got.startswith("A sentence") and "Search" not in got
+
+
+def test_comments_in_articles_of_their_own():
+    text = "<p>" + "A sentence of the text. " * 12 + "</p>"
+    comment = '<article class="comment" id="comment-7"><p>' + "I do not agree at all. " * 12 + "</p></article>"
+    assert "agree" not in main_text(f"<body><article>{text}</article>{comment}</body>")
+
+
+def test_many_open_elements_take_linear_time():
+    html = "<article>" + "<b>" * 20_000 + "<p>x</p></i>" * 3_000
+    start = time.process_time()
+    assert main_text(html).count("x") == 3_000
+    assert time.process_time() - start < 4
