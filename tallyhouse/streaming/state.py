@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,41 @@ BUDGET_SCHEMA = T.StructType(
 _MOVES = ["ts_ms", "seq", "ref", "kind", "amount_micro", "alert_threshold_micro"]
 
 
+def book(moves: pd.DataFrame, state: tuple[int, int, float] | None) -> tuple[pd.DataFrame, tuple[int, int, float]]:
+    """Movements in order with balance, debt and alert, and the state after them: balance, debt, threshold.
+
+    What a row of movements does to a balance depends on two numbers, their sum and their lowest running sum: where the
+    balance would fall below zero it stays at zero, and the rest is debt. So balances come
+    from a running sum lifted by its own running minimum, for all movements between two ``set`` at once. Without a
+    state, movements before the first ``set`` are left out.
+    """
+    kind, amount = moves["kind"].to_numpy(object), moves["amount_micro"].to_numpy(np.int64)
+    signed = np.where(kind == "topup", amount, -amount)
+    balance, debt, before, limit = (np.zeros(len(moves), np.int64) for _ in range(4))
+    limit = limit.astype(float)
+    sets = np.flatnonzero(kind == "set")
+    begin = 0 if state is not None else int(sets[0]) if len(sets) else len(moves)
+    for lo, hi in zip([begin, *sets[sets > begin]], [*sets[sets > begin], len(moves)]):
+        if lo < hi and kind[lo] == "set":
+            given = moves["alert_threshold_micro"].iloc[lo]
+            state = (int(amount[lo]), 0, float(amount[lo] * DEFAULT_THRESHOLD_SHARE if pd.isna(given) else given))
+            balance[lo], limit[lo] = state[0], state[2]
+            lo += 1
+        if lo < hi:
+            start, owed, threshold = state
+            total = start + np.cumsum(signed[lo:hi])
+            lift = np.maximum(0, -np.minimum.accumulate(total))
+            balance[lo:hi], debt[lo:hi], limit[lo:hi] = total + lift, owed + lift, threshold
+            before[lo:hi] = np.concatenate(([start], balance[lo : hi - 1]))
+            state = (int(balance[hi - 1]), int(debt[hi - 1]), threshold)
+    cost = kind == "cost"
+    alert = np.full(len(moves), None, object)
+    alert[cost & (balance <= limit) & (limit < before)] = "BUDGET_LOW"
+    alert[cost & (balance <= 0)] = "BUDGET_EXHAUSTED"
+    booked = moves[["ts_ms", "ref", "kind", "amount_micro"]].assign(balance_micro=balance, debt_micro=debt, alert=alert)
+    return booked.iloc[begin:], state
+
+
 class BudgetDrawdown(StatefulProcessor):
     """Balance and debt of one customer, movement by movement.
 
@@ -151,27 +187,12 @@ class BudgetDrawdown(StatefulProcessor):
             if self._waiting.exists():
                 moves = pd.concat([pd.DataFrame(list(self._waiting.get()), columns=_MOVES), moves])
                 self._waiting.clear()
-        moves = moves.sort_values(["ts_ms", "seq", "ref"])
-        out = []
-        for m in moves.itertuples(index=False):
-            alert = None
-            if m.kind == "set":
-                limit = m.alert_threshold_micro
-                state = (m.amount_micro, 0, float(m.amount_micro * DEFAULT_THRESHOLD_SHARE if pd.isna(limit) else limit))
-            elif state is None:
-                continue
-            else:
-                before, debt, threshold = state
-                after = before + (m.amount_micro if m.kind == "topup" else -m.amount_micro)
-                state = (max(0, after), debt + max(0, -after), threshold)
-                if m.kind == "cost" and state[0] <= 0:
-                    alert = "BUDGET_EXHAUSTED"
-                elif m.kind == "cost" and state[0] <= threshold < before:
-                    alert = "BUDGET_LOW"
-            out.append((*key, m.ts_ms, m.ref, m.kind, m.amount_micro, int(state[0]), int(state[1]), alert))
-        self._state.update((int(state[0]), int(state[1]), float(state[2])))
-        if out:
-            yield pd.DataFrame(out, columns=BUDGET_SCHEMA.names)
+        booked, state = book(moves.sort_values(["ts_ms", "seq", "ref"]), state)
+        self._state.update(state)
+        if len(booked):
+            tenant, customer = key
+            booked = booked.assign(tenant_id=tenant, customer_id=customer)
+            yield booked[BUDGET_SCHEMA.names]
 
     def close(self) -> None:
         pass

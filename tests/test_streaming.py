@@ -237,3 +237,38 @@ def test_rebuild_from_landed_events(spark, tmp_path):
     booked = tables["budget_state"].first()
     assert booked.deducted_micro == want["c0"]
     assert booked.balance_micro - booked.debt_micro == 10_000_000 - want["c0"]
+
+
+def booked_one_by_one(moves, state):
+    out = []
+    for m in moves.itertuples(index=False):
+        alert = None
+        if m.kind == "set":
+            given = m.alert_threshold_micro
+            state = (m.amount_micro, 0, m.amount_micro * 0.1 if pd.isna(given) else float(given))
+        elif state is None:
+            continue
+        else:
+            before, debt, limit = state
+            after = before + (m.amount_micro if m.kind == "topup" else -m.amount_micro)
+            state = (max(0, after), debt + max(0, -after), limit)
+            if m.kind == "cost" and state[0] <= 0:
+                alert = "BUDGET_EXHAUSTED"
+            elif m.kind == "cost" and state[0] <= limit < before:
+                alert = "BUDGET_LOW"
+        out.append((m.ts_ms, state[0], state[1], alert))
+    return out, state
+
+
+def test_movements_booked_at_once_are_those_booked_one_by_one():
+    rng = random.Random(1)
+    for _ in range(500):
+        moves = pd.DataFrame(
+            [(i, 0, f"r{i}", rng.choice(["cost"] * 5 + ["topup", "set"]), rng.randrange(60), rng.choice([None, 0, 5])) for i in range(rng.randint(0, 14))],
+            columns=["ts_ms", "seq", "ref", "kind", "amount_micro", "alert_threshold_micro"],
+        )
+        start = rng.choice([None, (rng.randrange(90), rng.randrange(9), float(rng.randrange(20)))])
+        want, end = booked_one_by_one(moves, start)
+        got, state_after = state.book(moves, start)
+        assert list(got[["ts_ms", "balance_micro", "debt_micro", "alert"]].itertuples(index=False, name=None)) == want
+        assert state_after == end
