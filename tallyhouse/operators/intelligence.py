@@ -9,6 +9,7 @@ output_tokens)``, ``dim_costs(dim_key, dim_value, period, cost_micro)``,
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.joins import null_safe_join
 from ..functions.money import usd
 from ..functions.periods import days_in_month, previous_period, trailing_periods
+from ..functions.tables import known_table
 from ..schema import DIMENSIONS
-from ..sources.catalog import Catalog, ModelPrice
-from .cleaning import normalized_model
+from ..sources.catalog import OPEN_END, Catalog, ModelPrice
+from .cleaning import normalize_models
 
 # Shown contributors and recommendations, margin goals, spike
 # and risk thresholds, and the time between two alerts of one kind.
@@ -250,20 +252,27 @@ def cheaper_model(usage: DataFrame, catalog: Catalog) -> DataFrame:
     """The cheapest catalog model for each row's ``input_tokens``/``output_tokens``.
 
     Adds ``from_cost_micro``, and ``to_model, to_cost_micro`` where some other
-    model is cheaper; of equally cheap ones the first listed. Every row is
-    priced on every model inside the row, as an array of the catalog's length;
-    nothing is joined or multiplied out.
+    model is cheaper; of equally cheap ones the first listed. A row is priced on its own model, which is
+    looked up by a join, and on the models that no earlier one undercuts everywhere (``cheapest_candidates``),
+    as an array inside the row; nothing is multiplied out.
     """
     offers = F.array(*[
-        F.struct(F.expr(_request_cost(m)).alias("cost"), F.lit(i).alias("i"), F.lit(name).alias("model"))
-        for i, (name, m) in enumerate(catalog.models.items())
+        F.struct(F.expr(_request_cost(m)).alias("cost"), F.lit(i).alias("i"), F.lit(m.model_id).alias("model"))
+        for i, m in enumerate(cheapest_candidates(catalog))
     ])
-    named = usage.withColumns({"_name": normalized_model(F.col("model_id"), catalog), "_offers": offers})
-    own = F.get(F.filter("_offers", lambda o: o["model"] == F.col("_name")), F.lit(0))["cost"]
-    priced = named.withColumns(
+    own_tiers = known_table(
+        usage.sparkSession,
+        [(name, [{"lo": lo, "hi": hi, "input": i, "output": o} for lo, hi, i, o in _billed_tiers(m)]) for name, m in catalog.models.items()],
+        "_listed string, _tiers array<struct<lo:bigint,hi:bigint,input:double,output:double>>",
+    )
+    # The columns of the input stay as they are, names that normalising uses among them.
+    named = normalize_models(usage.select(F.struct(*usage.columns).alias("_row"), "model_id"), catalog)
+    found = named.select("_row.*", F.col("model_id").alias("_name")).join(own_tiers, F.col("_name") == F.col("_listed"), "left")
+    own = _tiers_cost("0L", "input_tokens", "input") + _tiers_cost("input_tokens", "input_tokens + output_tokens", "output")
+    priced = found.withColumns(
         {
-            "from_cost_micro": F.coalesce(own, F.expr(_request_cost(catalog.defaults))),
-            "_best": F.array_min("_offers"),
+            "from_cost_micro": F.when(F.col("_tiers").isNull(), F.expr(_request_cost(catalog.defaults))).otherwise(own),
+            "_best": F.array_min(offers) if catalog.models else F.lit(None).cast("struct<cost:bigint,i:int,model:string>"),
         }
     )
     better = F.col("_best.cost") < F.col("from_cost_micro")
@@ -272,7 +281,40 @@ def cheaper_model(usage: DataFrame, catalog: Catalog) -> DataFrame:
             "to_model": F.when(better, F.col("_best.model")),
             "to_cost_micro": F.when(better, F.col("_best.cost")),
         }
-    ).drop("_name", "_offers", "_best")
+    ).drop("_name", "_listed", "_tiers", "_best")
+
+
+def _billed_tiers(model: ModelPrice) -> list[tuple[int, int, float, float]]:
+    """What a request from volume 0 pays; only graduated models reach beyond their first tier."""
+    if model.mode != "graduated":
+        return [(0, OPEN_END, model.tiers[0].input, model.tiers[0].output)]
+    return [(t.lo, t.hi, t.input, t.output) for t in model.tiers]
+
+
+def cheapest_candidates(catalog: Catalog) -> list[ModelPrice]:
+    """Models that can be the cheapest for some request, in listed order.
+
+    A model that is listed after one with the same tier bounds and no higher price in any tier and category
+    never wins: each rounded part of its cost is as high or higher, and of equal costs the
+    first listed wins. Models with other tier bounds are not compared. Of n models in any
+    order few are left, so this takes n times few steps on the driver.
+    """
+    kept: dict[tuple, list[tuple[ModelPrice, list[float]]]] = {}
+    for name, model in catalog.models.items():
+        tiers = _billed_tiers(model)
+        prices = [p for _, _, *both in tiers for p in both]
+        rivals = kept.setdefault(tuple(t[:2] for t in tiers), [])
+        if not any(all(r <= p for r, p in zip(theirs, prices)) for _, theirs in rivals):
+            rivals.append((replace(model, model_id=name), prices))
+    listed = {name: i for i, name in enumerate(catalog.models)}
+    return sorted((m for rivals in kept.values() for m, _ in rivals), key=lambda m: listed[m.model_id])
+
+
+def _tiers_cost(start: str, end: str, price: str) -> Column:
+    """Cost of one category by the row's own ``_tiers``, rounded per tier."""
+    return F.expr(
+        f"aggregate(_tiers, 0L, (sum, t) -> sum + CAST(floor(greatest(0L, least({end}, t.hi) - greatest({start}, t.lo)) * t.{price} + 0.5D) AS BIGINT))"
+    )
 
 
 def _request_cost(model: ModelPrice) -> str:

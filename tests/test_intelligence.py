@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from tallyhouse.operators import intelligence as intel
@@ -107,3 +110,60 @@ def test_margin_loss_names_five_and_debounce(spark):
     sent = spark.createDataFrame([("INTEL_MARGIN_LOSS", "2026-07", 5 * day)], "type string, period string, sent_ms bigint")
     assert intel.debounce_alerts(alert, sent, 6 * day - 1).count() == 0
     assert intel.debounce_alerts(alert, sent, 6 * day).count() == 1
+
+
+def random_catalog(rng, n):
+    def entry():
+        price = lambda: rng.choice([0.0, 0.1, 0.25, 0.5, 1.0, 2.5, 7.5, rng.random() * 20])
+        if rng.random() < 0.7:
+            return {"input_per_m": price(), "output_per_m": price()}
+        bound = rng.choice([1, 2])
+        tiers = [{"up_to_tokens_m": b, "input_per_m": price(), "output_per_m": price()} for b in (bound, None)]
+        return {"pricing_mode": rng.choice(["graduated", "volume"]), "tiers": tiers}
+
+    return catalog_from({"models": {f"m{i}": entry() for i in range(n)}, "prefix_models": ["m1"]})
+
+
+def request_cost(model, i, o):
+    half_up = lambda x: math.floor(x + 0.5)
+    if model.mode != "graduated":
+        return half_up(i * model.tiers[0].input) + half_up(o * model.tiers[0].output)
+    part = lambda a, b, t: max(0, min(b, t.hi) - max(a, t.lo))
+    return sum(half_up(part(0, i, t) * t.input) for t in model.tiers) + sum(half_up(part(i, i + o, t) * t.output) for t in model.tiers)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cheaper_model_against_every_model(spark, seed):
+    rng = random.Random(seed)
+    catalog = random_catalog(rng, 60)
+    assert len(intel.cheapest_candidates(catalog)) < 40
+    asked = [(f"c{k}", rng.choice([f"m{rng.randrange(60)}", "m1-late", "nobody's", None, ""]), rng.choice([0, 1, 7, 10**6, 2_500_000, rng.randrange(10**7)]),
+              rng.choice([0, 1, 3, rng.randrange(10**6)]), "kept") for k in range(120)]
+    rows = spark.createDataFrame(asked, "customer_id string, model_id string, input_tokens bigint, output_tokens bigint, raw_model_id string")
+    got = {r.customer_id: r for r in intel.cheaper_model(rows, catalog).collect()}
+    assert len(got) == 120
+    for c, m, i, o, _ in asked:
+        name = m if m in catalog.models else "m1" if m and m.startswith("m1") else m
+        own = request_cost(catalog.models.get(name, catalog.defaults), i, o)
+        cost, _, best = min((request_cost(p, i, o), n, k) for n, (k, p) in enumerate(catalog.models.items()))
+        want = (own, best, cost) if cost < own else (own, None, None)
+        r = got[c]
+        assert (r.from_cost_micro, r.to_model, r.to_cost_micro) == want, (c, m, i, o)
+        assert r.model_id == m and r.raw_model_id == "kept"
+
+
+def test_dominated_models_are_never_priced(spark):
+    """Of 3 000 models, each dearer than one before it but three, three are in the plan."""
+    entries = {"low-in": {"input_per_m": 0.1, "output_per_m": 9.0}, "low-out": {"input_per_m": 9.0, "output_per_m": 0.1}, "even": {"input_per_m": 1.0, "output_per_m": 1.0}}
+    entries |= {f"dear{i}": {"input_per_m": 9.0 + i, "output_per_m": 9.0 + i} for i in range(3_000)}
+    catalog = catalog_from({"models": entries})
+    assert [m.model_id for m in intel.cheapest_candidates(catalog)] == ["low-in", "low-out", "even"]
+    rows = spark.createDataFrame([("dear7", 100, 1), ("dear8", 1, 100), ("low-in", 100, 0)], "model_id string, input_tokens bigint, output_tokens bigint")
+    best = intel.cheaper_model(rows, catalog)
+    assert "dear2999" not in best._jdf.queryExecution().toString()
+    assert [(r.model_id, r.to_model) for r in best.orderBy("model_id").collect()] == [("dear7", "low-in"), ("dear8", "low-out"), ("low-in", None)]
+
+
+def test_cheaper_model_without_models(spark):
+    rows = spark.createDataFrame([("x", 100, 1)], "model_id string, input_tokens bigint, output_tokens bigint")
+    assert [(r.from_cost_micro, r.to_model) for r in intel.cheaper_model(rows, catalog_from({})).collect()] == [(103, None)]
