@@ -435,6 +435,13 @@ def on_request(name):
     return f"LEFT JOIN {name} ON {name}.request_id = r.request_id AND {name}.tenant_id = r.tenant_id AND {name}.customer_id = r.customer_id"
 
 
+def digest(columns, rows, by=None):
+    """Rows and digest of a table: ``columns`` with their types' texts, in name order."""
+    texts = {c: f"CAST(CAST({c} AS DECIMAL(38, 9)) AS VARCHAR)" if c == "avg_latency_ms" else f"CAST({c} AS VARCHAR)" for c in columns}
+    row = " || ".join(f"coalesce(length({texts[c]}) || ':' || {texts[c]}, '-')" for c in sorted(columns))
+    return f"SELECT {by + ', ' if by else ''}count(*) AS rows, coalesce(sum(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)), 0) AS digest FROM ({rows}){' GROUP BY ' + by if by else ''}"
+
+
 def build(parts, select):
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
 
@@ -460,6 +467,7 @@ def oracle_queries() -> dict[str, str]:
         WHEN heartbeat THEN 'key_not_allowed' ELSE 'accepted' END AS reason, count(*) AS events FROM raw GROUP BY 1""")
     add("filled_defaults", [raw()], f"""SELECT {CUST}, max(t) AS last_ts_ms, count(*) FILTER (t = {NOW_MS}) AS defaulted
         FROM (SELECT *, CASE WHEN latency_ms % 10 = 3 THEN {NOW_MS} ELSE ts_ms END AS t FROM raw) GROUP BY {CUST}""")
+    add("generated_ids", [raw()], f"SELECT {CUST}, count(*) AS events, count(DISTINCT CASE WHEN latency_ms % 10 <> 3 THEN event_id END) + count(*) FILTER (latency_ms % 10 = 3) AS ids, count(*) FILTER (latency_ms % 10 <> 3) AS own_ids FROM raw GROUP BY {CUST}")
     add("total_tokens", [raw()], f"SELECT model_id, {total(TOTAL, 'total_tokens')}, max({TOTAL}) AS largest FROM raw GROUP BY model_id")
     add("normalized_models", [raw()], f"SELECT model_id AS raw_model_id, {normalized('model_id', STANDARD)} AS model_id, count(*) AS events FROM raw GROUP BY 1, 2")
     add("scoped_tenants", [raw()], "SELECT nullif(tenant_id, 't0') AS tenant_id, count(*) AS events FROM raw GROUP BY 1")
@@ -658,6 +666,35 @@ def oracle_queries() -> dict[str, str]:
     add("balance_drift_report", [*ledger(), drift], f"SELECT * FROM drifts WHERE abs(drift_micro) > 10000 ORDER BY {CUST} LIMIT 100")
     add("balance_drift_summary", [*ledger(), drift], "SELECT count(*) AS customers_scanned, count(*) FILTER (abs(drift_micro) > 10000) AS drift_count FROM drifts")
     add("rebuilt_balances", ledger(), f"SELECT {CUST}, balance_micro, debt_micro, deducted_micro FROM last_state WHERE tenant_id = 't1'")
+    measures = ["input_tokens", "output_tokens", "total_tokens", "event_count", "cost_micro", "cache_read_tokens", "reasoning_tokens"]
+    own, key = ["tenant_id", "customer_id"], ["tenant_id", "customer_id", "model_id"]
+    rebuilt = {
+        "usage_windows": ([*key, "window_start_ms", *TOKENS, "total_tokens", "cost_micro", "event_count", "total_latency_ms", "duplicate_count", "window_end_ms", "avg_latency_ms"], "SELECT * FROM windows"),
+        "usage_global": (["tenant_id", *measures[:5], "last_window_end_ms"], f"""SELECT tenant_id, {', '.join(total(c, c) for c in measures[:5])}, max(window_end_ms) AS last_window_end_ms FROM windows GROUP BY tenant_id"""),
+        "usage_by_customer": ([*own, *measures], "SELECT * FROM by_customer"),
+        "usage_by_customer_model": ([*key, *measures], "SELECT * FROM by_customer_model"),
+        "usage_by_customer_model_month": ([*key, "period", *measures[:5]], "SELECT * FROM model_months"),
+        "usage_rollup": ([*own, "grain", "bucket", *measures], " UNION ALL ".join(
+            f"SELECT {CUST}, '{g}' AS grain, strftime(make_timestamp(ts_ms * 1000), '{f}') AS bucket, {ROLLUP} FROM priced GROUP BY {CUST}, bucket" for g, f in grains.items())),
+        "usage_by_session": (["tenant_id", "session_id", "customer_id", *measures, "last_ts_ms"], f"""SELECT tenant_id, session_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id,
+            {ROLLUP}, max(ts_ms) AS last_ts_ms FROM priced GROUP BY tenant_id, session_id"""),
+        "span_usage": (["tenant_id", "parent_span_id", "customer_id", "total_tokens", "cost_micro", "call_count", "first_ts_ms", "last_ts_ms", "duration_ms"], "SELECT * FROM spans"),
+        "usage_by_dim": (["dim_key", "dim_value", "period", "cost_micro", "event_count"], "SELECT * FROM dims"),
+        "spend_by_key": (["key_id", "grain", "bucket", "cost_micro"], f"""SELECT key_id, 'day' AS grain, {DAY} AS bucket, {total('cost_micro', 'cost_micro')} FROM priced WHERE cost_micro > 0 GROUP BY ALL
+            UNION ALL SELECT key_id, 'month', period, {total('cost_micro', 'cost_micro')} FROM priced WHERE cost_micro > 0 GROUP BY ALL"""),
+        "budget_ledger": ([*own, "ts_ms", "seq", "ref", "kind", "epoch", "amount_micro", "balance_micro", "debt_micro", "topup_micro", "deducted_micro"], "SELECT * FROM ledger"),
+        "budget_state": ([*own, "balance_micro", "debt_micro", "topup_micro", "deducted_micro"], "SELECT * FROM last_state"),
+        "budget_alerts": ([*own, "ts_ms", "ref", "model_id", "alert", "window_cost_micro", "balance_micro"], f"""SELECT {CUST}, ts_ms, ref, model_id, {alert.format(first='')} AS alert,
+            amount_micro AS window_cost_micro, balance_micro FROM ledger WHERE kind = 'cost' AND {alert.format(first='')} IS NOT NULL"""),
+    }
+    add("rebuild_digests", [*ledger(), SPANS, MODEL_MONTHS, DIMS, BY_CUSTOMER, BY_CUSTOMER_MODEL, "digests AS (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, rows, CAST(digest AS VARCHAR) AS digest FROM ({digest(columns, rows)})" for name, (columns, rows) in rebuilt.items()) + ")"],
+        "SELECT d.*, side FROM digests d, (VALUES ('kept'), ('rebuilt')) s(side)")
+    month_columns = rebuilt["usage_by_customer_model_month"][0]
+    add("rebuild_stale_tenants", [*priced(BUDGET_SCALE), MODEL_MONTHS, f"stale AS ({digest(month_columns, MODEL_MONTHS.split('AS (', 1)[1][:-1].replace('FROM priced', "FROM priced WHERE NOT (tenant_id IN ('t1', 't3') AND latency_ms % 5 = 0)"), 'tenant_id')})",
+        f"whole AS ({digest(month_columns, 'SELECT * FROM model_months', 'tenant_id')})"],
+        """SELECT tenant_id, w.rows - coalesce(s.rows, 0) AS rows_diff, CAST(w.digest - coalesce(s.digest, 0) AS VARCHAR) AS digest_diff FROM whole w LEFT JOIN stale s USING (tenant_id)
+        WHERE w.rows <> coalesce(s.rows, 0) OR w.digest <> coalesce(s.digest, 0)""")
     seen = f"""seen AS (
       SELECT r.*, l.balance_micro FROM requests r ASOF LEFT JOIN (
         SELECT {CUST}, ts_ms, balance_micro FROM ledger QUALIFY row_number() OVER (PARTITION BY {CUST}, ts_ms ORDER BY seq DESC, ref DESC) = 1) l
@@ -775,6 +812,11 @@ def oracle_queries() -> dict[str, str]:
         FROM summary, (SELECT count(*) AS n FROM economics WHERE status = 'loss')""")
 
     # Streams: rows the watermark has closed when the input ends
+    add("stream_accepted_events", [CLICKS], "SELECT event_id, customer_id, raw_model AS model_id, input_tokens, output_tokens, 0::BIGINT AS reasoning_tokens, ts_ms, latency_ms FROM clicks WHERE n % 97 <> 0 AND n % 89 <> 0")
+    add("stream_rejected_events", [], "SELECT CASE WHEN event_id % 97 = 0 THEN 'json' ELSE 'latency_ms' END AS errors, substr('{\"eventId\":\"ev-' || event_id || '\",\"customerId\":', 1, 20) AS head FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0")
+    add("stream_kept_spans", clicks(), f"""SELECT tenant_id, parent_span_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id, {total('total_tokens', 'total_tokens')}, {total('cost_micro', 'cost_micro')},
+        count(*) AS call_count, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms FROM priced_clicks GROUP BY tenant_id, parent_span_id""")
+    add("stream_kept_minutes", clicks(), f"SELECT {CUST}, ts_ms - ts_ms % 60000 AS start_ms, count(*) AS event_count, {total('total_tokens', 'total_tokens')}, {total('cost_micro', 'cost_micro')} FROM priced_clicks GROUP BY ALL")
     closed = "(SELECT max(ts_ms) - 5000 FROM clicks)"
     add("stream_windows", clicks(), f"""SELECT {KEYS}, start AS window_start_ms, start + 10000 AS window_end_ms, {', '.join(total(c, c) for c in ('input_tokens', 'output_tokens'))},
         0::BIGINT AS cache_read_tokens, 0::BIGINT AS cache_write_tokens, 0::BIGINT AS reasoning_tokens, 0::BIGINT AS embedding_tokens,

@@ -23,19 +23,25 @@ def filter_billable(df: DataFrame) -> DataFrame:
     return df.filter(named & ~heartbeat)
 
 
-def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Check the event schema: (valid events, quarantine with ``errors``)."""
+def event_errors() -> Column:
+    """The names of an event's columns that break the event schema, as an array."""
     def error(condition, name):
         return F.when(condition, F.lit(name))
 
-    checks = [
-        error(_blank("customer_id"), "customer_id"),
-        error(_blank("model_id"), "model_id"),
-        error(F.col("ts_ms").isNull(), "ts_ms"),
-        *[error(F.col(c) < 0, c) for c in [*TOKEN_COLUMNS, "latency_ms"]],
-        error(F.col("environment").isNotNull() & ~F.col("environment").isin(*ENVIRONMENTS), "environment"),
-    ]
-    checked = df.withColumn("errors", F.array_compact(F.array(*checks)))
+    return F.array_compact(
+        F.array(
+            error(_blank("customer_id"), "customer_id"),
+            error(_blank("model_id"), "model_id"),
+            error(F.col("ts_ms").isNull(), "ts_ms"),
+            *[error(F.col(c) < 0, c) for c in [*TOKEN_COLUMNS, "latency_ms"]],
+            error(F.col("environment").isNotNull() & ~F.col("environment").isin(*ENVIRONMENTS), "environment"),
+        )
+    )
+
+
+def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Check the event schema: (valid events, quarantine with ``errors``)."""
+    checked = df.withColumn("errors", event_errors())
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 

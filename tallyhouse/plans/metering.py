@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import billing_day
-from ..functions.running import HOT_ROWS, find_hot
+from ..functions.running import HOT_ROWS, HotGroups, find_hot
 from ..operators import usage
 from ..operators.budget import budget_alerts, budget_ledger, cost_movements, latest_state
 from ..operators.cleaning import filter_billable, normalize_models, scope_tenant
@@ -76,20 +76,30 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 def rebuild(
     events: DataFrame, movements: DataFrame, catalog: Catalog, tenant: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Every counter and budget again from the stored events.
 
     ``movements`` seeds budgets (set and top-up rows). ``tenant`` rebuilds one
-    tenant only. The steps are those of the normal path.
+    tenant only. The steps are those of the normal path. With a ``path`` what several tables are made of
+    is written there once, else each table prices the events anew.
     """
     if tenant is not None:
         events = events.filter(F.col("tenant_id") == tenant)
         movements = movements.filter(F.col("tenant_id") == tenant)
     priced = priced_usage(events, catalog, ("metadata",), hot_rows)
-    windows = usage.usage_windows(priced)
-    hot = customer_sizes(events, movements, hot_rows)
-    ledger = budget_ledger(movements.unionByName(cost_movements(windows)), hot)
+    if path is not None:
+        priced = stored(priced, f"{path}/priced")
+    return counters(priced, movements, customer_sizes(events, movements, hot_rows), path)
+
+
+def counters(priced: DataFrame, movements: DataFrame, hot: HotGroups, path: str | None = None) -> dict[str, DataFrame]:
+    """All tables that follow from priced events and budget movements; ``hot`` are ``customer_sizes``."""
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return df if path is None else stored(df, f"{path}/{name}")
+
+    windows = kept(usage.usage_windows(priced), "windows")
+    ledger = kept(budget_ledger(movements.unionByName(cost_movements(windows)), hot), "ledger")
     return {
         "usage_windows": windows,
         "usage_global": usage.usage_global(windows),

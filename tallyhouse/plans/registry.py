@@ -16,9 +16,10 @@ from ..sources import events as source
 from ..sources import price_lists
 from ..sources import sample_tables as sample
 from ..sources.catalog import Catalog, catalog_from, load_catalog, validate_catalogs, write_catalog
-from ..streaming import chain, late, sinks, state, windows
+from ..streaming import chain, expiring, intake, late, sinks, state, windows
 from .cost_store import CostStore
-from .metering import billable_usage, clean_usage, cost_tables, customer_sizes, priced_usage, rebuild, stored
+from .metering import billable_usage, clean_usage, cost_tables, counters, customer_sizes, priced_usage, rebuild, stored
+from .verify import differing_parts, table_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,9 +76,9 @@ def _folder(spark, name) -> str:
 # Cleaning ------------------------------------------------------------------
 
 
-def _json_events(spark, folder):
+def _json_events(spark, folder, clicks=None):
     """Events as JSON text; every 97th is cut short."""
-    clicks = _clicks(spark, folder)
+    clicks = _clicks(spark, folder) if clicks is None else clicks
     text = source.encode_events(clicks)
     return clicks.select(
         "arrival_seq", F.when(F.col("arrival_seq") % 97 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")
@@ -183,6 +184,18 @@ def filled_defaults(spark, folder):
     )
 
 
+@query
+def generated_ids(spark, folder):
+    """Events of which some have no id are given one; how many ids there are, and how many of them are the old ones."""
+    missing = F.col("latency_ms") % 10 == 3
+    events = _usage(spark, folder).withColumn("_old", F.col("event_id")).withColumn("event_id", F.when(~missing, F.col("event_id")))
+    filled = stored(cleaning.fill_defaults(events, NOW_MS, new_ids=True).select(*CUSTOMER, "event_id", "_old"), f"{_folder(spark, 'ids')}/table")
+    return filled.groupBy(*CUSTOMER).agg(
+        F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"),
+        F.count(F.when(F.col("event_id") == F.col("_old"), 1)).alias("own_ids"),
+    )
+
+
 @query
 def total_tokens(spark, folder):
     return cleaning.with_total_tokens(_usage(spark, folder)).groupBy("model_id").agg(
@@ -689,6 +702,46 @@ def rebuilt_balances(spark, folder):
     return tables["budget_state"].select(*CUSTOMER, "balance_micro", "debt_micro", "deducted_micro")
 
 
+# Columns of the rebuilt tables that are compared; of the others all.
+_COMPARED = {
+    "budget_ledger": [
+        *CUSTOMER, "ts_ms", "seq", "ref", "kind", "epoch", "amount_micro", "balance_micro", "debt_micro", "topup_micro", "deducted_micro",
+    ],
+    "budget_state": [*CUSTOMER, "balance_micro", "debt_micro", "topup_micro", "deducted_micro"],
+}
+
+
+@query
+def rebuild_digests(spark, folder):
+    """Every table for all tenants, from months priced as their events came (in two lots) and rebuilt from all stored events."""
+    out = _folder(spark, "rebuild")
+    store, seeds = CostStore(spark, f"{out}/store"), _seed_movements(spark, folder)
+    events = _usage(spark, folder, BUDGET_SCALE)
+    late_lot = F.col("latency_ms") % 5 == 0
+    store.add(events.filter(~late_lot), "first", STANDARD)
+    store.add(events.filter(late_lot), "late", STANDARD)
+    landed = store.read("events").drop("period", "batch")
+    kept = store.read("priced").drop("period")
+    sides = {
+        "kept": counters(kept, seeds, customer_sizes(landed, seeds), f"{out}/kept"),
+        "rebuilt": rebuild(landed, seeds, STANDARD, path=f"{out}/rebuilt"),
+    }
+    found = [
+        table_digests({n: df.select(*_COMPARED.get(n, df.columns)) for n, df in tables.items()}).withColumn("side", F.lit(side))
+        for side, tables in sides.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+@query
+def rebuild_stale_tenants(spark, folder):
+    """Tenants whose stored monthly costs lack a lot of late events, found against the rebuilt ones."""
+    priced = _stored_priced(spark, folder, BUDGET_SCALE)
+    lost = F.col("tenant_id").isin("t1", "t3") & (F.col("latency_ms") % 5 == 0)
+    stale = usage.usage_by_customer_model_month(priced.filter(~lost))
+    return differing_parts(usage.usage_by_customer_model_month(priced), stale, ["tenant_id"])
+
+
 def _requests(priced):
     """Each event as the request that led to it, estimated at its own price."""
     return priced.select(
@@ -1126,6 +1179,62 @@ def _click_stream(spark, folder):
     return sample.click_usage(raw)
 
 
+def _lots(spark, folder, out):
+    """Priced events in a stream's folder, as five lots that come one after the other in time."""
+    named = cleaning.normalize_models(_clicks(spark, folder), STANDARD)
+    priced = pricing.price_events(named, STANDARD)
+    lot = F.least(F.lit(4), F.floor((F.dayofmonth(F.timestamp_millis("ts_ms")) - 1) / 6))
+    lots = stored(priced.withColumn("lot", lot), f"{out}/lots")
+    for n in range(5):
+        lots.filter(F.col("lot") == n).drop("lot").write.mode("append").parquet(f"{out}/in")
+        yield spark.readStream.schema(lots.drop("lot").schema).parquet(f"{out}/in")
+
+
+def _updates(spark, folder, name, counted):
+    """The last update of each key of a stream that runs over the lots with a restart between them."""
+    out = _folder(spark, name)
+    for stream in _lots(spark, folder, out):
+        _finish(sinks.write_windows(counted(stream), f"{out}/table", f"{out}/checkpoint", mode="update"))
+    return spark.read.parquet(f"{out}/table")
+
+
+@query
+def stream_kept_spans(spark, folder):
+    """Span totals of a stream that forgets a span a day after its last event."""
+    return expiring.latest(_updates(spark, folder, "spans", expiring.span_totals_stream), expiring.SPAN_KEYS)
+
+
+@query
+def stream_kept_minutes(spark, folder):
+    """Minute totals of a stream that forgets a minute after a day."""
+    updates = _updates(spark, folder, "minutes", lambda df: expiring.counters_stream(df, "minute"))
+    return expiring.latest(updates, [*CUSTOMER, "start_ms"])
+
+
+def _taken_in(spark, folder):
+    """JSON events from a folder of text files that fills up in four lots, with a restart between them."""
+    out = _folder(spark, "intake")
+    clicks = _clicks(spark, folder).withColumn("latency_ms", F.when(F.col("arrival_seq") % 89 == 0, -1).otherwise(F.col("latency_ms")))
+    lots = stored(_json_events(spark, folder, clicks), f"{out}/lots")
+    for n in range(4):
+        lots.filter(F.col("arrival_seq") % 4 == n).select("value").write.mode("append").text(f"{out}/in")
+        raw = source.read_events_stream(spark, f"{out}/in")
+        _finish(intake.intake_stream(raw, f"{out}/table", f"{out}/checkpoint"))
+    return intake.read_intake(spark, f"{out}/table")
+
+
+@query
+def stream_accepted_events(spark, folder):
+    return _taken_in(spark, folder)[0].select(
+        "event_id", "customer_id", "model_id", "input_tokens", "output_tokens", "reasoning_tokens", "ts_ms", "latency_ms"
+    )
+
+
+@query
+def stream_rejected_events(spark, folder):
+    return _taken_in(spark, folder)[1].select(F.concat_ws(",", "errors").alias("errors"), F.substring("value", 1, 20).alias("head"))
+
+
 def _finish(query) -> None:
     query.awaitTermination()
 

@@ -40,11 +40,10 @@ def read_events_stream(
     return stream.withColumn("value", F.col("value").cast("string"))
 
 
-def decode_events(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Decode JSON events: (events, rejected).
+def parse_events(df: DataFrame, column: str = "value") -> DataFrame:
+    """Add the fields of each row's JSON event, and ``_broken`` where the text is none.
 
-    Unknown fields are ignored and missing counts become 0. Text that is not
-    a JSON event is rejected.
+    Unknown fields are ignored and missing counts become 0.
     """
     parsed = df.withColumn(
         "_e",
@@ -56,11 +55,17 @@ def decode_events(df: DataFrame, column: str = "value") -> tuple[DataFrame, Data
         (F.coalesce(F.col(f"_e.{wire}"), F.lit(0)) if name in counts else F.col(f"_e.{wire}")).alias(name)
         for name, wire in WIRE_NAMES.items()
     ]
-    others = [c for c in df.columns if c != column]
-    return (
-        parsed.filter(~broken).select(*others, *fields),
-        parsed.filter(broken).select(*df.columns),
-    )
+    return parsed.select(*df.columns, broken.alias("_broken"), *fields)
+
+
+def decode_events(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Decode JSON events: (events, rejected).
+
+    Unknown fields are ignored and missing counts become 0. Text that is not
+    a JSON event is rejected.
+    """
+    parsed = parse_events(df, column)
+    return parsed.filter(~F.col("_broken")).drop("_broken", column), parsed.filter("_broken").select(*df.columns)
 
 
 def encode_events(df: DataFrame) -> Column:

@@ -10,13 +10,16 @@ from ..schema import CUSTOMER
 from .merged import MERGE_EVERY, MergedSums
 
 
-def write_windows(windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write closed windows exactly once: a repeated batch overwrites its folder."""
+def write_windows(
+    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append"
+) -> StreamingQuery:
+    """Write closed windows exactly once: a repeated batch overwrites its folder. Counters that change need ``mode="update"``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         windows.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -56,9 +56,9 @@ class MonthVolume(StatefulProcessor):
                 self._handle.registerTimer(_month_end_ms(month) + self._retain)
         yield frame.assign(volume_before=before.astype("int64"))[self._columns]
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for (month,) in list(self._months.keys()):
-            if _month_end_ms(month) + self._retain <= expired.getExpiryTimeInMs():
+            if _month_end_ms(month) + self._retain <= expiredTimerInfo.getExpiryTimeInMs():
                 self._months.removeKey((month,))
         return iter(())
 
