@@ -173,10 +173,10 @@ MODEL_MONTHS = f"""model_months AS (
   FROM priced GROUP BY {KEYS}, period)"""
 
 DIMS = """dims AS (
-  SELECT dim_key, dim_value, period, CAST(sum(cost_micro) AS BIGINT) AS cost_micro, count(*) AS event_count
-  FROM (SELECT 'feature' AS dim_key, feature AS dim_value, period, cost_micro FROM priced WHERE cost_micro > 0
-    UNION ALL SELECT 'room_id', room_id, period, cost_micro FROM priced WHERE cost_micro > 0)
-  GROUP BY GROUPING SETS ((dim_key, dim_value, period), (dim_key, dim_value)))"""
+  SELECT tenant_id, dim_key, dim_value, period, CAST(sum(cost_micro) AS BIGINT) AS cost_micro, count(*) AS event_count
+  FROM (SELECT tenant_id, 'feature' AS dim_key, feature AS dim_value, period, cost_micro FROM priced WHERE cost_micro > 0
+    UNION ALL SELECT tenant_id, 'room_id', room_id, period, cost_micro FROM priced WHERE cost_micro > 0)
+  GROUP BY GROUPING SETS ((tenant_id, dim_key, dim_value, period), (tenant_id, dim_key, dim_value)))"""
 
 CUSTOMER_USAGE = f"""customer_usage AS (
   SELECT customer_id, count(*) AS event_count, {', '.join(total(c, c) for c in ('input_tokens', 'output_tokens', 'total_tokens', 'cost_micro'))}
@@ -281,15 +281,31 @@ def usd(x):
     return f"{x} / CAST(1e6 AS DOUBLE)"
 
 
-def economics(period=PERIOD, name="economics"):
+def economics(period=PERIOD, name="economics", by="customer_id", revenue="revenue"):
     return f"""{name} AS (
-  SELECT customer_id, '{period}' AS period, revenue_usd, cost_usd, margin_usd,
+  SELECT {by}, '{period}' AS period, revenue_usd, cost_usd, margin_usd,
     CASE WHEN revenue_usd > 0 THEN margin_usd / revenue_usd * 100 END AS margin_pct,
     CASE WHEN revenue_usd IS NULL THEN 'unknown_revenue' WHEN margin_usd < 0 THEN 'loss' ELSE 'profitable' END AS status
-  FROM (SELECT customer_id, revenue_usd, cost_usd, revenue_usd - cost_usd AS margin_usd FROM (
-      SELECT customer_id, {usd('CAST(sum(cost_micro) AS BIGINT)')} AS cost_usd FROM model_months
-      WHERE period = '{period}' GROUP BY customer_id)
-    LEFT JOIN (SELECT customer_id, revenue_usd FROM revenue WHERE period = '{period}') USING (customer_id)))"""
+  FROM (SELECT {by}, revenue_usd, cost_usd, revenue_usd - cost_usd AS margin_usd FROM (
+      SELECT {by}, {usd('CAST(sum(cost_micro) AS BIGINT)')} AS cost_usd FROM model_months
+      WHERE period = '{period}' GROUP BY {by})
+    LEFT JOIN (SELECT {by}, revenue_usd FROM {revenue} WHERE period = '{period}') USING ({by})))"""
+
+
+TENANT_REVENUE = """tenant_revenue AS (
+  SELECT 't' || (c_nationkey % 5) AS tenant_id, 'cust_' || (o_custkey % 200) AS customer_id, strftime(o_orderdate, '%Y-%m') AS period,
+    CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) / CAST(1e8 AS DOUBLE) AS revenue_usd
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 200 >= 20 GROUP BY ALL)"""
+
+
+def money(x):
+    """Dollars with two digits, halves of the shortest decimal text upward."""
+    return f"CAST(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12)) AS DECIMAL(38, 2)) AS VARCHAR)"
+
+
+UNIT_ADVICE = """CASE status WHEN 'unknown_revenue' THEN 'Connect revenue (OpenMeter overlay or POST /intelligence/revenue)'
+        WHEN 'loss' THEN 'Customer losing money — suggest plan upgrade or usage cap'
+        ELSE CASE WHEN margin_pct < 10 THEN 'Low margin — review model mix or pricing' END END AS recommendation"""
 
 
 def months():
@@ -346,25 +362,33 @@ best AS (
     ORDER BY cost, i LIMIT 1) b ON TRUE)"""
 
 
-def advice():
+def advice(by="customer_id"):
     goal = "(cost_usd / (1.0::DOUBLE - 0.3::DOUBLE))"
     known = "status <> 'unknown_revenue'"
     sure = f"CASE WHEN prior AND {known} THEN 'high' ELSE 'medium' END"
-    saved = f"({usd('from_cost_micro')} - {usd('to_cost_micro')}) * 12"
-    return [*months(), economics(), f"""dearest AS (
-  SELECT customer_id, model_id, greatest(input_tokens, 1) AS input_tokens, greatest(output_tokens, 1) AS output_tokens FROM (
-    SELECT customer_id, model_id, {total('cost_micro', 'cost_micro')}, {total('input_tokens', 'input_tokens')},
+    gain = f"({usd('from_cost_micro')} - {usd('to_cost_micro')})"
+    before = f"FROM model_months WHERE period = '{BASELINE}'"
+    prior = f"(SELECT count(*) > 0 {before})" if by == "customer_id" else f"tenant_id IN (SELECT tenant_id {before})"
+    raised = f"'Raise price to $' || {money(goal)} || '/mo for 30% margin (current $' || {money('revenue_usd')} || ')'"
+    switched = (f"'Switch ' || model_id || ' → ' || to_model || ': $' || {money(usd('from_cost_micro'))} || '/mo → $' || {money(usd('to_cost_micro'))} "
+                f"|| '/mo ($+' || {money(gain)} || '/mo)'")
+    own = economics() if by == "customer_id" else economics(by=by, revenue="tenant_revenue")
+    return [*months(), TENANT_REVENUE, own, f"""dearest AS (
+  SELECT {by}, model_id, greatest(input_tokens, 1) AS input_tokens, greatest(output_tokens, 1) AS output_tokens FROM (
+    SELECT {by}, model_id, {total('cost_micro', 'cost_micro')}, {total('input_tokens', 'input_tokens')},
       {total('output_tokens', 'output_tokens')}
-    FROM model_months WHERE period = '{PERIOD}' GROUP BY customer_id, model_id)
-  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY cost_micro DESC, model_id) = 1)""", cheaper("dearest"), f"""facts AS (
-  SELECT economics.*, best.* EXCLUDE (customer_id), (SELECT count(*) > 0 FROM model_months WHERE period = '{BASELINE}') AS prior
-  FROM economics LEFT JOIN best USING (customer_id)),
+    FROM model_months WHERE period = '{PERIOD}' GROUP BY {by}, model_id)
+  QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY cost_micro DESC, model_id) = 1)""", cheaper("dearest"), f"""facts AS (
+  SELECT economics.*, best.* EXCLUDE ({by}), {prior} AS prior
+  FROM economics LEFT JOIN best USING ({by})),
 advice AS (
-  SELECT customer_id, period, 'connect_revenue' AS action, CAST(NULL AS DOUBLE) AS current_margin_pct,
-    CAST(NULL AS DOUBLE) AS roi_annual_usd, 'medium' AS confidence FROM facts WHERE NOT ({known})
-  UNION ALL SELECT customer_id, period, 'price_increase', margin_pct, ({goal} - revenue_usd) * 12, {sure} FROM facts WHERE status = 'loss'
-  UNION ALL SELECT customer_id, period, 'model_switch', margin_pct, {saved}, {sure} FROM facts WHERE {known} AND to_model IS NOT NULL
-  UNION ALL SELECT customer_id, period, 'price_increase', margin_pct, greatest(0, ({goal} - revenue_usd) * 12), {sure}
+  SELECT {by}, period, 'connect_revenue' AS action, CAST(NULL AS DOUBLE) AS current_margin_pct,
+    CAST(NULL AS DOUBLE) AS roi_annual_usd, 'medium' AS confidence,
+    'Connect revenue via OpenMeter overlay or POST /intelligence/revenue' AS suggested_change FROM facts WHERE NOT ({known})
+  UNION ALL SELECT {by}, period, 'price_increase', margin_pct, ({goal} - revenue_usd) * 12, {sure}, {raised} FROM facts WHERE status = 'loss'
+  UNION ALL SELECT {by}, period, 'model_switch', margin_pct, {gain} * 12, {sure}, {switched} FROM facts WHERE {known} AND to_model IS NOT NULL
+  UNION ALL SELECT {by}, period, 'price_increase', margin_pct, greatest(0, ({goal} - revenue_usd) * 12), {sure},
+    'Low margin — consider price increase to $' || {money(goal)} || '/mo'
   FROM facts WHERE status = 'profitable' AND model_id IS NULL AND margin_pct < 10)"""]
 
 
@@ -385,6 +409,7 @@ CUSTOMER_FORECASTS = forecast(CUST, f"LEFT JOIN (SELECT {CUST}, cents * 100 / CA
 ADVICE_TEXT = {
     "INTEL_COST_SPIKE": "Review top contributors and consider model switch or pricing adjustment",
     "INTEL_MARGIN_LOSS": "Review unit economics and pricing recommendations",
+    "INTEL_FORECAST_RISK": "Align spend with budget or raise limits",
 }
 
 LATE = f"""late AS (
@@ -634,7 +659,7 @@ def oracle_queries() -> dict[str, str]:
     add("late_event_costs", [*priced(), MODEL_MONTHS], f"SELECT period, model_id, {total('cost_micro', 'cost_micro')} FROM model_months WHERE period IN ('{PERIOD}', '{BASELINE}') GROUP BY period, model_id")
     add("global_daily_costs", priced(), f"SELECT {DAY} AS day, {total('cost_micro', 'cost_micro')} FROM priced GROUP BY 1")
     add("customer_daily_costs", priced(), f"SELECT {DAY} AS day, {CUST}, {total('cost_micro', 'cost_micro')} FROM priced WHERE period = '{PERIOD}' GROUP BY ALL")
-    add("feature_cost_series", [*priced(), DIMS], f"SELECT period, dim_value, cost_micro FROM dims WHERE dim_key = 'feature' AND period IN ('{BASELINE}', '{PERIOD}')")
+    add("feature_cost_series", [*priced(), DIMS], f"SELECT period, dim_value, {total('cost_micro', 'cost_micro')} FROM dims WHERE dim_key = 'feature' AND period IN ('{BASELINE}', '{PERIOD}') GROUP BY ALL")
     add("tenant_plan_usage", priced(), f"""SELECT tenant_id, plan, total_events, total_tokens, total_cost_micro, events_this_month, customers, max_events_per_month, max_customers,
         max_events_per_month >= 0 AND events_this_month > max_events_per_month AS over_events, max_customers >= 0 AND customers > max_customers AS over_customers
         FROM (SELECT tenant_id, count(*) AS total_events, {total('total_tokens', 'total_tokens')}, {total('cost_micro', 'total_cost_micro')},
@@ -679,7 +704,7 @@ def oracle_queries() -> dict[str, str]:
         "usage_by_session": (["tenant_id", "session_id", "customer_id", *measures, "last_ts_ms"], f"""SELECT tenant_id, session_id, arg_max(customer_id, (ts_ms, customer_id)) AS customer_id,
             {ROLLUP}, max(ts_ms) AS last_ts_ms FROM priced GROUP BY tenant_id, session_id"""),
         "span_usage": (["tenant_id", "parent_span_id", "customer_id", "total_tokens", "cost_micro", "call_count", "first_ts_ms", "last_ts_ms", "duration_ms"], "SELECT * FROM spans"),
-        "usage_by_dim": (["dim_key", "dim_value", "period", "cost_micro", "event_count"], "SELECT * FROM dims"),
+        "usage_by_dim": (["tenant_id", "dim_key", "dim_value", "period", "cost_micro", "event_count"], "SELECT * FROM dims"),
         "spend_by_key": (["key_id", "grain", "bucket", "cost_micro"], f"""SELECT key_id, 'day' AS grain, {DAY} AS bucket, {total('cost_micro', 'cost_micro')} FROM priced WHERE cost_micro > 0 GROUP BY ALL
             UNION ALL SELECT key_id, 'month', period, {total('cost_micro', 'cost_micro')} FROM priced WHERE cost_micro > 0 GROUP BY ALL"""),
         "budget_ledger": ([*own, "ts_ms", "seq", "ref", "kind", "epoch", "amount_micro", "balance_micro", "debt_micro", "topup_micro", "deducted_micro"], "SELECT * FROM ledger"),
@@ -772,9 +797,7 @@ def oracle_queries() -> dict[str, str]:
     add("root_cause_of_customer", [*months(), contributors("customer_id = 'cust_24'")], "SELECT * FROM contributors")
     add("root_cause_totals", [*months(), contributors()], "SELECT * FROM totals")
     add("root_cause_summary", [*months(), contributors(), SUMMARY], "SELECT summary FROM summary")
-    add("unit_economics", [*months(), economics()], """SELECT *, CASE status WHEN 'unknown_revenue' THEN 'Connect revenue (OpenMeter overlay or POST /intelligence/revenue)'
-        WHEN 'loss' THEN 'Customer losing money — suggest plan upgrade or usage cap'
-        ELSE CASE WHEN margin_pct < 10 THEN 'Low margin — review model mix or pricing' END END AS recommendation FROM economics""")
+    add("unit_economics", [*months(), economics()], f"SELECT *, {UNIT_ADVICE} FROM economics")
     add("profitability_totals", [*months(), economics()], f"""SELECT revenue_usd, cost_usd, loss_customer_count, revenue_usd - cost_usd AS margin_usd,
         (revenue_usd - cost_usd) / nullif(revenue_usd, 0) * 100 AS margin_pct FROM (
         SELECT {exact_sum('revenue_usd')} AS revenue_usd, {exact_sum('cost_usd')} AS cost_usd, count(*) FILTER (status = 'loss') AS loss_customer_count FROM economics)""")
@@ -782,7 +805,7 @@ def oracle_queries() -> dict[str, str]:
         CASE WHEN revenue_usd > 0 THEN (revenue_usd - cost_usd) / revenue_usd * 100 END AS margin_pct FROM (
           SELECT dim_value AS product, period, {usd('cost_micro')} AS cost_usd,
             CASE WHEN earned <> 0 THEN earned * ({usd('cost_micro')} / whole) END AS revenue_usd
-          FROM dims, (SELECT {exact_sum('revenue_usd')} AS earned FROM economics),
+          FROM (SELECT dim_key, dim_value, period, {total('cost_micro', 'cost_micro')} FROM dims GROUP BY ALL), (SELECT {exact_sum('revenue_usd')} AS earned FROM economics),
             (SELECT {usd('CAST(sum(cost_micro) AS BIGINT)')} AS whole FROM dims WHERE dim_key = 'feature' AND period = '{PERIOD}')
           WHERE dim_key = 'feature' AND period = '{PERIOD}')""")
     add("profitability_trend", [*months()], f"""SELECT period, cost_usd, CASE WHEN earned > 0 THEN earned END AS revenue_usd,
@@ -791,7 +814,10 @@ def oracle_queries() -> dict[str, str]:
             SELECT customer_id, period, sum(cost_micro) AS cost_micro FROM model_months WHERE period BETWEEN '1998-01' AND '{PERIOD}' GROUP BY 1, 2)
           LEFT JOIN revenue USING (customer_id, period) GROUP BY period)""")
     add("cheaper_models", [*priced(), BY_CUSTOMER_MODEL, cheaper("by_customer_model")], f"SELECT {KEYS}, from_cost_micro, to_model, to_cost_micro FROM best")
-    add("pricing_recommendations", advice(), "SELECT * FROM advice")
+    add("pricing_recommendations", advice(), "SELECT * EXCLUDE (suggested_change) FROM advice")
+    add("recommendation_texts", advice(), "SELECT * FROM advice")
+    add("tenant_recommendations", advice(CUST), "SELECT * FROM advice")
+    add("tenant_economics", [*months(), TENANT_REVENUE, economics(by=CUST, revenue="tenant_revenue")], f"SELECT *, {UNIT_ADVICE} FROM economics")
     add("top_recommendations", advice(), "SELECT customer_id, action, roi_annual_usd FROM advice ORDER BY coalesce(roi_annual_usd, 0) DESC, customer_id, action LIMIT 5")
     add("global_forecast", [*priced(BUDGET_SCALE), forecast("", ", (SELECT CAST(NULL AS DOUBLE) AS budget_usd)")],
         "SELECT *, printf('MTD $%.2f; forecast EOM $%.2f (no budget configured)', mtd_cost_usd, forecast_eom_cost_usd) AS summary FROM forecasts")
@@ -811,6 +837,25 @@ def oracle_queries() -> dict[str, str]:
         summary || CASE WHEN n > 0 THEN ' ' || n || ' customer(s) unprofitable.' ELSE '' END AS headline
         FROM summary, (SELECT count(*) AS n FROM economics WHERE status = 'loss')""")
 
+    # Parts of the report
+    for part, same in (("contributors", "root_cause"), ("profitability", "profitability_totals"), ("by_customer", "unit_economics"),
+                       ("by_product", "profitability_products"), ("forecast", "global_forecast")):
+        q[f"report_{part}"] = q[same]
+    q["report_losses"] = q["unit_economics"] + " WHERE status = 'loss'"
+    q["report_trend"] = q["profitability_trend"].replace("BETWEEN '1998-01'", "BETWEEN '1998-04'")
+    add("report_root_cause", [*months(), contributors(), SUMMARY], "SELECT * FROM summary")
+    add("report_recommendations", advice(), "SELECT * FROM advice ORDER BY coalesce(roi_annual_usd, 0) DESC, customer_id, action LIMIT 5")
+    eom, left = money("forecast_eom_cost_usd"), money("budget_usd")
+    told = f"""CASE status WHEN 'no_budget' THEN 'MTD $' || {money('mtd_cost_usd')} || '; forecast EOM $' || {eom} || ' (no budget configured)'
+        WHEN 'over_budget' THEN 'Forecast EOM $' || {eom} || ' exceeds budget $' || {left} || ' by $' || {money('variance_usd')}
+        WHEN 'at_risk' THEN 'Forecast EOM $' || {eom} || ' is at risk vs budget $' || {left} ELSE 'Forecast EOM $' || {eom} || ' on track vs budget $' || {left} END AS summary"""
+    add("forecast_summaries", [*priced(BUDGET_SCALE), SEEDS, CUSTOMER_FORECASTS], f"SELECT {CUST}, status, {told} FROM forecasts")
+    add("forecast_risk_texts", [*priced(BUDGET_SCALE), SEEDS, CUSTOMER_FORECASTS], f"""SELECT {CUST}, 'INTEL_FORECAST_RISK' AS type, period, {told}, '{ADVICE_TEXT['INTEL_FORECAST_RISK']}' AS recommendation
+        FROM forecasts WHERE status IN ('at_risk', 'over_budget')""")
+    add("cost_spike_customers", months(), f"""SELECT {CUST}, 'INTEL_COST_SPIKE' AS type, '{PERIOD}' AS period, printf('Cost %+.1f%% vs {BASELINE}.', pct) AS summary, '{ADVICE_TEXT['INTEL_COST_SPIKE']}' AS recommendation
+        FROM (SELECT {CUST}, ({usd('(cur - base)')}) / ({usd('base')}) * 100 AS pct FROM (SELECT {CUST}, CAST(sum(CASE WHEN period = '{PERIOD}' THEN cost_micro ELSE 0 END) AS BIGINT) AS cur,
+          CAST(sum(CASE WHEN period = '{BASELINE}' THEN cost_micro ELSE 0 END) AS BIGINT) AS base FROM model_months GROUP BY {CUST}) WHERE base > 0) WHERE pct > 25""")
+
     # Streams: rows the watermark has closed when the input ends
     add("stream_accepted_events", [CLICKS], "SELECT event_id, customer_id, raw_model AS model_id, input_tokens, output_tokens, 0::BIGINT AS reasoning_tokens, ts_ms, latency_ms FROM clicks WHERE n % 97 <> 0 AND n % 89 <> 0")
     add("stream_rejected_events", [], "SELECT CASE WHEN event_id % 97 = 0 THEN 'json' ELSE 'latency_ms' END AS errors, substr('{\"eventId\":\"ev-' || event_id || '\",\"customerId\":', 1, 20) AS head FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0")

@@ -63,11 +63,12 @@ def _two_periods(costs: DataFrame, keys: list[str], period: str, baseline: str)
 
 
 def root_cause_totals(
-    customer_costs: DataFrame, period: str, baseline: str, customer: str | None = None
+    customer_costs: DataFrame, period: str, baseline: str, customer: str | None = None, keys: list[str] | None = None
 ) -> DataFrame:
-    """One row: total cost of both months, change in dollars and percent."""
+    """One row, or one of each of ``keys``: total cost of both months, change in dollars and percent."""
     scoped = customer_costs if customer is None else customer_costs.filter(F.col("customer_id") == customer)
-    totals = _two_periods(scoped, [], period, baseline).select(
+    totals = _two_periods(scoped, keys or [], period, baseline).select(
+        *(keys or []),
         usd(F.coalesce("current_micro", F.lit(0))).alias("total_cost_usd"),
         usd(F.coalesce("baseline_micro", F.lit(0))).alias("baseline_cost_usd"),
         usd(F.coalesce(F.col("current_micro") - F.col("baseline_micro"), F.lit(0))).alias("delta_usd"),
@@ -135,13 +136,24 @@ def root_cause_summary(totals: DataFrame, contributors: DataFrame, baseline: str
     ).drop("_top")
 
 
-def unit_economics(customer_costs: DataFrame, revenue: DataFrame, period: str) -> DataFrame:
-    """Revenue, cost and margin of each customer with cost in the month."""
-    costs = customer_costs.filter(F.col("period") == period).groupBy("customer_id").agg(
+def change_summary(totals: DataFrame, baseline: str) -> DataFrame:
+    """Totals by key with the sentence of their change alone."""
+    return totals.withColumn("summary", F.format_string(f"Cost %+.1f%% vs {baseline}.", "delta_pct"))
+
+
+def unit_economics(
+    customer_costs: DataFrame, revenue: DataFrame, period: str, keys: list[str] = ["customer_id"]
+) -> DataFrame:
+    """Revenue, cost and margin of each customer with cost in the month.
+
+    ``keys`` name a customer in both tables: with ``CUSTOMER`` customers of two tenants with one name
+    are two, and a customer without a tenant is its own.
+    """
+    costs = customer_costs.filter(F.col("period") == period).groupBy(*keys).agg(
         usd(F.sum("cost_micro")).alias("cost_usd")
     )
-    known = revenue.filter(F.col("period") == period).select("customer_id", "revenue_usd")
-    rows = costs.join(known, "customer_id", "left").withColumn("margin_usd", F.col("revenue_usd") - F.col("cost_usd"))
+    known = revenue.filter(F.col("period") == period).select(*keys, "revenue_usd")
+    rows = null_safe_join(costs, known, keys, "left").withColumn("margin_usd", F.col("revenue_usd") - F.col("cost_usd"))
     margin_pct = F.when(
         F.col("revenue_usd") > 0,
         F.col("margin_usd") / F.when(F.col("revenue_usd") > 0, F.col("revenue_usd")) * 100,
@@ -161,7 +173,7 @@ def unit_economics(customer_costs: DataFrame, revenue: DataFrame, period: str) -
         .withColumn("status", status)
         .withColumn("recommendation", advice)
         .select(
-            "customer_id", F.lit(period).alias("period"), "revenue_usd", "cost_usd",
+            *keys, F.lit(period).alias("period"), "revenue_usd", "cost_usd",
             "margin_usd", "margin_pct", "status", "recommendation",
         )
     )
@@ -189,7 +201,8 @@ def profitability_products(economics: DataFrame, dim_costs: DataFrame, period: s
     features = dim_costs.filter(
         (F.col("dim_key") == "feature") & (F.col("period") == period) & (F.col("cost_micro") > 0)
     )
-    rows = features.withColumns(
+    products = features.groupBy("dim_value").agg(F.sum("cost_micro").alias("cost_micro"))  # of all tenants
+    rows = products.withColumns(
         {
             "_cost": features.agg(usd(F.sum("cost_micro"))).scalar(),
             "_revenue": economics.agg(_exact_sum("revenue_usd")).scalar(),
@@ -336,28 +349,35 @@ def _request_cost(model: ModelPrice) -> str:
 
 
 def pricing_recommendations(
-    economics: DataFrame, model_costs: DataFrame, catalog: Catalog, period: str
+    economics: DataFrame, model_costs: DataFrame, catalog: Catalog, period: str, keys: list[str] = ["customer_id"]
 ) -> DataFrame:
     """Advice per customer: connect revenue, raise the price, or switch the dearest model.
 
-    A thin margin alone is advised on only for customers without model rows.
+    A thin margin alone is advised on only for customers without model rows. ``keys`` are those of ``economics``;
+    with the tenant among them, advice is surer by what the tenant itself used in the month before.
     """
-    has_prior = model_costs.filter(F.col("period") == previous_period(period)).agg(F.count("*") > 0)
+    prior = model_costs.filter(F.col("period") == previous_period(period))
+    scope = [k for k in keys if k != "customer_id"]
     of_period = model_costs.filter(F.col("period") == period)
-    dearest = of_period.groupBy("customer_id", "model_id").agg(
+    dearest = of_period.groupBy(*keys, "model_id").agg(
         *[F.sum(c).alias(c) for c in ("cost_micro", "input_tokens", "output_tokens")]
-    ).groupBy("customer_id").agg(
+    ).groupBy(*keys).agg(
         F.min_by(
             F.struct("model_id", "input_tokens", "output_tokens"),
             F.struct((-F.col("cost_micro")).alias("c"), "model_id"),
         ).alias("_m")
     ).select(
-        "customer_id", "_m.model_id",
+        *keys, "_m.model_id",
         F.greatest(F.coalesce("_m.input_tokens", F.lit(ASSUMED_INPUT_TOKENS)), F.lit(1)).alias("input_tokens"),
         F.greatest(F.coalesce("_m.output_tokens", F.lit(ASSUMED_OUTPUT_TOKENS)), F.lit(1)).alias("output_tokens"),
     )
     switch = cheaper_model(dearest, catalog)
-    rows = economics.join(switch, "customer_id", "left").withColumn("_has_prior", has_prior.scalar())
+    rows = null_safe_join(economics, switch, keys, "left")
+    if scope:
+        active = prior.select(*scope).distinct().withColumn("_active", F.lit(True))
+        rows = null_safe_join(rows, active, scope, "left").withColumn("_has_prior", F.col("_active").isNotNull())
+    else:
+        rows = rows.withColumn("_has_prior", prior.agg(F.count("*") > 0).scalar())
     known = F.col("status") != "unknown_revenue"
     confidence = F.when(F.col("_has_prior") & known, "high").otherwise("medium")
     goal = F.col("cost_usd") / F.lit(1.0 - TARGET_MARGIN)
@@ -403,8 +423,8 @@ def pricing_recommendations(
             ),
         )
     )
-    return rows.select("customer_id", "period", F.explode(advised).alias("_a")).select(
-        "customer_id", "period", "_a.*"
+    return rows.select(*keys, "period", F.explode(advised).alias("_a")).select(
+        *keys, "period", "_a.*"
     )
 
 
@@ -480,17 +500,19 @@ def forecast(
     )
 
 
-def _alert(df: DataFrame, kind: str, period: str, summary: Column) -> DataFrame:
+def _alert(df: DataFrame, kind: str, period: str, summary: Column, keys: list[str] | None = None) -> DataFrame:
     return df.select(
-        F.lit(kind).alias("type"), F.lit(period).alias("period"),
+        *(keys or []), F.lit(kind).alias("type"), F.lit(period).alias("period"),
         summary.alias("summary"), F.lit(ADVICE[kind]).alias("recommendation"),
     )
 
 
-def detect_cost_spike(summary: DataFrame, period: str, limit_pct: float = COST_SPIKE_PCT) -> DataFrame:
-    """An alert when cost rose by more than ``limit_pct`` over a positive baseline."""
+def detect_cost_spike(
+    summary: DataFrame, period: str, limit_pct: float = COST_SPIKE_PCT, keys: list[str] | None = None
+) -> DataFrame:
+    """An alert when cost rose by more than ``limit_pct`` over a positive baseline; one of each of ``keys``."""
     spiked = summary.filter((F.col("baseline_cost_usd") > 0) & (F.col("delta_pct") > limit_pct))
-    return _alert(spiked, "INTEL_COST_SPIKE", period, F.col("summary"))
+    return _alert(spiked, "INTEL_COST_SPIKE", period, F.col("summary"), keys)
 
 
 def detect_margin_loss(
@@ -509,9 +531,10 @@ def detect_margin_loss(
     return _alert(found, "INTEL_MARGIN_LOSS", period, text), losing
 
 
-def detect_forecast_risk(forecasts: DataFrame, period: str) -> DataFrame:
+def detect_forecast_risk(forecasts: DataFrame, period: str, keys: list[str] | None = None) -> DataFrame:
+    """An alert for each forecast near or over its budget, with its ``keys`` if they are named."""
     risky = forecasts.filter(F.col("status").isin("at_risk", "over_budget"))
-    return _alert(risky, "INTEL_FORECAST_RISK", period, F.col("summary"))
+    return _alert(risky, "INTEL_FORECAST_RISK", period, F.col("summary"), keys)
 
 
 def debounce_alerts(alerts: DataFrame, sent: DataFrame, now_ms: int, ttl_ms: int = ALERT_DEBOUNCE_MS) -> DataFrame:

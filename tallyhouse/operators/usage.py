@@ -178,24 +178,24 @@ def span_sessions(df: DataFrame, gap: str = "60 seconds", cost: str = "cost_micr
 
 
 def usage_by_dim(df: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
-    """Cost and events per metadata dimension, lifetime (``period`` null) and monthly."""
+    """Cost and events of each tenant per metadata dimension, lifetime (``period`` null) and monthly."""
     pairs = F.array(*[F.struct(F.lit(d).alias("k"), F.col("metadata")[d].alias("v")) for d in dims])
     monthly = (
         df.filter(F.col("cost_micro") > 0)
         .select(
-            F.explode(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("_d"),
+            "tenant_id", F.explode(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("_d"),
             billing_month(F.col("ts_ms")).alias("period"), "cost_micro",
         )
-        .groupBy(F.col("_d.k").alias("dim_key"), F.col("_d.v").alias("dim_value"), "period")
+        .groupBy("tenant_id", F.col("_d.k").alias("dim_key"), F.col("_d.v").alias("dim_value"), "period")
         .agg(F.sum("cost_micro").alias("cost_micro"), F.count("*").alias("event_count"))
     )
     return (
         monthly.select(
-            "dim_key", "dim_value",
+            "tenant_id", "dim_key", "dim_value",
             F.explode(F.array(F.col("period"), F.lit(None))).alias("period"),
             "cost_micro", "event_count",
         )
-        .groupBy("dim_key", "dim_value", "period")
+        .groupBy("tenant_id", "dim_key", "dim_value", "period")
         .agg(*_sums("cost_micro", "event_count"))
     )
 
@@ -247,10 +247,10 @@ def daily_costs(rollup: DataFrame, by: list[str] | None = None, period: str | No
 
 
 def dim_margin_series(dims: DataFrame, dim_key: str, periods: list[str]) -> DataFrame:
-    """Cost of each value of one dimension over several months."""
+    """Cost of each value of one dimension over several months, tenants together."""
     return dims.filter(
         (F.col("dim_key") == dim_key) & F.col("period").isin(*periods) & (F.col("cost_micro") > 0)
-    ).select("period", "dim_value", "cost_micro")
+    ).groupBy("period", "dim_value").agg(F.sum("cost_micro").alias("cost_micro"))
 
 
 # Limits of the four plans; -1 means unlimited.

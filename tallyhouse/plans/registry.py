@@ -1166,6 +1166,66 @@ def report_headline(spark, folder):
     return intelligence.report(customers, models, dims, daily, sample.revenue(spark, folder), STANDARD, PERIOD, TODAY)["headline"]
 
 
+def _report_part(name: str, part: str) -> None:
+    """Register one part of the monthly report, made by the report itself."""
+    def run(spark, folder):
+        customers, models, dims, daily = _tables(spark, folder, trailing_periods(PERIOD, 6))
+        parts = intelligence.report(customers, models, dims, daily, sample.revenue(spark, folder), STANDARD, PERIOD, TODAY)
+        return parts[part]
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _part in (
+    ("report_root_cause", "root_cause"), ("report_contributors", "contributors"), ("report_losses", "loss_customers"),
+    ("report_profitability", "profitability_totals"), ("report_by_customer", "profitability_by_customer"),
+    ("report_by_product", "profitability_by_product"), ("report_trend", "profitability_trend"),
+    ("report_recommendations", "top_recommendations"), ("report_forecast", "forecast"),
+):
+    _report_part(_name, _part)
+
+
+@query
+def recommendation_texts(spark, folder):
+    """All advice of the month with its wording."""
+    return intelligence.pricing_recommendations(_economics(spark, folder), _tables(spark, folder)[1], STANDARD, PERIOD)
+
+
+def _tenant_economics(spark, folder):
+    return intelligence.unit_economics(_tables(spark, folder)[0], sample.tenant_revenue(spark, folder), PERIOD, CUSTOMER)
+
+
+@query
+def tenant_economics(spark, folder):
+    """Economics of each tenant's customers; one name in two tenants is two customers."""
+    return _tenant_economics(spark, folder)
+
+
+@query
+def tenant_recommendations(spark, folder):
+    return intelligence.pricing_recommendations(
+        _tenant_economics(spark, folder), _tables(spark, folder)[1], STANDARD, PERIOD, CUSTOMER
+    )
+
+
+@query
+def forecast_summaries(spark, folder):
+    return _customer_forecasts(spark, folder).select(*CUSTOMER, "status", "summary")
+
+
+@query
+def forecast_risk_texts(spark, folder):
+    return intelligence.detect_forecast_risk(_customer_forecasts(spark, folder), PERIOD, CUSTOMER)
+
+
+@query
+def cost_spike_customers(spark, folder):
+    """Customers of each tenant whose cost rose by more than a quarter over the month before."""
+    totals = intelligence.root_cause_totals(_tables(spark, folder)[0], PERIOD, BASELINE, keys=CUSTOMER)
+    return intelligence.detect_cost_spike(intelligence.change_summary(totals, BASELINE), PERIOD, keys=CUSTOMER)
+
+
 # Streams -------------------------------------------------------------------
 
 

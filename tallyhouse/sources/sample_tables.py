@@ -101,6 +101,24 @@ def revenue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tenant_revenue(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly revenue per tenant and customer, as ``revenue`` gives it per customer."""
+    orders = table(spark, folder, "orders").filter("o_custkey % 200 >= 20")
+    owners = table(spark, folder, "customer").selectExpr("c_custkey AS o_custkey", "concat('t', CAST(c_nationkey % 5 AS STRING)) AS tenant_id")
+    return (
+        orders.join(owners, "o_custkey")
+        .selectExpr(
+            "tenant_id", "concat('cust_', CAST(o_custkey % 200 AS STRING)) AS customer_id",
+            "date_format(CAST(o_orderdate AS TIMESTAMP), 'yyyy-MM') AS period",
+            "CAST(floor(o_totalprice * 100 + 0.5D) AS BIGINT) AS cents",
+        )
+        .groupBy("tenant_id", "customer_id", "period")
+        .agg(F.sum("cents").alias("cents"))
+        .selectExpr("tenant_id", "customer_id", "period", "cents / 1e8D AS revenue_usd")
+    )
+
+
+
 def budgets(spark: SparkSession, folder: str) -> DataFrame:
     """Initial balance per (tenant, customer); odd customers name a threshold."""
     return (
