@@ -581,6 +581,14 @@ def oracle_queries() -> dict[str, str]:
         UNION ALL SELECT d.*, d.total_tokens <= s.remaining_tokens, s.remaining_tokens - CASE WHEN d.total_tokens <= s.remaining_tokens THEN d.total_tokens ELSE 0 END
         FROM steps s JOIN draws d ON d.customer_id = s.customer_id AND d.k = s.k + 1)"""],
         "SELECT customer_id, event_id, ts_ms, total_tokens, accepted, remaining_tokens FROM steps")
+    add("tenant_packages", [*deduped, f"""draws AS (
+        SELECT {CUST}, event_id, ts_ms, {TOTAL} AS total_tokens, 20000 + 10000 * CAST(substr(tenant_id, 2) AS BIGINT) AS size,
+          row_number() OVER (PARTITION BY {CUST} ORDER BY ts_ms, event_id) AS k
+        FROM firsts JOIN kept USING (event_id, ts_ms) WHERE CAST(substr(customer_id, 6) AS INT) % 3 = 0)""", """steps AS (
+        SELECT *, total_tokens <= size AS accepted, size - CASE WHEN total_tokens <= size THEN total_tokens ELSE 0 END AS remaining_tokens FROM draws WHERE k = 1
+        UNION ALL SELECT d.*, d.total_tokens <= s.remaining_tokens, s.remaining_tokens - CASE WHEN d.total_tokens <= s.remaining_tokens THEN d.total_tokens ELSE 0 END
+        FROM steps s JOIN draws d ON d.tenant_id = s.tenant_id AND d.customer_id = s.customer_id AND d.k = s.k + 1)"""],
+        f"SELECT {CUST}, event_id, ts_ms, total_tokens, accepted, remaining_tokens FROM steps")
     add("hold_ledger", [*ledger(), REQUESTS, f"""actions AS (
         SELECT {CUST}, parent_span_id, cost_micro AS amount, ts_ms, 'a|' || request_id AS action_id, CAST(NULL AS VARCHAR) AS reserve_id FROM requests
         UNION ALL SELECT {CUST}, parent_span_id, cost_micro, ts_ms + latency_ms * 3000000, 'b|' || request_id, 'a|' || request_id FROM requests),

@@ -33,7 +33,14 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
     still pass. ``packages``: ``customer_id, tokens``; customers without one
     are not limited and are left out. ``ts_ms, event_id`` is unique per
     customer. Output adds ``accepted`` and ``remaining_tokens`` after the event.
+    Packages with a ``tenant_id`` are of that tenant's customer (null: of the one without a tenant); without the column a
+    customer's package serves whatever tenant its events name.
     """
+    if "tenant_id" in packages.columns:
+        owner = F.to_json(F.struct("tenant_id", "customer_id"))
+        named = events.withColumn("_customer", F.col("customer_id")).withColumn("customer_id", owner)
+        drawn = package_drawdown(named, packages.select(owner.alias("customer_id"), "tokens"), hot_rows)
+        return drawn.withColumn("customer_id", F.col("_customer")).drop("_customer")
     drawn = events.withColumn("total_tokens", total_tokens()).join(
         packages.select("customer_id", F.col("tokens").alias("_left")), "customer_id"
     )

@@ -811,6 +811,20 @@ def package_drawdown(spark, folder):
     )
 
 
+@query
+def tenant_packages(spark, folder):
+    """Packages of each tenant's customers, of a size by tenant."""
+    owners = sample.table(spark, folder, "customer").selectExpr("c_nationkey % 5 AS t", "c_custkey % 200 AS n").distinct().filter("n % 3 = 0")
+    packages = owners.selectExpr(
+        "concat('t', CAST(t AS STRING)) AS tenant_id", "concat('cust_', CAST(n AS STRING)) AS customer_id",
+        "CAST(20000 + 10000 * t AS BIGINT) AS tokens",
+    )
+    events = dedup.dedup_within(billable_usage(_usage(spark, folder), STANDARD), dedup.RETENTION_MS["dedup"])
+    return holds.package_drawdown(events, packages).select(
+        *CUSTOMER, "event_id", "ts_ms", "total_tokens", "accepted", "remaining_tokens"
+    )
+
+
 # Billing -------------------------------------------------------------------
 
 

@@ -117,3 +117,17 @@ def test_a_hot_customer_is_replayed_by_several_tasks(spark, monkeypatch):
     assert {r.action_id: (r.accepted, r.held_micro, r.reason) for r in got.collect()} == walk(actions, {})[0]
     assert len(sizes[0]) > 4 and max(sizes[0]) < 300
     assert len(sizes) <= len(sizes[0]) + 1
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 2])
+def test_packages_of_two_tenants(spark, hot_rows):
+    rows = [
+        {"event_id": f"{t}{i}", "tenant_id": t, "customer_id": "c", "model_id": "m", "ts_ms": i, "input_tokens": size}
+        for t in ("a", "b", None) for i, size in enumerate([40, 50, 30, 10])
+    ]
+    packages = spark.createDataFrame([("a", "c", 100), (None, "c", 45), ("b", "other", 9)], "tenant_id string, customer_id string, tokens bigint")
+    got = package_drawdown(events(spark, rows), packages, hot_rows).orderBy("tenant_id", "ts_ms").collect()
+    assert [(r.tenant_id, r.customer_id, r.accepted, r.remaining_tokens) for r in got] == [
+        (None, "c", True, 5), (None, "c", False, 5), (None, "c", False, 5), (None, "c", False, 5),
+        ("a", "c", True, 60), ("a", "c", True, 10), ("a", "c", False, 10), ("a", "c", True, 0),
+    ]
