@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.cleaning import total_tokens
 from ..operators.dedup import RETENTION_MS
 from ..schema import CUSTOMER
+from .state import bucket, known_values
 from .windows import dedup_within_stream, with_event_time
 
 GRAINS = {"minute": "1 minute", "day": "1 day"}
@@ -54,38 +55,62 @@ SPAN_KEYS = ["tenant_id", "parent_span_id"]
 
 
 class SpanTotals(StatefulProcessor):
-    """Totals of one span, added up frame by frame; a timer drops them a retention time after the last event."""
+    """Totals of the spans of one bucket, added up frame by frame; they go a retention time after a span's last event.
+
+    A bucket has one timer, at the time when the first of its spans ends or before it.
+    """
 
     def __init__(self, retain_ms: int):
         self._retain = retain_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._totals = handle.getValueState("totals", _STATE)
+        self._totals = handle.getMapState("totals", T.StructType(SPAN_TOTALS.fields[:2]), _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self._totals.get()) if self._totals.exists() else None
-        customer, tokens, cost, calls, first, last = known or (None, 0, 0, 0, None, None)
+        empty, totals = not self._totals.exists(), {}
         for frame in rows:
-            newest = int(frame["ts_ms"].max())
+            number = frame.groupby(SPAN_KEYS, dropna=False, sort=False).ngroup()
+            spans = known_values(frame.loc[~number.duplicated(), SPAN_KEYS])
+            sums = frame.groupby(number).agg(
+                first=("ts_ms", "min"), last=("ts_ms", "max"), tokens=("event_tokens", "sum"), cost=("cost_micro", "sum"), calls=("ts_ms", "size")
+            )
             # Of events at one time the greatest customer counts, as in the batch table.
-            names = [n for n in frame.loc[frame["ts_ms"] == newest, "customer_id"] if n is not None]
-            top = max(names) if names else None
-            if last is None or (newest, top or "") > (last, customer or ""):
-                customer = top
-            first = min(int(frame["ts_ms"].min()), newest if first is None else first)
-            last = max(newest, newest if last is None else last)
-            tokens, cost, calls = tokens + int(frame["event_tokens"].sum()), cost + int(frame["cost_micro"].sum()), calls + len(frame)
-        if known is not None and known[-1] != last:
-            self._handle.deleteTimer(known[-1] + self._retain)
-        if known is None or known[-1] != last:
+            newest = (frame["ts_ms"] == number.map(sums["last"])) & frame["customer_id"].notna()
+            tops = frame.loc[newest, "customer_id"].groupby(number[newest]).max().to_dict()
+            for n, first, newest, tokens, cost, calls in sums.itertuples(name=None):
+                span, top = spans[n], tops.get(n)
+                if span not in totals:
+                    totals[span] = (None if empty else self._totals.getValue(span)) or (None, 0, 0, 0, first, None)
+                customer, had_tokens, had_cost, had_calls, had_first, last = totals[span]
+                if last is None or (newest, top or "") > (last, customer or ""):
+                    customer = top
+                totals[span] = (
+                    customer, had_tokens + int(tokens), had_cost + int(cost), had_calls + int(calls),
+                    min(had_first, int(first)), int(newest) if last is None else max(int(newest), last),
+                )
+        for span, state in totals.items():
+            self._totals.updateValue(span, state)
+        self._wake(min(state[-1] for state in totals.values()))
+        yield pd.DataFrame([(*span, *state) for span, state in totals.items()], columns=SPAN_TOTALS.names)
+
+    def _wake(self, last: int) -> None:
+        """See to it that the timer comes no later than the end of a span with this last event."""
+        set_at = list(self._handle.listTimers())
+        if not set_at or last + self._retain < min(set_at):
+            for t in set_at:
+                self._handle.deleteTimer(t)
             self._handle.registerTimer(last + self._retain)
-        state = (customer, tokens, cost, calls, first, last)
-        self._totals.update(state)
-        yield pd.DataFrame([(*key, *state)], columns=SPAN_TOTALS.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._totals.clear()
+        left = None
+        for span, state in list(self._totals.iterator()):
+            if state[-1] + self._retain <= timerValues.getCurrentWatermarkInMs():
+                self._totals.removeKey(tuple(span))
+            else:
+                left = state[-1] if left is None else min(left, state[-1])
+        if left is not None:
+            self._handle.registerTimer(left + self._retain)
         return iter(())
 
     def close(self) -> None:
@@ -95,13 +120,14 @@ class SpanTotals(StatefulProcessor):
 def span_totals_stream(priced: DataFrame, retain_ms: int | None = None, delay: str = "5 seconds") -> DataFrame:
     """Totals per span as they change, to be written in ``update`` mode; each row carries the whole span.
 
-    A span's events come to its state frame by frame, each of one Arrow batch, and are added up, so a hot span needs no more
+    Spans are dealt to buckets. Their events come frame by frame, each of one Arrow batch, and are added up, so a hot span needs no more
     memory than any other. A span that goes on after its state has gone starts anew.
     """
     timed = with_event_time(priced.filter("parent_span_id IS NOT NULL AND ts_ms IS NOT NULL"), delay)
     rows = timed.select(*SPAN_KEYS, "customer_id", "ts_ms", "ts", "cost_micro", total_tokens().alias("event_tokens"))
     retain = RETENTION_MS["span"] if retain_ms is None else retain_ms
-    return rows.groupBy(*SPAN_KEYS).transformWithStateInPandas(SpanTotals(retain), SPAN_TOTALS, "update", "eventTime")
+    dealt = rows.withColumn("_bucket", bucket(SPAN_KEYS)).groupBy("_bucket")
+    return dealt.transformWithStateInPandas(SpanTotals(retain), SPAN_TOTALS, "update", "eventTime")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
