@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import null_safe_join
 from ..functions.running import HOT_ROWS, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER
-from ..session import durable
+from ..session import durable, written
 from .cleaning import total_tokens
 
 PACKAGE_ORDER = ["ts_ms", "event_id"]
@@ -222,8 +222,8 @@ def hold_ledger(
         opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), [*CUSTOMER, "_part"], HOLD_ORDER,
         {"_walk": Running("max", "_doubt")}, hot,
     )
-    # Read twice below, after several shuffles.
-    marked = durable(marked)
+    # Read twice below, after several shuffles, and by few of its columns: a checkpoint would keep whole rows uncompressed.
+    marked = written(marked.select(*dict.fromkeys([*actions.columns, *WALKED]), "_hopeless", "_void", "_held", "_held_before", "_walk"))
     # A part with a doubt is replayed from its beginning, so that the replay knows the open holds.
     doubted = marked.filter("_walk = 1").select(*CUSTOMER, "_part").distinct()
     walk = null_safe_join(marked, doubted, [*CUSTOMER, "_part"], "left_semi").select(*WALKED, "_held_before")
