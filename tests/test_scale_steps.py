@@ -1,9 +1,14 @@
 """Steps that move, order or repeat no more than their results need."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.dedup import dedup_in_window
 from tallyhouse.plans import registry
 from tallyhouse.plans.cost_store import CostStore
+from tallyhouse.plans.metering import clean_usage
+from tallyhouse.sources.sample_tables import usage_events
 
 from .helpers import events
 
@@ -32,3 +37,42 @@ def test_landing_writes_from_each_task(spark, tmp_path):
     landed = store.read("events")
     assert landed.count() == 30 and landed.select("event_id").distinct().count() == 30
     assert landed.select(F.input_file_name()).distinct().count() == 6  # no shuffle puts a month into one file
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_items_are_joined_once(spark, small):
+    plan = _optimized(usage_events(spark, small))
+    assert plan.index("(l_orderkey") < plan.index("(o_custkey")  # customers meet orders below the join with line items
+
+
+def _copies(spark, seed=3):
+    pick = random.Random(seed)
+    rows = [
+        {
+            "event_id": pick.choice(["a", "b", None]), "customer_id": "c", "model_id": "gpt-4o", "ts_ms": pick.choice([0, 1, 20_000]),
+            "input_tokens": pick.randrange(3), "latency_ms": pick.randrange(2), "session_id": pick.choice(["s", "t", None]),
+            "metadata": pick.choice([None, {"room_id": "1", "feature": "x"}, {"feature": "y"}]),
+        }
+        for _ in range(60)
+    ]
+    return events(spark, rows)
+
+
+def test_dedup_moves_a_copy_once(spark):
+    copies = _copies(spark)
+    kept = dedup_in_window(copies)
+    assert "min_by" not in _optimized(kept)
+    assert [f.dataType for f in kept.select(*copies.columns).schema] == [f.dataType for f in copies.schema]
+    given = {(r.event_id, r.ts_ms, r.input_tokens, r.session_id, str(sorted((r.metadata or {}).items()))) for r in copies.collect()}
+    assert {(r.event_id, r.ts_ms, r.input_tokens, r.session_id, str(sorted((r.metadata or {}).items()))) for r in kept.collect()} <= given
+
+
+def test_columns_after_the_last_that_is_read_decide_nothing(spark):
+    copies = _copies(spark).drop("metadata").withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    few = clean_usage(copies, registry.STANDARD, only=())
+    assert "session_id" not in few.columns and "latency_ms" not in few.columns
+    whole = clean_usage(copies, registry.STANDARD).select(*few.columns)
+    assert few.exceptAll(whole).isEmpty() and whole.exceptAll(few).isEmpty()
