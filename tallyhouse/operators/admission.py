@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.periods import billing_day, billing_month
-from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, running
+from ..functions.running import BROADCAST_ROWS, HOT_ROWS, Hot, HotGroups, Running, find_hot, running
 from ..schema import CUSTOMER
 
 
@@ -27,25 +27,15 @@ def asof_state(
     States are ordered by their own ``state_seq``. One pass over the union of
     both, ordered by time, carries the last state forward.
     """
-    carried = F.struct(*values)
-    blank = {c: F.lit(None) for c in requests.columns if c not in (*keys, "ts_ms")}
     of_states = states.select(
-        *keys, "ts_ms", F.lit(0).alias("_side"), F.col("state_seq").alias("_seq"), carried.alias("_state"),
-        F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType).alias("_request"),
-    )
-    of_requests = requests.select(
-        *keys, "ts_ms", F.lit(1).alias("_side"),
-        F.concat_ws("|", *[F.col(c).cast("string") for c in request_order]).alias("_seq"),
-        F.lit(None).cast(states.select(carried).schema[0].dataType).alias("_state"),
-        F.struct(*requests.columns).alias("_request"),
+        *keys, "ts_ms", F.lit(0).alias("_side"), F.col("state_seq").cast("string").alias("_seq"), F.struct(*values).alias("_state"),
     )
+    # Columns of requests are null in states; each travels once, and only if it is read later.
+    both = of_states.unionByName(requests.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     return (
-        running(
-            of_states.withColumn("_seq", F.col("_seq").cast("string")).unionByName(of_requests),
-            keys, ["ts_ms", "_side", "_seq"], {"_asof": Running("last", "_state")}, hot,
-        )
+        running(both, keys, ["ts_ms", "_side", "_seq", *request_order], {"_asof": Running("last", "_state")}, hot)
         .filter("_side = 1")
-        .select("_request.*", "_asof.*")
+        .select(*requests.columns, "_asof.*")
     )
 
 
@@ -67,41 +57,47 @@ def spent_before(
     none = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     alone = F.when(none, F.col("request_id")).otherwise("")
     apart = list(dict.fromkeys(c for columns in outs.values() for c in columns))
-    per_time = charges.dropna(subset=keys).groupBy(*keys, *apart, "ts_ms").agg(
-        F.sum("cost_micro").alias("_charge")
-    )
-    payload = [c for c in requests.columns if c not in apart]
-    schema = requests.select(F.struct(*payload)).schema[0].dataType
-    of_requests = requests.select(
-        *keys, *apart, alone.alias("_alone"), "ts_ms", F.lit(0).alias("_side"),
-        F.lit(0).cast("bigint").alias("_charge"), F.col("request_id").alias("_id"),
-        F.struct(*payload).alias("_request"),
+    of_requests = requests.withColumns(
+        {"_alone": alone, "_side": F.lit(0), "_charge": F.lit(0).cast("bigint")}
     )
-    summed = per_time.select(
-        *keys, *apart, F.lit("").alias("_alone"), "ts_ms", F.lit(1).alias("_side"), "_charge",
-        F.lit("").alias("_id"), F.lit(None).cast(schema).alias("_request"),
-    ).unionByName(of_requests)
+    # At one time requests come first, and all charges of that time after them: charges need not be summed before.
+    summed = charges.dropna(subset=keys).select(
+        *keys, *apart, F.lit("").alias("_alone"), "ts_ms", F.lit(1).alias("_side"), F.col("cost_micro").alias("_charge"),
+    ).unionByName(of_requests, allowMissingColumns=True)
     hot = hot if isinstance(hot, HotGroups) else find_hot(summed, keys, hot)
     for out, columns in outs.items():
         summed = running(
-            summed, [*keys, "_alone", *columns], ["ts_ms", "_side", "_id"], {out: Running("sum", "_charge")}, hot
+            summed, [*keys, "_alone", *columns], ["ts_ms", "_side", "request_id"], {out: Running("sum", "_charge")}, hot
         )
-    return summed.filter("_side = 0").select("_request.*", *outs)
+    return summed.filter("_side = 0").select(*[c for c in requests.columns if c not in apart], *outs)
+
+
+def _capped(requests, charges, caps, keys, cap_columns, outs, hot, periods=None, around=False):
+    """Join caps to requests and add what was spent on capped keys only; null without a key.
 
+    Few caps are broadcast after the running sum, so that requests are shuffled once and without them. ``around``
+    lets requests without a key bypass the shuffle, for which they are made twice.
+    """
+    def with_caps(df, known):
+        return df.join(known.select(*keys, *cap_columns), keys, "left").select(*df.columns, *cap_columns)
 
-def _capped(requests, charges, caps, keys, cap_columns, outs, hot, periods=None):
-    """Join caps to requests and add what was spent on capped keys only."""
+    few = caps.count() <= BROADCAST_ROWS
+    caps = F.broadcast(caps) if few else caps
+    around = around or not few
     capped_charges = null_safe_join(
         charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
     )
-    # Requests without a key (most have no span) have no cap and go around the join.
-    named = requests.dropna(subset=keys).join(caps.select(*keys, *cap_columns), keys, "left")
-    named = named.select(*requests.columns, *cap_columns)
-    unnamed = requests.filter(" OR ".join(f"{k} IS NULL" for k in keys))
+    named = requests.dropna(subset=keys) if around else requests
+    named = named if few else with_caps(named, caps)
     if periods:
         named, capped_charges = named.withColumns(periods), capped_charges.withColumns(periods)
-        unnamed = unnamed.withColumns(periods)
-    return spent_before(named, capped_charges, keys, outs, hot).unionByName(unnamed, allowMissingColumns=True)
+    spent = spent_before(named, capped_charges, keys, outs, hot)
+    spent = with_caps(spent, caps) if few else spent
+    if around:
+        unnamed = requests.filter(" OR ".join(f"{k} IS NULL" for k in keys))
+        return spent.unionByName(unnamed, allowMissingColumns=True)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return spent.withColumns({out: F.when(known, F.col(out)) for out in outs})
 
 
 def ledger_order() -> Column:
@@ -134,29 +130,22 @@ def check_decisions(
         both = requests.select(*keys).unionByName(charges.select(*keys)).dropna(subset=keys[-1:])
         return find_hot(both, keys, hot_rows)
 
-    of_customers = measured(CUSTOMER)
-    state = ledger.select(
-        *CUSTOMER, "ts_ms", ledger_order().alias("state_seq"), "balance_micro"
-    )
-    seen = asof_state(requests, state, CUSTOMER, ["balance_micro"], ["request_id"], of_customers)
-    held = F.coalesce("held_micro", F.lit(0)) if "held_micro" in columns else F.lit(0)
-    seen = seen.withColumn("effective_micro", F.col("balance_micro") - held)
+    # Caps come first, each test kept as a flag; balances and rate limits then share the deal of requests to customers.
     estimate = F.greatest(F.col("estimate_micro"), F.lit(0))
-
-    no_cap = F.lit(False)
-    span_over, session_over, day_over, month_over = no_cap, no_cap, no_cap, no_cap
+    seen, no_cap = requests, F.lit(False)
+    flags = {"_span_over": no_cap, "_session_over": no_cap, "_day_over": no_cap, "_month_over": no_cap}
     if span_caps is not None:
         seen = _capped(
             seen, charges, span_caps, ["parent_span_id"], ["span_cap_micro"], {"span_spent_micro": []},
-            measured(["parent_span_id"]),
+            measured(["parent_span_id"]), around=True,  # most have no span
         )
-        span_over = F.coalesce(F.col("span_spent_micro") + estimate > F.col("span_cap_micro"), no_cap)
+        seen = seen.withColumn("_span_over", F.coalesce(F.col("span_spent_micro") + estimate > F.col("span_cap_micro"), no_cap))
     if session_caps is not None:
         seen = _capped(
             seen, charges, session_caps, ["session_id"], ["session_cap_micro"], {"session_spent_micro": []},
             measured(["session_id"]),
         )
-        session_over = F.coalesce(F.col("session_spent_micro") + estimate > F.col("session_cap_micro"), no_cap)
+        seen = seen.withColumn("_session_over", F.coalesce(F.col("session_spent_micro") + estimate > F.col("session_cap_micro"), no_cap))
     if key_caps is not None:
         ts = F.col("ts_ms")
         # Days lie inside months, so one shuffle by key and month serves both.
@@ -165,19 +154,31 @@ def check_decisions(
             {"key_month_micro": ["_month"], "key_day_micro": ["_month", "_day"]}, measured(["key_id"]),
             {"_month": billing_month(ts), "_day": billing_day(ts)},
         )
-        day_over = F.coalesce(F.col("key_day_micro") + estimate > F.col("daily_cap_micro"), no_cap)
-        month_over = F.coalesce(F.col("key_month_micro") + estimate > F.col("monthly_cap_micro"), no_cap)
+        seen = seen.withColumns(
+            {
+                "_day_over": F.coalesce(F.col("key_day_micro") + estimate > F.col("daily_cap_micro"), no_cap),
+                "_month_over": F.coalesce(F.col("key_month_micro") + estimate > F.col("monthly_cap_micro"), no_cap),
+            }
+        )
+    seen = seen.withColumns({flag: none for flag, none in flags.items() if flag not in seen.columns})
+    state = ledger.select(
+        *CUSTOMER, "ts_ms", ledger_order().alias("state_seq"), "balance_micro"
+    )
+    of_customers = measured(CUSTOMER)
+    seen = asof_state(seen, state, CUSTOMER, ["balance_micro"], ["request_id"], of_customers)
+    held = F.coalesce("held_micro", F.lit(0)) if "held_micro" in columns else F.lit(0)
+    seen = seen.withColumn("effective_micro", F.col("balance_micro") - held)
 
     reason = (
         F.when(F.col("balance_micro").isNull(), "no_budget_configured")
         .when(F.col("effective_micro") <= 0, "budget_exhausted")
         .when((F.col("estimate_micro") > 0) & (F.col("effective_micro") < F.col("estimate_micro")), "insufficient_balance")
-        .when(span_over | session_over, "hierarchy_cap")
-        .when(day_over, "api_key_daily_budget")
-        .when(month_over, "api_key_monthly_budget")
+        .when(F.col("_span_over") | F.col("_session_over"), "hierarchy_cap")
+        .when(F.col("_day_over"), "api_key_daily_budget")
+        .when(F.col("_month_over"), "api_key_monthly_budget")
         .otherwise("ok")
     )
-    decided = seen.withColumn("reason", reason)
+    decided = seen.withColumn("reason", reason).drop(*flags)
     passing = F.col("reason").isin("ok", "no_budget_configured")
     if rate_limits is not None:
         decided = rate_limited(decided, rate_limits, passing, of_customers)
@@ -195,7 +196,9 @@ def rate_limited(
     The slots used so far are the earlier passing requests of the minute up to
     the limit, so counting those decides every request.
     """
-    limited = null_safe_join(requests, limits.select(*CUSTOMER, "max_rpm"), CUSTOMER, "left").withColumns(
+    known = limits.select(*CUSTOMER, "max_rpm")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    limited = null_safe_join(requests, known, CUSTOMER, "left").withColumns(
         {"_minute": F.floor(F.col("ts_ms") / 60_000), "_slot": F.when(passing, 1).otherwise(0)}
     )
     counted = running(
