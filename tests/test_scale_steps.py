@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.admission import check_decisions
+from tallyhouse.operators.budget import budget_ledger, warn_ladder
 from tallyhouse.operators.dedup import dedup_in_window
 from tallyhouse.plans import registry
 from tallyhouse.plans.cost_store import CostStore
@@ -11,6 +13,8 @@ from tallyhouse.plans.metering import clean_usage
 from tallyhouse.sources.sample_tables import usage_events
 
 from .helpers import events
+from .test_admission import CHARGES, REQUESTS
+from .test_budget import frame, move
 
 DAY = 86_400_000
 
@@ -76,3 +80,32 @@ def test_columns_after_the_last_that_is_read_decide_nothing(spark):
     assert "session_id" not in few.columns and "latency_ms" not in few.columns
     whole = clean_usage(copies, registry.STANDARD).select(*few.columns)
     assert few.exceptAll(whole).isEmpty() and whole.exceptAll(few).isEmpty()
+
+
+def test_priced_months_are_written_without_another_shuffle(spark, tmp_path, monkeypatch):
+    dealt, replace = {}, CostStore._replace
+    monkeypatch.setattr(CostStore, "_replace", lambda self, df, name, *by, deal=True: dealt.update({name: deal}) or replace(self, df, name, *by, deal=deal))
+    store = CostStore(spark, str(tmp_path / "store"))
+    rows = [{"event_id": f"e{i}", "customer_id": "c", "model_id": "gpt-4o", "ts_ms": i % 2 * 40 * DAY, "metadata": {"feature": "x"}} for i in range(30)]
+    store.add(events(spark, rows), "b", registry.STANDARD)
+    assert dealt["priced"] is False and store.read("priced").count() == 30
+
+
+def test_warnings_of_all_rungs_are_counted_in_one_pass(spark):
+    moves = [move("c", 1, "set", 100), *[move("c", 10 + i, "cost", 20, ref=str(i)) for i in range(6)]]
+    plan = warn_ladder(budget_ledger(frame(spark, moves)).localCheckpoint())
+    tree = _optimized(plan)
+    assert tree.index("Generate explode") < tree.index("_run0")  # the runs are summed below, before rungs become rows
+
+
+def test_each_gate_moves_requests_once(spark):
+    request = [(None, "c", "r", 5, 1, "sp", "se", "k")]
+    charge = [(None, "c", 1, 1, "sp", "se", "k")]
+    got = check_decisions(
+        spark.createDataFrame(request, REQUESTS), budget_ledger(frame(spark, [move("c", 0, "set", 9)])), spark.createDataFrame(charge, CHARGES),
+        session_caps=spark.createDataFrame([("se", 1)], "session_id string, session_cap_micro bigint"),
+        key_caps=spark.createDataFrame([("k", 9, 9)], "key_id string, daily_cap_micro bigint, monthly_cap_micro bigint"),
+    ).select("request_id", "reason")
+    plan = _optimized(got)
+    assert "AS _request#" not in plan  # no copy of the whole request beside its columns
+    assert [r.reason for r in got.collect()] == ["hierarchy_cap"]
