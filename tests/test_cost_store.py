@@ -81,3 +81,24 @@ def test_reports_open_the_folders_of_their_months_only(spark, tmp_path):
     scans = [line for line in out.getvalue().splitlines() if line.startswith("PartitionFilters")]
     assert scans and all("2026-06" in s and "2026-07" in s for s in scans)
     assert [r.key for r in found.filter("dimension = 'model'").collect()] == ["claude-sonnet-4"]
+
+
+def test_a_lot_lands_in_few_files_however_many_tasks_bring_it(spark, tmp_path):
+    store = CostStore(spark, str(tmp_path))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows_ = [row(i, MAY if i % 2 else JUNE) for i in range(8 * tasks)]
+    store.land(events(spark, rows_).repartition(tasks), "a")
+    found = files(tmp_path, "events")
+    assert set(found) == {"period=2026-05", "period=2026-06"}
+    assert all(0 < len(names) <= tasks / 2 for names in found.values())
+    assert store.read("events").count() == len(rows_)
+
+
+@pytest.mark.parametrize("catalog", [TIERED, STANDARD])
+def test_priced_rows_come_in_as_few_tasks_as_asked_for(spark, catalog):
+    rows_ = [row(i, MAY + i * 1_000, customer=f"c{i % 7}") for i in range(60)]
+    rows_ += [{**row(n, JUNE), "event_id": None} for n in range(20)] + rows_[:5]
+    frame = events(spark, rows_).repartition(20)
+    few, plain = priced_usage(frame, catalog, tasks=2), priced_usage(frame, catalog)
+    assert few.rdd.getNumPartitions() <= 4
+    assert rows({"t": few}) == rows({"t": plain}) and few.count() == 80
