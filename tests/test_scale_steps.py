@@ -1,9 +1,13 @@
 """Steps that move, order or repeat no more than their results need."""
 
+import io
 import random
+from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.operators import usage
 from tallyhouse.operators.admission import check_decisions
 from tallyhouse.operators.budget import budget_ledger, warn_ladder
 from tallyhouse.operators.dedup import dedup_in_window
@@ -11,6 +15,7 @@ from tallyhouse.plans import registry
 from tallyhouse.plans.cost_store import CostStore
 from tallyhouse.plans.metering import clean_usage
 from tallyhouse.sources.sample_tables import usage_events
+from tallyhouse.streaming import state
 
 from .helpers import events
 from .test_admission import CHARGES, REQUESTS
@@ -109,3 +114,59 @@ def test_each_gate_moves_requests_once(spark):
     plan = _optimized(got)
     assert "AS _request#" not in plan  # no copy of the whole request beside its columns
     assert [r.reason for r in got.collect()] == ["hierarchy_cap"]
+
+
+def test_minutes_of_the_rollup_move_once(spark):
+    rows = [
+        {"event_id": f"e{i}", "tenant_id": "t" if i % 3 else None, "customer_id": f"c{i % 2}", "model_id": "gpt-4o", "ts_ms": None if i == 7 else 1_780_272_000_000 + i * 7_200_000,
+         "input_tokens": i}
+        for i in range(400)
+    ]
+    priced = events(spark, rows).withColumn("cost_micro", F.col("input_tokens") * 10)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        usage.usage_rollup(priced, ("minute",)).explain("simple")
+    assert out.getvalue().count("Exchange") == 1
+    whole = usage.usage_rollup(priced)
+    for grain, form in usage.GRAIN_FORMAT.items():
+        want = priced.groupBy("tenant_id", "customer_id", F.date_format(F.timestamp_millis("ts_ms"), form).alias("bucket")).agg(
+            F.count("*").alias("event_count"), F.sum("cost_micro").alias("cost_micro")
+        )
+        got = whole.filter(F.col("grain") == grain).select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == want.count()
+
+
+def test_a_batch_of_stamps_moves_its_events_once(spark, tmp_path, monkeypatch):
+    rows = [
+        {"event_id": f"e{i}", "tenant_id": "t" if i % 3 else None, "customer_id": f"c{i % 4}", "model_id": "gpt-4o", "ts_ms": 1_780_272_000_000 + i, "input_tokens": i}
+        for i in range(120)
+    ]
+    frame = events(spark, rows).withColumn("arrival_seq", F.substring("event_id", 2, 9).cast("long"))
+    moved = []
+    real = state.running
+
+    def watched(*args, **kwargs):
+        stamped = real(*args, **kwargs)
+        moved.append(stamped._jdf.queryExecution().optimizedPlan().toString())
+        return stamped
+
+    monkeypatch.setattr(state, "running", watched)
+    monkeypatch.setattr(state, "null_safe_join", lambda *a: pytest.fail("events are joined with the totals"), raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for hot_rows in (1_000, 10):
+        place = f"{tmp_path}/{hot_rows}"
+        for n in range(3):
+            frame.filter(f"arrival_seq % 3 = {n}").write.mode("append").parquet(f"{place}/in")
+            stream = spark.readStream.schema(frame.schema).parquet(f"{place}/in")
+            state.stamp_volume_batches(stream, ["arrival_seq"], f"{place}/table", f"{place}/checkpoint", hot_rows=hot_rows).awaitTermination()
+        got = spark.read.parquet(f"{place}/table/events")
+        assert got.count() == len(rows) and "_event" not in got.columns
+        arrived = sorted(rows, key=lambda r: (int(r["event_id"][1:]) % 3, int(r["event_id"][1:])))
+        sums, want = {}, {}
+        for r in arrived:
+            key = r["tenant_id"], r["customer_id"]
+            want[r["event_id"]] = sums.get(key, 0)
+            sums[key] = sums.get(key, 0) + r["input_tokens"]
+        assert {r.event_id: r.volume_before for r in got.collect()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in moved[1] and "Union" in moved[1]
