@@ -13,15 +13,19 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, HotGroups, Running, find_hot, running
+from ..functions.running import HOT_ROWS, HotGroups, Running, find_hot, parted, running
 from ..schema import CUSTOMER
 from ..session import durable, written
 from .cleaning import total_tokens
+from .dedup import group_starts
 
 PACKAGE_ORDER = ["ts_ms", "event_id"]
 
@@ -36,21 +40,36 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
     Packages with a ``tenant_id`` are of that tenant's customer (null: of the one without a tenant); without the column a
     customer's package serves whatever tenant its events name.
     """
-    if "tenant_id" in packages.columns:
-        owner = F.to_json(F.struct("tenant_id", "customer_id"))
-        named = events.withColumn("_customer", F.col("customer_id")).withColumn("customer_id", owner)
-        drawn = package_drawdown(named, packages.select(owner.alias("customer_id"), "tokens"), hot_rows)
-        return drawn.withColumn("customer_id", F.col("_customer")).drop("_customer")
-    drawn = events.withColumn("total_tokens", total_tokens()).join(
-        packages.select("customer_id", F.col("tokens").alias("_left")), "customer_id"
-    )
-    hot = find_hot(events, ["customer_id"], hot_rows)
+    tenants = "tenant_id" in packages.columns
+    owner = F.to_json(F.struct("tenant_id", "customer_id")) if tenants else F.col("customer_id")
     columns = [*events.columns, "total_tokens", "accepted", "remaining_tokens"]
+    drawn = events.withColumns({"total_tokens": total_tokens(), "_owner": owner}).join(
+        packages.select(owner.alias("_owner"), F.col("tokens").alias("_left")), "_owner"
+    ).filter("_left IS NOT NULL")
+    # Read for its sizes and for each way below: events that come from long plans are not made again.
+    drawn = written(drawn)
+    hot = find_hot(drawn, ["_owner"], hot_rows)
+    if hot.frame is None:
+        return _drawn(drawn, refused=False).select(*columns)
+    few, many = parted(drawn, hot)
+    return _drawn(few, refused=False).select(*columns).unionByName(_drawn_by_sums(many, hot).select(*columns))
+
+
+def _drawn(rows: DataFrame, refused: bool) -> DataFrame:
+    """Draws of customers that each fit one task, walked once in order; ``refused`` if an event was refused before."""
+    dealt = rows.repartition("_owner").sortWithinPartitions("_owner", *PACKAGE_ORDER)
+    schema = T.StructType([*rows.schema, T.StructField("accepted", T.BooleanType()), T.StructField("remaining_tokens", T.LongType())])
+    return dealt.mapInArrow(_draw_walk(refused), schema)
+
+
+def _drawn_by_sums(drawn: DataFrame, hot: HotGroups) -> DataFrame:
+    """Draws of customers that no task holds whole."""
+    found = [*drawn.columns, "accepted", "remaining_tokens"]
     # An event larger than what is left never passes and draws nothing.
     fits = F.col("total_tokens") <= F.col("_left")
     summed = running(
         drawn.withColumn("_draw", F.when(fits, F.col("total_tokens")).otherwise(0)),
-        ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_draw")}, hot,
+        ["_owner"], PACKAGE_ORDER, {"_sum": Running("sum", "_draw")}, hot,
     )
     refused = F.col("_sum") > F.col("_left")
     smooth = summed.filter(~refused).withColumns(
@@ -58,36 +77,21 @@ def package_drawdown(events: DataFrame, packages: DataFrame, hot_rows: int = HOT
     )
     later = summed.filter(refused)
     # What the package still held at the first refusal.
-    left = later.groupBy("customer_id").agg(
+    left = later.groupBy("_owner").agg(
         F.min_by(F.col("_left") - (F.col("_sum") - F.col("_draw")), F.struct(*PACKAGE_ORDER)).alias("_left")
     )
-    rest = later.drop("_draw", "_sum", "_left").join(left, "customer_id")
-    decided = [smooth.select(*columns)]
+    rest = later.drop("_draw", "_sum", "_left").join(left, "_owner").select(*drawn.columns)
+    decided = [smooth.select(*found)]
     while hot.frame is not None:
         # Too many rows of one customer to walk: halve what is left with
         # running sums until few rows remain undecided.
         halved, rest = _halve(rest, hot)
-        decided.append(halved.select(*columns))
+        decided.append(halved.select(*found))
         rest = durable(rest)
-        hot = find_hot(rest.filter("_left > 0"), ["customer_id"], hot_rows)
-    # Events too big for what is left are refused on their own.
-    walk = rest.filter(fits).select("customer_id", *PACKAGE_ORDER, "total_tokens", "_left")
-    walked = (
-        walk.repartition("customer_id")
-        .sortWithinPartitions("customer_id", *PACKAGE_ORDER)
-        .mapInPandas(
-            _draw_walk,
-            "customer_id string, ts_ms bigint, event_id string, accepted boolean, _remaining bigint",
-        )
-    )
-    # They leave what the last walked event left.
-    filled = running(
-        rest.join(walked, ["customer_id", *PACKAGE_ORDER], "left"),
-        ["customer_id"], PACKAGE_ORDER, {"_known": Running("last", "_remaining")}, hot_rows,
-    ).withColumns(
-        {"accepted": F.coalesce("accepted", F.lit(False)), "remaining_tokens": F.coalesce("_known", "_left")}
-    )
-    decided.append(filled.select(*columns))
+        hot = find_hot(rest.filter("_left > 0"), ["_owner"], hot.hot_rows)
+    # Where nothing is left only events of no tokens pass, whatever came before.
+    spent = rest.filter("_left <= 0").withColumns({"accepted": F.coalesce(fits, F.lit(False)), "remaining_tokens": F.col("_left")})
+    decided += [spent.select(*found), _drawn(rest.filter("_left > 0"), refused=True).select(*found)]
     return reduce(DataFrame.unionByName, decided)
 
 
@@ -102,17 +106,17 @@ def _halve(rest: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
     half = F.col("total_tokens") * 2 <= F.col("_left")
     summed = running(
         rest.withColumn("_small", F.when(half, F.col("total_tokens")).otherwise(0)),
-        ["customer_id"], PACKAGE_ORDER, {"_sum": Running("sum", "_small")}, hot,
+        ["_owner"], PACKAGE_ORDER, {"_sum": Running("sum", "_small")}, hot,
     )
     ends = F.when(half, F.col("_sum") * 2 > F.col("_left")).otherwise(
         F.col("total_tokens") <= F.col("_left") - F.col("_sum")
     )
     at = F.struct(*PACKAGE_ORDER)
     after = F.col("_left") - F.col("_sum") - F.when(half, 0).otherwise(F.col("total_tokens"))
-    end = summed.filter(ends).groupBy("customer_id").agg(
+    end = summed.filter(ends).groupBy("_owner").agg(
         F.min(at).alias("_end"), F.min_by(after, at).alias("_after")
     )
-    placed = summed.join(end, "customer_id", "left")
+    placed = summed.join(end, "_owner", "left")
     before = F.col("_end").isNull() | (at <= F.col("_end"))
     is_end = F.coalesce(at == F.col("_end"), F.lit(False))
     decided = placed.filter(before).withColumns(
@@ -124,24 +128,60 @@ def _halve(rest: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
     return decided, placed.filter(~before).withColumn("_left", F.col("_after")).select(*rest.columns)
 
 
-def _draw_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    customer, remaining = None, 0
-    for batch in batches:
-        accepted, after = [], []
-        for who, size, left in zip(batch["customer_id"], batch["total_tokens"], batch["_left"]):
-            if who != customer:
-                customer, remaining = who, left
-            fits = size <= remaining
-            if fits:
-                remaining -= size
-            accepted.append(fits)
-            after.append(remaining)
-        yield pd.DataFrame(
-            {
-                "customer_id": batch["customer_id"], "ts_ms": batch["ts_ms"], "event_id": batch["event_id"],
-                "accepted": accepted, "_remaining": after,
-            }
-        )
+def _draw_walk(refused: bool):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, draws = None, None
+        for batch in batches:
+            starts = group_starts(batch, ["_owner"])
+            lefts, sizes = batch.column("_left").to_numpy(), batch.column("total_tokens")
+            known = sizes.is_valid().to_numpy(zero_copy_only=False)
+            sizes = sizes.fill_null(0).to_numpy()
+            found = []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                who = batch.column("_owner")[start].as_py()
+                if draws is None or who != owner:
+                    owner, draws = who, Draws(int(lefts[start]), refused)
+                found.append(draws.take(sizes[start:end], known[start:end]))
+            accepted, unknown, left = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64))
+            more = [pa.array(accepted, pa.bool_(), mask=unknown), pa.array(left, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "accepted", "remaining_tokens"])
+
+    return walk
+
+
+class Draws:
+    """One package: what is left of it, and whether it has refused an event that a full one would have taken."""
+
+    def __init__(self, tokens: int, refused: bool = False):
+        self.full, self.left, self.refused = tokens, tokens, refused
+
+    def take(self, sizes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(accepted, not known whether, tokens left) of the next events; an event of unknown size draws nothing."""
+        accepted, left = np.zeros(len(sizes), bool), np.empty(len(sizes), np.int64)
+        # All that fit the package pass until their sum exceeds it.
+        fits = known & (sizes <= self.left)
+        sums = np.cumsum(np.where(fits, sizes, 0))
+        over = sums > self.left
+        smooth = int(over.argmax()) if over.any() else len(sizes)
+        if (sizes < 0).any():
+            smooth = 0
+        accepted[:smooth], left[:smooth] = fits[:smooth], self.left - sums[:smooth]
+        if smooth:
+            self.left = int(left[smooth - 1])
+        # Then one after the other: what remains only falls, so events above it now never pass.
+        at = smooth
+        for i in (smooth + np.flatnonzero(known[smooth:] & ((sizes[smooth:] <= self.left) | (sizes < 0).any()))).tolist():
+            if sizes[i] <= self.left:
+                left[at:i], at = self.left, i
+                accepted[i] = True
+                self.left -= int(sizes[i])
+        left[at:] = self.left
+        refusals = np.flatnonzero(known & ~accepted & (sizes <= self.full))
+        first = 0 if self.refused else int(refusals[0]) if len(refusals) else len(sizes)
+        self.refused = first < len(sizes) or self.refused
+        unknown = ~known
+        unknown[first:] = False
+        return accepted, unknown, left
 
 
 HOLD_ORDER = ["ts_ms", "action_id"]

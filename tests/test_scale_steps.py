@@ -12,6 +12,7 @@ from tallyhouse.operators import usage
 from tallyhouse.operators.admission import check_decisions
 from tallyhouse.operators.budget import budget_ledger, warn_ladder
 from tallyhouse.operators.dedup import dedup_in_window, dedup_within
+from tallyhouse.operators.holds import package_drawdown
 from tallyhouse.plans import registry
 from tallyhouse.plans.cost_store import CostStore
 from tallyhouse.plans.metering import clean_usage
@@ -79,6 +80,14 @@ def test_ttl_dedup_moves_events_once(spark):
     assert len(kept.collect()) > 20 and made.value == 600
 
 
+def test_packages_make_their_events_once(spark):
+    rows = [{"event_id": f"e{i}", "customer_id": f"c{i % 3}", "tenant_id": "t", "input_tokens": i % 11, "ts_ms": i} for i in range(200)]
+    for schema, owners in (("customer_id string, tokens long", [("c0", 90), ("c1", 0)]), ("tenant_id string, customer_id string, tokens long", [("t", "c0", 90), (None, "c1", 5)])):
+        frame, made = _counted(spark, events(spark, rows).drop("metadata"))
+        drawn = package_drawdown(frame, spark.createDataFrame(owners, schema))
+        assert drawn.filter("accepted").count() > 0 and made.value == 200
+
+
 def test_ids_are_counted_in_crowded_buckets_only(spark):
     frame = spark.createDataFrame([(f"e{i if i < 300 else 7}",) for i in range(400)], "id string")
     assert find_hot_of_many(frame, ["id"], 200).frame is None
