@@ -12,16 +12,18 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import null_safe_join
-from ..functions.running import HOT_ROWS, HotGroups, Running, find_hot, parted, running
+from ..functions.running import HOT_ROWS, Hot, HotGroups, Running, find_hot, parted, running
 from ..schema import CUSTOMER
 from ..session import durable, written
 from .cleaning import total_tokens
@@ -189,7 +191,7 @@ SLICE_ROWS = 200_000
 
 
 def hold_ledger(
-    actions: DataFrame, span_caps: DataFrame | None = None, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
+    actions: DataFrame, span_caps: DataFrame | None = None, hot_rows: Hot = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Replay reserve and reconcile actions.
 
@@ -202,32 +204,44 @@ def hold_ledger(
     if it was refused; one without releases its amount, at most what is held.
     Output adds ``accepted, held_micro`` after the action and ``reason``.
 
-    Customers with more than ``hot_rows`` actions are replayed in slices of about ``slice_rows``.
+    Actions move to their customer's task once, and not at all if they come dealt by customer. Customers with more
+    than ``hot_rows`` actions (or those measured before) are replayed in slices of about ``slice_rows``.
     """
-    columns = [*actions.columns, "accepted", "held_micro", "reason"]
+    hot = hot_rows if isinstance(hot_rows, HotGroups) else find_hot(actions, CUSTOMER, hot_rows)
+    if hot.frame is None:
+        return _held_in_groups(actions, span_caps)
+    few, many = parted(written(actions), hot)
+    return _held_in_groups(few, span_caps).unionByName(_held_in_slices(many, span_caps, hot, slice_rows))
+
+
+def _prepared(actions: DataFrame) -> DataFrame:
     rows = actions.withColumn("balance_micro", F.coalesce("balance_micro", F.lit(0)))
-    if span_caps is not None:
-        rows = null_safe_join(rows, span_caps.select("parent_span_id", "span_cap_micro"), ["parent_span_id"], "left")
-    else:
-        rows = rows.withColumn("span_cap_micro", F.lit(None).cast("bigint"))
     if "span_spent_micro" not in rows.columns:
         rows = rows.withColumn("span_spent_micro", F.lit(0).cast("bigint"))
-    reserve = F.col("action") == "reserve"
-    # Denied whatever is held: the balance or the cap alone is too small.
-    hopeless = reserve & (
+    return rows
+
+
+def _reserve() -> Column:
+    return F.col("action") == "reserve"
+
+
+def _hopeless() -> Column:
+    """Denied whatever is held: the balance or the cap alone is too small."""
+    return _reserve() & (
         (F.col("balance_micro") < F.col("amount_micro"))
         | F.coalesce(F.col("span_spent_micro") + F.col("amount_micro") > F.col("span_cap_micro"), F.lit(False))
     )
-    rows = rows.withColumn("_hopeless", hopeless)
-    if "reserve_id" in rows.columns:
-        refused = rows.filter("_hopeless").select(*CUSTOMER, F.col("action_id").alias("reserve_id"), F.lit(True).alias("_void"))
-        rows = null_safe_join(rows, refused, [*CUSTOMER, "reserve_id"], "left").withColumn("_void", F.coalesce(F.col("_void") & ~reserve, F.lit(False)))
-    else:
-        rows = rows.withColumns({"reserve_id": F.lit(None).cast("string"), "_void": F.lit(False)})
+
+
+def _foreseen(rows: DataFrame, hot: HotGroups) -> DataFrame:
+    """What would be held if every other reserve passed, the parts that follow from it, and where they may be wrong.
+
+    ``rows`` have ``_hopeless`` and ``_void`` (reconciles of those).
+    """
+    reserve = _reserve()
     # As if every other reserve passed: held is the running sum, lifted by how
     # far releases would have taken it below zero.
     step = F.when(F.col("_hopeless") | F.col("_void"), 0).when(reserve, F.col("amount_micro")).otherwise(-F.col("amount_micro"))
-    hot = find_hot(actions, CUSTOMER, hot_rows)
     summed = running(rows.withColumn("_step", step), CUSTOMER, HOLD_ORDER, {"_sum": Running("sum", "_step")}, hot)
     floored = running(
         summed, CUSTOMER, HOLD_ORDER,
@@ -258,33 +272,74 @@ def hold_ledger(
     doubtful = capped | (
         reserve & ~F.col("_hopeless") & (F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"))
     )
-    marked = running(
-        opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0)), [*CUSTOMER, "_part"], HOLD_ORDER,
-        {"_walk": Running("max", "_doubt")}, hot,
-    )
-    # Read twice below, after several shuffles, and by few of its columns: a checkpoint would keep whole rows uncompressed.
-    marked = written(marked.select(*dict.fromkeys([*actions.columns, *WALKED]), "_hopeless", "_void", "_held", "_held_before", "_walk"))
-    # A part with a doubt is replayed from its beginning, so that the replay knows the open holds.
-    doubted = marked.filter("_walk = 1").select(*CUSTOMER, "_part").distinct()
-    walk = null_safe_join(marked, doubted, [*CUSTOMER, "_part"], "left_semi").select(*WALKED, "_held_before")
-    if hot.frame is None:
-        walked = _walked(walk)
-    else:
-        cold = null_safe_join(walk, hot.frame, hot.keys, "left_anti")
-        walked = _walked(cold).unionByName(_replayed(null_safe_join(walk, hot.frame, hot.keys, "left_semi"), slice_rows))
-    seen = null_safe_join(marked, walked, [*CUSTOMER, *HOLD_ORDER], "left")
+    return opted.withColumn("_doubt", F.when(doubtful, 1).otherwise(0))
+
+
+def _foreseen_outcome() -> dict[str, Column]:
+    """The decision on an action in a part without doubt."""
+    reserve = _reserve()
     reason = (
         F.when(F.col("_void"), "not_reserved").when(~reserve, "released").when(~F.col("_hopeless"), "reserved")
         .when(F.col("balance_micro") - F.col("_held_before") < F.col("amount_micro"), "insufficient_balance")
         .otherwise("hierarchy_reserve")
     )
-    return seen.withColumns(
-        {
-            "accepted": F.coalesce("accepted", ~F.col("_hopeless") & ~F.col("_void")),
-            "held_micro": F.coalesce("held_micro", "_held"),
-            "reason": F.coalesce("reason", reason),
-        }
-    ).select(*columns)
+    return {"accepted": ~F.col("_hopeless") & ~F.col("_void"), "held_micro": F.col("_held"), "reason": reason}
+
+
+def _held_in_groups(actions: DataFrame, span_caps: DataFrame | None) -> DataFrame:
+    """Customers that each fit one task: caps and refused reserves are found where the actions lie, and doubtful parts walked there."""
+    rows = _prepared(actions).repartition(*CUSTOMER)
+    so_far = (Window.unboundedPreceding, 0)
+    if span_caps is None:
+        rows = rows.withColumn("span_cap_micro", F.lit(None).cast("bigint"))
+    else:
+        spans = actions.filter("parent_span_id IS NOT NULL").select(*CUSTOMER, "parent_span_id").distinct()
+        caps = spans.join(span_caps.select("parent_span_id", F.col("span_cap_micro").alias("_cap")), "parent_span_id")
+        unnamed = span_caps.filter("parent_span_id IS NULL").agg(F.max("span_cap_micro")).scalar()
+        both = caps.withColumn("_side", F.lit(0)).repartition(*CUSTOMER).unionByName(rows.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+        of_span = Window.partitionBy(*CUSTOMER, "parent_span_id").orderBy("_side").rowsBetween(*so_far)
+        cap = F.when(F.col("parent_span_id").isNull(), unnamed).otherwise(F.max("_cap").over(of_span))
+        rows = both.withColumn("span_cap_micro", cap).filter("_side = 1").drop("_side", "_cap")
+    rows = rows.withColumn("_hopeless", _hopeless())
+    if "reserve_id" in rows.columns:
+        # The reserve of an action comes before what reconciles it.
+        rows = rows.withColumn("_of", F.when(_reserve(), F.col("action_id")).otherwise(F.col("reserve_id")))
+        of_reserve = Window.partitionBy(*CUSTOMER, "_of").orderBy(F.when(_reserve(), 0).otherwise(1)).rowsBetween(*so_far)
+        void = ~_reserve() & F.col("_of").isNotNull() & F.max("_hopeless").over(of_reserve)
+        rows = rows.withColumn("_void", F.coalesce(void, F.lit(False))).drop("_of")
+    else:
+        rows = rows.withColumns({"reserve_id": F.lit(None).cast("string"), "_void": F.lit(False)})
+    foreseen = _foreseen(rows, HotGroups(CUSTOMER, 0, HOT_ROWS, None))
+    part = Window.partitionBy(*CUSTOMER, "_part").orderBy(*HOLD_ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = foreseen.withColumn("_walk", F.max("_doubt").over(part) == 1).withColumns(_foreseen_outcome())
+    given = list(dict.fromkeys([*actions.columns, *WALKED, "_walk", "accepted", "held_micro", "reason"]))
+    ordered = marked.select(*given).sortWithinPartitions(*CUSTOMER, "_part", *HOLD_ORDER)
+    found = [*actions.columns, "accepted", "held_micro", "reason"]
+    return ordered.mapInArrow(_hold_walk(found), ordered.select(*found).schema)
+
+
+def _held_in_slices(actions: DataFrame, span_caps: DataFrame | None, hot: HotGroups, slice_rows: int) -> DataFrame:
+    """Customers that no task holds whole."""
+    columns = [*actions.columns, "accepted", "held_micro", "reason"]
+    rows = _prepared(actions)
+    if span_caps is not None:
+        rows = null_safe_join(rows, span_caps.select("parent_span_id", "span_cap_micro"), ["parent_span_id"], "left")
+    else:
+        rows = rows.withColumn("span_cap_micro", F.lit(None).cast("bigint"))
+    rows = rows.withColumn("_hopeless", _hopeless())
+    if "reserve_id" in rows.columns:
+        refused = rows.filter("_hopeless").select(*CUSTOMER, F.col("action_id").alias("reserve_id"), F.lit(True).alias("_void"))
+        rows = null_safe_join(rows, refused, [*CUSTOMER, "reserve_id"], "left").withColumn("_void", F.coalesce(F.col("_void") & ~_reserve(), F.lit(False)))
+    else:
+        rows = rows.withColumns({"reserve_id": F.lit(None).cast("string"), "_void": F.lit(False)})
+    # Read twice below, after several shuffles, and by few of its columns: a checkpoint would keep whole rows uncompressed.
+    marked = written(_foreseen(rows, hot).select(*dict.fromkeys([*actions.columns, *WALKED]), "_hopeless", "_void", "_held", "_held_before", "_doubt"))
+    # A part with a doubt is replayed from its beginning, so that the replay knows the open holds.
+    doubted = marked.filter("_doubt = 1").select(*CUSTOMER, "_part").distinct()
+    walk = null_safe_join(marked, doubted, [*CUSTOMER, "_part"], "left_semi").select(*WALKED, "_held_before")
+    walked = _replayed(walk, slice_rows)
+    seen = null_safe_join(marked, walked, [*CUSTOMER, *HOLD_ORDER], "left")
+    return seen.withColumns({name: F.coalesce(name, c) for name, c in _foreseen_outcome().items()}).select(*columns)
 
 
 WALKED = [
@@ -297,6 +352,10 @@ DECIDED = (
 )
 
 
+def _missing(value) -> bool:
+    return value is None or value != value
+
+
 class Holds:
     """What is held: in all, by capped span, and by reserve that may still be reconciled.
 
@@ -324,14 +383,14 @@ class Holds:
         """Whether an action is accepted, and why."""
         span = row.parent_span_id
         if row.action != "reserve":
-            if pd.isna(row.reserve_id) or (self.guess and row.reserve_id not in self.opened):
+            if _missing(row.reserve_id) or (self.guess and row.reserve_id not in self.opened):
                 self._release(min(int(row.amount_micro), self.held), span)
                 return True, "released"
             if row.reserve_id not in self.opened:
                 return False, "not_reserved"
             self._release(self.opened.pop(row.reserve_id), span)
             return True, "released"
-        amount, capped = int(row.amount_micro), not (pd.isna(span) or pd.isna(row.span_cap_micro))
+        amount, capped = int(row.amount_micro), not (_missing(span) or _missing(row.span_cap_micro))
         if row.balance_micro - self.held < amount:
             return False, "insufficient_balance"
         if capped and row.span_spent_micro + self.spans.get(span, 0) + amount > row.span_cap_micro:
@@ -352,24 +411,42 @@ class Holds:
         return pd.concat([frame[[*CUSTOMER, *HOLD_ORDER]], decided], axis=1)
 
 
-def _walked(walk: DataFrame) -> DataFrame:
-    """Parts of bounded size, each replayed by one task."""
-    dealt = walk.repartition(*CUSTOMER, "_part").sortWithinPartitions(*CUSTOMER, "_part", *HOLD_ORDER)
-    return dealt.mapInPandas(_hold_walk, DECIDED)
+class Action(NamedTuple):
+    """What a replay reads of an action, by the names of its columns."""
 
+    action: str
+    action_id: str
+    amount_micro: int
+    parent_span_id: str | None
+    balance_micro: int
+    span_cap_micro: int | None
+    span_spent_micro: int
+    reserve_id: str | None
 
-def _hold_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    who, holds = None, Holds()
-    for batch in batches:
-        found = []
-        for row in batch.rename(columns={"_part": "part"}).itertuples(index=False):
-            me = (row.tenant_id, row.customer_id, row.part)
-            if me != who:
-                who, holds = me, Holds()
-            accepted, why = holds.apply(row)
-            found.append((accepted, holds.held, why))
-        decided = pd.DataFrame(found, columns=["accepted", "held_micro", "reason"], index=batch.index)
-        yield pd.concat([batch[[*CUSTOMER, *HOLD_ORDER]], decided], axis=1)
+
+def _hold_walk(found: list[str]):
+    """Parts of bounded size with a doubt, replayed in order; other rows are passed on as they are decided."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, holds = None, Holds()
+        for batch in batches:
+            rows = batch.filter(batch.column("_walk"))
+            starts = iter([*group_starts(rows, [*CUSTOMER, "_part"]).tolist(), -1])
+            start, decided = next(starts), []
+            for at, action in enumerate(map(Action._make, zip(*(rows.column(c).to_pylist() for c in Action._fields)))):
+                if at == start:
+                    me, start = tuple(rows.column(c)[at].as_py() for c in (*CUSTOMER, "_part")), next(starts)
+                    if me != who:
+                        who, holds = me, Holds()
+                accepted, why = holds.apply(action)
+                decided.append((accepted, holds.held, why))
+            columns = {c: batch.column(c) for c in found}
+            if decided:
+                for name, values in zip(("accepted", "held_micro", "reason"), zip(*decided)):
+                    columns[name] = pc.replace_with_mask(columns[name], batch.column("_walk"), pa.array(values, columns[name].type))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), found)
+
+    return walk
 
 
 def _replayed(walk: DataFrame, slice_rows: int) -> DataFrame:

@@ -131,3 +131,20 @@ def test_packages_of_two_tenants(spark, hot_rows):
         (None, "c", True, 5), (None, "c", False, 5), (None, "c", False, 5), (None, "c", False, 5),
         ("a", "c", True, 60), ("a", "c", True, 10), ("a", "c", False, 10), ("a", "c", True, 0),
     ]
+
+
+def test_actions_of_a_customer_move_once(spark):
+    actions = list(paired(random.Random(3), 60))
+    dealt = spark.createDataFrame(actions, SCHEMA).repartition("tenant_id", "customer_id")
+    ledger = hold_ledger(dealt)
+    assert ledger._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want, _ = walk(actions, {})
+    assert {r.action_id: (r.accepted, r.held_micro, r.reason) for r in ledger.collect()} == want
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 1])
+def test_a_cap_without_a_span_is_of_actions_without_one(spark, hot_rows):
+    caps = spark.createDataFrame([(None, 50), ("s", 70)], "parent_span_id string, span_cap_micro bigint")
+    rows = [(None, "c", n, f"a{n}", "reserve", amount, span, 1000, 0, None) for n, (amount, span) in enumerate([(60, None), (40, None), (60, "s"), (60, "other")])]
+    got = {r.action_id: r.reason for r in hold_ledger(spark.createDataFrame(rows, SCHEMA), caps, hot_rows).collect()}
+    assert got == {"a0": "hierarchy_reserve", "a1": "reserved", "a2": "reserved", "a3": "reserved"}
