@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.periods import billing_day, billing_month
-from ..functions.running import BROADCAST_ROWS, HOT_ROWS, Hot, HotGroups, Running, find_hot, running
+from ..functions.running import BROADCAST_ROWS, HOT_ROWS, Hot, HotGroups, Running, find_hot, find_hot_of_many, running
 from ..schema import CUSTOMER
 
 
@@ -41,7 +41,7 @@ def asof_state(
 
 def spent_before(
     requests: DataFrame,
-    charges: DataFrame,
+    charges: DataFrame | str,
     keys: list[str],
     outs: dict[str, list[str]],
     hot: Hot = HOT_ROWS,
@@ -52,11 +52,22 @@ def spent_before(
     as a billing period; both frames have those. ``charges`` has the keys,
     ``ts_ms`` and ``cost_micro``; ``request_id`` is unique. A request whose key
     is null gets 0, and is placed on its own so that such requests do not meet
-    in one task.
+    in one task. If ``charges`` is a column of the requests, each request is itself charged that at its time: one row
+    then stands for both.
     """
     none = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     alone = F.when(none, F.col("request_id")).otherwise("")
     apart = list(dict.fromkeys(c for columns in outs.values() for c in columns))
+    if isinstance(charges, str):
+        hot = hot if isinstance(hot, HotGroups) else find_hot(requests, keys, hot)
+        if hot.frame is None:
+            rows, nothing = requests.withColumn("_alone", alone), none | F.col("ts_ms").isNull()
+            for out, columns in outs.items():
+                earlier = Window.partitionBy(*keys, "_alone", *columns).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -1)
+                spent = F.coalesce(F.sum(charges).over(earlier), F.lit(0))
+                rows = rows.withColumn(out, F.when(nothing, 0).otherwise(spent))
+            return rows.select(*[c for c in requests.columns if c not in apart], *outs)
+        charges = requests.select(*keys, *apart, "ts_ms", F.col(charges).alias("cost_micro"))
     of_requests = requests.withColumns(
         {"_alone": alone, "_side": F.lit(0), "_charge": F.lit(0).cast("bigint")}
     )
@@ -78,21 +89,25 @@ def _capped(requests, charges, caps, keys, cap_columns, outs, hot, periods=None,
     Few caps are broadcast after the running sum, so that requests are shuffled once and without them. ``around``
     lets requests without a key bypass the shuffle, for which they are made twice.
     """
+    found = [*cap_columns, "_has_cap"]
+
     def with_caps(df, known):
-        return df.join(known.select(*keys, *cap_columns), keys, "left").select(*df.columns, *cap_columns)
+        return df.join(known.select(*keys, *found), keys, "left").select(*df.columns, *found)
 
     few = caps.count() <= BROADCAST_ROWS
+    caps = caps.withColumn("_has_cap", F.lit(True))
     caps = F.broadcast(caps) if few else caps
     around = around or not few
-    capped_charges = null_safe_join(
-        charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
-    )
+    if not isinstance(charges, str):
+        charges = null_safe_join(
+            charges.dropna(subset=keys).select(*keys, "ts_ms", "cost_micro"), caps.select(*keys), keys, "left_semi"
+        ).withColumns(periods or {})
     named = requests.dropna(subset=keys) if around else requests
     named = named if few else with_caps(named, caps)
-    if periods:
-        named, capped_charges = named.withColumns(periods), capped_charges.withColumns(periods)
-    spent = spent_before(named, capped_charges, keys, outs, hot)
+    spent = spent_before(named.withColumns(periods or {}), charges, keys, outs, hot)
     spent = with_caps(spent, caps) if few else spent
+    # What is spent on a key without a cap is not asked for.
+    spent = spent.withColumns({out: F.when(F.col("_has_cap"), F.col(out)).otherwise(0) for out in outs}).drop("_has_cap")
     if around:
         unnamed = requests.filter(" OR ".join(f"{k} IS NULL" for k in keys))
         return spent.unionByName(unnamed, allowMissingColumns=True)
@@ -108,7 +123,7 @@ def ledger_order() -> Column:
 def check_decisions(
     requests: DataFrame,
     ledger: DataFrame,
-    charges: DataFrame,
+    charges: DataFrame | str,
     rate_limits: DataFrame | None = None,
     span_caps: DataFrame | None = None,
     session_caps: DataFrame | None = None,
@@ -120,15 +135,16 @@ def check_decisions(
     ``requests``: tenant, customer, ``request_id`` (unique), ``ts_ms``,
     ``estimate_micro``, ``parent_span_id``, ``session_id``, ``key_id`` and
     optionally ``held_micro``. ``ledger`` is the budget ledger and
-    ``charges`` the priced events. Caps are micro-dollar limits per span,
+    ``charges`` the priced events, or the requests' column that each is charged at its time. Caps are micro-dollar limits per span,
     session and key. Output adds ``allowed, reason`` and what each gate saw.
     """
     columns = requests.columns
 
     def measured(keys):
         """Rows per key over requests and charges; a ledger row stands for charges."""
-        both = requests.select(*keys).unionByName(charges.select(*keys)).dropna(subset=keys[-1:])
-        return find_hot(both, keys, hot_rows)
+        charged = requests if isinstance(charges, str) else charges
+        both = requests.select(*keys).unionByName(charged.select(*keys)).dropna(subset=keys[-1:])
+        return find_hot_of_many(both, keys, hot_rows) if keys != CUSTOMER else find_hot(both, keys, hot_rows)
 
     # Caps come first, each test kept as a flag; balances and rate limits then share the deal of requests to customers.
     estimate = F.greatest(F.col("estimate_micro"), F.lit(0))
@@ -165,6 +181,8 @@ def check_decisions(
         *CUSTOMER, "ts_ms", ledger_order().alias("state_seq"), "balance_micro"
     )
     of_customers = measured(CUSTOMER)
+    # A ledger lies dealt by customer already; the requests come to it.
+    seen = seen.repartition(*CUSTOMER) if of_customers.frame is None else seen
     seen = asof_state(seen, state, CUSTOMER, ["balance_micro"], ["request_id"], of_customers)
     held = F.coalesce("held_micro", F.lit(0)) if "held_micro" in columns else F.lit(0)
     seen = seen.withColumn("effective_micro", F.col("balance_micro") - held)

@@ -109,3 +109,34 @@ def test_decisions_equal_the_gates_in_order(spark, hot_rows):
     want = decide(requests, moves, charges, limits, caps)
     assert {r.request_id: r.reason for r in got.collect()} == want
     assert len(set(want.values())) >= 6
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 40])
+def test_requests_that_are_their_own_charges(spark, hot_rows):
+    rng = random.Random(17)
+    base = 1_704_067_200_000
+    pick = lambda kind, n: rng.choice([None, *[f"{kind}{i}" for i in range(n)]])
+    rows = [
+        (None, f"c{rng.randrange(4)}", f"r{i:03}", base + rng.randrange(0, 4 * 86_400_000, 40_000_000), rng.randrange(0, 40), pick("sp", 3), pick("se", 3), pick("k", 3))
+        for i in range(200)
+    ]
+    requests = spark.createDataFrame(rows, REQUESTS)
+    charges = requests.withColumn("cost_micro", F.col("estimate_micro")).select(*[c.split()[0] for c in CHARGES.split(", ")])
+    ledger = budget_ledger(frame(spark, [move(f"c{c}", base - 1, "set", 5_000) for c in range(3)]))
+    caps = (
+        spark.createDataFrame([("sp0", 300)], "parent_span_id string, span_cap_micro bigint"),
+        spark.createDataFrame([("se0", 400), ("se1", None)], "session_id string, session_cap_micro bigint"),
+        spark.createDataFrame([("k0", 60, 500)], "key_id string, daily_cap_micro bigint, monthly_cap_micro bigint"),
+    )
+    apart = check_decisions(requests, ledger, charges, None, *caps, hot_rows)
+    own = check_decisions(requests, ledger, "estimate_micro", None, *caps, hot_rows)
+    assert sorted(map(str, own.collect())) == sorted(map(str, apart.select(*own.columns).collect()))
+    assert {r.reason for r in own.collect()} >= {"ok", "hierarchy_cap", "api_key_daily_budget"}
+
+
+def test_requests_without_a_time_have_spent_nothing_before(spark):
+    rows = [("s", None, "r0", 4), ("s", 10, "r1", 7), ("s", 10, "r2", 1), ("s", 11, "r3", None), (None, 12, "r4", 5), ("s", 13, "r5", 1)]
+    requests = spark.createDataFrame(rows, "k string, ts_ms bigint, request_id string, cost bigint")
+    for hot in (10**6, 2):
+        got = {r.request_id: r.spent for r in spent_before(requests, "cost", ["k"], {"spent": []}, hot).collect()}
+        assert got == {"r0": 0, "r1": 4, "r2": 4, "r3": 12, "r4": 0, "r5": 12}
